@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tidewrack.llm import mixing, sharding
+from tidewrack.llm import mixing, sharding, simhash
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
+    "op2_simhash": simhash.op2_simhash,
     "op3_shard_bytes": sharding.op3_shard_bytes,
 }
 ORACLES = {
