@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from tidewrack.llm import mixing, sharding, simhash
+from tidewrack.llm import decontaminate, mixing, sharding, simhash
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op2_simhash": simhash.op2_simhash,
     "op3_shard_bytes": sharding.op3_shard_bytes,
+    "op6_decontaminate": decontaminate.op6_decontaminate,
 }
 ORACLES = {
+    "op6_decontaminate": decontaminate.ORACLE,
     "op1_mix_sources": mixing.ORACLE,
 }
