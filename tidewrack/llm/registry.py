@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tidewrack.llm import decontaminate, mixing, sharding, simhash
+from tidewrack.llm import decontaminate, langid, mixing, sharding, simhash
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op2_simhash": simhash.op2_simhash,
     "op3_shard_bytes": sharding.op3_shard_bytes,
+    "op4_language_id": langid.op4_language_id,
     "op6_decontaminate": decontaminate.op6_decontaminate,
 }
 ORACLES = {
