@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tidewrack.llm import decontaminate, langid, mixing, sharding, simhash
+from tidewrack.llm import chat, decontaminate, langid, mixing, sharding, simhash
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op2_simhash": simhash.op2_simhash,
     "op3_shard_bytes": sharding.op3_shard_bytes,
     "op4_language_id": langid.op4_language_id,
+    "op5_chat_format": chat.op5_chat_format,
     "op6_decontaminate": decontaminate.op6_decontaminate,
 }
 ORACLES = {
