@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewrack.llm import chat, decontaminate, langid, mixing, sharding, simhash
+from tidewrack.llm import chat, decontaminate, gif, langid, mixing, secrets, sharding, simhash
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -11,6 +11,8 @@ QUERIES = {
     "op4_language_id": langid.op4_language_id,
     "op5_chat_format": chat.op5_chat_format,
     "op6_decontaminate": decontaminate.op6_decontaminate,
+    "op7_secret_scan": secrets.op7_secret_scan,
+    "op9_gif_media": gif.op9_gif_media,
 }
 ORACLES = {
     "op6_decontaminate": decontaminate.ORACLE,
