@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewrack.llm import chat, decontaminate, gif, langid, mixing, secrets, sharding, simhash
+from tidewrack.llm import chat, decontaminate, gif, langid, mixing, quality, secrets, sharding, simhash
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_secret_scan": secrets.op7_secret_scan,
     "op9_gif_media": gif.op9_gif_media,
+    "op10_quality": quality.op10_quality,
 }
 ORACLES = {
     "op6_decontaminate": decontaminate.ORACLE,
