@@ -5,8 +5,223 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewrack.functions import accounting, limits, text, vectors
+from tidewrack.operators import costs, facts, lineage, retrieval, rollups, search, sequences
+from tidewrack.plans.relations import Relations, with_relations
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable:
+    """Register ``f(relations) -> DataFrame`` and its SQL over the same relations."""
+
+    def register(build: Callable[[Relations], DataFrame]) -> Callable:
+        QUERIES[name] = lambda spark, folder: build(Relations(spark, folder))
+        if sql:
+            ORACLES[name] = with_relations(sql)
+        return build
+
+    return register
+
+
+def _both(name: str, sql: str, build: Callable[[Relations], DataFrame]) -> None:
+    query(name, sql)(build)
+
+
+# Views -----------------------------------------------------------------------------------------------------------
+_both("view_sessions_by_month", "SELECT strftime(make_timestamp(started_at * 1000000), '%Y-%m') AS month, source, count(*) AS sessions FROM sessions GROUP BY ALL", lambda r: rollups.sessions_by_month(r.sessions))
+_both("view_top_shell_heads", "SELECT cmd_head, count(*) AS runs, count(*) FILTER (exit_code <> 0) AS failures, count(DISTINCT session_id) AS sessions FROM shell_commands GROUP BY cmd_head", lambda r: rollups.shell_heads(r.shell_commands))
+_both("view_top_files", "SELECT path, count(*) AS ops, count(*) FILTER (op = 'read') AS reads, count(*) FILTER (op IN ('edit', 'write')) AS writes, count(DISTINCT session_id) AS sessions FROM files_touched GROUP BY path", lambda r: rollups.files(r.files_touched))
+_both("view_failed_commands", "SELECT cmd_head, cmd_full, session_id, turn FROM shell_commands WHERE exit_code <> 0", lambda r: rollups.failed_commands(r.shell_commands))
+_both("view_top_skills", "SELECT skill_name, count(*) AS invocations, count(DISTINCT session_id) AS sessions FROM skills_invoked GROUP BY skill_name", lambda r: rollups.by_keys(r.skills_invoked, ["skill_name"], "invocations"))
+_both("view_skills_available_usage", "SELECT session_id, skill_name, was_used FROM skills_usage", lambda r: rollups.skills_usage(r.skills_available, r.skills_invoked, r.skills_hook_injected))
+_both("view_session_skill_shelf", "SELECT session_id, count(*) AS skills_loaded, sum(was_used)::BIGINT AS skills_used, (count(*) - sum(was_used))::BIGINT AS skills_unused, round(100.0::DOUBLE * sum(was_used) / count(*), 1) AS pct_used FROM skills_usage GROUP BY session_id", lambda r: rollups.skill_shelf(rollups.skills_usage(r.skills_available, r.skills_invoked, r.skills_hook_injected)))
+_both("view_skill_dead_weight", "SELECT skill_name, count(DISTINCT session_id) AS sessions_loaded, count(DISTINCT CASE WHEN was_used = 1 THEN session_id END) AS sessions_used, count(DISTINCT session_id) - count(DISTINCT CASE WHEN was_used = 1 THEN session_id END) AS sessions_never_used, round(100.0::DOUBLE * count(DISTINCT CASE WHEN was_used = 0 THEN session_id END) / nullif(count(DISTINCT session_id), 0), 1) AS pct_sessions_unused FROM skills_usage GROUP BY skill_name", lambda r: rollups.skill_dead_weight(rollups.skills_usage(r.skills_available, r.skills_invoked, r.skills_hook_injected)))
+_both("view_top_mcp", "SELECT server, tool, count(*) AS calls, count(DISTINCT session_id) AS sessions FROM mcp_calls GROUP BY ALL", lambda r: rollups.by_keys(r.mcp_calls, ["server", "tool"], "calls"))
+_both("view_top_web", "SELECT domain, kind, count(*) AS hits, count(DISTINCT session_id) AS sessions FROM web_fetches GROUP BY ALL", lambda r: rollups.by_keys(r.web_fetches, ["domain", "kind"], "hits"))
+_both("view_top_subagents", "SELECT subagent_type, count(*) AS invocations, count(DISTINCT parent_session_id) AS parent_sessions FROM subagent_invocations GROUP BY subagent_type", lambda r: rollups.by_keys(r.subagent_invocations, ["subagent_type"], "invocations", "parent_session_id", "parent_sessions"))
+_both("view_workflow_scripts", "SELECT workflow_name, count(*) AS runs, sum(agent_count)::BIGINT AS agents, sum(total_tokens)::BIGINT AS tokens, sum(total_tool_calls)::BIGINT AS tool_calls, sum(duration_ms)::BIGINT AS duration_ms FROM workflow_runs GROUP BY workflow_name", lambda r: rollups.workflow_scripts(r.workflow_runs))
+
+# Sequences -------------------------------------------------------------------------------------------------------
+_GRAMS = """
+WITH l AS (SELECT session_id, turn, idx, name, {leads} FROM tool_calls WINDOW o AS (PARTITION BY session_id ORDER BY turn, idx)),
+g AS (SELECT session_id, turn, idx, {joined} AS sequence FROM l WHERE n{last} IS NOT NULL)
+SELECT {n}::INTEGER AS n, sequence, count(*) AS count, count(DISTINCT session_id) AS sessions,
+       arg_min(session_id, row(session_id, turn, idx)) AS example_session_id, arg_min(turn, row(session_id, turn, idx)) AS example_turn
+FROM g GROUP BY sequence HAVING count(*) >= 3"""
+for _n in (2, 3, 4):
+    _sql = _GRAMS.format(n=_n, last=_n - 1, leads=", ".join(f"lead(name, {k}) OVER o AS n{k}" for k in range(1, _n)), joined=" || ' → ' || ".join(["name", *(f"n{k}" for k in range(1, _n))]))
+    _both(f"ngrams_{_n}", _sql, lambda r, n=_n: sequences.tool_ngrams(r.tool_calls, (n,)))
+_both("view_top_sequences", " UNION ALL ".join(f"SELECT n, sequence, count, sessions FROM ({_GRAMS.format(n=n, last=n - 1, leads=', '.join(f'lead(name, {k}) OVER o AS n{k}' for k in range(1, n)), joined=(chr(32) + '|| ' + chr(39) + ' → ' + chr(39) + ' || ').join(['name', *(f'n{k}' for k in range(1, n))]))})" for n in (2, 3, 4)), lambda r: sequences.tool_ngrams(r.tool_calls).select("n", "sequence", "count", "sessions"))
+_RETRY = "SELECT session_id, turn, 'retry_same_cmd' AS type, substring(cmd_full, 1, 300) AS context FROM (SELECT *, lead(turn) OVER (PARTITION BY session_id, cmd_full ORDER BY turn, idx) AS nt FROM shell_commands) WHERE exit_code <> 0 AND nt - turn <= 3"
+_LOOPS = "SELECT session_id, name, min(turn) AS start_turn, max(turn) AS end_turn, count(*) AS length FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn, idx) - row_number() OVER (PARTITION BY session_id, name, coalesce(exit_code <> 0, false) ORDER BY turn, idx) AS island FROM tool_calls) WHERE exit_code <> 0 GROUP BY session_id, name, island HAVING count(*) >= 3"
+_CHAINS = "SELECT session_id, coalesce(max(CASE WHEN role = 'user' THEN turn END), 0) AS start_turn, sum(CASE WHEN role = 'user' THEN 0 ELSE tools END)::BIGINT AS tool_calls FROM (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY turn) AS stretch FROM messages) GROUP BY session_id, stretch HAVING sum(CASE WHEN role = 'user' THEN 0 ELSE tools END) >= {least}"
+_READS = "SELECT session_id, path, count(DISTINCT turn) AS reads, min(turn) AS turn FROM files_touched WHERE op = 'read' GROUP BY session_id, path HAVING count(DISTINCT turn) >= {least}"
+_both("retry_same_cmd", _RETRY, lambda r: sequences.retries(r.shell_commands))
+_both("error_loops", _LOOPS, lambda r: sequences.error_loops(r.tool_calls))
+_both("long_chains", _CHAINS.format(least=4), lambda r: sequences.long_chains(r.messages, least=4))
+_both("repeated_reads", _READS.format(least=2), lambda r: sequences.repeated_reads(r.files_touched, least=2))
+_both("view_friction_by_type", f"""
+WITH f AS (SELECT session_id, type FROM ({_RETRY}) UNION ALL SELECT session_id, 'repeated_read' FROM ({_READS.format(least=4)})
+  UNION ALL SELECT session_id, 'tool_error_loop' FROM ({_LOOPS}) UNION ALL SELECT session_id, 'long_unproductive_chain' FROM ({_CHAINS.format(least=10)}))
+SELECT type, count(*) AS n, count(DISTINCT session_id) AS sessions FROM f GROUP BY type""",
+    lambda r: rollups.by_keys(sequences.friction_events(r.tool_calls, r.shell_commands, r.files_touched, r.messages), ["type"], "n"))
+_PAIRS = """
+WITH m AS (SELECT session_id, turn FROM messages WHERE role = 'user'),
+p AS (SELECT f.session_id, f.args_hash, f.turn AS ft, o.turn AS ot FROM tool_calls f JOIN tool_calls o ON o.session_id = f.session_id AND o.args_hash = f.args_hash AND o.turn > f.turn
+      WHERE f.exit_code <> 0 AND o.exit_code = 0 AND NOT EXISTS (SELECT 1 FROM m WHERE m.session_id = f.session_id AND m.turn BETWEEN f.turn AND o.turn))
+SELECT session_id, args_hash, min(ft) AS fail_turn, min(ot) AS ok_turn, min(ot) - min(ft) AS gap_turns FROM p GROUP BY session_id, args_hash"""
+_both("self_resolutions", _PAIRS, lambda r: sequences.self_resolutions(r.tool_calls, r.messages))
+_both("view_top_self_resolutions", f"SELECT s.project_path, x.gap_turns, substring(x.args_hash, 1, 120) AS cmd, x.session_id, x.fail_turn FROM ({_PAIRS}) x JOIN sessions s ON s.id = x.session_id", lambda r: rollups.self_resolutions(sequences.self_resolutions(r.tool_calls, r.messages), r.sessions).select("project_path", "gap_turns", F.substring("args_hash", 1, 120).alias("cmd"), "session_id", "fail_turn"))
+_both("prev_assistant", "SELECT session_id, turn, preceding_turn FROM (SELECT *, max(CASE WHEN role = 'assistant' THEN turn END) OVER (PARTITION BY session_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS preceding_turn FROM messages) WHERE role = 'user'", lambda r: sequences.previous_assistant(r.messages))
+
+# Facts of messages -----------------------------------------------------------------------------------------------
+_T = r"regexp_replace(text, '^\s+', '')"
+_KIND = rf"""CASE WHEN regexp_matches({_T}, '(?i)^(no[,.!]?(\s|$)|stop\b|wait\b|that''?s wrong\b|that is wrong\b|incorrect\b|nope\b)') THEN 'reject'
+  WHEN regexp_matches({_T}, '(?i)\b(revert|undo|rollback|roll back|take back|unwind)\b') THEN 'undo'
+  WHEN regexp_matches({_T}, '(?i)^(actually|in fact|not quite|it''?s not|it is not)\b') AND regexp_matches({_T}, '(["''`][^"''`\n]{{2,}}["''`]|\b[0-9]+\b|[A-Z][a-zA-Z]{{2,}})') THEN 'factual'
+  WHEN regexp_matches({_T}, '(?i)(^|[^\p{{L}}])(shorter|longer|simpler|in russian|in english|rewrite|rephrase|tone|formal|casual|concise)([^\p{{L}}]|$)') THEN 'style'
+  WHEN regexp_matches({_T}, '(?i)\b(only|just|don''?t (touch|change|modify)|keep|leave)\b.*(\b[A-Za-z0-9_/.-]+\.(ts|js|py|md|rs|go|rb|java|tsx|jsx|sh)|\b(module|service|package|component|function|file)\b)') THEN 'scope'
+  WHEN regexp_matches({_T}, '(?i)^(let''?s|instead\b|forget\b|different approach|start over|scratch that)\b') THEN 'pivot'
+  WHEN regexp_matches({_T}, '(?i)^(actually|also|and\b|plus\b|can you|could you|please)') THEN 'refine' END"""
+_CORRECTIONS = f"""SELECT session_id, turn, kind, CASE kind WHEN 'reject' THEN 0.9 WHEN 'undo' THEN 0.9 WHEN 'factual' THEN 0.8 WHEN 'refine' THEN 0.5 ELSE 0.7 END::DOUBLE AS confidence,
+  substring(text, 1, 500) AS correction_text, p.turn AS preceding_turn, p.tools AS preceding_tool_calls, (ts - p.ts) * 1000 AS response_time_ms
+FROM (SELECT *, {_KIND} AS kind, count(*) FILTER (role = 'user') OVER (PARTITION BY session_id ORDER BY turn) AS nth,
+   last_value(CASE WHEN role = 'assistant' THEN {{'turn': turn, 'ts': ts, 'tools': tools}} END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM messages)
+WHERE role = 'user' AND nth > 1 AND kind IS NOT NULL"""
+_both("user_corrections", _CORRECTIONS, lambda r: facts.user_corrections(r.messages))
+_both("view_corrections_by_kind", f"SELECT kind, count(*) AS n, count(DISTINCT session_id) AS sessions, 0::BIGINT AS reverts, avg(preceding_tool_calls) AS avg_tools_before FROM ({_CORRECTIONS}) GROUP BY kind", lambda r: rollups.corrections_by_kind(facts.with_reverts(facts.user_corrections(r.messages), r.tool_calls, r.shell_commands)))
+_both("interruptions", r"""
+SELECT session_id, turn, (ts - b.ts) * 1000 AS response_time_ms,
+  CASE WHEN regexp_matches(text, '(?i)^\s*(no|stop|wait|nope|hold on|hold up|cancel)\b') THEN 'correction' WHEN regexp_matches(text, '(?i)^\s*(let''?s|instead|forget|different approach|start over|scratch that)\b') THEN 'pivot' ELSE 'unknown' END AS reason_hint
+FROM (SELECT *, lag({'role': role, 'ts': ts, 'tools': tools}) OVER (PARTITION BY session_id ORDER BY turn) AS b FROM messages)
+WHERE role = 'user' AND b.role = 'assistant' AND b.tools >= 3 AND length(text) BETWEEN 1 AND 80 AND (ts - b.ts) * 1000 <= 5000""", lambda r: facts.user_interruptions(r.messages))
+_CATEGORY = "CASE output_preview WHEN 'ENOENT: no such file' THEN 'file_not_found' WHEN 'Permission denied' THEN 'permission' WHEN 'request timed out' THEN 'timeout' WHEN 'HTTP 404' THEN 'not_found' WHEN 'File has not been read yet' THEN 'file_not_read' ELSE 'unclassified' END"
+_both("tool_errors", f"SELECT session_id, turn, idx, name AS tool_name, {_CATEGORY} AS error_category, output_preview AS error_text FROM tool_calls WHERE exit_code <> 0", lambda r: facts.tool_errors(r.tool_calls))
+_both("prompt_templates", r"""
+WITH t AS (SELECT id, lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(first_user_prompt), '`[^`]*`', '<code>', 'g'), '(?s)```.*?```', '<code>', 'g'), '(?:/[A-Za-z0-9._-]+)+', '<path>', 'g'), '[0-9]+', '<n>', 'g'), '(?i)\b[0-9a-f]{8,}\b', '<id>', 'g'), '\s+', ' ', 'g'))) AS template FROM prompts WHERE first_user_prompt IS NOT NULL)
+SELECT substring(sha256(template), 1, 16) AS hash, template, count(*) AS count, to_json(list_sort(list(id))[1:5])::VARCHAR AS example_session_ids FROM t WHERE template <> '' GROUP BY template HAVING count(*) >= 3""", lambda r: facts.prompt_templates(r.prompts))
+_both("session_counters", """
+WITH m AS (SELECT session_id, count(*) AS turn_count, count(*) FILTER (role = 'user') AS user_turn_count, count(*) FILTER (role = 'assistant') AS assistant_turn_count,
+  substring(arg_min(text, turn) FILTER (role = 'user'), 1, 500) AS first_user_prompt, substring(arg_max(text, turn) FILTER (role = 'user'), 1, 500) AS last_user_prompt FROM messages GROUP BY session_id),
+c AS (SELECT session_id, count(*) AS tool_call_count, count(*) FILTER (exit_code <> 0) AS tool_error_count FROM tool_calls GROUP BY session_id)
+SELECT m.session_id, turn_count, user_turn_count, assistant_turn_count, coalesce(tool_call_count, 0) AS tool_call_count, coalesce(tool_error_count, 0) AS tool_error_count, first_user_prompt, last_user_prompt FROM m LEFT JOIN c USING (session_id)""", lambda r: rollups.session_counters(r.messages, r.tool_calls))
+
+# Top lists -------------------------------------------------------------------------------------------------------
+_both("top_files", "SELECT path, count(*) AS ops, count(*) FILTER (op = 'read') AS reads, count(*) FILTER (op IN ('edit', 'write')) AS writes, count(DISTINCT session_id) AS sessions FROM files_touched GROUP BY path ORDER BY ops DESC, path LIMIT 20", lambda r: rollups.top(rollups.files(r.files_touched), "ops", ["path"], 20))
+_both("top_files_edited", "SELECT path, count(*) AS ops, count(DISTINCT session_id) AS sessions FROM files_touched WHERE op = 'edit' GROUP BY path ORDER BY ops DESC, path LIMIT 20", lambda r: rollups.top(rollups.files(r.files_touched, "edit"), "ops", ["path"], 20))
+_both("top_commands_failed", "SELECT cmd_full, count(*) AS failures, arg_min(cmd_head, row(session_id, turn)) AS cmd_head, min(session_id) AS session_id, arg_min(turn, row(session_id, turn)) AS turn FROM shell_commands WHERE exit_code <> 0 GROUP BY cmd_full ORDER BY failures DESC, cmd_full LIMIT 20", lambda r: rollups.top(rollups.failed_command_counts(r.shell_commands), "failures", ["cmd_full"], 20))
+_both("top_skills_since", "SELECT skill_name, count(*) AS invocations, count(DISTINCT session_id) AS sessions FROM skills_invoked JOIN sessions ON sessions.id = session_id WHERE started_at >= 800000000 GROUP BY skill_name ORDER BY invocations DESC, skill_name LIMIT 20", lambda r: rollups.top(rollups.by_keys(r.skills_invoked.join(r.sessions.filter("started_at >= 800000000").select("id"), F.col("session_id") == F.col("id")), ["skill_name"], "invocations"), "invocations", ["skill_name"], 20))
+_both("top_mcp_prefix", "SELECT server, tool, count(*) AS calls, count(DISTINCT session_id) AS sessions FROM mcp_calls WHERE server ILIKE 'SRV1%' GROUP BY ALL ORDER BY calls DESC, server, tool LIMIT 30", lambda r: rollups.top(rollups.by_keys(r.mcp_calls.filter(F.col("server").ilike("SRV1%")), ["server", "tool"], "calls"), "calls", ["server", "tool"], 30))
+_both("top_web", "SELECT domain, kind, count(*) AS hits, count(DISTINCT session_id) AS sessions FROM web_fetches WHERE domain IS NOT NULL GROUP BY ALL ORDER BY hits DESC, domain, kind LIMIT 20", lambda r: rollups.top(rollups.by_keys(r.web_fetches.filter("domain is not null"), ["domain", "kind"], "hits"), "hits", ["domain", "kind"], 20))
+_both("top_errors", f"SELECT tool_name, error_category, count(*) AS n FROM (SELECT name AS tool_name, {_CATEGORY} AS error_category FROM tool_calls WHERE exit_code <> 0) GROUP BY ALL ORDER BY n DESC, tool_name, error_category LIMIT 20", lambda r: rollups.top(facts.tool_errors(r.tool_calls).groupBy("tool_name", "error_category").agg(F.count(F.lit(1)).alias("n")), "n", ["tool_name", "error_category"], 20))
+_both("top_errors_of_tool", f"SELECT error_category, count(*) AS n, count(DISTINCT session_id) AS sessions FROM (SELECT session_id, {_CATEGORY} AS error_category FROM tool_calls WHERE exit_code <> 0 AND name = 'error') GROUP BY ALL", lambda r: rollups.by_keys(facts.tool_errors(r.tool_calls).filter("tool_name = 'error'"), ["error_category"], "n"))
+_both("top_subagents_since", "SELECT subagent_type, count(*) AS invocations, count(DISTINCT parent_session_id) AS parent_sessions FROM subagent_invocations WHERE started_at >= 800000000 AND subagent_type IS NOT NULL GROUP BY subagent_type", lambda r: rollups.by_keys(r.subagent_invocations.filter("started_at >= 800000000 and subagent_type is not null"), ["subagent_type"], "invocations", "parent_session_id", "parent_sessions"))
+_both("top_sequences_project", "WITH c AS (SELECT t.*, lead(name, 1) OVER o AS n1, lead(name, 2) OVER o AS n2 FROM tool_calls t JOIN sessions s ON s.id = t.session_id WHERE s.project_path ILIKE '/P/BUILDING%' WINDOW o AS (PARTITION BY t.session_id ORDER BY turn, idx)) SELECT name || ' → ' || n1 || ' → ' || n2 AS sequence, count(*) AS count, count(DISTINCT session_id) AS sessions FROM c WHERE n2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 2 ORDER BY count DESC, sequence LIMIT 30", lambda r: rollups.top(sequences.tool_ngrams(r.tool_calls.join(r.sessions.filter(F.col("project_path").ilike("/P/BUILDING%")).select("id"), F.col("session_id") == F.col("id")), (3,), 2).select("sequence", "count", "sessions"), "count", ["sequence"], 30))
+
+# Sessions, timeline, totals ----------------------------------------------------------------------------------------
+_WEEK = {"day": "'%Y-%m-%d'", "week": "'%Y-W%W'", "month": "'%Y-%m'"}
+for _b, _f in _WEEK.items():
+    _both(f"timeline_{_b}", f"SELECT strftime(make_timestamp(started_at * 1000000), {_f}) AS bucket, source, count(*) AS sessions, sum(coalesce(tool_call_count, 0))::BIGINT AS tool_calls FROM sessions GROUP BY ALL", lambda r, b=_b: rollups.timeline(r.sessions, b))
+_both("sessions_list", "SELECT id, source, project_path, started_at FROM sessions WHERE source = 'codex' AND project_path ILIKE '/p/build%' AND started_at >= 700000000 ORDER BY started_at DESC, id LIMIT 50", lambda r: r.sessions.filter((F.col("source") == "codex") & F.col("project_path").ilike("/p/build%") & (F.col("started_at") >= 700000000)).orderBy(F.desc("started_at"), "id").limit(50).select("id", "source", "project_path", "started_at"))
+_both("sessions_with_subagents", "SELECT id, source FROM sessions s WHERE EXISTS (SELECT 1 FROM sessions c WHERE c.parent_session_id = s.id)", lambda r: r.sessions.join(r.sessions.select(F.col("parent_session_id").alias("p")), F.col("id") == F.col("p"), "left_semi").select("id", "source"))
+_both("subagent_counts", "SELECT s.id, coalesce(n, 0) AS subagent_count, CASE WHEN n > 0 THEN 1 ELSE 0 END AS has_subagents FROM sessions s LEFT JOIN (SELECT parent_session_id, count(*) AS n FROM sessions WHERE parent_session_id IS NOT NULL GROUP BY 1) c ON c.parent_session_id = s.id", lambda r: rollups.with_children(r.sessions).select("id", "subagent_count", "has_subagents"))
+_both("sessions_root_only", "SELECT source, count(*) AS n FROM sessions WHERE parent_session_id IS NULL GROUP BY source", lambda r: r.sessions.filter("parent_session_id is null").groupBy("source").agg(F.count(F.lit(1)).alias("n")))
+_both("stats_totals", """
+SELECT 'sessions' AS metric, count(*)::BIGINT AS value FROM sessions UNION ALL SELECT 'sources', count(DISTINCT source) FROM sessions UNION ALL SELECT 'projects', count(DISTINCT project_path) FROM sessions
+UNION ALL SELECT 'first_started_at', min(started_at) FROM sessions UNION ALL SELECT 'last_started_at', max(started_at) FROM sessions
+UNION ALL SELECT 'messages', count(*) FROM messages UNION ALL SELECT 'user_messages', count(*) FROM messages WHERE role = 'user'
+UNION ALL SELECT 'tool_calls', count(*) FROM tool_calls UNION ALL SELECT 'tool_errors', count(*) FROM tool_calls WHERE exit_code <> 0
+UNION ALL SELECT 'files_touched', count(*) FROM files_touched UNION ALL SELECT 'paths', count(DISTINCT path) FROM files_touched""", lambda r: rollups.stats(r.sessions, r.messages, r.tool_calls, r.files_touched))
+_both("stats_top_projects", "SELECT project_path, count(*) AS sessions FROM sessions WHERE project_path IS NOT NULL GROUP BY 1 ORDER BY sessions DESC, project_path LIMIT 10", lambda r: rollups.top(r.sessions.filter("project_path is not null").groupBy("project_path").agg(F.count(F.lit(1)).alias("sessions")), "sessions", ["project_path"], 10))
+_both("workflows_by_tokens", "SELECT w.run_id, w.workflow_name, w.total_tokens, s.project_path FROM workflow_runs w LEFT JOIN sessions s ON s.id = w.run_id ORDER BY w.total_tokens DESC, w.run_id LIMIT 50", lambda r: r.workflow_runs.join(r.sessions.select("id", "project_path"), F.col("run_id") == F.col("id"), "left").orderBy(F.desc("total_tokens"), "run_id").limit(50).select("run_id", "workflow_name", "total_tokens", "project_path"))
+_both("web_domains", "SELECT domain, count(*) AS n FROM web_fetches GROUP BY domain", lambda r: r.web_fetches.groupBy("domain").agg(F.count(F.lit(1)).alias("n")))
+
+# Token costs -----------------------------------------------------------------------------------------------------
+_IN, _OUT, _CR, _CW, _RE = (f"coalesce({c}, 0)" for c in ("input_tokens", "output_tokens", "cache_read_tokens", "cache_creation_tokens", "reasoning_tokens"))
+_INCL, _BESIDE, _DIS = "source IN ('codex', 'qwen', 'cline')", "source IN ('claude-code', 'gemini', 'opencode', 'kilo')", "source IN ('gemini', 'qwen', 'opencode', 'kilo')"
+_TOKENS = f"""
+WITH x AS (SELECT *, s.model AS mm, CASE WHEN {_INCL} THEN greatest({_IN} - {_CR} - {_CW}, 0) WHEN {_BESIDE} OR {_CR} + {_CW} = 0 THEN {_IN} ELSE 0 END AS bi,
+  CASE WHEN source = 'codex' THEN greatest({_OUT}, {_RE}) WHEN {_DIS} THEN {_OUT} + {_RE} ELSE {_OUT} END AS bo,
+  CASE WHEN {_BESIDE} THEN {_IN} + {_CR} + {_CW} ELSE greatest({_IN}, {_CR} + {_CW}) END + CASE WHEN {_DIS} THEN {_OUT} + {_RE} ELSE greatest({_OUT}, {_RE}) END AS vol
+  FROM sessions s LEFT JOIN model_prices p ON p.model = s.model)
+SELECT {{key}} AS key, count(*) AS sessions, sum({_IN})::BIGINT AS input_tokens, sum({_OUT})::BIGINT AS output_tokens, sum({_CR})::BIGINT AS cache_read_tokens, sum({_CW})::BIGINT AS cache_creation_tokens,
+  sum(bi)::BIGINT AS billable_input, sum(bo)::BIGINT AS billable_output,
+  round(sum(bi * coalesce(input_per_mtok, 0) + bo * coalesce(output_per_mtok, 0) + {_CR} * coalesce(cache_read_per_mtok, 0) + {_CW} * coalesce(cache_write_per_mtok, 0)) / 1e6, 4) AS cost_usd,
+  count(*) FILTER ((bi > 0 AND input_per_mtok IS NULL) OR (bo > 0 AND output_per_mtok IS NULL) OR ({_CR} > 0 AND cache_read_per_mtok IS NULL) OR ({_CW} > 0 AND cache_write_per_mtok IS NULL)
+    OR (NOT ({_INCL}) AND NOT ({_BESIDE}) AND {_CR} + {_CW} > 0) OR (source <> 'codex' AND NOT ({_DIS}) AND {_RE} > 0)) AS incomplete,
+  sum(vol)::BIGINT AS volume FROM x GROUP BY 1"""
+for _by, _key in (("model", "mm"), ("project", "project_path"), ("session", "id"), ("source", "source"), ("day", "strftime(make_timestamp(started_at * 1000000), '%Y-%m-%d')")):
+    _both(f"tokens_by_{_by}", _TOKENS.format(key=_key), lambda r, b=_by: costs.tokens_by(r.sessions, r.model_prices, b))
+_both("top_tokens_project", f"SELECT * FROM ({_TOKENS.format(key='project_path')}) ORDER BY volume DESC, key LIMIT 20", lambda r: rollups.top(costs.tokens_by(r.sessions, r.model_prices, "project"), "volume", ["key"], 20))
+
+# Search and vectors ------------------------------------------------------------------------------------------------
+_TERMS = ("the", "token", "thing")
+_FOLD = f"translate(lower(text), '{text.MARKED}', '{text.FOLDED}')"
+_POSTINGS = f"t AS (SELECT doc, regexp_extract_all({_FOLD}, '[\\p{{L}}\\p{{N}}]+') AS w FROM corpus)"
+_BM25 = f"""
+WITH {_POSTINGS}, c AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM t), p AS (SELECT doc, len(w) AS len, unnest(w) AS term FROM t),
+f AS (SELECT doc, len, term, count(*) AS tf FROM p WHERE term IN {_TERMS} GROUP BY ALL), d AS (SELECT term, count(*) AS df FROM f GROUP BY term),
+i AS (SELECT term, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END AS idf FROM d, c)
+SELECT doc, -sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))) AS score FROM f JOIN i USING (term), c GROUP BY doc"""
+_both("bm25_scores", f"SELECT doc, round(score, 6) AS score FROM ({_BM25})", lambda r: search.TextIndex.of(r.corpus).bm25(list(_TERMS)).select("doc", F.round("score", 6).alias("score")))
+_both("bm25_top", f"SELECT doc, round(score, 6) AS score FROM ({_BM25}) ORDER BY round(score, 6), doc LIMIT 20", lambda r: search.TextIndex.of(r.corpus).bm25(list(_TERMS)).select("doc", F.round("score", 6).alias("score")).orderBy("score", "doc").limit(20))
+_PAD = "' ' || array_to_string(w, ' ') || ' '"
+_both("fts_match", f"WITH {_POSTINGS} SELECT doc FROM t WHERE (({_PAD}) LIKE '% of the %' OR list_contains(w, 'token')) AND list_contains(w, 'and') AND NOT list_contains(w, 'was')", lambda r: search.TextIndex.of(r.corpus).match('("of the" OR token) AND and NOT was'))
+_both("fts_prefix", f"WITH {_POSTINGS} SELECT DISTINCT doc FROM (SELECT doc, unnest(w) AS x FROM t) WHERE x LIKE 'tok%'", lambda r: search.TextIndex.of(r.corpus).match("tok*"))
+_both("fts_near", f"WITH {_POSTINGS}, p AS (SELECT doc, unnest(w) AS x, unnest(range(len(w))) AS i FROM t) SELECT DISTINCT a.doc FROM p a JOIN p b ON a.doc = b.doc AND a.x = 'for' AND b.x = 'this' AND abs(a.i - b.i) - 1 <= 3", lambda r: search.TextIndex.of(r.corpus).match("NEAR(for this, 3)"))
+_COS = "list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM vectors WHERE chunk = 0))"
+
+
+def _probe(r: Relations) -> list[float]:
+    return list(r.vectors.filter("chunk = 0").select("embedding").first()[0])
+
+
+_both("cosine_top", f"SELECT chunk, session_id, round({_COS}, 6) AS score FROM vectors ORDER BY {_COS} DESC, chunk LIMIT 20", lambda r: retrieval.nearest(r.vectors, _probe(r), 20).select("chunk", "session_id", F.round("score", 6).alias("score")))
+_both("cosine_best_per_session", f"SELECT session_id, arg_max(chunk, row(s, -chunk)) AS chunk, round(max(s), 6) AS score FROM (SELECT chunk, session_id, {_COS} AS s FROM vectors) GROUP BY session_id", lambda r: retrieval.best_per_session(r.vectors.withColumn("score", vectors.cosine(F.col("embedding"), F.array(*(F.lit(float(x)) for x in _probe(r)))))).withColumn("score", F.round("score", 6)))
+_both("hybrid_top", f"""
+WITH lex AS (SELECT doc AS session_id, row_number() OVER (ORDER BY round(score, 6), doc) - 1 AS lexical_rank FROM ({_BM25}) QUALIFY lexical_rank < 20),
+sem AS (SELECT chunk AS session_id, round({_COS}, 6) AS c, row_number() OVER (ORDER BY round({_COS}, 6) DESC, chunk) - 1 AS semantic_rank FROM vectors QUALIFY semantic_rank < 20)
+SELECT coalesce(lex.session_id, sem.session_id) AS session_id, lexical_rank::INTEGER AS lexical_rank, semantic_rank::INTEGER AS semantic_rank,
+  round(coalesce(0.6::DOUBLE / (lexical_rank + 1), 0) + coalesce(0.4::DOUBLE * greatest(0, c) / (semantic_rank + 1), 0), 6) AS score FROM lex FULL JOIN sem ON lex.session_id = sem.session_id""",
+    lambda r: retrieval.hybrid(
+        search.TextIndex.of(r.corpus).bm25(list(_TERMS)).select(F.col("doc").alias("session_id"), F.round("score", 6).alias("score")).orderBy("score", "session_id").limit(20),
+        r.vectors.select(F.col("chunk").alias("session_id"), F.round(vectors.cosine(F.col("embedding"), F.array(*(F.lit(float(x)) for x in _probe(r)))), 6).alias("score")).orderBy(F.desc("score"), "session_id").limit(20),
+    ).withColumn("score", F.round("score", 6)))
+_both("run_family", "WITH RECURSIVE e AS (SELECT id AS a, parent_session_id AS b FROM sessions WHERE parent_session_id IS NOT NULL UNION SELECT parent_session_id, id FROM sessions WHERE parent_session_id IS NOT NULL), f(id) AS (SELECT unnest([4, 10, 33, 999999999])::BIGINT UNION SELECT e.b FROM f JOIN e ON f.id = e.a) SELECT id FROM f", lambda r: lineage.family(r.spark.createDataFrame([(i,) for i in (4, 10, 33, 999999999)], "id long"), r.sessions.select(F.col("parent_session_id").alias("parent"), F.col("id").alias("child"))))
+
+
+# Without SQL: checked by tests -------------------------------------------------------------------------------------
+@query("redact_counts", r"""SELECT doc, len(regexp_extract_all(text, '\bAKIA[0-9A-Z]{16}\b'))::BIGINT AS keys, (text <> regexp_replace(text, '\bAKIA[0-9A-Z]{16}\b', '', 'g')) AS changed FROM corpus WHERE text IS NOT NULL""")
+def redact_counts(r: Relations) -> DataFrame:
+    """AWS keys found and whether the text changes when they go; the other rules have tests."""
+    rows = r.corpus.filter("text is not null")
+    keys = text.redaction_counts(F.col("text"))["aws-access-key-id"]
+    return rows.select("doc", keys.cast("long").alias("keys"), (keys > 0).alias("changed"))
+
+
+@query("chunk_stats")
+def chunk_stats(r: Relations) -> DataFrame:
+    """Chunks of all conversations and their tokens."""
+    return retrieval.finalize(retrieval.pack(r.messages, target=100, most=150)).groupBy("session_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum("tokens").alias("tokens"))
+
+
+@query("hash_embeddings")
+def hash_embeddings(r: Relations) -> DataFrame:
+    return r.messages.select("session_id", "turn", vectors.hash_embedding(F.col("text")).alias("embedding"))
+
+
+@query("shell_heads_parsed")
+def shell_heads_parsed(r: Relations) -> DataFrame:
+    """Heads by the tokenizer over command lines."""
+    from tidewrack.functions.shell import command_head
+
+    return r.shell_commands.select(command_head(F.concat(F.lit("env A=1 "), F.col("cmd_full"), F.lit(" && git status"))).alias("head")).groupBy("head").agg(F.count(F.lit(1)).alias("n"))
+
+
+__all__ = ["ORACLES", "QUERIES", "accounting", "limits"]
