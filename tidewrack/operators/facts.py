@@ -6,6 +6,8 @@ session_id, turn, role, ts, text. Arguments that are no JSON give no facts.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -178,11 +180,15 @@ def commit_status(sessions: DataFrame, operations: DataFrame) -> DataFrame:
     return joined.select("id", F.when(F.col("last").isNotNull() & ~is_cursor & (F.col("last.exit_code") == 0), 1).otherwise(0).alias("ended_with_commit"), F.when(F.col("last").isNotNull() & is_cursor, 1).otherwise(0).alias("ended_with_commit_attempted"))
 
 
+def _is(value: str) -> Callable[[Column], Column]:
+    return lambda x: x == value
+
+
 def todo_events(calls: DataFrame) -> DataFrame:
     args = _args(calls.filter(F.col("name").isin(*P.TODO_TOOLS)))
     states = F.coalesce(*(F.transform(F.try_variant_get("args", f"$.{k}", "array<variant>"), lambda t: F.try_variant_get(t, "$.status", "string")) for k in P.TODO_LISTS))
     rows = args.select(*CALL, states.alias("states")).filter(F.size("states") > 0)
-    return rows.select(*CALL, *(F.size(F.filter("states", lambda s, k=k: s == k)).alias(k) for k in P.TODO_STATES), F.size("states").alias("total"))
+    return rows.select(*CALL, *(F.size(F.filter("states", _is(k))).alias(k) for k in P.TODO_STATES), F.size("states").alias("total"))
 
 
 def search_calls(calls: DataFrame) -> DataFrame:
