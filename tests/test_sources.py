@@ -1,0 +1,135 @@
+"""Transcript readers, the incremental feed and the SQL gate on small files written here."""
+
+import json
+import sqlite3
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidewrack.functions.limits import BadArgument
+from tidewrack.operators import facts
+from tidewrack.plans import sqlgate
+from tidewrack.sources import parsers, stores
+from tidewrack.streaming import feed
+
+
+def jsonl(*rows):
+    return "\n".join(json.dumps(r) for r in rows) + "\n"
+
+
+CC = [
+    {"type": "system", "sessionId": "s1"},
+    {"type": "user", "sessionId": "s1", "cwd": "/p", "gitBranch": "main", "timestamp": "2026-01-01T00:00:00Z", "message": {"role": "user", "content": "list files"}, "uuid": "u1"},
+    {"type": "assistant", "sessionId": "s1", "timestamp": "2026-01-01T00:00:05Z", "uuid": "a1", "message": {"role": "assistant", "id": "m1", "model": "x", "usage": {"input_tokens": 10, "output_tokens": 20}, "content": [{"type": "thinking", "thinking": "hm"}, {"type": "text", "text": "ok"}]}},
+    {"type": "assistant", "sessionId": "s1", "timestamp": "2026-01-01T00:00:05Z", "uuid": "a2", "message": {"role": "assistant", "id": "m1", "usage": {"input_tokens": 10, "output_tokens": 20}, "content": [{"type": "tool_use", "id": "t1", "name": "Bash", "input": {"command": "git status"}}]}},
+    {"type": "user", "sessionId": "s1", "uuid": "u2", "message": {"role": "user", "content": [{"type": "tool_result", "tool_use_id": "t1", "content": "clean", "is_error": False}]}},
+    {"type": "user", "sessionId": "s1", "uuid": "u3", "message": {"role": "user", "content": "<command-name>/x</command-name>"}},
+]
+
+
+def test_claude_code():
+    s = parsers.claude_code(jsonl(*CC), "/x/s1.jsonl")
+    assert (s.id, s.project_path, s.model, s.usage["input_tokens"]) == ("cc--s1", "/p", "x", 10)
+    assert [m["role"] for m in s.messages] == ["user", "thinking", "assistant", "assistant"]
+    assert s.messages[3]["tools"][0]["output"] == "clean" and s.messages[3]["tools"][0]["exit_code"] == 0
+    assert parsers.claude_code(jsonl(CC[0]), "/x/s1.jsonl") is None
+
+
+def test_codex():
+    s = parsers.codex(
+        jsonl(
+            {"type": "session_meta", "payload": {"id": "c1", "cwd": "/p", "timestamp": "2026-01-01T00:00:00Z", "parent_thread_id": "root", "agent_role": "researcher"}},
+            {"type": "response_item", "timestamp": "2026-01-01T00:00:01Z", "payload": {"type": "message", "role": "user", "content": [{"type": "input_text", "text": "hi"}]}},
+            {"type": "response_item", "timestamp": "2026-01-01T00:00:02Z", "payload": {"type": "function_call", "name": "exec_command", "arguments": '{"cmd": "ls"}', "call_id": "k"}},
+            {"type": "response_item", "timestamp": "2026-01-01T00:00:03Z", "payload": {"type": "function_call_output", "call_id": "k", "output": "Process exited with code 2\nno"}},
+        ),
+        "/x/rollout-1.jsonl",
+    )
+    assert (s.id, s.parent_session_id, s.agent_type) == ("cx--c1", "cx--root", "researcher")
+    assert s.messages[-1]["tools"][0]["exit_code"] == 2
+    with pytest.raises(ValueError, match="negative"):
+        parsers.codex(jsonl({"type": "event_msg", "payload": {"type": "token_count", "info": {"total_token_usage": {"input_tokens": -1}}}}), "/x/r.jsonl")
+
+
+def test_other_formats():
+    g = parsers.gemini(jsonl({"sessionId": "g", "startTime": "2026-01-01T00:00:00Z", "directories": ["/p"]}, {"id": "a", "type": "user", "content": [{"text": "old"}]}, {"id": "a", "type": "user", "content": [{"text": "new"}]}, {"id": "b", "type": "gemini", "model": "m", "content": "yes", "tokens": {"input": 4, "output": 2, "cached": 1}}), "/g.jsonl")
+    assert (g.id, [m["text"] for m in g.messages], g.usage["cache_read_tokens"]) == ("gm--g", ["new", "yes"], 1)
+    q = parsers.qwen(jsonl({"sessionId": "q", "type": "user", "message": {"parts": [{"text": "ls"}]}}, {"sessionId": "q", "type": "assistant", "message": {"parts": [{"functionCall": {"id": "1", "name": "sh", "args": {}}}]}}, {"sessionId": "q", "type": "tool_result", "message": {"parts": [{"functionResponse": {"id": "1", "response": {"output": "out"}}}]}, "toolCallResult": {"status": "success"}}), "/q.jsonl")
+    assert q.messages[1]["tools"][0]["output"] == "out"
+    c = parsers.cline(json.dumps({"sessionId": "k__sub", "agent": "sub", "messages": [{"role": "user", "content": [{"type": "text", "text": '<user_input mode="act">Go</user_input>'}], "ts": 1700000000000}]}), "/k.messages.json", json.dumps({"cwd": "/p"}))
+    assert (c.parent_session_id, c.project_path, c.messages[0]["text"], c.started_at) == ("cline--k", "/p", "Go", 1700000000)
+    p = parsers.copilot(jsonl({"type": "session.start", "data": {"sessionId": "x", "context": {"cwd": "/p"}}}, {"type": "assistant.message", "data": {"content": "", "toolRequests": [{"toolCallId": "1", "name": "bash", "arguments": {}}]}}, {"type": "tool.execution_complete", "data": {"toolCallId": "1", "success": True, "result": {"content": "completed with exit code 3"}}}), "/u/events.jsonl")
+    assert p.messages[0]["tools"][0]["exit_code"] == 3
+    i = parsers.pi(jsonl({"type": "session", "id": "x", "cwd": "/p"}, {"type": "message", "message": {"role": "assistant", "usage": {"input": 1, "output": 2}, "content": [{"type": "toolCall", "id": "1", "name": "bash", "arguments": {}}]}}, {"type": "message", "message": {"role": "toolResult", "toolCallId": "1", "content": "r", "isError": True}}), "/p.jsonl")
+    assert i.messages[0]["tools"][0]["exit_code"] == 1
+    d = parsers.droid(jsonl({"type": "session_start", "id": "x"}, {"type": "message", "message": {"role": "user", "content": [{"type": "text", "text": "t"}]}}), "/d.jsonl", json.dumps({"model": "m", "tokenUsage": {"thinkingTokens": 3}}))
+    assert (d.id, d.model, d.usage["reasoning_tokens"]) == ("droid--x", "m", 3)
+    v = parsers.vibe(jsonl({"role": "user", "content": "t"}, {"role": "assistant", "tool_calls": [{"id": "1", "function": {"name": "b", "arguments": "{}"}}]}, {"role": "tool", "tool_call_id": "1", "content": "r", "tool_result": {"output": {"returncode": 0}}}), "/s/messages.jsonl", json.dumps({"session_id": "x", "config": {"active_model": "a", "models": {"a": {"name": "m"}}}}))
+    assert (v.model, v.messages[1]["tools"][0]["exit_code"]) == ("m", 0)
+    u = parsers.cursor(jsonl({"role": "user", "message": {"content": [{"type": "text", "text": "<user_query>\nhi\n</user_query>"}]}}, {"role": "assistant", "message": {"content": [{"type": "text", "text": "yo"}, {"type": "tool_use", "name": "Shell", "input": {}}]}}), "/r/par/subagents/kid.jsonl")
+    assert (u.id, u.parent_session_id, [m["text"] for m in u.messages]) == ("cu--kid", "cu--par", ["hi", "yo"])
+
+
+def test_store_feed_and_incremental(spark, tmp_path):
+    root = tmp_path / "store"
+    (root / "a").mkdir(parents=True)
+    (root / "a" / "s1.jsonl").write_text(jsonl(*CC))
+    second = [{**e, "sessionId": "s2"} for e in CC]
+    (root / "a" / "s2.jsonl").write_text(jsonl(*second))
+    (root / "a" / "bad.jsonl").write_text("{broken\n")
+    corpus = feed.Corpus(spark, f"file://{tmp_path}/corpus")
+    build = lambda core: facts.shell_commands(core["tool_calls"])
+    assert sorted(r[0] for r in feed.poll(corpus, "claude-code", str(root)).collect()) == ["cc--s1", "cc--s2"]
+    assert feed.refresh(corpus, "shell_commands", build).count() == 2
+    assert feed.poll(corpus, "claude-code", str(root)).count() == 0
+    more = [*CC, {"type": "assistant", "sessionId": "s1", "uuid": "a9", "timestamp": "2026-01-01T00:01:00Z", "message": {"role": "assistant", "content": [{"type": "tool_use", "id": "t9", "name": "Bash", "input": {"command": "ls -l"}}]}}]
+    (root / "a" / "s1.jsonl").write_text(jsonl(*more))
+    dirty = feed.poll(corpus, "claude-code", str(root))
+    assert [r[0] for r in dirty.collect()] == ["cc--s1"]
+    scoped = sorted(map(tuple, feed.refresh(corpus, "shell_commands", build, dirty).collect()), key=str)
+    whole = sorted(map(tuple, build({n: corpus.read(n) for n in ("messages", "tool_calls")}).collect()), key=str)
+    assert scoped == whole and len(scoped) == 3
+    assert corpus.read("sessions").count() == 2
+    assert stores.allowed(corpus.read("sessions"), ["/p"]).count() == 2 and stores.allowed(corpus.read("sessions"), ["/zz"]).count() == 0
+
+
+def test_stream(spark, tmp_path):
+    root, landing = tmp_path / "store", tmp_path / "landing"
+    root.mkdir()
+    (root / "s1.jsonl").write_text(jsonl(*CC))
+    stores.read_store(spark, "claude-code", str(root)).write.parquet(str(landing))
+    corpus = feed.Corpus(spark, f"file://{tmp_path}/corpus")
+    q = feed.follow(spark, str(landing), corpus, str(tmp_path / "check"))
+    q.awaitTermination(120)
+    assert corpus.read("messages").count() == 4
+
+
+def test_databases_and_trees(spark, tmp_path):
+    path = tmp_path / "o.db"
+    con = sqlite3.connect(path)
+    con.executescript("CREATE TABLE session (id TEXT, data TEXT); CREATE TABLE message (id TEXT, session_id TEXT, data TEXT); CREATE TABLE part (id TEXT, message_id TEXT, session_id TEXT, data TEXT);")
+    con.execute("INSERT INTO session VALUES ('s', ?)", (json.dumps({"id": "s", "directory": "/p"}),))
+    con.execute("INSERT INTO message VALUES ('m', 's', ?)", (json.dumps({"role": "user"}),))
+    con.execute("INSERT INTO part VALUES ('p', 'm', 's', ?)", (json.dumps({"type": "text", "text": "hello"}),))
+    con.commit()
+    con.close()
+    assert stores.relations(stores.read_database(spark, "kilo", str(path)))["messages"].first()["text"] == "hello"
+    for kind, name, doc in (("session", "global/ses_1", {"id": "ses_1", "directory": "/p", "time": {"created": 1}}), ("message", "ses_1/msg_1", {"id": "msg_1", "sessionID": "ses_1", "role": "assistant"}), ("part", "msg_1/prt_1", {"id": "prt_1", "sessionID": "ses_1", "messageID": "msg_1", "type": "tool", "callID": "c", "tool": "bash", "state": {"status": "completed", "input": {"command": "ls"}, "output": "x"}})):
+        f = tmp_path / "oc" / kind / f"{name}.json"
+        f.parent.mkdir(parents=True)
+        f.write_text(json.dumps(doc))
+    got = stores.relations(stores.read_opencode(spark, str(tmp_path / "oc")))
+    assert got["sessions"].first()["id"] == "oc--ses_1" and got["tool_calls"].first()["output_preview"] == "x"
+
+
+def test_sql_gate(spark):
+    spark.range(5).select(F.col("id"), F.lit("p").alias("project_path")).createOrReplaceTempView("gate_sessions")
+    answer = sqlgate.query(spark, "-- a comment\nSELECT id FROM gate_sessions", 2)
+    assert (answer.row_count, answer.truncated, answer.rows.count()) == (5, True, 2)
+    assert sqlgate.query(spark, "WITH x AS (SELECT ';' AS c) SELECT c FROM x;").rows.first()[0] == ";"
+    for bad in ("DROP VIEW gate_sessions", "SELECT 1; SELECT 2", "WITH x AS (SELECT 1) INSERT INTO t SELECT * FROM x", "SET a=b"):
+        with pytest.raises(BadArgument):
+            sqlgate.query(spark, bad)
+    with pytest.raises(BadArgument, match="project_path"):
+        sqlgate.query(spark, "SELECT project_pat FROM gate_sessions")
+    assert sqlgate.closest("sesions", ["sessions", "messages"]) == ["sessions"]
