@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewrack.llm import chat, decontaminate, gif, langid, mixing, quality, secrets, sharding, simhash
+from tidewrack.llm import chat, decontaminate, gif, langid, linededup, mixing, quality, secrets, sharding, simhash
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -12,10 +12,12 @@ QUERIES = {
     "op5_chat_format": chat.op5_chat_format,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_secret_scan": secrets.op7_secret_scan,
+    "op8_line_dedup": linededup.op8_line_dedup,
     "op9_gif_media": gif.op9_gif_media,
     "op10_quality": quality.op10_quality,
 }
 ORACLES = {
+    "op8_line_dedup": linededup.ORACLE,
     "op6_decontaminate": decontaminate.ORACLE,
     "op1_mix_sources": mixing.ORACLE,
 }

@@ -15,6 +15,9 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 @cache
 def _fallback() -> str:
     folder = f"/tmp/checkpoints/{uuid.uuid4().hex}"
@@ -27,11 +30,20 @@ def folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or _fallback()
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once and read back. Its size on disk lets the planner decide on broadcasts."""
+def table(df: DataFrame, name: str, tidy: bool = False) -> DataFrame:
+    """``df`` written once and read back. Its size on disk lets the planner decide on broadcasts.
+
+    ``tidy`` has Spark remove the write's shuffle files as soon as it is done, where an operator has several large
+    ones in turn."""
     spark = df.sparkSession
     path = f"{folder(spark).rstrip('/')}/tidewrack/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    if tidy:
+        spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
