@@ -1,0 +1,398 @@
+"""The operators against brute force, on odd rows: nulls, empty and long texts, ties, repeats, clashing columns."""
+
+import hashlib
+import itertools
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from tests.compare import duck, same
+from tests.conftest import DATA
+from tidewrack.llm import chat, components, decontaminate, gif, langid, linededup, mixing, quality, registry, secrets, sharding, simhash
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture(scope="module")
+def con():
+    return duck(DATA)
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    rows = [(1, "a b c d e", "en", "s", 9), (2, None, None, None, None), (3, "", "en", "s", 0), (4, "a b c d e", "en", "t", 9), (4, "a b c d e", "en", "t", 9), (None, "x y", "fr", "t", 3), (None, None, "fr", None, None), (7, "Ünï word " * 3000, "fr", "u", 1), (8, "  \n\t ", "en", "u", 1), (9, "one\ntwo words here\none", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, DOCS)
+    # Columns whose names the operators use for themselves.
+    return docs.withColumns({c: F.lit(i) for i, c in enumerate(("size", "key", "doc", "pos", "term", "fp", "u", "v", "line", "h", "bucket", "shard", "w"))})
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
+def test_against_sql(spark, con, name):
+    same(registry.QUERIES[name](spark, DATA), con, registry.ORACLES[name])
+
+
+# 1 ---------------------------------------------------------------------------------------------------------------
+def fill(sizes, weights, epochs=3.0):
+    """Clamp and share anew, step by step."""
+    total, free, target = sum(sizes), set(range(len(sizes))), [0.0] * len(sizes)
+    left = float(total)
+    while free:
+        shares = {i: left * weights[i] / sum(weights[j] for j in free) for i in free}
+        over = [i for i in free if shares[i] > epochs * sizes[i] + 1e-9]
+        if not over:
+            for i in free:
+                target[i] = shares[i]
+            break
+        for i in over:
+            target[i] = epochs * sizes[i]
+            left -= target[i]
+            free.discard(i)
+    return target
+
+
+def test_water_filling(spark):
+    sizes = [5, 1000, 3, 0, 40, 100000, 7, 1]
+    got = mixing.water_fill(spark.createDataFrame([(chr(97 + i) if i < 7 else None, s) for i, s in enumerate(sizes)], "source string, source_size long")).orderBy(F.asc_nulls_last("source")).collect()
+    assert [r["target"] for r in got] == pytest.approx(fill(sizes, [i % 3 + 1 for i in range(8)]), rel=1e-9)
+
+
+def test_mix_rows(spark, odd, empty):
+    got = mixing.mix(odd).collect()
+    assert len(got) == odd.count() and all(r["taken"] <= 3 * r["size"] for r in got)
+    assert sum(r["target"] for r in {r["source"]: r for r in got}.values()) == pytest.approx(sum(r["size"] for r in got))
+    assert mixing.mix(empty).count() == 0
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    rows = mixing.mix(docs).collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, mixing.mix(docs).collect()))
+    for s in {r["source"] for r in rows}:
+        own = [r for r in rows if r["source"] == s]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= max(r["size"] for r in own) / 2 + 1
+    assert mixing.draw(docs).count() == sum(r["repeats"] for r in rows)
+
+
+# 2 ---------------------------------------------------------------------------------------------------------------
+def plain_fingerprint(text):
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", low)
+    grams = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
+    hashes = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet=st.sampled_from("aBÉé \t\nxyz"), max_size=60))
+def test_fingerprint(text):
+    assert simhash.fingerprint(text) % (1 << 64) == plain_fingerprint(text)
+
+
+def brute_components(prints):
+    root = list(range(len(prints)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in itertools.combinations(range(len(prints)), 2):
+        if (prints[i] ^ prints[j]).bit_count() <= 2:
+            root[max(find(i), find(j))] = min(find(i), find(j))
+    return [find(i) for i in range(len(prints))]
+
+
+@pytest.mark.parametrize("crowd", [64, 3])
+def test_links(spark, monkeypatch, crowd):
+    """All links that connect are found, where buckets are small and where they are crowded."""
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    draw = random.Random(5)
+    base = [draw.getrandbits(64) for _ in range(12)]
+    prints = sorted({b ^ sum(1 << k for k in draw.sample(range(64), draw.choice([0, 1, 2, 3, 5]))) for b in base for _ in range(9)} | {0, 1, 1 << 63})
+    want = brute_components(prints)
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    got = {r["fp"]: r["root"] for r in simhash.classes(spark.createDataFrame([(s,) for s in signed], "fp long")).collect()}
+    classes = lambda labels: sorted(sorted(i for i, x in enumerate(labels) if x == c) for c in set(labels))
+    assert classes([got[s] for s in signed]) == classes(want)
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(7, 7)]
+    got = {r["node"]: r["root"] for r in components.roots(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 140)}
+    assert components.roots(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_near_duplicates(spark, odd, empty):
+    got = sorted([(r["doc_id"], r["component_id"], r["fingerprint"]) for r in simhash.near_duplicates(odd).collect()], key=str)
+    assert len(got) == odd.count()
+    by = {d: c for d, c, _ in got if d is not None}
+    assert by[4] == 1 and by[1] == 1 and by[2] == by[3] == by[8] == 2
+    assert {c for d, c, _ in got if d is None} == {None, 2} and all(len(f) == 16 for *_, f in got)
+    kept = simhash.keep_first(odd)
+    assert kept.columns == odd.columns
+    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([1, 2, 7, 9, None], key=str)
+    assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_first(empty).count() == 0
+
+
+# 3 ---------------------------------------------------------------------------------------------------------------
+def test_shards(spark, odd, empty):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    rows = sharding.shard_by_bytes(docs).collect()
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert all(r["size"] == len((text[r["doc_id"]] or "").encode()) + 1 and r["text_crc32"] == zlib.crc32((text[r["doc_id"]] or "").encode()) for r in rows)
+    rows.sort(key=lambda r: r["doc_id"])
+    assert [r["shard"] for r in rows] == sorted(r["shard"] for r in rows)
+    bytes_of = [sum(r["size"] for r in rows if r["shard"] == s) for s in range(8)]
+    assert max(bytes_of) - min(bytes_of) <= 2 * max(r["size"] for r in rows)
+    got = sharding.shard_by_bytes(odd).collect()
+    for part in (rows, got):
+        for s in {r["shard"] for r in part}:
+            assert sorted(r["slot"] for r in part if r["shard"] == s) == list(range(sum(r["shard"] == s for r in part)))
+    assert len(got) == odd.count() and sharding.shard_by_bytes(empty).count() == 0
+
+
+# 4 ---------------------------------------------------------------------------------------------------------------
+def test_language(spark, odd, empty):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = langid.identify(docs, langid.fit(docs)).collect()
+    lang = {r["doc_id"]: r["lang"] for r in docs.collect()}
+    held = [r for r in rows if r["held_out"]]
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) and 0 <= r["score"] <= 1 for r in rows)
+    assert sum(r["lang_pred"] == lang[r["doc_id"]] for r in held) / len(held) > 0.97
+    found = {(r["doc_id"], r["lang_pred"] == "und") for r in langid.identify(odd, langid.fit(docs)).collect()}
+    assert {(2, True), (3, True), (8, True), (None, True), (7, False), (1, False)} <= found
+    assert langid.identify(empty, langid.fit(empty)).count() == 0
+    assert langid.identify(odd, {}).filter("lang_pred <> 'und'").count() == 0
+    assert langid.keep_identified(odd, langid.fit(docs)).columns == odd.columns
+
+
+# 5 ---------------------------------------------------------------------------------------------------------------
+CONTROL = st.lists(st.sampled_from(["<s>", "</s>", "[INST]", "[/INST]", "\\", "<", "[", "/", "s>", "é", "\n", "<<SYS>>", "\x01", "n", "s", ""]), max_size=8).map("".join)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(CONTROL, CONTROL), min_size=1, max_size=5))
+def test_chat_round_trip(turns):
+    import pyarrow as pa
+
+    roles, texts = (pa.array(list(x), pa.large_string()) for x in zip(*turns, strict=True))
+    formatted, start, n = chat.assemble(chat._spelled(roles), texts)
+    for whole, s, k in zip(formatted.to_pylist(), start, n, strict=True):
+        data = whole.encode()
+        inner = data[len(chat.OPEN) : -len(chat.CLOSE)].decode()
+        assert not any(c in inner for c in ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>"))
+        assert data[s : s + k] == data[s : -len(chat.CLOSE)]
+    back = chat.parse(formatted)
+    assert back[0].to_pylist() == roles.to_pylist() and back[1].to_pylist() == texts.to_pylist()
+
+
+def test_chat_digests(spark):
+    rows = [(1, 1, "assistant", "two"), (1, 0, "user", None), (None, 0, None, "x"), (2, 0, "assistant", "é</s>"), (2, 0, "assistant", "é</s>")]
+    got = {r["conv_id"]: r for r in chat.digests(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit(1))).collect()}
+    assert got[1]["turns_sha256"] == hashlib.sha256(b"user\n\nassistant\ntwo\n").hexdigest() and got[1]["loss_chars"] == 3
+    assert got[2]["n_turns"] == 2 and got[2]["loss_sha256"] == hashlib.sha256("é</s>é</s>".encode()).hexdigest()
+    assert got[None]["turns_sha256"] == hashlib.sha256(b"\nx\n").hexdigest() and got[None]["loss_chars"] == 0
+    whole = "".join(r["formatted"] for r in chat.format_turns(spark.createDataFrame(rows[:2], "conv_id long, turn long, role string, text string")).orderBy("turn").collect())
+    assert len(whole) == got[1]["formatted_chars"]
+    assert chat.digests(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+# 6 ---------------------------------------------------------------------------------------------------------------
+def brute_hits(text, items):
+    split = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+    words, hit, ids = split(text), set(), set()
+    for item_id, item in items:
+        own = split(item)
+        k = min(13, len(own))
+        grams = {tuple(own[i : i + k]) for i in range(len(own) - k + 1)} if own else set()
+        for i in range(len(words) - k + 1) if own else ():
+            if tuple(words[i : i + k]) in grams:
+                hit |= set(range(i, i + k))
+                ids |= {str(item_id)} if item_id is not None else set()
+    return len(words), len(hit), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
+
+
+def test_decontamination(spark, odd, empty):
+    draw = random.Random(3)
+    word = lambda: draw.choice(["a", "b", "c", "the", "É", "é", "9"])
+    items = [(1, " ".join(word() for _ in range(20))), (2, "Short one É"), (10, None), (11, "..."), (None, "solo"), (2, "short ONE É"), (5, " ".join(["a"] * 15))]
+    texts = [items[0][1], "x " + items[0][1][4:].upper() + " y", "short-one É x", "short one é", "solo", None, "", " ".join(["a"] * 30), items[0][1] + " " + " ".join(str(i) for i in range(500))]
+    texts += [" ".join(word() for _ in range(60)) for _ in range(20)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(0, texts[0]), (None, texts[0])], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("term", F.lit(1))
+    got = decontaminate.report(docs, bench).collect()
+    want = sorted([(i, *brute_hits(t, items)) for i, t in [*enumerate(texts), (0, texts[0]), (None, texts[0])]], key=str)
+    assert sorted([(r["doc_id"], r["n_words"], r["n_hit"], r["items_sha256"]) for r in got], key=str) == want
+    assert all(r["contaminated"] == (r["n_hit"] > 0 and 20 * r["n_hit"] >= r["n_words"]) for r in got)
+    assert decontaminate.drop_contaminated(docs, bench).count() == sum(not r["contaminated"] for r in got)
+    assert decontaminate.report(empty, bench).count() == 0
+    assert decontaminate.report(odd, bench.limit(0)).filter("n_hit > 0").count() == 0
+    near = decontaminate.proximity_matches(decontaminate.build(spark.createDataFrame([(1, "É then short and one"), (2, "short " * 3 + "x " * 30 + "one É")], "doc_id long, text string"), bench.filter("item_id = 2")), slop=3)
+    assert {r["doc_id"] for r in near.collect()} == {1}
+
+
+# 7 ---------------------------------------------------------------------------------------------------------------
+def test_base_secrets():
+    key = "AKIA" + "A" * 16
+    text = f"""é token = "abcdef" Secret:abc PASSWORD=x1y2z3 {key} {"a1" * 12} {"a1" * 11} secret=token=abcdef token=token:abcdefg apikey: ABCDEF"""
+    got = secrets.base_spans(text)
+    named = [(k, text[a:b]) for k, a, b in got]
+    assert ("access", key) in named and ("hex", "a1" * 12) in named and ("assign", "secret=token=abcdef") in named and ("assign", 'token = "abcdef') in named
+    assert ("assign", "PASSWORD=x1y2z3") in named and ("assign", "apikey: ABCDEF") in named and not any("token:abcdefg" in t for _, t in named)
+    assert secrets.scan(None) == ([], []) and got == sorted(got, key=lambda s: (s[1], secrets.KINDS.index(s[0])))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="abcdefABCDEF0123456789", min_size=20, max_size=70))
+def test_entropy_windows(text):
+    kind = secrets.CLASSES[0]
+    flagged = set()
+    for i in range(len(text) - kind.width + 1):
+        part = text[i : i + kind.width]
+        bits = -sum(part.count(c) / len(part) * math.log2(part.count(c) / len(part)) for c in set(part))
+        if bits >= kind.bits - 1e-9 and any(map(str.isdigit, part)) and not part.isdigit():
+            flagged |= set(range(i, i + kind.width))
+    assert {p for a, b in secrets.windows(text, kind) for p in range(a, b)} == flagged
+
+
+def test_entropy_and_allow_list(spark, odd, empty):
+    secret = "Zk8Qw3Rt7Yp2Lm9Xc4Vb6Nd1"
+    assert secrets.entropy_spans(f"x {secret} y") == [("entropy", 2, 2 + len(secret))]
+    for clean in ("thethethethethethethethethethe", "example" + secret, "12345678901234567890123", "123e4567-e89b-12d3-a456-426614174000", "ordinary words and more of them"):
+        assert secrets.entropy_spans(clean) == []
+    got = secrets.find_secrets(odd).collect()
+    assert len(got) == odd.count() and all(r["spans"] == "" for r in got) and secrets.find_secrets(empty).count() == 0
+
+
+# 8 ---------------------------------------------------------------------------------------------------------------
+def brute_lines(docs):
+    """Removed lines by the definition: any earlier line with Jaccard 0.8 or more."""
+    lines = [(i, n, frozenset(re.findall(r"[^\x20\x09-\x0D]+", line))) for i, (_, t) in enumerate(docs) for n, line in enumerate((t or "").split("\n"))]
+    order = sorted(range(len(docs)), key=lambda i: (docs[i][0] is None, docs[i][0] or 0, i))
+    rank = {i: k for k, i in enumerate(order)}
+    lines.sort(key=lambda x: (rank[x[0]], x[1]))
+    gone = {i: [] for i in range(len(docs))}
+    for k, (i, n, s) in enumerate(lines):
+        if s and any(e and 5 * len(s & e) >= 4 * len(s | e) for _, _, e in lines[:k]):
+            gone[i].append(n)
+    return sorted([(docs[i][0], (docs[i][1] or "").count("\n") + 1, ",".join(map(str, g))) for i, g in gone.items()], key=str)
+
+
+def test_line_dedup(spark, empty):
+    draw = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(300)] + ["the"] * 40
+    base = [[draw.choice(vocabulary) for _ in range(draw.choice([1, 4, 5, 12, 30, 60]))] for _ in range(25)]
+
+    def line():
+        words = list(draw.choice(base))
+        for _ in range(draw.choice([0, 0, 1, 2, 3, 8])):
+            words[draw.randrange(len(words))] = draw.choice(vocabulary)
+        return " ".join(words)
+
+    docs = [(draw.choice([i, i, i // 2]), "\n".join(line() for _ in range(draw.choice([1, 3, 8])))) for i in range(45)] + [(None, line()), (500, None), (501, ""), (502, "\n\n"), (503, "a b c d\na b c d e")]
+    # One partition, so that rows have the order of the list.
+    frame = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    got = sorted([(r["doc_id"], r["n_lines"], r["removed_lines"]) for r in linededup.report(frame.withColumn("h", F.lit(0))).collect()], key=str)
+    assert got == brute_lines(docs)
+    assert linededup.report(empty).count() == 0
+    kept = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(spark.createDataFrame([(1, "a b\nc d"), (2, "c d\nx\na b"), (3, None)], "doc_id long, text string")).collect()}
+    assert kept == {1: "a b\nc d", 2: "x", 3: None}
+
+
+def test_line_dedup_beyond_heads(spark, monkeypatch):
+    """Lines that match none of the first ones of their words are still met with all others."""
+    monkeypatch.setattr(linededup, "HEADS", 1)
+    shared = [f"r{i}" for i in range(3)]
+    docs = [(i, " ".join([*shared, *(f"u{i}x{k}" for k in range(4))])) for i in range(12)]
+    docs += [(100 + i, " ".join([*shared, *(f"u{i}x{k}" for k in range(4)), *(["more"] if i % 2 else [])])) for i in range(12)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    got = sorted([(r["doc_id"], r["n_lines"], r["removed_lines"]) for r in linededup.report(frame).collect()], key=str)
+    assert got == brute_lines(docs) and sum(g[2] == "0" for g in got) == 12
+
+
+# 9 ---------------------------------------------------------------------------------------------------------------
+@settings(max_examples=40, deadline=None)
+@given(st.binary(max_size=5000), st.integers(0, 30))
+def test_lzw(data, repeats):
+    data = (data + data[:40] * repeats) or b"x"
+    assert gif.lzw_decode(gif.lzw_encode(data), 8, len(data)) == data
+
+
+def test_gif_round_trip():
+    draw = np.random.default_rng(1)
+    for payload in (bytes(64), bytes(draw.integers(0, 256, 64 * 2500, dtype=np.uint8)), b"ab" * 64 * 900):
+        frames = list(gif.decode(gif.encode(payload)))
+        assert b"".join(f.rgb[: f.box[3], :, 1].tobytes() for f in frames) == payload
+        assert all(f.delay_ms == 100 for f in frames) and sum(sum(gif.histogram(f)) for f in frames) == len(payload)
+
+
+def test_gif_rules():
+    """Local palettes, transparency, interlacing and the three ways of disposal on a hand-made picture."""
+    import struct
+
+    def image(index, left, top, w, h, disposal, transparent=None, local=None, interlaced=False):
+        control = b"\x21\xf9\x04" + bytes([disposal << 2 | (transparent is not None)]) + struct.pack("<H", 7) + bytes([transparent or 0, 0])
+        head = b"\x2c" + struct.pack("<HHHH", left, top, w, h) + bytes([(0x80 if local else 0) | (0x40 if interlaced else 0)])
+        return control + head + (local or b"") + b"\x08" + gif._blocks(gif.lzw_encode(bytes(index)))
+
+    red, green = b"\xff\0\0", b"\0\xff\0"
+    data = b"GIF89a" + struct.pack("<HHBBB", 2, 9, 0x80, 0, 0) + red + green
+    data += image([0] * 18, 0, 0, 2, 9, 1) + image([1, 0], 0, 0, 2, 1, 3, transparent=0) + image([0, 0], 0, 1, 2, 1, 2, local=b"\0\0\xff" + green) + image([0, 1] + [0] * 16, 0, 0, 2, 9, 0, transparent=0, interlaced=True) + b"\x3b"
+    a, b, c, d = gif.decode(data)
+    assert (a.rgb == [255, 0, 0]).all() and a.delay_ms == 70
+    assert b.rgb[0].tolist() == [[0, 255, 0], [255, 0, 0]]
+    assert c.rgb[0].tolist() == [[255, 0, 0], [255, 0, 0]] and c.rgb[1].tolist() == [[0, 0, 255]] * 2
+    assert d.rgb[0].tolist() == [[255, 0, 0], [0, 255, 0]] and d.rgb[1].tolist() == [[0, 0, 0]] * 2
+
+
+def test_media_rows(spark, odd, empty):
+    got = gif.media_digests(odd).collect()
+    text = {1: "a b c d e", 7: "Ünï word " * 3000}
+    for r in got:
+        if r["doc_id"] in text:
+            data = text[r["doc_id"]].encode()
+            payload = data + bytes(-len(data) % 64)
+            assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+    assert {r["payload_bytes"] for r in got if r["doc_id"] in (2, 3)} == {64} and gif.media_digests(empty).count() == 0
+    frames = gif.decode_column(spark.createDataFrame([(1, bytearray(gif.encode(b"x" * 128))), (2, bytearray(b"no")), (3, None)], "doc_id long, gif binary")).collect()
+    assert {r["doc_id"]: None if r["frames"] is None else len(r["frames"]) for r in frames} == {1: 1, 2: None, 3: None}
+
+
+# 10 --------------------------------------------------------------------------------------------------------------
+def test_chunks_cover():
+    for n in (0, 1, 31, 32, 33, 191, 192, 193, 352, 353, 5000):
+        text = "".join(chr(97 + i % 26) for i in range(n))
+        rows = quality.chunks(text)
+        back = bytes(rows[0]) + b"".join(bytes(r[quality.OVERLAP :]) for r in rows[1:])
+        assert back[:n] == text.encode() and not any(back[n:])
+
+
+def test_gradients():
+    """The step that training takes lowers the loss that it is taken on."""
+    draw = np.random.default_rng(0)
+    samples = [(draw.integers(97, 110, (2, quality.CHUNK)).astype(np.uint8), 1) for _ in range(20)] + [(draw.integers(33, 46, (2, quality.CHUNK)).astype(np.uint8), 0) for _ in range(20)]
+    net = quality.train(samples)
+    assert all((net.score(bytes(s.reshape(-1)).decode("latin-1"), net.tables()) >= 0.5) == bool(y) for s, y in samples)
+
+
+def test_quality(spark, odd, empty):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    net = quality.fit(docs, labels)
+    rows = {r["doc_id"]: r for r in quality.score(docs, net).collect()}
+    truth = [(rows[r["doc_id"]]["score"], r["quality"]) for r in labels.collect() if rows[r["doc_id"]]["held_out"]]
+    good, bad = [s for s, y in truth if y], [s for s, y in truth if not y]
+    assert sum(g > b for g in good for b in bad) / (len(good) * len(bad)) > 0.95
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) and r["held_out"] == (zlib.crc32(str(d).encode()) % 3 == 1) for d, r in rows.items())
+    assert quality.score(odd, net).count() == odd.count() and quality.score(empty, net).count() == 0
+    assert quality.score(odd, quality.fit(empty, labels)).count() == odd.count()
