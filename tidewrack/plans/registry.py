@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewrack.functions import accounting, limits, text, vectors
-from tidewrack.operators import costs, facts, lineage, retrieval, rollups, search, sequences
+from tidewrack.functions import accounting, limits, patterns, text, vectors
+from tidewrack.operators import costs, facts, lineage, retrieval, rollups, search, sequences, sessions, upkeep
 from tidewrack.plans.relations import Relations, with_relations
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -105,7 +105,7 @@ _CATEGORY = "CASE output_preview WHEN 'ENOENT: no such file' THEN 'file_not_foun
 _both("tool_errors", f"SELECT session_id, turn, idx, name AS tool_name, {_CATEGORY} AS error_category, output_preview AS error_text FROM tool_calls WHERE exit_code <> 0", lambda r: facts.tool_errors(r.tool_calls))
 _both("prompt_templates", r"""
 WITH t AS (SELECT id, lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(first_user_prompt), '`[^`]*`', '<code>', 'g'), '(?s)```.*?```', '<code>', 'g'), '(?:/[A-Za-z0-9._-]+)+', '<path>', 'g'), '[0-9]+', '<n>', 'g'), '(?i)\b[0-9a-f]{8,}\b', '<id>', 'g'), '\s+', ' ', 'g'))) AS template FROM prompts WHERE first_user_prompt IS NOT NULL)
-SELECT substring(sha256(template), 1, 16) AS hash, template, count(*) AS count, to_json(list_sort(list(id))[1:5])::VARCHAR AS example_session_ids FROM t WHERE template <> '' GROUP BY template HAVING count(*) >= 3""", lambda r: facts.prompt_templates(r.prompts))
+SELECT substring(sha256(template), 1, 16) AS hash, substring(template, 1, 500) AS template, count(*) AS count, to_json(list_sort(list(id))[1:5])::VARCHAR AS example_session_ids FROM t WHERE template <> '' GROUP BY template HAVING count(*) >= 3""", lambda r: facts.prompt_templates(r.prompts))
 _both("session_counters", """
 WITH m AS (SELECT session_id, count(*) AS turn_count, count(*) FILTER (role = 'user') AS user_turn_count, count(*) FILTER (role = 'assistant') AS assistant_turn_count,
   substring(arg_min(text, turn) FILTER (role = 'user'), 1, 500) AS first_user_prompt, substring(arg_max(text, turn) FILTER (role = 'user'), 1, 500) AS last_user_prompt FROM messages GROUP BY session_id),
@@ -196,6 +196,24 @@ SELECT coalesce(lex.session_id, sem.session_id) AS session_id, lexical_rank::INT
 _both("run_family", "WITH RECURSIVE e AS (SELECT id AS a, parent_session_id AS b FROM sessions WHERE parent_session_id IS NOT NULL UNION SELECT parent_session_id, id FROM sessions WHERE parent_session_id IS NOT NULL), f(id) AS (SELECT unnest([4, 10, 33, 999999999])::BIGINT UNION SELECT e.b FROM f JOIN e ON f.id = e.a) SELECT id FROM f", lambda r: lineage.family(r.spark.createDataFrame([(i,) for i in (4, 10, 33, 999999999)], "id long"), r.sessions.select(F.col("parent_session_id").alias("parent"), F.col("id").alias("child"))))
 
 
+# Scope, samples and upkeep -----------------------------------------------------------------------------------------
+_both("project_scope", "SELECT project_path, count(*) AS n FROM sessions WHERE project_path = '/p/BUILDING' OR starts_with(project_path, '/p/BUILDING/') GROUP BY 1", lambda r: r.sessions.filter(sessions.in_project("/p/BUILDING")).groupBy("project_path").agg(F.count(F.lit(1)).alias("n")))
+_both("purge_plan", "SELECT contains(project_path, 'MACHINERY') AS keep, count(*) AS n FROM sessions GROUP BY 1", lambda r: upkeep.purge_plan(r.sessions, F.contains("project_path", F.lit("MACHINERY"))).groupBy("keep").agg(F.count(F.lit(1)).alias("n")))
+_both("sessions_after_purge", "SELECT s.id, CASE WHEN contains(p.project_path, 'MACHINERY') THEN s.parent_session_id WHEN p.id IS NULL THEN s.parent_session_id END AS parent_session_id FROM sessions s LEFT JOIN sessions p ON p.id = s.parent_session_id WHERE contains(s.project_path, 'MACHINERY')", lambda r: upkeep.purge({"sessions": r.sessions}, F.contains("project_path", F.lit("MACHINERY")))["sessions"].select("id", "parent_session_id"))
+_both("freshness", "SELECT count(*) AS pending, min(started_at) AS pending_from, max(started_at) AS pending_to, count(*) > 0 AS stale FROM sessions WHERE source = 'codex'", lambda r: upkeep.freshness(r.sessions, r.sessions.filter("source = 'codex'").select(F.col("id").alias("session_id"))))
+_both("distinct_models", "SELECT DISTINCT model FROM sessions WHERE model IS NOT NULL AND model <> '' AND model <> '<synthetic>'", lambda r: r.sessions.filter("model is not null and model <> '' and model <> '<synthetic>'").select("model").distinct())
+_both("embedding_totals", "SELECT count(*) AS chunks, sum(len(embedding))::BIGINT AS values, count(DISTINCT session_id) AS sessions FROM vectors", lambda r: r.vectors.agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.size("embedding")).alias("values"), F.count_distinct("session_id").alias("sessions")))
+_both("pending_embeddings", "SELECT chunk FROM vectors v WHERE NOT EXISTS (SELECT 1 FROM vectors e WHERE e.chunk = v.chunk AND e.session_id < 4)", lambda r: retrieval.pending(r.vectors.select(F.col("chunk").alias("chunk_id")), r.vectors.filter("session_id < 4").select(F.col("chunk").alias("chunk_id"), F.lit("m").alias("model_id")), "m").select(F.col("chunk_id").alias("chunk")))
+_both("role_counts", "SELECT role, count(*) AS n, count(*) FILTER (contains(lower(text), 'the')) AS with_term FROM messages GROUP BY role", lambda r: r.messages.groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.contains(F.lower("text"), F.lit("the"))).alias("with_term")))
+_both("stratified_pages", """
+WITH f AS (SELECT page_id % 200 AS identity, min(row(url, length(html)::BIGINT)) AS f FROM pages GROUP BY 1), s AS (SELECT identity, f[1] AS path, f[2] AS size FROM f),
+g AS (SELECT *, ntile(5) OVER (ORDER BY size, path) AS stratum FROM s), n AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY size, path) - 1 AS k, greatest(1, count(*) OVER (PARTITION BY stratum) // 4) AS step FROM g)
+SELECT identity, path, size, stratum::INTEGER AS stratum FROM n WHERE k % step = 0 AND k // step < 4""", lambda r: upkeep.stratified(r.read("pages").select((F.col("page_id") % 200).alias("identity"), F.col("url").alias("path"), F.length("html").cast("long").alias("size")), 5, 4))
+_both("noise_messages", "SELECT role, count(*) FILTER (" + " OR ".join(f"starts_with(ltrim(text), '{p}')" for p in patterns.INJECTED_PREFIXES) + ") AS noise, count(*) AS n FROM messages GROUP BY role", lambda r: r.messages.groupBy("role").agg(F.count_if(text.is_noise(F.col("text"), blanks_only=True)).alias("noise"), F.count(F.lit(1)).alias("n")))
+_both("sessions_derived", "SELECT id, strftime(make_timestamp(started_at * 1000000), '%Y-%m-%dT%H:%M:%S.000Z') AS started_at_iso, 'session ' || id AS reconstruct FROM sessions", lambda r: sessions.derived(r.sessions.withColumn("first_user_prompt", F.col("title")).withColumn("id", F.col("id").cast("string"))).select(F.col("id").cast("long").alias("id"), "started_at_iso", "reconstruct"))
+_both("templates_examples", "SELECT sha256(first_user_prompt) AS h, count(*) AS n FROM prompts WHERE first_user_prompt IS NOT NULL GROUP BY 1 HAVING count(*) >= 2", lambda r: r.prompts.filter("first_user_prompt is not null").groupBy(F.sha2("first_user_prompt", 256).alias("h")).agg(F.count(F.lit(1)).alias("n")).filter("n >= 2"))
+
+
 # Without SQL: checked by tests -------------------------------------------------------------------------------------
 @query("redact_counts", r"""SELECT doc, len(regexp_extract_all(text, '\bAKIA[0-9A-Z]{16}\b'))::BIGINT AS keys, (text <> regexp_replace(text, '\bAKIA[0-9A-Z]{16}\b', '', 'g')) AS changed FROM corpus WHERE text IS NOT NULL""")
 def redact_counts(r: Relations) -> DataFrame:

@@ -100,7 +100,7 @@ class Relations:
 
     @cached_property
     def prompts(self) -> DataFrame:
-        return self.read("documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 24).alias("first_user_prompt"))
+        return self.read("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("first_user_prompt"))
 
     @cached_property
     def corpus(self) -> DataFrame:
@@ -125,7 +125,7 @@ CTES = {
     "mcp_calls": "SELECT session_id, turn, 'srv' || (k % 4) AS server, name AS tool FROM tool_calls WHERE name IN ('view', 'click')",
     "subagent_invocations": "SELECT parent_session_id, CASE WHEN id % 10 = 0 THEN 'task' WHEN id % 15 = 0 THEN NULL ELSE source END AS subagent_type, started_at, id FROM sessions WHERE parent_session_id IS NOT NULL",
     "workflow_runs": "SELECT o_orderkey AS run_id, o_orderpriority AS workflow_name, o_orderstatus AS status, o_orderkey % 9 AS agent_count, o_orderkey % 1000 * 7 AS total_tokens, o_orderkey % 31 AS total_tool_calls, o_orderkey % 977 * 10 AS duration_ms, CAST(epoch(o_orderdate) AS BIGINT) AS started_at FROM orders",
-    "prompts": "SELECT doc_id AS id, substring(text, 1, 24) AS first_user_prompt FROM documents",
+    "prompts": "SELECT doc_id AS id, text AS first_user_prompt FROM documents",
     "corpus": "SELECT doc_id AS doc, text, lang, source FROM documents",
     "vectors": "SELECT vec_id AS chunk, label::BIGINT AS session_id, embedding FROM embeddings",
     "skills_usage": "SELECT av.session_id, av.skill_name, CASE WHEN EXISTS (SELECT 1 FROM skills_invoked si WHERE si.session_id = av.session_id AND (si.skill_name = av.skill_name OR av.skill_name ILIKE '%:' || si.skill_name OR si.skill_name ILIKE av.skill_name || '%' OR (instr(av.skill_name, ':') > 0 AND substr(av.skill_name, instr(av.skill_name, ':') + 1) = si.skill_name))) THEN 1 WHEN EXISTS (SELECT 1 FROM skills_hook_injected hi WHERE hi.session_id = av.session_id AND (hi.skill_slug = av.skill_name OR av.skill_name ILIKE '%:' || hi.skill_slug OR (instr(av.skill_name, ':') > 0 AND substr(av.skill_name, instr(av.skill_name, ':') + 1) = hi.skill_slug))) THEN 1 ELSE 0 END AS was_used FROM skills_available av",
