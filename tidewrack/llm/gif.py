@@ -18,6 +18,7 @@ from tidewrack.llm import scratch
 WIDTH, MAX_ROWS, DELAY_CS = 64, 1024, 10
 #: Codes that fit between two clear codes: one more would need an entry beyond 12 bits.
 RUN = 3838
+LAST = 257 + RUN
 
 
 @dataclass
@@ -47,37 +48,33 @@ def lzw_encode(data: bytes) -> bytes:
     widths: list[np.ndarray] = []
     run: list[int] = [256]
     table: dict[int, int] = {}
-    get, following, room = table.get, 258, RUN
-    prefix = -1
+    get, put, following = table.get, run.append, 258
 
     def flush() -> None:
         codes.append(np.array(run, np.int64))
         # The clear code that begins a run has the width that the run before ended with.
         widths.append(np.concatenate([[9 if not widths else _ENCODE_WIDTHS[RUN]], _ENCODE_WIDTHS[: len(run) - 1]]))
 
-    for symbol in data:
-        if prefix < 0:
-            prefix = symbol
-            continue
+    symbols = iter(data)
+    prefix = next(symbols, -1)
+    for symbol in symbols:
         key = prefix << 8 | symbol
-        code = get(key)
-        if code is not None:
+        if (code := get(key)) is not None:
             prefix = code
             continue
-        run.append(prefix)
-        room -= 1
-        if room:
+        put(prefix)
+        prefix = symbol
+        if following < LAST:
             table[key] = following
             following += 1
         else:
             flush()
-            run = [256]
+            del run[1:]
             table.clear()
-            following, room = 258, RUN
-        prefix = symbol
+            following = 258
     if prefix >= 0:
-        run.append(prefix)
-    run.append(257)
+        put(prefix)
+    put(257)
     flush()
     code, width = np.concatenate(codes), np.concatenate(widths)
     place = np.arange(12)
@@ -116,18 +113,23 @@ def lzw_decode(data: bytes, bits: int, size: int) -> bytes:
         if last == FULL:
             codes, stop, last = unpack((len(stream) - at) // (bits + 1) + 1)
         table = literal.copy()
-        known, before = len(table), b""
-        add, emit = table.append, out.append
+        add = table.append
+        pieces = []
+        put = pieces.append
+        before = b""
         for code in codes[:last].tolist():
-            if not before:
-                before = table[code]
-            else:
-                entry = table[code] if code < known else before + before[:1]
+            if before:
+                try:
+                    entry = table[code]
+                except IndexError:  # the one entry that is being made
+                    entry = before + before[:1]
                 add(before + entry[:1])
-                known += 1
                 before = entry
-            emit(before)
-            made += len(before)
+            else:
+                before = table[code]
+            put(before)
+        out.append(b"".join(pieces))
+        made += len(out[-1])
         if last == len(codes) or codes[last] != clear:
             break
         at += int(stop[last])
