@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewrack.llm import scratch
+from tidewrack.llm import ordering, scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Counters of word frequency; one byte each goes into the plan, whatever the size of the corpus.
@@ -69,12 +69,13 @@ def _fits(a_n: Column, a_pos: Column, a_sig: Column, b: Column) -> Column:
     return (5 * a_n >= 4 * b["n"]) & (5 * b["n"] >= 4 * a_n) & (most >= need) & (F.bit_count(a_sig.bitwiseXOR(b["sig"])) <= both - 2 * need)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, levels: bytes, id_col: str, text_col: str) -> DataFrame:
-    """The ``pairs`` (h, other) whose whole sets have Jaccard 4/5 or more, as a table.
+def _verified(pairs: DataFrame, names: DataFrame, docs: DataFrame, levels: bytes, id_col: str, text_col: str) -> DataFrame:
+    """The ``pairs`` (set, other) whose whole sets have Jaccard 4/5 or more, as a table. ``names`` has (set, h).
 
     The sets are taken from the texts again, for just those lines that a filter of fixed size lets through: storing
     or shuffling the words of all lines would cost more than the corpus."""
-    wanted = pairs.select(F.explode(F.array("h", "other")).alias("h")).distinct()
+    wanted = pairs.select(F.explode(F.array("set", "other")).alias("set")).distinct()
+    wanted = scratch.table(names.join(wanted, "set", "left_semi"), "wanted", tidy=True)
     places = lambda h: (F.pmod(h, F.lit(FILTER_BITS)), F.pmod(F.shiftrightunsigned(h, 17), F.lit(FILTER_BITS)))
     bits = wanted.select(F.explode(F.array(*places(F.col("h")))).alias("bit")).select(F.expr("bit div 56").alias("word"), F.expr("shiftleft(1L, cast((bit % 56) div 7 * 8 + bit % 7 as int))").alias("mask"))
     words = bits.groupBy("word").agg(F.bit_or("mask").alias("mask")).collect()  # FILTER_WORDS rows at most
@@ -85,10 +86,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, levels: bytes, id_col: str, tex
     test = lambda bit: F.call_function("shiftright", _byte(filter_bytes, F.floor(bit / 7)), (bit % 7).cast("int")).bitwiseAND(F.lit(1)) == 1
     lines = line_sets(docs, levels, id_col, text_col).select("h", "keys")
     lines = lines.filter(test(places(F.col("h"))[0])).filter(test(places(F.col("h"))[1]))
-    sets = scratch.table(lines.join(wanted, "h", "left_semi").dropDuplicates(["h"]), "whole_sets", tidy=True)
-    met = pairs.join(sets.withColumnRenamed("keys", "a"), "h").join(sets.select(F.col("h").alias("other"), F.col("keys").alias("b")), "other")
+    sets = scratch.table(lines.join(wanted, "h").dropDuplicates(["h"]).select("set", "keys"), "whole_sets", tidy=True)
+    met = pairs.join(sets.withColumnRenamed("keys", "a"), "set").join(sets.select(F.col("set").alias("other"), F.col("keys").alias("b")), "other")
     shared = F.size(F.array_intersect("a", "b"))
-    return scratch.table(met.filter(9 * shared >= 4 * (F.size("a") + F.size("b"))).select("h", "other"), "matches", tidy=True)
+    return scratch.table(met.filter(9 * shared >= 4 * (F.size("a") + F.size("b"))).select("set", "other"), "matches", tidy=True)
 
 
 def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -100,27 +101,33 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lines = line_sets(docs, levels, id_col, text_col).select("doc", "id", "line", "n", "h", "sig", F.when(n > 0, prefix).alias("prefix"))
     lines = scratch.table(lines, "lines", tidy=True)
     place = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("doc"), F.col("line"))
-    sets = lines.filter("n > 0").groupBy("h").agg(F.min(place).alias("at"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("prefix").alias("prefix"))
-    sets = scratch.table(sets, "sets", tidy=True)
-    postings = sets.select("h", "at", "n", "sig", F.posexplode("prefix").alias("pos", "token"))
+    firsts = scratch.table(lines.filter("n > 0").groupBy("h").agg(F.min(place).alias("at")), "firsts", tidy=True)
+    # One number says which set is earlier and which set it is: postings have no room for more.
+    ranked = ordering.prefix_sums(firsts, [F.col("at").asc()], {}).select(F.col("row_before").alias("set"), F.col("h").alias("s_h"), F.col("at.doc").alias("s_doc"), F.col("at.line").alias("s_line"))
+    ranked = scratch.table(ranked, "ranked", tidy=True)
+    own = (F.col("h") == F.col("s_h")) & (F.col("doc") == F.col("s_doc")) & (F.col("line") == F.col("s_line"))
+    sets = scratch.table(lines.join(ranked, own).select("set", "h", "n", "sig", "prefix"), "sets", tidy=True)
+    postings = sets.select("set", "n", "sig", F.posexplode("prefix").alias("pos", "token"))
 
     # Many copies of a line differ by a word each: nearly all of them match the earliest lines of their words, and
     # then nothing else needs to be known. This is linear in the postings.
-    before = Window.partitionBy("token").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    entry = F.struct("h", "n", "sig", "pos")
+    before = Window.partitionBy("token").orderBy("set").rowsBetween(Window.unboundedPreceding, -1)
+    entry = F.struct("set", "n", "sig", "pos")
     heads = F.array(*(F.nth_value(entry, k).over(before) for k in range(1, HEADS + 1)))
-    near = postings.withColumn("heads", heads).select("h", F.explode(F.filter("heads", lambda b: b.isNotNull() & _fits(F.col("n"), F.col("pos"), F.col("sig"), b))).alias("b"))
-    first = scratch.table(near.select("h", F.col("b.h").alias("other")).distinct(), "near_heads", tidy=True)
-    matched = _verified(first, docs, levels, id_col, text_col).select("h").distinct()
+    near = postings.withColumn("heads", heads).select("set", F.explode(F.filter("heads", lambda b: b.isNotNull() & _fits(F.col("n"), F.col("pos"), F.col("sig"), b))).alias("b"))
+    first = scratch.table(near.select("set", F.col("b.set").alias("other")).distinct(), "near_heads", tidy=True)
+    names = sets.select("set", "h")
+    matched = _verified(first, names, docs, levels, id_col, text_col).select("set").distinct()
 
     # All others are met with every earlier line of their words.
-    open_sets = scratch.table(sets.join(matched, "h", "left_anti"), "open", tidy=True)
-    asked = open_sets.select(F.col("h").alias("a_h"), F.col("at").alias("a_at"), F.col("n").alias("a_n"), F.col("sig").alias("a_sig"), F.posexplode("prefix").alias("a_pos", "a_token"))
-    met = asked.join(postings, (F.col("a_token") == F.col("token")) & (F.col("at") < F.col("a_at")) & _fits(F.col("a_n"), F.col("a_pos"), F.col("a_sig"), entry))
-    rest = met.select(F.col("a_h").alias("h"), F.col("h").alias("other")).distinct().join(first, ["h", "other"], "left_anti")
+    open_sets = scratch.table(sets.join(matched, "set", "left_anti").select("set", "n", "sig", "prefix"), "open", tidy=True)
+    asked = open_sets.select(F.col("set").alias("a_set"), F.col("n").alias("a_n"), F.col("sig").alias("a_sig"), F.posexplode("prefix").alias("a_pos", "a_token"))
+    met = asked.join(postings, (F.col("a_token") == F.col("token")) & (F.col("set") < F.col("a_set")) & _fits(F.col("a_n"), F.col("a_pos"), F.col("a_sig"), entry))
+    rest = met.select(F.col("a_set").alias("set"), F.col("set").alias("other")).distinct().join(first, ["set", "other"], "left_anti")
     rest = scratch.table(rest, "near_rest", tidy=True)
-    matched = matched.unionByName(_verified(rest, docs, levels, id_col, text_col).select("h")).distinct().withColumn("matched", F.lit(True))
-    fates = scratch.table(sets.select("h", "at").join(matched, "h", "left").select(F.col("h").alias("f_h"), F.col("at.doc").alias("f_doc"), F.col("at.line").alias("f_line"), F.coalesce("matched", F.lit(False)).alias("matched")), "fates", tidy=True)
+    matched = matched.unionByName(_verified(rest, names, docs, levels, id_col, text_col).select("set")).distinct().withColumnRenamed("set", "m_set")
+    fates = ranked.join(matched, F.col("set") == F.col("m_set"), "left").select(F.col("s_h").alias("f_h"), F.col("s_doc").alias("f_doc"), F.col("s_line").alias("f_line"), F.col("m_set").isNotNull().alias("matched"))
+    fates = scratch.table(fates, "fates", tidy=True)
     joined = lines.select("doc", "id", "line", F.when(F.col("n") > 0, F.col("h")).alias("h")).join(fates, F.col("h") == F.col("f_h"), "left")
     removed = F.col("h").isNotNull() & (F.col("matched") | (F.col("f_doc") != F.col("doc")) | (F.col("f_line") != F.col("line")))
     return joined.select("doc", "id", "line", removed.alias("removed"))
