@@ -8,6 +8,7 @@ and then verified on their whole sets.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -45,19 +46,22 @@ def rarity(docs: DataFrame, text_col: str = "text") -> bytes:
     return bytes(levels)
 
 
-def line_sets(docs: DataFrame, levels: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a line: doc (a number of the row), id, line, keys (the set's words, rarest first), n, h, sig.
+def line_sets(docs: DataFrame, levels: bytes, id_col: str = "doc_id", text_col: str = "text", wanted: Callable[[Column], Column] | None = None) -> DataFrame:
+    """One row a line: doc (a number of the row), id, line, c (a hash of its content), keys (the set's words, rarest
+    first), n, h, sig. With ``wanted``, a test of c, only those lines are taken apart.
 
     A word is its rarity class in the upper byte and 56 bits of its hash, so keys in order are words by rarity. ``h``
     names the set; ``sig`` has the parity of its words over 64 places: two sets differ in as many words as their
     signatures do in bits, or more."""
     numbered = docs.select(F.monotonically_increasing_id().alias("doc"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     lines = numbered.select("doc", "id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "content"))
+    lines = lines.withColumn("c", F.xxhash64("content"))
+    lines = lines if wanted is None else lines.filter(wanted(F.col("c")))
     hashes = F.array_distinct(F.transform(_words(F.col("content")), lambda w: F.xxhash64(w)))
     keys = F.sort_array(F.transform(hashes, lambda h: F.shiftleft(_byte(levels, F.pmod(h, F.lit(COUNTERS))).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))))
-    rows = lines.select("doc", "id", "line", keys.alias("keys"))
+    rows = lines.select("doc", "id", "line", "c", keys.alias("keys"))
     sig = F.aggregate("keys", F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))))
-    return rows.select("doc", "id", "line", "keys", F.size("keys").alias("n"), F.xxhash64("keys").alias("h"), sig.alias("sig"))
+    return rows.select("doc", "id", "line", "c", "keys", F.size("keys").alias("n"), F.xxhash64("keys").alias("h"), sig.alias("sig"))
 
 
 def _fits(a_n: Column, a_pos: Column, a_sig: Column, b: Column) -> Column:
@@ -70,23 +74,23 @@ def _fits(a_n: Column, a_pos: Column, a_sig: Column, b: Column) -> Column:
 
 
 def _verified(pairs: DataFrame, names: DataFrame, docs: DataFrame, levels: bytes, id_col: str, text_col: str) -> DataFrame:
-    """The ``pairs`` (set, other) whose whole sets have Jaccard 4/5 or more, as a table. ``names`` has (set, h).
+    """The ``pairs`` (set, other) whose whole sets have Jaccard 4/5 or more, as a table. ``names`` has (set, h, c).
 
     The sets are taken from the texts again, for just those lines that a filter of fixed size lets through: storing
     or shuffling the words of all lines would cost more than the corpus."""
     wanted = pairs.select(F.explode(F.array("set", "other")).alias("set")).distinct()
     wanted = scratch.table(names.join(wanted, "set", "left_semi"), "wanted", tidy=True)
     places = lambda h: (F.pmod(h, F.lit(FILTER_BITS)), F.pmod(F.shiftrightunsigned(h, 17), F.lit(FILTER_BITS)))
-    bits = wanted.select(F.explode(F.array(*places(F.col("h")))).alias("bit")).select(F.expr("bit div 56").alias("word"), F.expr("shiftleft(1L, cast((bit % 56) div 7 * 8 + bit % 7 as int))").alias("mask"))
+    bits = wanted.select(F.explode(F.array(*places(F.col("c")))).alias("bit")).select(F.expr("bit div 56").alias("word"), F.expr("shiftleft(1L, cast((bit % 56) div 7 * 8 + bit % 7 as int))").alias("mask"))
     words = bits.groupBy("word").agg(F.bit_or("mask").alias("mask")).collect()  # FILTER_WORDS rows at most
     packed = np.zeros(FILTER_WORDS, "<i8")
     for word, mask in words:
         packed[word] = mask
     filter_bytes = packed.tobytes()
     test = lambda bit: F.call_function("shiftright", _byte(filter_bytes, F.floor(bit / 7)), (bit % 7).cast("int")).bitwiseAND(F.lit(1)) == 1
-    lines = line_sets(docs, levels, id_col, text_col).select("h", "keys")
-    lines = lines.filter(test(places(F.col("h"))[0])).filter(test(places(F.col("h"))[1]))
-    sets = scratch.table(lines.join(wanted, "h").dropDuplicates(["h"]).select("set", "keys"), "whole_sets", tidy=True)
+    passes = lambda c: test(places(c)[0]) & test(places(c)[1])
+    lines = line_sets(docs, levels, id_col, text_col, passes).select("h", "keys")
+    sets = scratch.table(lines.join(wanted.select("set", "h"), "h").dropDuplicates(["h"]).select("set", "keys"), "whole_sets", tidy=True)
     met = pairs.join(sets.withColumnRenamed("keys", "a"), "set").join(sets.select(F.col("set").alias("other"), F.col("keys").alias("b")), "other")
     shared = F.size(F.array_intersect("a", "b"))
     return scratch.table(met.filter(9 * shared >= 4 * (F.size("a") + F.size("b"))).select("set", "other"), "matches", tidy=True)
@@ -98,7 +102,7 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     levels = rarity(docs, text_col)
     n = F.col("n")
     prefix = F.slice("keys", F.lit(1), n - F.floor((4 * n + 4) / 5).cast("int") + 1)
-    lines = line_sets(docs, levels, id_col, text_col).select("doc", "id", "line", "n", "h", "sig", F.when(n > 0, prefix).alias("prefix"))
+    lines = line_sets(docs, levels, id_col, text_col).select("doc", "id", "line", "c", "n", "h", "sig", F.when(n > 0, prefix).alias("prefix"))
     lines = scratch.table(lines, "lines", tidy=True)
     place = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("doc"), F.col("line"))
     firsts = scratch.table(lines.filter("n > 0").groupBy("h").agg(F.min(place).alias("at")), "firsts", tidy=True)
@@ -106,7 +110,7 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ranked = ordering.prefix_sums(firsts, [F.col("at").asc()], {}).select(F.col("row_before").alias("set"), F.col("h").alias("s_h"), F.col("at.doc").alias("s_doc"), F.col("at.line").alias("s_line"))
     ranked = scratch.table(ranked, "ranked", tidy=True)
     own = (F.col("h") == F.col("s_h")) & (F.col("doc") == F.col("s_doc")) & (F.col("line") == F.col("s_line"))
-    sets = scratch.table(lines.join(ranked, own).select("set", "h", "n", "sig", "prefix"), "sets", tidy=True)
+    sets = scratch.table(lines.join(ranked, own).select("set", "h", "c", "n", "sig", "prefix"), "sets", tidy=True)
     postings = sets.select("set", "n", "sig", F.posexplode("prefix").alias("pos", "token"))
 
     # Many copies of a line differ by a word each: nearly all of them match the earliest lines of their words, and
@@ -116,7 +120,7 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     heads = F.array(*(F.nth_value(entry, k).over(before) for k in range(1, HEADS + 1)))
     near = postings.withColumn("heads", heads).select("set", F.explode(F.filter("heads", lambda b: b.isNotNull() & _fits(F.col("n"), F.col("pos"), F.col("sig"), b))).alias("b"))
     first = scratch.table(near.select("set", F.col("b.set").alias("other")).distinct(), "near_heads", tidy=True)
-    names = sets.select("set", "h")
+    names = sets.select("set", "h", "c")
     matched = _verified(first, names, docs, levels, id_col, text_col).select("set").distinct()
 
     # All others are met with every earlier line of their words.
