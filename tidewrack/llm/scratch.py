@@ -40,6 +40,7 @@ def table(df: DataFrame, name: str, tidy: bool = False) -> DataFrame:
     before = spark.conf.get(CLEANUP, "false")
     if tidy:
         spark.conf.set(CLEANUP, "true")
+        spark.sparkContext._jvm.System.gc()  # Spark drops the shuffle files of plans that are no longer reachable
     try:
         df.write.parquet(path)
     finally:
