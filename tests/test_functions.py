@@ -94,7 +94,13 @@ def test_cosine(spark):
 def test_search_language(spark):
     docs = spark.createDataFrame([(1, "The quick brown fox"), (2, "brown-fox Été"), (3, "quick dog"), (4, None)], "doc long, text string")
     index = search.TextIndex.of(docs)
-    find = lambda q: sorted(r[0] for r in index.match(q).collect())
+    stored = search.TextIndex(index.postings, index.lengths)
+
+    def find(q):
+        got = sorted(r[0] for r in index.match(q).collect())
+        assert got == sorted(r[0] for r in stored.match(q).collect())
+        return got
+
     assert find("brown fox") == [1, 2] and find('"quick brown"') == [1] and find("quick NOT fox") == [3]
     assert find("qui* OR ete") == [1, 2, 3] and find("(dog OR the) AND quick") == [1, 3] and find("NEAR(the fox, 2)") == [1] and find("NEAR(the fox, 1)") == []
     with pytest.raises(search.BadQuery):

@@ -19,8 +19,8 @@ def trim_start(text: Column) -> Column:
 
 def is_noise(text: Column, blanks_only: bool = False) -> Column:
     """Whether an agent runtime put the text there. False for null and empty text."""
-    t = F.ltrim(text) if blanks_only else trim_start(text)
-    return F.coalesce(reduce(lambda a, b: a | b, (F.startswith(t, F.lit(p)) for p in P.INJECTED_PREFIXES)), F.lit(False))
+    lead = "^ *" if blanks_only else LEADING_SPACE.removesuffix("+") + "*"
+    return F.coalesce(text.rlike(lead + "(?:" + "|".join(rf"\Q{p}\E" for p in P.INJECTED_PREFIXES) + ")"), F.lit(False))
 
 
 def redact(text: Column, extra: tuple[tuple[str, str, str], ...] = ()) -> Column:
@@ -44,10 +44,11 @@ def error_category(output: Column, tool: Column) -> Column:
 
 def correction(text: Column) -> Column:
     """struct(kind, confidence) of a user turn, null where no rule matches."""
-    t = trim_start(text)
     out = F.lit(None).cast("struct<kind: string, confidence: double>")
     for kind, confidence, tests in reversed(P.CORRECTIONS):
-        fits = reduce(lambda a, b: a & b, (t.rlike(x) for x in tests)) & (t != "")
+        # Patterns that begin a text pass over white space before it; one evaluation each, no trimmed copy.
+        anchored = (x.replace("(?i)^", "(?i)" + LEADING_SPACE.removesuffix("+") + "*", 1) if x.startswith("(?i)^") else x for x in tests)
+        fits = reduce(lambda a, b: a & b, (text.rlike(x) for x in anchored))
         out = F.when(fits, F.struct(F.lit(kind).alias("kind"), F.lit(confidence).alias("confidence"))).otherwise(out)
     return out
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
+from typing import Any
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewrack.functions.text import words
@@ -15,15 +17,19 @@ K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 @dataclass
 class TextIndex:
-    """postings: (doc, term, pos); lengths: (doc, len). Any key column(s) packed in ``doc``."""
+    """postings: (doc, term, pos); lengths: (doc, len). Any key column(s) packed in ``doc``.
+
+    An index made on the spot also has ``tokens`` (doc, w), and boolean queries are then one filter over it. A stored
+    one (``TextIndex(postings, lengths)`` over tables) answers them by joins of the postings that a query names."""
 
     postings: DataFrame
     lengths: DataFrame
+    tokens: DataFrame | None = None
 
     @classmethod
     def of(cls, texts: DataFrame, key: str = "doc", text: str = "text") -> TextIndex:
         tokens = texts.select(F.col(key).alias("doc"), words(F.col(text)).alias("w"))
-        return cls(tokens.select("doc", F.posexplode("w").alias("pos", "term")), tokens.select("doc", F.size("w").alias("len")))
+        return cls(tokens.select("doc", F.posexplode("w").alias("pos", "term")), tokens.select("doc", F.size("w").alias("len")), tokens)
 
     def bm25(self, terms: list[str]) -> DataFrame:
         """(doc, score): smaller is better, as sums of negative term scores. Corpus size and mean length are one-row
@@ -66,7 +72,45 @@ class TextIndex:
     def match(self, query: str) -> DataFrame:
         """Documents that satisfy a boolean query: AND (also by juxtaposition), OR, NOT, NEAR(a b, n), "phrases",
         prefixes with *, parentheses. AND binds closer than OR, NOT closer than AND."""
-        return _Parser(self, query).parse()
+        if self.tokens is not None:
+            return self.tokens.filter(_Parser(_Scan(), query).parse()).select("doc")
+        return _Parser(_Postings(self), query).parse()
+
+
+class _Postings:
+    """Queries as frames of matching documents."""
+
+    def __init__(self, index: TextIndex):
+        self.term, self.phrase, self.near = index.term, index.phrase, index.near
+
+    def either(self, a: DataFrame, b: DataFrame) -> DataFrame:
+        return a.union(b).distinct()
+
+    def both(self, a: DataFrame, b: DataFrame, negated: bool) -> DataFrame:
+        return a.join(b, "doc", "left_anti" if negated else "left_semi")
+
+
+class _Scan:
+    """Queries as predicates on a document's words ``w``: no postings are made and nothing is shuffled."""
+
+    def term(self, word: str, prefix: bool = False) -> Column:
+        return F.exists("w", lambda x: F.startswith(x, F.lit(word))) if prefix else F.array_contains("w", word)
+
+    def phrase(self, terms: list[str], prefix: bool = False) -> Column:
+        text = F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" "))
+        return F.contains(text, F.lit(" " + " ".join(terms) + ("" if prefix else " ")))
+
+    def near(self, terms: list[str], within: int = 10) -> Column:
+        hits = F.filter(F.transform("w", lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda h: h["x"].isin(terms))
+        reach = within + len(terms) - 1
+        in_reach = lambda t, h: F.exists(hits, lambda g: (g["x"] == t) & (g["i"] >= h["i"]) & (g["i"] <= h["i"] + reach))
+        return F.exists(hits, lambda h: reduce(lambda a, b: a & b, [in_reach(t, h) for t in terms]))
+
+    def either(self, a: Column, b: Column) -> Column:
+        return a | b
+
+    def both(self, a: Column, b: Column, negated: bool) -> Column:
+        return a & (~b if negated else b)
 
 
 class BadQuery(ValueError):
@@ -77,8 +121,8 @@ TOKEN = re.compile(r'\s*(?:(NEAR)\s*\(\s*([^(),]*?)\s*(?:,\s*(\d+)\s*)?\)|(AND|O
 
 
 class _Parser:
-    def __init__(self, index: TextIndex, query: str):
-        self.index, self.tokens, at = index, [], 0
+    def __init__(self, algebra: _Postings | _Scan, query: str):
+        self.index, self.tokens, at = algebra, [], 0
         while at < len(query.rstrip()):
             m = TOKEN.match(query, at)
             if not m:
@@ -90,7 +134,7 @@ class _Parser:
     def _peek(self) -> re.Match[str] | None:
         return self.tokens[self.at] if self.at < len(self.tokens) else None
 
-    def parse(self) -> DataFrame:
+    def parse(self) -> Any:
         if not self.tokens:
             raise BadQuery("empty query")
         out = self._or()
@@ -98,24 +142,24 @@ class _Parser:
             raise BadQuery("unbalanced parentheses")
         return out
 
-    def _or(self) -> DataFrame:
+    def _or(self) -> Any:
         out = self._and()
         while (t := self._peek()) and t[4] == "OR":
             self.at += 1
-            out = out.union(self._and()).distinct()
+            out = self.index.either(out, self._and())
         return out
 
-    def _and(self) -> DataFrame:
+    def _and(self) -> Any:
         out = self._atom()
         while (t := self._peek()) and t[4] != "OR" and t[5] != ")":
             negated = t[4] == "NOT"
             self.at += t[4] in ("AND", "NOT")
             if t[4] == "AND" and (n := self._peek()) and n[4] == "NOT":
                 negated, self.at = True, self.at + 1
-            out = out.join(self._atom(), "doc", "left_anti" if negated else "left_semi")
+            out = self.index.both(out, self._atom(), negated)
         return out
 
-    def _atom(self) -> DataFrame:
+    def _atom(self) -> Any:
         t = self._peek()
         if t is None or t[4] or t[5] == ")":
             raise BadQuery("a term is missing")
