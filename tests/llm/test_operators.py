@@ -177,6 +177,25 @@ def test_language(spark, odd, empty):
     assert langid.keep_identified(odd, langid.fit(docs)).columns == odd.columns
 
 
+def test_language_of_long_texts(spark):
+    """The margin of a clean text does not fall with its length: several MB are kept as a few KB are."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    dictionaries = langid.fit(docs)
+    held = docs.filter(langid.held_out(F.col("doc_id")) & F.col("text").isNotNull() & F.col("lang").isNotNull()).collect()
+    words = {name: " ".join(r["text"] for r in held if r["lang"] == name).split() for name in dictionaries}
+    draw = random.Random(4)
+    long = {name: " ".join(draw.choices(w, k=700_000)) for name, w in words.items()}
+    assert len(long) > 1 and all(len(t) > 3_000_000 for t in long.values())
+    classify = langid.classifier(dictionaries)
+    for name, text in long.items():
+        for size in (100_000, len(text)):
+            found, margin = classify(text[:size])
+            assert found == name and margin > classify(text[:3000])[1] / 2
+    rows = spark.createDataFrame([(i, t, n, "s", len(t)) for i, (n, t) in enumerate(long.items())], DOCS)
+    assert langid.keep_identified(rows, dictionaries).count() == len(long)
+    assert {r["lang"] for r in langid.identify(rows, dictionaries).filter("not rejected").select(F.col("lang_pred").alias("lang")).collect()} == set(long)
+
+
 # 5 ---------------------------------------------------------------------------------------------------------------
 CONTROL = st.lists(st.sampled_from(["<s>", "</s>", "[INST]", "[/INST]", "\\", "<", "[", "/", "s>", "é", "\n", "<<SYS>>", "\x01", "n", "s", ""]), max_size=8).map("".join)
 

@@ -18,6 +18,9 @@ ROWS, LETTERS, LANGUAGES = 200, 1024, 256
 #: Texts of fewer bytes are encoded at the finer level, twice in a row, so that the coder does not store them raw.
 SHORT = 512
 LEVELS = (9, 19)
+#: Longer texts are encoded in equal pieces of so many bytes at most. A dictionary saves a bounded number of bytes in
+#: one run, so over a whole text its share, and the margin with it, would fall with the length.
+PIECE = 4096
 NARROW = 0.005
 
 
@@ -57,6 +60,7 @@ def fit(docs: DataFrame, rows: int = ROWS, chars: int = LETTERS, languages: int
 def classifier(dictionaries: dict[str, bytes]) -> Callable[[str | None], tuple[str, float]]:
     """text -> (language, margin): by how much of its length the next best encoding is longer.
 
+    A text's length is the sum over pieces of ``PIECE`` bytes at most that cover all of it, each encoded on its own.
     Equal lengths go to the more frequent language and have margin 0. A text that is null or has no letter is
     undetermined, as is any text where no language was learned; a single language has margin 1.
     """
@@ -73,7 +77,9 @@ def classifier(dictionaries: dict[str, bytes]) -> Callable[[str | None], tuple[s
         short = len(data) < SHORT
         if short:
             data = data + b" " + data
-        sizes = [len(c.compress(data)) for c in coders[short]]
+        width = -(-len(data) // -(-len(data) // PIECE))
+        pieces = [data[at : at + width] for at in range(0, len(data), width)]
+        sizes = [sum(len(c.compress(p)) for p in pieces) for c in coders[short]]
         best = min(range(len(names)), key=sizes.__getitem__)
         if len(names) == 1:
             return names[0], 1.0
