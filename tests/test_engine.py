@@ -1,13 +1,14 @@
 """The command surface on a few seeded sessions."""
 
 import json
+import math
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidewrack.functions.limits import BadArgument
 from tidewrack.functions.vectors import embed_terms
-from tidewrack.operators import sessions, upkeep
+from tidewrack.operators import retrieval, sessions, upkeep
 from tidewrack.plans.engine import Engine
 
 S = "id string, source string, external_id string, project_path string, parent_session_id string, agent_type string, model string, title string, started_at long, turn_count long, tool_call_count long"
@@ -70,6 +71,22 @@ def test_search(engine):
     assert engine.similar("docs", mode="embedding").data["sessions"][0]["session_id"] == "cc--aaaa-2"
 
 
+def test_similar_past_a_hot_session(engine, spark):
+    """A session with more good chunks than the lexical pool holds does not push the others out."""
+    hot = [("cc--aaaa-1", i, embed_terms(["parser"])) for i in range(200)] + [("cc--aaaa-2", 200, embed_terms(["parser", "docs"])), ("cx--bbbb", 201, embed_terms(["parser", "tests", "more"]))]
+    crowded = Engine(spark, engine.r | {"chunks": spark.createDataFrame(hot, "session_id string, chunk long, embedding array<double>")}, register=False)
+    assert [r["session_id"] for r in crowded.similar("parser", mode="embedding", n=3).data["sessions"]] == ["cc--aaaa-1", "cc--aaaa-2", "cx--bbbb"]
+    fused = {r["session_id"]: r["semantic_rank"] for r in crowded.similar("parser", mode="hybrid", n=3).data["sessions"]}
+    assert fused == {"cc--aaaa-1": 0, "cc--aaaa-2": 1, "cx--bbbb": 2}
+
+
+def test_semantic_ranks(spark):
+    scores = [None if i % 50 == 0 else round(math.cos(i), 2) for i in range(300)] + [1.0, 1.0000000000000002, -1.0]
+    got = retrieval.ranked(spark.createDataFrame(list(enumerate(scores)), "session_id long, score double")).orderBy("semantic_rank").collect()
+    order = sorted(range(len(scores)), key=lambda i: (scores[i] is None, -(scores[i] or 0), i))
+    assert [(r["session_id"], r["semantic_rank"]) for r in got] == [(s, n) for n, s in enumerate(order)]
+
+
 def test_query_and_schema(engine):
     assert engine.query("SELECT count(*) AS n FROM sessions").data["rows"] == [{"n": 3}]
     assert engine.query("DELETE FROM sessions").status == "error"

@@ -12,6 +12,8 @@ from tidewrack.functions import patterns as P
 from tidewrack.functions.vectors import cosine
 
 CHARS_PER_TOKEN, TARGET, MOST = 4, 1000, 1500
+#: Slices of a unit of cosine in which sessions are ranked on their own.
+SLICES = 2048
 
 
 def message_text(messages: DataFrame, calls: DataFrame) -> DataFrame:
@@ -88,8 +90,12 @@ def finalize(chunks: DataFrame) -> DataFrame:
 
 def nearest(chunks: DataFrame, query: list[float], k: int, vector: str = "embedding", keys: tuple[str, ...] = ("chunk",)) -> DataFrame:
     """The k chunks of greatest cosine, by an exact scan: a projection and a top-k that combines ahead of its exchange."""
-    score = cosine(F.col(vector), F.array(*(F.lit(float(x)) for x in query)))
-    return chunks.withColumn("score", score).orderBy(F.desc("score"), *keys).limit(k)
+    return scored(chunks, query, vector).orderBy(F.desc("score"), *keys).limit(k)
+
+
+def scored(chunks: DataFrame, query: list[float], vector: str = "embedding") -> DataFrame:
+    """All chunks with their cosine as score."""
+    return chunks.withColumn("score", cosine(F.col(vector), F.array(*(F.lit(float(x)) for x in query))))
 
 
 def adjusted(score: Column, kind: Column, text: Column, query: str) -> Column:
@@ -105,11 +111,23 @@ def best_per_session(scored: DataFrame, by: str = "session_id", score: str = "sc
     return scored.groupBy(by).agg(F.max_by(F.struct(F.col(key), F.col(score)), order).alias("b")).select(by, f"b.{key}", f"b.{score}")
 
 
+def ranked(semantic: DataFrame, key: str = "session_id") -> DataFrame:
+    """``semantic`` (key, score) with semantic_rank, from 0, by score from the greatest and key.
+
+    Equal slices of the scores are numbered on their own and moved up by the counts of the slices ahead, so a list of
+    any length is ranked without meeting in one task."""
+    rows = semantic.select(key, "score").withColumn("_slice", F.coalesce(F.floor((1 - F.col("score")) * SLICES), F.lit(1 << 40)))
+    ahead = rows.groupBy("_slice").count().select(F.col("_slice").alias("_at"), (F.sum("count").over(Window.orderBy("_slice")) - F.col("count")).alias("_ahead"))
+    own = F.row_number().over(Window.partitionBy("_slice").orderBy(F.desc("score"), key)) - 1
+    return rows.withColumn("_own", own).join(F.broadcast(ahead), F.col("_slice") == F.col("_at")).select(key, "score", (F.col("_own") + F.col("_ahead")).cast("int").alias("semantic_rank"))
+
+
 def hybrid(lexical: DataFrame, semantic: DataFrame, key: str = "session_id") -> DataFrame:
-    """Fusion of two short ranked lists (key, score): 0.6 / (lexical rank + 1) + 0.4 * max(0, cosine) / (semantic
-    rank + 1), ranks from 0. Both are top-k lists, so ranking them in one task is bounded by k."""
+    """Fusion of two ranked lists (key, score): 0.6 / (lexical rank + 1) + 0.4 * max(0, cosine) / (semantic
+    rank + 1), ranks from 0. The lexical list is a pool, so ranking it in one task is bounded; the semantic one may
+    hold every session."""
     a = lexical.select(F.col(key).alias("a_key"), (F.row_number().over(Window.orderBy("score", key)) - 1).alias("lexical_rank"))
-    b = semantic.select(F.col(key).alias("b_key"), F.col("score").alias("cosine"), (F.row_number().over(Window.orderBy(F.desc("score"), key)) - 1).alias("semantic_rank"))
+    b = ranked(semantic, key).select(F.col(key).alias("b_key"), F.col("score").alias("cosine"), "semantic_rank")
     both = a.join(b, F.col("a_key") == F.col("b_key"), "full_outer")
     fused = F.coalesce(0.6 / (F.col("lexical_rank") + 1), F.lit(0.0)) + F.coalesce(0.4 * F.greatest(F.lit(0.0), F.col("cosine")) / (F.col("semantic_rank") + 1), F.lit(0.0))
     return both.select(F.coalesce("a_key", "b_key").alias(key), "lexical_rank", "semantic_rank", fused.alias("score"))

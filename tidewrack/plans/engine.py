@@ -144,7 +144,8 @@ class Engine:
 
     def similar(self, text: str, mode: str = "auto", n: object = None, exclude: list[str] | None = None, project: str | None = None) -> Envelope:
         """Sessions like a text: lexical, by embedding, or both fused. Auto takes both if there are embeddings and
-        something is excluded within a project, else words alone. Families of excluded sessions are left out."""
+        something is excluded within a project, else words alone. Families of excluded sessions are left out.
+        Words have a pool of messages; by embedding every chunk is scored and every session has its best."""
         k = limit("similar", n)
         pool = max(20 * k, 50)
         usable = "chunks" in self.r
@@ -165,7 +166,7 @@ class Engine:
                 found = lexical.orderBy("score", "session_id").limit(k)
             else:
                 chunks = self.r["chunks"].join(own.select("session_id").distinct(), "session_id", "left_semi")
-                near = retrieval.best_per_session(retrieval.nearest(chunks, embed_terms(terms), pool))
+                near = retrieval.best_per_session(retrieval.scored(chunks, embed_terms(terms)))
                 found = near.orderBy(F.desc("score"), "session_id").limit(k) if chosen == "embedding" else retrieval.hybrid(lexical, near).orderBy(F.desc("score"), "session_id").limit(k)
             return {"mode": chosen, "sessions": rows(found)}
 
