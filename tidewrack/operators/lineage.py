@@ -2,34 +2,40 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+@cache
+def _fallback() -> str:
+    folder = f"/tmp/checkpoints/{uuid.uuid4().hex}"
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return f"file://{folder}"
+
+
 def _cut(df: DataFrame) -> DataFrame:
-    """Written to the shared folder if the session names one, so that rounds do not pile up."""
+    """Written to the shared folder, or to a local one if the session names none, so that rounds do not pile up."""
     spark: SparkSession = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return df
+    folder = spark.conf.get("spark.checkpoint.dir", None) or _fallback()
     path = f"{folder.rstrip('/')}/lineage/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def family(seeds: DataFrame, links: DataFrame, rounds: int = 64) -> DataFrame:
+def family(seeds: DataFrame, links: DataFrame) -> DataFrame:
     """All sessions connected with ``seeds`` (id) over ``links`` (parent, child), either way. Unknown seeds stay.
 
-    The frontier is joined with the links each round and what has been seen is taken off it; a round costs one join
-    with the frontier, and cycles end it."""
-    both = links.select(F.col("parent").alias("a"), F.col("child").alias("b")).unionByName(links.select(F.col("child").alias("a"), F.col("parent").alias("b"))).filter("a is not null and b is not null").distinct()
-    seen = frontier = seeds.select("id").distinct()
-    for _ in range(rounds):
+    The frontier is joined with the links each round and what has been seen is taken off it, until nothing is left;
+    a round costs one join with the frontier, and cycles end it."""
+    both = _cut(links.select(F.col("parent").alias("a"), F.col("child").alias("b")).unionByName(links.select(F.col("child").alias("a"), F.col("parent").alias("b"))).filter("a is not null and b is not null").distinct())
+    seen = frontier = _cut(seeds.select("id").distinct())
+    while frontier.limit(1).count():
         frontier = _cut(frontier.join(both, F.col("id") == F.col("a")).select(F.col("b").alias("id")).distinct().join(seen, "id", "left_anti"))
-        if not frontier.limit(1).count():
-            break
         seen = _cut(seen.unionByName(frontier))
     return seen
 
