@@ -106,7 +106,7 @@ def adjusted(score: Column, kind: Column, text: Column, query: str) -> Column:
 
 
 def best_per_session(scored: DataFrame, by: str = "session_id", score: str = "score", key: str = "chunk") -> DataFrame:
-    """A session's best chunk: greatest score, then coverage if there is any, then the smallest key."""
+    """A session's best chunk: greatest score, then the smallest key."""
     order = F.struct(F.col(score), -F.col(key))
     return scored.groupBy(by).agg(F.max_by(F.struct(F.col(key), F.col(score)), order).alias("b")).select(by, f"b.{key}", f"b.{score}")
 
