@@ -1,33 +1,50 @@
 """Line dedup: an exact set-similarity join of lines, and the removal of later matches. Built-in functions only.
 
 A line is the set of its words. Words are ordered by rarity; two sets of Jaccard 0.8 or more share a word among the
-first few of each (the prefix), so lines are met by prefix words, thinned out by length, position and a parity bitmap,
-and then verified on their whole sets.
+first few of each (the prefix), so lines are met by prefix words, thinned out by length, position and signatures, and
+then verified on their words.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
+from functools import reduce
+from operator import add
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewrack.llm import ordering, scratch
-
-WORD = r"[^\x20\x09-\x0D]+"
-#: Counters of word frequency; one byte each goes into the plan, whatever the size of the corpus.
-COUNTERS = 1 << 16
-#: Each line is first met with so many of the earliest lines of each of its prefix words.
+from tidewrack.llm import scratch
+
+#: Counters of word frequency; one byte each goes into the plan, whatever the size of the corpus. Spark's fast path of
+#: hash aggregation is set to as many entries while they are counted.
+COUNTERS = 1 << 19
+FAST_PATH = "spark.sql.codegen.aggregate.fastHashMap.capacityBit"
+COUNTER_BLOCK = 1 << 12
+#: A word's key is its rarity class, the octave of its counter from 32 on, above 57 bits of its hash. Keys only
+#: propose pairs.
+LEVELS, ONCE, SHIFT = 32, 32, 57
+#: Words of this octave or above may be in many lines: those are first met with HEADS lines of each word only.
+FREQUENT = 9
 HEADS = 4
-#: Bits of the filter that picks the lines to verify: seven to a byte of a literal in the plan.
-FILTER_WORDS = 1 << 16
-FILTER_BITS = 56 * FILTER_WORDS
+#: What orders lines.
+PLACE = ("none", "id", "version", "line")
+#: So many numbers of lines, 8 bytes each, may be broadcast to pick them out.
+FEW = 1 << 20
+
 
+def _words(line: Column) -> Column:
+    """The words of a line, which end at space, tab, form feeds or carriage return. Other white space than the space
+    is rare, and the split at one character is the quick one."""
+    odd = F.lit(False)
+    for c in "\t\x0b\x0c\r":
+        odd = odd | F.contains(line, F.lit(c))
+    plain = F.when(odd, F.translate(line, "\t\x0b\x0c\r", "    ")).otherwise(line)
+    return F.array_remove(F.split(plain, " "), "")
 
-def _words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+
+def _lines(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
 def _byte(data: bytes, at: Column) -> Column:
@@ -35,125 +52,202 @@ def _byte(data: bytes, at: Column) -> Column:
     return F.ascii(F.substr(F.lit(data), at.cast("int") + 1, F.lit(1)).cast("string"))
 
 
-def rarity(docs: DataFrame, text_col: str = "text") -> bytes:
-    """For each of ``COUNTERS`` hash classes of words, half-octaves of how often its words occur in all texts.
-
-    The aggregate has ``COUNTERS`` rows at most; they are all that comes to the driver."""
-    seen = docs.select(F.explode(_words(F.coalesce(F.col(text_col), F.lit("")))).alias("w"))
-    levels = bytearray(COUNTERS)
-    for at, n in seen.groupBy(F.pmod(F.xxhash64("w"), F.lit(COUNTERS)).alias("at")).count().collect():
-        levels[at] = min(127, int(2 * math.log2(1 + n)))
-    return bytes(levels)
-
-
-def line_sets(docs: DataFrame, levels: bytes, id_col: str = "doc_id", text_col: str = "text", wanted: Callable[[Column], Column] | None = None) -> DataFrame:
-    """One row a line: doc (a number of the row), id, line, c (a hash of its content), keys (the set's words, rarest
-    first), n, h, sig. With ``wanted``, a test of c, only those lines are taken apart.
-
-    A word is its rarity class in the upper byte and 56 bits of its hash, so keys in order are words by rarity. ``h``
-    names the set; ``sig`` has the parity of its words over 64 places: two sets differ in as many words as their
-    signatures do in bits, or more."""
-    numbered = docs.select(F.monotonically_increasing_id().alias("doc"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    lines = numbered.select("doc", "id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "content"))
-    lines = lines.withColumn("c", F.xxhash64("content"))
-    lines = lines if wanted is None else lines.filter(wanted(F.col("c")))
+def split_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row a line: none (whether the id is null), id, version (a hash of the text), doc (a number of the row), line,
+    content, and c1 and c2, 128 bits of hashes that stand for the content."""
+    text = F.col(text_col)
+    rows = docs.select(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text).alias("version"), F.monotonically_increasing_id().alias("doc"), text.alias("text"))
+    rows = rows.select("none", "id", "version", "doc", F.posexplode(_lines(F.col("text"))).alias("line", "content"))
+    return rows.select("*", F.xxhash64("content").alias("c1"), F.xxhash64(F.lit(1), F.col("content")).alias("c2"))
+
+
+def rarity(contents: DataFrame) -> bytes:
+    """For each of ``COUNTERS`` hash classes of words, the octave of how often its words occur in ``contents``
+    (content), from 32 on; 32 is once or never. Only these bytes come to the driver."""
+    spark = contents.sparkSession
+    seen = contents.select(F.explode(_words(F.col("content"))).alias("w"))
+    counts = seen.groupBy(F.xxhash64("w").bitwiseAND(F.lit(COUNTERS - 1)).alias("at")).agg(F.count(F.lit(1)).alias("n"))
+    zeros = spark.range(COUNTERS).select(F.col("id").alias("at"), F.lit(0).cast("long").alias("n"))
+    level = F.least(F.floor(F.log2(F.greatest(F.sum("n"), F.lit(1)))), F.lit(LEVELS - 1)).cast("int")
+    levels = counts.unionByName(zeros).groupBy("at").agg(level.alias("level"))
+    runs = levels.groupBy(F.expr(f"at div {COUNTER_BLOCK}").alias("block")).agg(F.array_sort(F.collect_list(F.struct("at", "level"))).alias("run"))
+    spelled = runs.select("block", F.array_join(F.transform("run", lambda r: F.call_function("chr", r["level"] + ONCE)), "").alias("run"))
+    before = spark.conf.get(FAST_PATH)
+    spark.conf.set(FAST_PATH, str(COUNTERS.bit_length() - 1))
+    try:
+        return "".join(r["run"] for r in sorted(spelled.collect())).encode()
+    finally:
+        spark.conf.set(FAST_PATH, before)
+
+
+def line_sets(contents: DataFrame, levels: bytes) -> DataFrame:
+    """Of ``contents`` with words: set, its place, n (its distinct words), sig, sig2 and prefix.
+
+    Keys in order are words by rarity; the prefix is the first of them, so many that two sets of Jaccard 4/5 share
+    one. ``sig`` and ``sig2`` have the parity of the words over 128 places: two sets differ in as many words as the two
+    do in bits together, or more."""
     hashes = F.array_distinct(F.transform(_words(F.col("content")), lambda w: F.xxhash64(w)))
-    keys = F.sort_array(F.transform(hashes, lambda h: F.shiftleft(_byte(levels, F.pmod(h, F.lit(COUNTERS))).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))))
-    rows = lines.select("doc", "id", "line", "c", keys.alias("keys"))
-    sig = F.aggregate("keys", F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))))
-    return rows.select("doc", "id", "line", "c", "keys", F.size("keys").alias("n"), F.xxhash64("keys").alias("h"), sig.alias("sig"))
-
-
-def _fits(a_n: Column, a_pos: Column, a_sig: Column, b: Column) -> Column:
-    """Whether sets that share the word at these places can reach Jaccard 4/5: by length, by what is left after the
-    shared word, and by how many words the signatures tell apart."""
-    both = a_n + b["n"]
-    need = F.floor((4 * both + 8) / 9)
-    most = F.least(a_pos, b["pos"]) + 1 + F.least(a_n - a_pos, b["n"] - b["pos"]) - 1
-    return (5 * a_n >= 4 * b["n"]) & (5 * b["n"] >= 4 * a_n) & (most >= need) & (F.bit_count(a_sig.bitwiseXOR(b["sig"])) <= both - 2 * need)
-
-
-def _verified(pairs: DataFrame, names: DataFrame, docs: DataFrame, levels: bytes, id_col: str, text_col: str) -> DataFrame:
-    """The ``pairs`` (set, other) whose whole sets have Jaccard 4/5 or more, as a table. ``names`` has (set, h, c).
-
-    The sets are taken from the texts again, for just those lines that a filter of fixed size lets through: storing
-    or shuffling the words of all lines would cost more than the corpus."""
-    wanted = pairs.select(F.explode(F.array("set", "other")).alias("set")).distinct()
-    wanted = scratch.table(names.join(wanted, "set", "left_semi"), "wanted", tidy=True)
-    places = lambda h: (F.pmod(h, F.lit(FILTER_BITS)), F.pmod(F.shiftrightunsigned(h, 17), F.lit(FILTER_BITS)))
-    bits = wanted.select(F.explode(F.array(*places(F.col("c")))).alias("bit")).select(F.expr("bit div 56").alias("word"), F.expr("shiftleft(1L, cast((bit % 56) div 7 * 8 + bit % 7 as int))").alias("mask"))
-    words = bits.groupBy("word").agg(F.bit_or("mask").alias("mask")).collect()  # FILTER_WORDS rows at most
-    packed = np.zeros(FILTER_WORDS, "<i8")
-    for word, mask in words:
-        packed[word] = mask
-    filter_bytes = packed.tobytes()
-    test = lambda bit: F.call_function("shiftright", _byte(filter_bytes, F.floor(bit / 7)), (bit % 7).cast("int")).bitwiseAND(F.lit(1)) == 1
-    passes = lambda c: test(places(c)[0]) & test(places(c)[1])
-    lines = line_sets(docs, levels, id_col, text_col, passes).select("h", "keys")
-    sets = scratch.table(lines.join(wanted.select("set", "h"), "h").dropDuplicates(["h"]).select("set", "keys"), "whole_sets", tidy=True)
-    met = pairs.join(sets.withColumnRenamed("keys", "a"), "set").join(sets.select(F.col("set").alias("other"), F.col("keys").alias("b")), "other")
-    shared = F.size(F.array_intersect("a", "b"))
-    return scratch.table(met.filter(9 * shared >= 4 * (F.size("a") + F.size("b"))).select("set", "other"), "matches", tidy=True)
-
-
-def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a line of ``docs``: doc, id, line and removed: whether an earlier line has the same words or is similar
-    to 0.8 or more. Earlier is by (id, a null id last, row, line). Lines without words are never removed."""
-    levels = rarity(docs, text_col)
-    n = F.col("n")
-    prefix = F.slice("keys", F.lit(1), n - F.floor((4 * n + 4) / 5).cast("int") + 1)
-    lines = line_sets(docs, levels, id_col, text_col).select("doc", "id", "line", "c", "n", "h", "sig", F.when(n > 0, prefix).alias("prefix"))
-    lines = scratch.table(lines, "lines", tidy=True)
-    place = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("doc"), F.col("line"))
-    firsts = scratch.table(lines.filter("n > 0").groupBy("h").agg(F.min(place).alias("at")), "firsts", tidy=True)
-    # One number says which set is earlier and which set it is: postings have no room for more.
-    ranked = ordering.prefix_sums(firsts, [F.col("at").asc()], {}).select(F.col("row_before").alias("set"), F.col("h").alias("s_h"), F.col("at.doc").alias("s_doc"), F.col("at.line").alias("s_line"))
-    ranked = scratch.table(ranked, "ranked", tidy=True)
-    own = (F.col("h") == F.col("s_h")) & (F.col("doc") == F.col("s_doc")) & (F.col("line") == F.col("s_line"))
-    sets = scratch.table(lines.join(ranked, own).select("set", "h", "c", "n", "sig", "prefix"), "sets", tidy=True)
-    postings = sets.select("set", "n", "sig", F.posexplode("prefix").alias("pos", "token"))
-
-    # Many copies of a line differ by a word each: nearly all of them match the earliest lines of their words, and
-    # then nothing else needs to be known. This is linear in the postings.
-    before = Window.partitionBy("token").orderBy("set").rowsBetween(Window.unboundedPreceding, -1)
-    entry = F.struct("set", "n", "sig", "pos")
-    heads = F.array(*(F.nth_value(entry, k).over(before) for k in range(1, HEADS + 1)))
-    near = postings.withColumn("heads", heads).select("set", F.explode(F.filter("heads", lambda b: b.isNotNull() & _fits(F.col("n"), F.col("pos"), F.col("sig"), b))).alias("b"))
-    first = scratch.table(near.select("set", F.col("b.set").alias("other")).distinct(), "near_heads", tidy=True)
-    names = sets.select("set", "h", "c")
-    matched = _verified(first, names, docs, levels, id_col, text_col).select("set").distinct()
-
-    # All others are met with every earlier line of their words.
-    open_sets = scratch.table(sets.join(matched, "set", "left_anti").select("set", "n", "sig", "prefix"), "open", tidy=True)
-    asked = open_sets.select(F.col("set").alias("a_set"), F.col("n").alias("a_n"), F.col("sig").alias("a_sig"), F.posexplode("prefix").alias("a_pos", "a_token"))
-    met = asked.join(postings, (F.col("a_token") == F.col("token")) & (F.col("set") < F.col("a_set")) & _fits(F.col("a_n"), F.col("a_pos"), F.col("a_sig"), entry))
-    rest = met.select(F.col("a_set").alias("set"), F.col("set").alias("other")).distinct().join(first, ["set", "other"], "left_anti")
-    rest = scratch.table(rest, "near_rest", tidy=True)
-    matched = matched.unionByName(_verified(rest, names, docs, levels, id_col, text_col).select("set")).distinct().withColumnRenamed("set", "m_set")
-    fates = ranked.join(matched, F.col("set") == F.col("m_set"), "left").select(F.col("s_h").alias("f_h"), F.col("s_doc").alias("f_doc"), F.col("s_line").alias("f_line"), F.col("m_set").isNotNull().alias("matched"))
-    fates = scratch.table(fates, "fates", tidy=True)
-    joined = lines.select("doc", "id", "line", F.when(F.col("n") > 0, F.col("h")).alias("h")).join(fates, F.col("h") == F.col("f_h"), "left")
-    removed = F.col("h").isNotNull() & (F.col("matched") | (F.col("f_doc") != F.col("doc")) | (F.col("f_line") != F.col("line")))
-    return joined.select("doc", "id", "line", removed.alias("removed"))
+    level = lambda h: _byte(levels, h.bitwiseAND(F.lit(COUNTERS - 1))).cast("long")
+    keys = F.sort_array(F.transform(hashes, lambda h: F.shiftleft(level(h), SHIFT).bitwiseOR(F.shiftrightunsigned(h, 64 - SHIFT))))
+    rows = contents.select("set", *PLACE, keys.alias("keys"))
+
+    def parity(half: int) -> Column:
+        # A word's place is seven bits of its hash; the one above six of them says which of the two it is in.
+        bit = lambda k: F.call_function("shiftleft", F.shiftrightunsigned(k, 6).bitwiseXOR(F.lit(1 - half)).bitwiseAND(F.lit(1).cast("long")), k.bitwiseAND(F.lit(63)).cast("int"))
+        return F.aggregate("keys", F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(bit(k)))
+
+    n = F.size("keys")
+    prefix = F.slice("keys", F.lit(1), F.when(n > 0, n - F.floor((4 * n + 4) / 5).cast("int") + 1).otherwise(0))
+    return rows.withColumns({"n": n, "sig": parity(0), "sig2": parity(1), "prefix": prefix}).drop("keys").filter("n > 0")
+
+
+def _need(both: Column) -> Column:
+    """The words that two sets of ``both`` words together must share for Jaccard 4/5."""
+    return F.floor((4 * both + 8) / 9)
+
+
+def _fits(a: str, b: str) -> Column:
+    """Whether sets a and b (columns a_at, a_sig ...) that share the word at these places can reach Jaccard 4/5: by how many words the signatures tell apart, by length, and by what is left from the shared word on."""
+    a_n, a_pos, b_n, b_pos = (part for s in (a, b) for part in (F.shiftright(f"{s}_at", 32), F.col(f"{s}_at").bitwiseAND(F.lit((1 << 32) - 1))))
+    both = a_n + b_n
+    most = F.least(a_pos, b_pos) + F.least(a_n - a_pos, b_n - b_pos)
+    apart = F.bit_count(F.col(f"{a}_sig").bitwiseXOR(F.col(f"{b}_sig"))) + F.bit_count(F.col(f"{a}_sig2").bitwiseXOR(F.col(f"{b}_sig2")))
+    return (apart <= both - 2 * _need(both)) & (5 * a_n >= 4 * b_n) & (5 * b_n >= 4 * a_n) & (most >= _need(both))
+
+
+def _postings(sets: DataFrame, side: str, test: Callable[[Column], Column], *more: str) -> DataFrame:
+    """One row for each prefix word of ``sets`` whose rarity class passes: token, at (the set's size above the word's
+    place in it, as rows are many and have no room), and the set's columns under names of ``side``. A word that occurs but once in all lines can be shared by none and is left out."""
+    each = sets.select("set", "n", "sig", "sig2", *more, F.posexplode("prefix").alias("pos", "token"))
+    level = F.shiftrightunsigned("token", SHIFT) - ONCE
+    each = each.withColumn("at", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long")))
+    return each.filter((level > 0) & test(level)).select(F.col("token").alias(f"{side}_token"), *(F.col(c).alias(f"{side}_{c}") for c in ("set", "at", "sig", "sig2", *more)))
+
+
+def _wide(words: Column) -> Column:
+    """The parity of the words over 256 places, as four longs."""
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+    part = lambda k: F.aggregate(F.filter(hashes, lambda h: F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(3)) == k), F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(bit(h)))
+    return F.array(*(part(k) for k in range(4)))
+
+
+def _pulled(wanted: DataFrame, contents: DataFrame) -> DataFrame:
+    """``wanted`` (set and more) with content and wide. Up to ``FEW`` are broadcast and picked out where contents are
+    read; more of them are met by a shuffle."""
+    some = contents.select("set", "content")
+    if wanted.count() <= FEW:
+        some = some.join(F.broadcast(wanted.select("set")), "set", "left_semi")
+    taken = wanted.join(some, "set").withColumn("words", F.array_distinct(_words(F.col("content"))))
+    return scratch.table(taken.select(*wanted.columns, "content", _wide(F.col("words")).alias("wide")), "pulled", compact=True)
+
+
+def _matched(pairs: DataFrame, sets: DataFrame, contents: DataFrame) -> DataFrame:
+    """(set): the later one of each of the ``pairs`` (x, y) of set numbers that are similar to 4/5 on their words.
+
+    Signatures of 256 places leave hardly any but similar pairs. A set then needs one match: its nearest partner is
+    verified first, and the others only of those sets that it leaves open. Each step is at most the pairs in size."""
+    pairs = scratch.table(pairs, "pairs")
+    ends = pairs.select(F.explode(F.array("x", "y")).alias("set")).distinct()
+    wanted = scratch.table(sets.join(ends, "set", "left_semi").select("set", *PLACE, "n"), "wanted")
+    pulled = _pulled(wanted, contents)
+    of = lambda s: pulled.select(F.col("set").alias(s), F.col("n").alias(f"{s}_n"), F.col("wide").alias(f"{s}_wide"), F.struct(*PLACE).alias(f"{s}_place"))
+    both = F.col("x_n") + F.col("y_n")
+    apart = reduce(add, (F.bit_count(F.col("x_wide")[k].bitwiseXOR(F.col("y_wide")[k])) for k in range(4)))
+    near = pairs.join(of("x"), "x").join(of("y"), "y").withColumn("apart", apart).filter(F.col("apart") <= both - 2 * _need(both))
+    later = F.col("x_place") > F.col("y_place")
+    near = near.select(F.when(later, F.col("x")).otherwise(F.col("y")).alias("set"), F.when(later, F.col("y")).otherwise(F.col("x")).alias("other"), "apart")
+    near = scratch.table(near, "near")
+    a, b = pulled.select("set", F.col("content").alias("a")), pulled.select(F.col("set").alias("other"), F.col("content").alias("b"))
+
+    def verified(some: DataFrame) -> DataFrame:
+        met = some.join(a, "set").join(b, "other").select("set", F.array_distinct(_words(F.col("a"))).alias("a"), F.array_distinct(_words(F.col("b"))).alias("b"))
+        return met.filter(9 * F.size(F.array_intersect("a", "b")) >= 4 * (F.size("a") + F.size("b"))).select("set").distinct()
+
+    best = near.groupBy("set").agg(F.min(F.struct("apart", "other")).alias("best"))
+    best = scratch.table(best.select("set", F.col("best.other").alias("other")), "best")
+    sure = scratch.table(verified(best), "sure")
+    rest = near.select("set", "other").join(best, ["set", "other"], "left_anti").join(sure, "set", "left_anti")
+    found = scratch.table(sure.unionByName(verified(rest)), "matched")
+    scratch.drop(pairs, wanted, pulled, near, best, sure)
+    return found
+
+
+def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(lines, gone): one row a line of ``docs`` (doc, id, line and more), and (doc, line) of those that an earlier
+    line with the same words, or similar to 0.8 or more, makes superfluous. Earlier is by (id, a null id last, a hash
+    of the text, line); of rows that agree in all of these all but one lose their lines. Lines without words stay."""
+    split = split_lines(docs, id_col, text_col)
+    lines = scratch.table(split.drop("content"), "lines")
+    # Equal lines are one from here on, however many there are.
+    contents = split.groupBy("c1", "c2").agg(F.min(F.struct(*PLACE, "content")).alias("first"), F.count(F.lit(1)).alias("copies"))
+    contents = scratch.table(contents.select(F.monotonically_increasing_id().alias("set"), "c1", "c2", "copies", "first.*"), "contents", compact=True)
+    sets = scratch.table(line_sets(contents, rarity(contents)), "sets")
+
+    # A word of many lines is met with the earliest lines that have it first. That settles large groups of lines
+    # which differ by a word or so, at a cost linear in the group.
+    often, rare = (lambda level: level >= FREQUENT), (lambda level: level < FREQUENT)
+    frequent = _postings(sets, "a", often, *PLACE)
+    in_order = Window.partitionBy("a_token").orderBy(*(f"a_{c}" for c in PLACE), "a_set")
+    whole = in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    entry = F.struct("a_set", "a_at", "a_sig", "a_sig2")
+    ranked = frequent.withColumn("a_rank", F.row_number().over(in_order)).withColumns({f"b{k}": F.nth_value(entry, k).over(whole) for k in range(1, HEADS + 1)})
+    for k in range(1, HEADS + 1):
+        ranked = ranked.withColumns({f"b{k}_{c}": F.col(f"b{k}.a_{c}") for c in ("at", "sig", "sig2")})
+    met = F.array(*(F.when((F.col("a_rank") > k) & _fits("a", f"b{k}"), F.col(f"b{k}.a_set")) for k in range(1, HEADS + 1)))
+    pairs = ranked.select("a_set", F.explode(F.filter(met, lambda b: b.isNotNull())).alias("b_set")).select(F.col("a_set").alias("x"), F.col("b_set").alias("y")).distinct()
+    settled = _matched(pairs, sets, contents)
+
+    # Rarer words are in few lines: all of these meet. For the frequent ones, lines that are still open ask all.
+    meet = (F.col("a_token") == F.col("b_token")) & _fits("a", "b")
+    pair = [F.least("a_set", "b_set").alias("x"), F.greatest("a_set", "b_set").alias("y")]
+    pairs = _postings(sets, "a", rare).join(_postings(sets, "b", rare), meet & (F.col("a_set") < F.col("b_set"))).select(*pair)
+    asked = _postings(sets.join(settled, "set", "left_anti"), "a", often, *PLACE)
+    earlier = F.struct(*(F.col(f"b_{c}") for c in PLACE)) < F.struct(*(F.col(f"a_{c}") for c in PLACE))
+    pairs = pairs.unionByName(asked.join(_postings(sets, "b", often, *PLACE), meet & earlier).select(*pair)).distinct()
+    matched = settled.unionByName(_matched(pairs, sets, contents)).distinct()
+
+    # Lines without words are in no set and stay, however often they recur.
+    worded = sets.select(F.col("set").alias("s_set")).join(matched.withColumnRenamed("set", "m_set"), F.col("s_set") == F.col("m_set"), "left")
+    fates = contents.join(worded, F.col("set") == F.col("s_set")).filter("copies > 1 or m_set is not null")
+    fates = fates.select(F.col("c1").alias("f_c1"), F.col("c2").alias("f_c2"), F.struct(*PLACE).alias("f_place"), F.col("m_set").isNotNull().alias("f_matched"))
+    fates = scratch.table(fates, "fates")
+    scratch.drop(contents, sets, settled)
+    heads = lines.filter("line = 0")
+    repeated = heads.groupBy(F.col("none").alias("r_none"), F.col("id").alias("r_id"), F.col("version").alias("r_version")).agg(F.min("doc").alias("r_doc"), F.count(F.lit(1)).alias("r_rows")).filter("r_rows > 1")
+    again = heads.join(repeated, (F.col("version") == F.col("r_version")) & F.col("id").eqNullSafe(F.col("r_id")) & (F.col("doc") != F.col("r_doc"))).select(F.col("doc").alias("again"))
+    lost = lines.join(fates, (F.col("c1") == F.col("f_c1")) & (F.col("c2") == F.col("f_c2"))).join(again, F.col("doc") == F.col("again"), "left")
+    lost = lost.filter(F.col("f_matched") | (F.struct(*PLACE) != F.col("f_place")) | F.col("again").isNotNull())
+    return lines, lost.select("doc", "line")
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_lines, n_removed and removed_lines, their numbers from 0, comma-joined.
 
-    A null text is one empty line. Null and repeated ids are rows of their own, in the order of the rows. An empty
-    table gives no rows. Other columns are ignored."""
-    fate = later_matches(docs, id_col, text_col).groupBy("doc").agg(F.first("id").alias("doc_id"), F.count(F.lit(1)).alias("n_lines"), F.array_sort(F.collect_list(F.when(F.col("removed"), F.col("line")))).alias("gone"))
-    return fate.select("doc_id", "n_lines", F.size("gone").cast("long").alias("n_removed"), F.array_join(F.col("gone").cast("array<string>"), ",").alias("removed_lines"))
+    A null text is one empty line. Null and repeated ids are rows of their own. An empty table gives no rows. Other
+    columns are ignored. Words are told apart as strings where pairs are verified; equal lines are known by
+    128 bits of hashes."""
+    lines, lost = later_matches(docs, id_col, text_col)
+    each = lines.groupBy("doc").agg(F.first("id").alias("doc_id"), F.count(F.lit(1)).alias("n_lines"))
+    gone = lost.groupBy(F.col("doc").alias("l_doc")).agg(F.array_sort(F.collect_list("line")).alias("gone"))
+    gone = each.join(gone, F.col("doc") == F.col("l_doc"), "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
+    return gone.select("doc_id", "n_lines", F.size("gone").cast("long").alias("n_removed"), F.array_join(F.col("gone").cast("array<string>"), ",").alias("removed_lines"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without later matching lines. The rows are numbered, stored and read again, so that texts and lines
-    belong together whatever the ids are."""
-    numbered = scratch.table(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    gone = report(numbered.select(F.col("_row").alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text").filter("n_removed > 0")
-    joined = numbered.join(gone.select(F.col("doc_id").alias("_doc"), F.split("removed_lines", ",").cast("array<int>").alias("_gone")), F.col("_row") == F.col("_doc"), "left")
-    kept = F.array_join(F.filter(F.split(text_col, "\n"), lambda line, at: ~F.array_contains("_gone", at)), "\n")
-    return joined.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(kept)).select(*docs.columns)
+    """``docs`` without later matching lines, all columns kept as they are; a text that loses every line is empty.
+
+    The rows are numbered, stored and read again, so that texts and lines belong together whatever the ids are. Ties
+    are broken as in ``later_matches``; nulls, repeats and an empty table are as in ``report``."""
+    row, of, lines = scratch.fresh(docs, "row", "row_of", "lines_gone")
+    numbered = scratch.table(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    # Rows keep their order by id: a row number stands behind it only where id and text agree.
+    both = numbered.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("version"), F.col(row).alias("row")).alias("doc_id"), F.col(text_col).alias("text"))
+    gone = report(both, "doc_id", "text").filter("n_removed > 0")
+    gone = gone.select(F.col("doc_id.row").alias(of), F.split("removed_lines", ",").cast("array<int>").alias(lines))
+    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda line, at: ~F.array_contains(F.col(lines), at)), "\n")
+    joined = numbered.join(gone, F.col(row) == F.col(of), "left")
+    return joined.withColumn(text_col, F.when(F.col(lines).isNull(), F.col(text_col)).otherwise(kept)).select(*docs.columns)
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
