@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewrack.llm import ordering, scratch
+from tidewrack.llm import scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
 SEED = "mix-1"
-BUCKETS = 4096
+#: Hex digits of a key that one level of the histogram adds, and the keys that one task puts in order at most.
+DIGITS, EDGE = 3, 1 << 20
 
 
 def word_count(text: Column) -> Column:
@@ -29,44 +30,60 @@ def water_fill(sources: DataFrame, max_epochs: float = 3.0, cycle: int = 3) -> D
     Clamping and sharing anew until nothing exceeds its cap ends at one water level: target = min(cap, level *
     weight). Taking the sources by cap over weight, the level if the first k are clamped is (total - their caps) /
     (the other weights); it rises with k just as long as the next source is above its cap, so the level sought is
-    the largest of these. One pass of prefix sums finds it for any number of sources.
+    the largest of these. Windows over one row a source find it in one task.
     """
-    ranked = ordering.prefix_sums(sources, [F.col("source").asc_nulls_last()], {})
-    ranked = ranked.select("source", "source_size", (F.col("row_before") % cycle + 1).alias("weight"), (F.col("source_size") * max_epochs).alias("cap"))
-    ranked = scratch.table(ranked, "weights")
-    total, weights = ranked.agg(F.sum("source_size"), F.sum("weight")).first()
-    if not total:
-        return ranked.withColumn("target", F.lit(0.0))
-    filled = ordering.prefix_sums(ranked, [(F.col("cap") / F.col("weight")).asc(), F.col("source").asc_nulls_last()], {"caps_before": "cap", "weights_before": "weight"})
-    level = filled.agg(F.max((F.lit(float(total)) - F.col("caps_before")) / (F.lit(float(weights)) - F.col("weights_before")))).first()[0]
-    return ranked.withColumn("target", F.least("cap", F.lit(level) * F.col("weight")))
+    ranked = sources.withColumn("weight", (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % cycle + 1)
+    ranked = ranked.withColumn("cap", F.col("source_size") * F.lit(float(max_epochs)))
+    every = Window.partitionBy(F.lit(0))
+    lower = Window.partitionBy(F.lit(0)).orderBy((F.col("cap") / F.col("weight")).asc(), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    caps, weights = (F.coalesce(F.sum(c).over(lower), F.lit(0)) for c in ("cap", "weight"))
+    level = (F.sum("source_size").over(every).cast("double") - caps) / (F.sum("weight").over(every).cast("double") - weights)
+    filled = ranked.withColumn("level", level).withColumn("level", F.max("level").over(every))
+    return filled.select("source", "source_size", "weight", "cap", F.least("cap", F.col("level") * F.col("weight")).alias("target"))
+
+
+def _reach(hist: DataFrame, plan: DataFrame) -> DataFrame:
+    """For each source the part of its keys (``bucket``) where its need is reached, and the words ahead of that part.
+    ``hist`` has source, bucket, words, keys and before, the words ahead of all its buckets."""
+    up_to = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reach = hist.withColumn("incl", F.col("before") + F.sum("words").over(up_to)).join(plan, F.col("source").eqNullSafe(F.col("p_source")))
+    cut = F.min(F.struct("bucket", (F.col("incl") - F.col("words")).alias("excl"), "keys"))
+    return reach.filter("need > 0 and incl > need").groupBy("p_source").agg(cut.alias("cut"), F.first("need").alias("need")).select(F.col("p_source").alias("c_source"), "cut.*", "need")
 
 
 def mix_plan(rows: DataFrame, max_epochs: float = 3.0) -> DataFrame:
     """One row a source: its target, the whole repetitions of each row, and the draw key up to which rows are taken
     once more. ``rows`` has source, size and key.
 
-    The cut is found by a histogram of words over ``BUCKETS`` key prefixes a source; only the rows of one bucket a
-    source are put in order. Rows with one key are taken or left together.
+    The cut is found by a histogram of words over the first digits of the keys, refined within the one part where the
+    need is reached, by ``DIGITS`` more at a time, until that part has at most ``EDGE`` keys: so many are put in order
+    in a task, whatever the size of a source. Rows with one key are taken or left together. A source that needs
+    nothing beyond its whole repetitions has the empty key, which no row reaches.
     """
-    hist = scratch.table(rows.groupBy("source", F.substring("key", 1, 3).alias("bucket")).agg(F.sum("size").alias("words")), "hist")
+    count = [F.sum("size").alias("words"), F.approx_count_distinct("key").alias("keys")]
+    hist = scratch.table(rows.groupBy("source", F.substring("key", 1, DIGITS).alias("bucket")).agg(*count), "hist")
     plan = water_fill(hist.groupBy("source").agg(F.sum("words").alias("source_size")), max_epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     plan = plan.withColumn("whole", whole).withColumn("need", F.col("target") - F.col("whole") * F.col("source_size"))
     plan = scratch.table(plan.select(F.col("source").alias("p_source"), "source_size", "target", "whole", "need"), "targets")
-    up_to = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    reach = hist.withColumn("incl", F.sum("words").over(up_to)).join(plan, F.col("source").eqNullSafe(F.col("p_source")))
-    cuts = reach.filter("incl > need").groupBy("p_source").agg(F.min(F.struct("bucket", (F.col("incl") - F.col("words")).alias("excl"))).alias("cut"), F.first("need").alias("need"))
-    cuts = scratch.table(cuts.select(F.col("p_source").alias("c_source"), "cut.bucket", "cut.excl", "need"), "cuts")
-    edge = rows.join(cuts, F.col("source").eqNullSafe(F.col("c_source")) & (F.substring("key", 1, 3) == F.col("bucket")))
-    edge = edge.groupBy("c_source", "key").agg(F.sum("size").alias("size"), F.first("excl").alias("excl"), F.first("need").alias("need"))
+    cuts, digits = scratch.table(_reach(hist.withColumn("before", F.lit(0).cast("long")), plan), "cuts"), DIGITS
+
+    def inside() -> DataFrame:
+        return rows.join(cuts, F.col("source").eqNullSafe(F.col("c_source")) & (F.substring("key", 1, digits) == F.col("bucket")))
+
+    while digits < 16 and (cuts.agg(F.max("keys")).first()[0] or 0) > EDGE:
+        finer = inside().groupBy("source", F.substring("key", 1, digits + DIGITS).alias("finer")).agg(*count, F.first("excl").alias("before"))
+        cuts, digits = scratch.table(_reach(finer.withColumnRenamed("finer", "bucket"), plan), "cuts"), digits + DIGITS
+    edge = inside().groupBy("c_source", "key").agg(F.sum("size").alias("size"), F.first("excl").alias("excl"), F.first("need").alias("need"))
     by_key = Window.partitionBy("c_source").orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     edge = edge.withColumn("middle", 2 * (F.col("excl") + F.sum("size").over(by_key)) - F.col("size")).filter(F.col("middle") <= 2 * F.col("need"))
     last = edge.groupBy("c_source").agg(F.max("key").alias("last"))
     ends = cuts.join(last.withColumnRenamed("c_source", "l_source"), F.col("c_source").eqNullSafe(F.col("l_source")), "left")
     ends = ends.select(F.col("c_source"), F.coalesce("last", "bucket").alias("cut_key"))
     plan = plan.join(ends, F.col("p_source").eqNullSafe(F.col("c_source")), "left")
-    return scratch.table(plan.select("p_source", "source_size", "target", "whole", F.coalesce("cut_key", F.lit("g")).alias("cut_key")), "plan")
+    # Where rounding puts the need at a whole source, no part exceeds it and every key, of hex digits, is below "g".
+    cut_key = F.when(F.col("need") > 0, F.coalesce("cut_key", F.lit("g"))).otherwise(F.lit(""))
+    return scratch.table(plan.select("p_source", "source_size", "target", "whole", cut_key.alias("cut_key")), "plan")
 
 
 def _repeats() -> Column:
@@ -78,7 +95,7 @@ def mix(docs: DataFrame, max_epochs: float = 3.0, seed: str = SEED, id_col: str
 
     A source's rows are drawn in the order of a seeded hash: every row ``floor(target / size)`` times and those up
     to the cut once more, which comes within half a row of the target. A null text has no words; null sources are
-    one source, last in the order; a source without words has target 0. Repeated rows share one key and are taken
+    one source, last in the order; a source without words has target 0 and gives no rows to the mix. Repeated rows share one key and are taken
     alike. An empty table gives no rows. Other columns are ignored.
     """
     rows = docs.select(F.col(id_col).alias(id_col), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), draw_key(id_col, text_col, seed).alias("key"))
@@ -88,11 +105,11 @@ def mix(docs: DataFrame, max_epochs: float = 3.0, seed: str = SEED, id_col: str
 
 
 def draw(docs: DataFrame, max_epochs: float = 3.0, seed: str = SEED) -> DataFrame:
-    """The mixed corpus itself: each document as often as the mix takes it, with the columns of ``docs``."""
+    """The mixed corpus itself: each document as often as the mix takes it, with the columns of ``docs``, whatever
+    else they are called. Nulls, repeats and wordless texts are taken as in ``mix``; an empty table gives no rows."""
     rows = scratch.table(docs.select("source", word_count(F.col("text")).alias("size"), draw_key("doc_id", "text", seed).alias("key")), "rows")
     plan = mix_plan(rows, max_epochs).select("p_source", "whole", "cut_key")
-    names = docs.columns
-    keyed = docs.select(F.struct(*(F.col(c) for c in names)).alias("doc"), F.col("source").alias("d_source"), draw_key("doc_id", "text", seed).alias("key"))
+    keyed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("doc"), F.col("source").alias("d_source"), draw_key("doc_id", "text", seed).alias("key"))
     drawn = keyed.join(plan, F.col("d_source").eqNullSafe(F.col("p_source"))).withColumn("repeats", _repeats().cast("int")).filter("repeats > 0")
     return drawn.select(F.explode(F.array_repeat("doc", F.col("repeats"))).alias("doc")).select("doc.*")
 
@@ -118,7 +135,7 @@ n AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE
 g AS (SELECT source, k, sum(size) AS unit FROM d GROUP BY source, k),
 p AS (SELECT *, 2 * sum(unit) OVER (PARTITION BY source ORDER BY k) - unit AS middle FROM g)
 SELECT d.doc_id, d.size, n.source_size, n.target,
-       (d.size * (n.whole + CASE WHEN p.middle <= 2 * (n.target - n.whole * n.source_size) THEN 1 ELSE 0 END))::BIGINT AS taken,
-       d.source, (n.whole + CASE WHEN p.middle <= 2 * (n.target - n.whole * n.source_size) THEN 1 ELSE 0 END)::INTEGER AS repeats
+       (d.size * (n.whole + CASE WHEN n.target > n.whole * n.source_size AND p.middle <= 2 * (n.target - n.whole * n.source_size) THEN 1 ELSE 0 END))::BIGINT AS taken,
+       d.source, (n.whole + CASE WHEN n.target > n.whole * n.source_size AND p.middle <= 2 * (n.target - n.whole * n.source_size) THEN 1 ELSE 0 END)::INTEGER AS repeats
 FROM d JOIN n ON d.source IS NOT DISTINCT FROM n.source JOIN p ON d.source IS NOT DISTINCT FROM p.source AND d.k = p.k
 """
