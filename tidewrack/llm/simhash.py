@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add, and_
 
 import numpy as np
 import pyarrow as pa
@@ -17,37 +19,54 @@ DISTANCE = 2
 BLOCK = 1 << 15
 #: Up to so many fingerprints a table bucket is verified pair by pair; larger ones go the exact way of _crowded.
 CROWD = 64
+#: For near copies: words of a shingle, the Jaccard similarity that links, fingerprints of 64 bits, bits of a segment,
+#: and the bits of all fingerprints, and of the first, in which texts of that similarity differ at most: some 29 of
+#: 192 (10 of 64) are to be expected, and 96 (32) for texts that have nothing in common.
+WORDS, SIMILARITY = 5, 0.8
+LANES, SEGMENT, APART, LANE_APART = 3, 21, 46, 22
+GOLDEN, MIX = 0x9E3779B97F4A7C15, (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+#: So many hashes of texts, 8 bytes each, may be broadcast to pick the texts out.
+FEW = 1 << 20
 
 
-def fingerprint(text: str | None, words: int = SHINGLE, seed: int = 42) -> int:
-    """64 bits: the majority of the XXH64 of all word shingles, as a signed long; 0 without words.
+def _hashes(text: str | None, words: int, seed: int) -> Iterator[np.ndarray]:
+    """The XXH64 of all word shingles of a text, repeats included, in blocks; none without words.
 
     ASCII letters are lower-cased and words end at ASCII white space. Fewer words than a shingle has make one. The
-    shingles are slices of the words joined by spaces and are taken in blocks, so a long text needs no more memory.
-    """
+    shingles are slices of the words joined by spaces, so a long text needs no more memory."""
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not parts:
-        return 0
+        return
     joined = b" ".join(parts)
     lengths = np.fromiter(map(len, parts), np.int64, len(parts))
     ends = np.cumsum(lengths + 1) - 1
     k = min(words, len(parts))
     starts, ends = (ends - lengths)[: len(parts) - k + 1].tolist(), ends[k - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    ones = np.zeros(64, np.int64)
     for at in range(0, len(starts), BLOCK):
-        block = np.array([digest(joined[a:b], seed) for a, b in zip(starts[at : at + BLOCK], ends[at : at + BLOCK], strict=True)], np.uint64)
-        ones += np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(starts), bitorder="little").view(np.int64)[0])
+        yield np.array([digest(joined[a:b], seed) for a, b in zip(starts[at : at + BLOCK], ends[at : at + BLOCK], strict=True)], np.uint64)
+
+
+def _ones(block: np.ndarray) -> np.ndarray:
+    """How often each of 64 bits is set."""
+    return np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def fingerprint(text: str | None, words: int = SHINGLE, seed: int = 42) -> int:
+    """64 bits: the majority of the XXH64 of all word shingles, as a signed long; 0 without words."""
+    ones, count = np.zeros(64, np.int64), 0
+    for block in _hashes(text, words, seed):
+        ones += _ones(block)
+        count += len(block)
+    return int(np.packbits(2 * ones > count, bitorder="little").view(np.int64)[0])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE) -> DataFrame:
     """(doc_id, text_hash, fp), one row per row of ``docs``, as a working table."""
-    scratch.small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in scratch.bounded(batches):
             fp = pa.array([fingerprint(t.as_py(), words) for t in b.column("text")], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), fp], ["doc_id", "text_hash", "fp"])
 
@@ -118,25 +137,139 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(labels, "fp").select(F.col("doc_id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
-    """``docs`` with one document of each group of near duplicates: the one of the smallest id, a null id last, then
-    of the smallest text hash. If that very row is repeated, one of its copies stays."""
-    rows = fingerprints(docs, "doc_id", "text", words)
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """The XXH64 of each distinct word shingle of a text, as signed longs; none without words. Words, lower case and
+    short texts are as in ``fingerprint``."""
+    return np.unique(np.concatenate([*_hashes(text, words, 42), np.zeros(0, np.uint64)])).view(np.int64)
+
+
+def lanes(text: str | None, words: int) -> list[int]:
+    """``LANES`` fingerprints of a text as signed longs: the shingles' hashes, scrambled anew for each."""
+    ones, count = np.zeros((LANES, 64), np.int64), 0
+    for block in _hashes(text, words, 42):
+        for lane in range(LANES):
+            mixed = (block + np.uint64(GOLDEN * (lane + 1) % (1 << 64))) * np.uint64(MIX[0])
+            mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(MIX[1])
+            ones[lane] += _ones(mixed ^ (mixed >> np.uint64(32)))
+        count += len(block)
+    return [int(np.packbits(2 * lane > count, bitorder="little").view(np.int64)[0]) for lane in ones] if count else [0] * LANES
+
+
+def _segments() -> list[Column]:
+    """The keys of a row's segments: ``SEGMENT`` bits of a lane, marked with the segment's number."""
+    at = [(lane, k) for lane in range(LANES) for k in range(64 // SEGMENT)]
+    return [F.shiftrightunsigned(f"f{lane}", k * SEGMENT).bitwiseAND(F.lit((1 << SEGMENT) - 1)).bitwiseOR(F.lit(n << SEGMENT)) for n, (lane, k) in enumerate(at)]
+
+
+def _similar(near: DataFrame, fps: DataFrame, docs: DataFrame, words: int, known: DataFrame | None) -> DataFrame:
+    """The links (u, v) among ``near`` (x, y, apart; x > y), x and y being numbers of ``fps``, whose sets of shingles
+    have a Jaccard similarity of ``SIMILARITY`` or more and that, with ``known`` links, connect what is to be connected.
+
+    A text's nearest partner is verified first; of the other pairs, only those that are still apart."""
+    wanted = fps.join(near.select(F.explode(F.array("x", "y")).alias("id")).distinct(), "id", "left_semi").select("id", "text_hash")
+    wanted = scratch.table(wanted, "wanted")
+    texts = docs.select(F.xxhash64("text").alias("text_hash"), "text")
+    if wanted.count() <= FEW:
+        texts = texts.join(F.broadcast(wanted.select("text_hash")), "text_hash", "left_semi")
+    texts = wanted.join(texts.dropDuplicates(["text_hash"]), "text_hash").select("id", "text")
+
+    def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in scratch.bounded(batches):
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([shingle_set(t.as_py(), words) for t in b.column("text")], pa.list_(pa.int64()))], ["id", "set"])
+
+    sets = scratch.table(texts.mapInArrow(taken, "id long, set array<long>"), "shingles")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        met = pairs.join(sets.select(F.col("id").alias("x"), F.col("set").alias("a")), "x").join(sets.select(F.col("id").alias("y"), F.col("set").alias("b")), "y")
+        both = F.size(F.array_intersect("a", "b"))
+        return met.filter(both >= F.lit(SIMILARITY) * (F.size("a") + F.size("b") - both)).select(F.col("x").alias("u"), F.col("y").alias("v"))
+
+    best = near.groupBy("x").agg(F.min(F.struct("apart", "y")).alias("best"))
+    links = verified(best.select("x", F.col("best.y").alias("y")))
+    links = scratch.table(links if known is None else links.unionByName(known), "sure")
+    roots = components.roots(links)
+    side = lambda s: roots.select(F.col("node").alias(s), F.col("root").alias(f"{s}_root"))
+    open_pairs = near.select("x", "y").join(side("x"), "x", "left").join(side("y"), "y", "left")
+    open_pairs = open_pairs.filter(F.coalesce("x_root", "x") != F.coalesce("y_root", "y")).select("x", "y")
+    return scratch.table(links.unionByName(verified(open_pairs)), "similar")
+
+
+def near_copies(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """(doc_id, text_hash, root), one row per row of ``docs``: rows of one root are connected by texts whose sets of
+    ``words``-word shingles are similar to ``SIMILARITY`` or more.
+
+    Multi-index hashing over longer fingerprints, as such texts differ in an eighth of all bits or so: ``LANES``
+    of 64 bits in segments of ``SEGMENT`` bits. Each segment's ball of radius 1 is looked up in the table of segments,
+    full distances are verified, and then the sets themselves: what is linked is similar for certain. A pair is missed
+    where every segment differs in two bits or more. In a bucket of more than ``CROWD`` texts all are met with its
+    first one; texts that this leaves apart from it are met with each of the others.
+
+    Null and empty texts are alike and connected. An empty table gives no rows."""
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    names = [f"f{lane}" for lane in range(LANES)]
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in scratch.bounded(batches):
+            found = [lanes(t.as_py(), words) for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), *(pa.array([f[k] for f in found], pa.int64()) for k in range(LANES))], ["doc_id", "text_hash", *names])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    rows = scratch.table(rows.mapInArrow(digest, f"doc_id {kind}, text_hash long, {', '.join(f'{n} long' for n in names)}"), "lanes")
+    fps = rows.groupBy(*names).agg(F.min("text_hash").alias("text_hash")).select(F.monotonically_increasing_id().alias("id"), *names, "text_hash")
+    fps = scratch.table(fps, "distinct_lanes")
+    entries = fps.select("id", "f0", F.explode(F.array(*_segments())).alias("key"))
+    crowds = scratch.table(entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("head")).filter(F.col("n") > CROWD).select("key", "head"), "crowds")
+
+    def near(pairs: DataFrame) -> DataFrame:
+        side = lambda s: fps.select(F.col("id").alias(s), F.array(*names).alias(f"{s}_f"))
+        met = pairs.select(F.greatest("id", "other").alias("x"), F.least("id", "other").alias("y")).distinct().join(side("x"), "x").join(side("y"), "y")
+        apart = reduce(add, (F.bit_count(F.col("x_f")[k].bitwiseXOR(F.col("y_f")[k])) for k in range(LANES)))
+        return scratch.table(met.withColumn("apart", apart).filter(F.col("apart") <= APART).select("x", "y", "apart"), "near")
+
+    links = None
+    flips = F.array(F.lit(0).cast("long"), *(F.lit(1 << b).cast("long") for b in range(SEGMENT)))
+    ball = lambda key: F.transform(flips, lambda m: key.bitwiseXOR(m))
+    balls = F.flatten(F.array(*map(ball, _segments())))
+    probes = fps.select("id", "f0", F.explode(balls).alias("key"))
+    close = F.bit_count(F.col("f0").bitwiseXOR(F.col("other_f0"))) <= LANE_APART
+    table = entries.select("key", F.col("id").alias("other"), F.col("f0").alias("other_f0"))
+    calm, asking = table, None
+    if crowds.limit(1).count():
+        links = _similar(near(entries.join(crowds, "key").filter("id <> head").select("id", F.col("head").alias("other"))), fps, docs, words, None)
+        roots = components.roots(links)
+        side = lambda s: roots.select(F.col("node").alias(s), F.col("root").alias(f"{s}_root"))
+        asking = probes.join(crowds, "key").join(side("id"), "id", "left").join(side("head"), "head", "left")
+        asking = asking.filter((F.col("id") != F.col("head")) & (F.coalesce("id_root", "id") != F.coalesce("head_root", "head"))).select("id", "f0", "key")
+        calm = table.join(crowds, "key", "left_anti")
+    pairs = probes.join(calm, "key").filter(close & (F.col("id") < F.col("other"))).select("id", "other")
+    if asking is not None:
+        pairs = pairs.unionByName(asking.join(table.join(crowds, "key", "left_semi"), "key").filter(close & (F.col("id") != F.col("other"))).select("id", "other"))
+    roots = components.roots(_similar(near(pairs), fps, docs, words, links))
+    named = fps.join(roots, fps["id"] == roots["node"], "left").select(*(F.col(n).alias(f"n_{n}") for n in names), F.coalesce("root", "id").alias("root"))
+    same = reduce(and_, (F.col(n) == F.col(f"n_{n}") for n in names))
+    return scratch.table(rows.join(scratch.table(named, "named"), same).select("doc_id", "text_hash", "root"), "near_copies")
+
+
+def keep_first(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """``docs`` with one document of each group of near copies (see ``near_copies``): the one of the smallest id, a null
+    id last, then of the smallest text hash. If that very row is repeated, one of its copies stays. All columns are
+    kept as they are, whatever else they are called; null and empty texts are near copies of each other; an empty
+    table stays so."""
+    rows = near_copies(docs, words)
     rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_hash"))
-    firsts = rows.groupBy("fp").agg(F.min(rank).alias("first"))
-    heads = classes(rows).join(firsts, "fp").groupBy("root").agg(F.min("first").alias("first"))
-    heads = heads.select(F.col("first.doc_id").alias("k_id"), F.col("first.text_hash").alias("k_hash"))
+    heads = rows.groupBy("root").agg(F.min(rank).alias("first")).select(F.col("first.doc_id").alias("k_id"), F.col("first.text_hash").alias("k_hash"))
     counts = rows.groupBy("doc_id", "text_hash").count()
     counts = counts.select(F.col("doc_id").alias("c_id"), F.col("text_hash").alias("c_hash"), (F.col("count") > 1).alias("repeated"))
-    kept = heads.join(counts, F.col("k_id").eqNullSafe(F.col("c_id")) & (F.col("k_hash") == F.col("c_hash"))).select("k_id", "k_hash", "repeated")
-    kept = scratch.table(kept, "kept")
-    same = F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.xxhash64("text") == F.col("k_hash"))
+    kept = heads.join(counts, F.col("k_id").eqNullSafe(F.col("c_id")) & (F.col("k_hash") == F.col("c_hash")))
+    id_name, hash_name, own = scratch.fresh(docs, "k_id", "k_hash", "own_hash")
+    kept = scratch.table(kept.select(F.col("k_id").alias(id_name), F.col("k_hash").alias(hash_name), "repeated"), "kept")
+    same = docs["doc_id"].eqNullSafe(kept[id_name]) & (F.xxhash64(docs["text"]) == kept[hash_name])
     once = docs.join(kept.filter("not repeated"), same, "left_semi")
     again = kept.filter("repeated")
     if not again.limit(1).count():
         return once
     copies = docs.join(again, same, "left_semi")
-    return once.unionByName(copies.withColumn("_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_hash"]).drop("_hash"))
+    return once.unionByName(copies.withColumn(own, F.xxhash64("text")).dropDuplicates(["doc_id", own]).drop(own))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
