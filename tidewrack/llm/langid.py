@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,48 +12,46 @@ from pyspark.sql import functions as F
 from tidewrack.llm import scratch
 
 UNDETERMINED = "und"
-#: The bound of the training sample: rows a language, letters of each row, languages.
-ROWS, LETTERS, LANGUAGES = 200, 1024, 256
-#: Texts of fewer bytes are encoded at the finer level, twice in a row, so that the coder does not store them raw.
-SHORT = 512
-LEVELS = (9, 19)
-#: Longer texts are encoded in equal pieces of so many bytes at most. A dictionary saves a bounded number of bytes in
-#: one run, so over a whole text its share, and the margin with it, would fall with the length.
-PIECE = 4096
+#: The bound of the training sample: rows a language, characters of a row, characters a language.
+ROWS, LONGEST, CHARS = 200, 1 << 16, 1 << 18
+#: A text is encoded in equal pieces of so many bytes at most, each twice in a row: the coder stores what it can't
+#: shorten raw, and then lengths would say nothing. A dictionary saves a bounded number of bytes in one run, so over
+#: a whole text its share, and the margin with it, would fall with the length.
+PIECE, LEVEL = 2048, 9
 NARROW = 0.005
 
 
-def letters(text: str) -> str:
-    """The text's words of letters, lower-cased; a word repeated on the spot counts once, as it says nothing more."""
-    found = re.sub(r"[\W\d_]+", " ", text.lower()).split()
-    return " ".join(w for w, before in zip(found, [None, *found], strict=False) if w != before)
+def encoded(text: str) -> bytes:
+    """The whole text, lower-cased, as the coders see it."""
+    return text.lower().encode("utf-8", "surrogatepass")
 
 
 def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, rows: int = ROWS, chars: int = LETTERS, languages: int = LANGUAGES) -> dict[str, bytes]:
-    """Raw dictionaries by language, the most frequent language first.
+def fit(docs: DataFrame, rows: int = ROWS, longest: int = LONGEST, chars: int = CHARS) -> dict[str, bytes]:
+    """Raw dictionaries by language, the most frequent language first, whatever the number of languages.
 
-    They come from a bounded sample of rows that have an id, a text and a language and are not held out: ``rows`` a
-    language in the order of a hash of the id, ``chars`` letters of each. Only ids and languages of the whole table
-    are read to choose them; a group limit ahead of the shuffle keeps a frequent language from meeting in one task.
+    They come from a bounded sample of rows that have an id, a text and a language and are not held out: whole texts
+    of at most ``longest`` characters, in the order of a hash of the id, ``rows`` and ``chars`` a language. A row
+    that is repeated takes as many places, with one text. Only ids, languages, lengths and hashes of the whole table are read to choose them;
+    a group limit ahead of the shuffle keeps a frequent language from meeting in one task.
     """
     known = docs.filter("doc_id is not null and lang is not null and text is not null").filter(~held_out(F.col("doc_id")))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.select("lang", "doc_id").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= rows)
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages)
-    rank = {r["lang"]: at for at, r in enumerate(counts.collect())}
-    ids = [r["doc_id"] for r in chosen.filter(F.col("lang").isin(list(rank))).select("doc_id").collect()] if rank else []
-    texts: dict[str, list[str]] = {name: [] for name in rank}
-    if ids:
-        wanted = docs.sparkSession.createDataFrame([(i,) for i in ids], f"w_id {docs.schema['doc_id'].dataType.simpleString()}").distinct()
-        sample = known.join(F.broadcast(wanted), F.col("doc_id") == F.col("w_id")).select("lang", "doc_id", F.substring("text", 1, 4 * chars).alias("text"))
-        for r in sorted(sample.collect(), key=lambda r: (str(r["doc_id"]), r["text"])):
-            if r["lang"] in texts and len(texts[r["lang"]]) < rows:
-                texts[r["lang"]].append(letters(r["text"])[:chars])
-    return {name: " ".join(t).encode("utf-8", "surrogatepass") for name, t in texts.items() if any(t)}
+    known = known.select("lang", "doc_id", "text", F.xxhash64("text").alias("version"), F.char_length("text").alias("size"))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "version")
+    some = known.filter(F.col("size") <= longest).select("lang", "doc_id", "version", "size")
+    some = some.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= rows).drop("n").distinct()
+    some = some.withColumn("total", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).filter(F.col("total") <= chars)
+    chosen = some.select(F.col("lang").alias("w_lang"), F.col("doc_id").alias("w_id"), F.col("version").alias("w_version"))
+    names = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()]
+    same = (F.col("lang") == F.col("w_lang")) & (F.col("doc_id") == F.col("w_id")) & (F.col("version") == F.col("w_version"))
+    sample = known.join(F.broadcast(chosen), same).groupBy("lang", "doc_id", "version").agg(F.first("text").alias("text"))
+    texts: dict[str, list[str]] = {name: [] for name in names}
+    for r in sorted(sample.collect(), key=lambda r: (str(r["doc_id"]), r["version"])):
+        texts[r["lang"]].append(r["text"])
+    return {name: b" ".join(map(encoded, t)) for name, t in texts.items() if any(t)}
 
 
 def classifier(dictionaries: dict[str, bytes]) -> Callable[[str | None], tuple[str, float]]:
@@ -66,20 +63,17 @@ def classifier(dictionaries: dict[str, bytes]) -> Callable[[str | None], tuple[s
     """
     names = list(dictionaries)
     coders = [
-        [zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False) for d in dictionaries.values()]
-        for level in LEVELS
+        zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+        for d in dictionaries.values()
     ]
 
     def classify(text: str | None) -> tuple[str, float]:
         if not names or not text or not any(map(str.isalpha, text)):
             return UNDETERMINED, 0.0
-        data = letters(text).encode("utf-8", "surrogatepass")
-        short = len(data) < SHORT
-        if short:
-            data = data + b" " + data
+        data = encoded(text)
         width = -(-len(data) // -(-len(data) // PIECE))
-        pieces = [data[at : at + width] for at in range(0, len(data), width)]
-        sizes = [sum(len(c.compress(p)) for p in pieces) for c in coders[short]]
+        pieces = [piece + b" " + piece for piece in (data[at : at + width] for at in range(0, len(data), width))]
+        sizes = [sum(len(c.compress(p)) for p in pieces) for c in coders]
         best = min(range(len(names)), key=sizes.__getitem__)
         if len(names) == 1:
             return names[0], 1.0
@@ -91,13 +85,14 @@ def classifier(dictionaries: dict[str, bytes]) -> Callable[[str | None], tuple[s
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, lang_pred, score (0 to 1, rising with the margin) and rejected:
-    undetermined, or a margin under ``NARROW``. Whole texts are encoded; nothing else of a row is looked at."""
-    scratch.small_batches(docs.sparkSession)
+    undetermined, or a margin under ``NARROW``. Whole texts are encoded; nothing else of a row is looked at. A null
+    text, or one without a letter, is ``und`` with score 0; repeated rows stay, and an empty table gives no rows."""
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
+    sent = docs.sparkSession.sparkContext.broadcast(dictionaries)  # of bounded size: CHARS a language
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classify = classifier(dictionaries)
-        for b in batches:
+        classify = classifier(sent.value)
+        for b in scratch.bounded(batches):
             found = [classify(t.as_py()) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("held_out"), pa.array([n for n, _ in found], pa.string()), pa.array([m / (m + 0.05) for _, m in found], pa.float64()), pa.array([n == UNDETERMINED or m < NARROW for n, m in found], pa.bool_())],
@@ -108,12 +103,14 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
-    """``docs`` without those rejected: no letter, or no language ahead of the next."""
-    scratch.small_batches(docs.sparkSession)
+    """``docs`` without those rejected: a null text, none with a letter, or no language ahead of the next. All columns
+    are kept as they are, whatever else they are called, and repeated rows share their fate; an empty table stays so.
+    The text is in column text."""
+    sent = docs.sparkSession.sparkContext.broadcast(dictionaries)  # of bounded size: CHARS a language
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classify = classifier(dictionaries)
-        for b in batches:
+        classify = classifier(sent.value)
+        for b in scratch.bounded(batches):
             found = [classify(t.as_py()) for t in b.column("text")]
             yield b.filter(pa.array([n != UNDETERMINED and m >= NARROW for n, m in found], pa.bool_()))
 
