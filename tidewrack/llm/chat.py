@@ -23,6 +23,8 @@ CONTROL = r"([<\[])(/?s>|/?INST\]|<SYS>>|</SYS>>)"
 MASKED_ROLE = "assistant"
 #: Code points of text that one assembled block holds at most, unless a single turn is longer.
 BLOCK_CHARS = 1 << 22
+#: Bytes of a piece that is copied by itself.
+LONG = 1 << 16
 
 
 def escape(texts: pa.Array) -> pa.Array:
@@ -42,7 +44,12 @@ def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _scatter(out: np.ndarray, at: np.ndarray, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> None:
-    """Copy piece i of ``data`` to ``out`` from ``at[i]`` on, all pieces at once."""
+    """Copy piece i of ``data`` to ``out`` from ``at[i]`` on: short pieces all at once by their indices, and a long one
+    as it is, as indices take sixteen times its room."""
+    long = length > LONG
+    for to, begin, n in zip(at[long].tolist(), start[long].tolist(), length[long].tolist(), strict=True):
+        out[to : to + n] = data[begin : begin + n]
+    at, start, length = at[~long], start[~long], length[~long]
     if not len(length):
         return
     within = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
@@ -70,20 +77,15 @@ def assemble(roles: pa.Array, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np
     return turns, len(OPEN) + role_n + len(MIDDLE), text_n
 
 
-def parse(turns: pa.Array) -> tuple[pa.Array, pa.Array]:
-    """Roles and texts read back from formatted turns alone."""
-    inner = pc.binary_slice(turns.cast(pa.large_binary()), len(OPEN), -len(CLOSE)).cast(turns.type)
-    cut = pc.find_substring(inner, "\n").to_numpy(zero_copy_only=False)
-    data, at, n = _bytes(inner)
+def parse(written: bytes) -> tuple[pa.Array, pa.Array]:
+    """Roles and texts read back from formatted turns, one after another, by their control strings alone."""
+    turns = written.split(CLOSE)
+    if turns.pop() or not all(t.startswith(OPEN) for t in turns):
+        raise ValueError("not a sequence of formatted turns")
     # Newlines cannot be in a role (they are spelled out on the way in), so the first one ends it.
-    pieces = []
-    for start, length in ((at, cut), (at + cut + 1, n - cut - 1)):
-        ends = np.cumsum(length)
-        out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
-        _scatter(out, ends - length, data, start, length)
-        offsets = np.concatenate([[0], ends]).astype(np.int64)
-        pieces.append(unescape(pa.LargeStringArray.from_buffers(len(length), pa.py_buffer(offsets), pa.py_buffer(out))))
-    return pc.replace_substring(pc.replace_substring(pieces[0], "\x01n", "\n"), "\x01s", "\x01"), pieces[1]
+    pieces = [t[len(OPEN) :].split(MIDDLE, 1) for t in turns]
+    roles, texts = (unescape(pa.array([p[k] for p in pieces], pa.large_binary()).cast(pa.large_string())) for k in (0, 1))
+    return pc.replace_substring(pc.replace_substring(roles, "\x01n", "\n"), "\x01s", "\x01"), texts
 
 
 def _spelled(roles: pa.Array) -> pa.Array:
@@ -109,7 +111,6 @@ def _formatted(block: pa.RecordBatch) -> tuple[pa.Array, np.ndarray, np.ndarray]
 
 def _in_order(turns: DataFrame) -> DataFrame:
     """All turns of a conversation in one task, in order; what a task holds at a time does not grow with either."""
-    scratch.small_batches(turns.sparkSession, 1024)
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
@@ -122,7 +123,7 @@ def format_turns(turns: DataFrame) -> DataFrame:
     """
 
     def assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in scratch.bounded(batches, 1024):
             for block in _blocks(batch):
                 formatted, start, n = _formatted(block)
                 masked = pc.fill_null(pc.equal(block.column("role"), MASKED_ROLE), False).to_numpy(zero_copy_only=False)
@@ -135,8 +136,9 @@ def digests(turns: DataFrame) -> DataFrame:
     """One row a conversation, all read back from its formatted turns: conv_id, n_turns, turns_sha256, loss_chars,
     loss_sha256, formatted_chars. An empty table gives no rows.
 
-    The digests run over a conversation turn by turn in one task, by running hash states: even a conversation with
-    most of all turns takes no more memory than another.
+    Turns and their number come from parsing the bytes of a conversation, the loss from its mask over them. The
+    digests run over a conversation in one task, by running hash states: even a conversation with most of all turns
+    takes no more memory than another.
     """
 
     def read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,27 +157,28 @@ def digests(turns: DataFrame) -> DataFrame:
             done.clear()
             return out
 
-        for batch in batches:
+        for batch in scratch.bounded(batches, 1024):
             for block in _blocks(batch):
                 formatted, start, n = _formatted(block)
-                role_of, text_of = parse(formatted)
-                lengths = pc.utf8_length(formatted).to_pylist()
-                written = formatted.cast(pa.large_binary())
-                _, offsets, data = written.buffers()
-                at = np.frombuffer(offsets, np.int64, len(written) + 1)
-                view = memoryview(data) if data else memoryview(b"")
-                for k, (conv, role, text, size) in enumerate(zip(block.column("conv_id").to_pylist(), role_of.to_pylist(), text_of.to_pylist(), lengths, strict=True)):
-                    if state is None or conv != now:
+                data, at, size = _bytes(formatted)
+                ends = at + size
+                masked = pc.fill_null(pc.equal(block.column("role"), MASKED_ROLE), False).to_numpy(zero_copy_only=False)
+                convs = block.column("conv_id").to_pylist()
+                cuts = [0, *(k for k in range(1, len(convs)) if convs[k] != convs[k - 1]), len(convs)]
+                # All that a conversation has in this block is one run of bytes: what is read of it is found there.
+                for first, last in zip(cuts, cuts[1:], strict=False):
+                    if state is None or convs[first] != now:
                         close()
-                        now, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                    state[0] += 1
-                    state[1].update(f"{role}\n{text}\n".encode())
-                    if role == MASKED_ROLE:
-                        begin = int(at[k] + start[k])
-                        loss = unescape(pa.array([bytes(view[begin : begin + int(n[k])]).decode()]))[0].as_py()
-                        state[2] += len(loss)
-                        state[3].update(loss.encode())
-                    state[4] += size
+                        now, state = convs[first], [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                    written = data[at[first] : ends[last - 1]].tobytes()
+                    roles, texts = parse(written)
+                    state[0] += len(roles)
+                    state[1].update("".join(f"{role}\n{text}\n" for role, text in zip(roles.to_pylist(), texts.to_pylist(), strict=True)).encode())
+                    spans = [(int(at[k] - at[first] + start[k]), int(n[k])) for k in range(first, last) if masked[k]]
+                    loss = unescape(pa.array([written[a : a + size] for a, size in spans], pa.large_binary()).cast(pa.large_string()))
+                    state[2] += pc.sum(pc.utf8_length(loss)).as_py() or 0
+                    state[3].update("".join(loss.to_pylist()).encode())
+                    state[4] += len(written.decode())
             if done:
                 yield rows()
         close()
