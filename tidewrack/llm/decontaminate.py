@@ -1,8 +1,9 @@
-"""Benchmark decontamination by a positional inverted index. Built-in functions only.
+"""Benchmark decontamination by a distributed positional inverted index. Built-in functions only.
 
-The index holds one posting (term, document, position) for each training token that any test item uses. A test
-window can occur only where its rarest term does, so the lists are met from the rarest term on: postings are turned
-into diagonals (document position less item position), and two terms of a window that occur in place share one.
+The index holds one posting (term, document, position) for each training token that any test item uses. A test window
+can be met, as a phrase or with its words in any order near each other, only where its rarest term is: those postings
+are its anchors. Anchors stay that have the window's second rarest term nearby; what lies around the ones that are
+left is laid out once, however many windows meet there, and compared with them word by word.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from tidewrack.llm import scratch
 
 WINDOW = 13
+#: Words that may lie among those of a window for a proximity match.
+SLOP = 5
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: So many document numbers, 8 bytes each, may be broadcast to thin out the postings.
 FEW = 1 << 17
@@ -64,100 +67,120 @@ def build(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     return Index(items, numbered.select("item", "item_id"), postings, heads, rarity)
 
 
-def _rarest_pairs(index: Index, window: int) -> DataFrame:
-    """(item, q1, term1, q2, term2): the two rarest words of every window whose words all occur, once each.
-
-    Windows are made by giving each item word to the starts whose window holds it: at most ``window`` each."""
+def _windows(index: Index, window: int) -> tuple[DataFrame, DataFrame]:
+    """(windows, owners): each distinct sequence of ``window`` words of an item (all words, of a shorter one) with its
+    number, terms, the rarest of them and its place, and the second rarest; and (wid, item). Only windows whose words
+    all occur are there. Item words are given to the starts whose window holds them, ``window`` at most."""
     known = index.items.join(index.rarity, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     width = F.least(F.col("n"), F.lit(window))
     starts = F.sequence(F.greatest(F.lit(0), F.col("q") - width + 1), F.least(F.col("q"), F.col("n") - width))
-    each = known.select("item", F.explode(starts).alias("start"), F.struct("df", "q", "term").alias("w"))
-    best = each.groupBy("item", "start").agg(F.array_sort(F.collect_list("w")).alias("ws"))
-    best = best.filter(F.col("ws")[0]["df"] > 0).select("item", F.col("ws")[0].alias("a"), F.coalesce(F.get("ws", F.lit(1)), F.col("ws")[0]).alias("b"))
-    return best.select("item", F.col("a.q").alias("q1"), F.col("a.term").alias("term1"), F.col("b.q").alias("q2"), F.col("b.term").alias("term2")).distinct()
-
-
-def phrase_hits(index: Index, window: int = WINDOW) -> DataFrame:
-    """(doc, item, pos): each document word inside an occurrence of one of the item's windows.
-
-    The rarest term's postings give diagonals; those where the window's second rarest term occurs in place as well
-    are laid out in full, one row for each item word, and met with the postings. On a diagonal, ``window`` matched
-    words in a row are an occurrence (all of them, for a shorter item).
-    """
-    pairs = scratch.table(_rarest_pairs(index, window), "pairs")
-    first = index.postings.join(pairs, F.col("term") == F.col("term1"))
-    first = first.select("item", F.col("doc"), (F.col("pos") - F.col("q1")).alias("diagonal"), (F.col("pos") - F.col("q1") + F.col("q2")).alias("pos2"), "term2").distinct()
-    seconds = index.postings.join(pairs.select(F.col("term2").alias("term")).distinct(), "term", "left_semi")
-    seconds = seconds.select(F.col("term").alias("s_term"), F.col("doc").alias("s_doc"), F.col("pos").alias("s_pos"))
-    both = first.join(seconds, (F.col("doc") == F.col("s_doc")) & (F.col("pos2") == F.col("s_pos")) & (F.col("term2") == F.col("s_term")))
-    diagonals = scratch.table(both.select("item", "doc", "diagonal").distinct(), "diagonals")
-    wanted = diagonals.join(index.items, "item").select("item", "doc", "diagonal", "n", "q", F.col("term").alias("w_term"), (F.col("diagonal") + F.col("q")).alias("w_pos"))
-    some, near = index.postings, scratch.table(diagonals.select("doc").distinct(), "near")
+    each = known.select("item", F.explode(starts).alias("at"), F.col("q"), "term", "df")
+    spelled = each.groupBy("item", "at").agg(F.array_sort(F.collect_list(F.struct("q", "term", "df"))).alias("ws")).filter(F.array_min("ws.df") > 0)
+    spelled = spelled.select("item", F.col("ws.term").alias("terms"), F.array_sort(F.transform("ws", lambda w, at: F.struct(w["df"].alias("df"), at.alias("at"), w["term"].alias("term")))).alias("rare"))
+    other = F.filter("rare", lambda w: w["term"] != F.col("rare")[0]["term"])
+    distinct = spelled.groupBy("terms").agg(F.first("rare").alias("rare"))
+    distinct = distinct.select(F.monotonically_increasing_id().alias("wid"), "terms", F.col("rare")[0]["term"].alias("anchor_term"), F.col("rare")[0]["at"].alias("offset"), F.get(other, F.lit(0))["term"].alias("second"))
+    distinct = scratch.table(distinct, "windows")
+    owners = spelled.select("item", "terms").distinct().join(distinct.select("wid", "terms"), "terms").select("wid", "item")
+    return distinct, scratch.table(owners, "owners")
+
+
+def matches(index: Index, window: int = WINDOW, slop: int = SLOP) -> tuple[DataFrame, DataFrame]:
+    """(found, owners): found has one row for each stretch of a document around anchors: doc, from, phrases (start,
+    words, wid) by start and near (wid). A phrase is a window's words in a row; a window is near where all its terms
+    lie within its own length and ``slop`` words, in any order. owners is (wid, item).
+
+    Both grow with the words of documents that anchors touch: a word that is repeated a thousand times in both a
+    document and an item is one window with a thousand anchors, not a million pairs."""
+    windows, owners = _windows(index, window)
+    span = window + slop
+    block = lambda pos: F.floor(pos / span)
+    anchors = index.postings.join(windows, F.col("term") == F.col("anchor_term")).select("doc", F.col("pos").alias("anchor"), "wid", "second")
+    # Blocks of one span make "nearby" an equality: within a span of an anchor is its own block or one beside it.
+    there = index.postings.join(windows.select(F.col("second").alias("term")).distinct(), "term", "left_semi").select(F.col("term").alias("second"), "doc", block(F.col("pos")).alias("block")).distinct()
+    asked = anchors.filter("second is not null").withColumn("block", F.explode(F.array(*(block(F.col("anchor")) + k for k in (-1, 0, 1)))))
+    left = asked.join(there, ["second", "doc", "block"], "left_semi").select("doc", "anchor", "wid").distinct()
+    left = scratch.table(left.unionByName(anchors.filter("second is null").select("doc", "anchor", "wid")), "anchors")
+    wide = left.join(windows, "wid").select("doc", F.greatest(F.lit(0), F.col("anchor") - span + 1).alias("a"), (F.col("anchor") + span).alias("b"), F.struct((F.col("anchor") - F.col("offset")).alias("start"), "anchor", "wid", "terms").alias("c"))
+    in_order = Window.partitionBy("doc").orderBy("a")
+    fresh = F.col("a") > F.coalesce(F.max("b").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
+    stretches = wide.withColumn("s", F.sum(fresh.cast("int")).over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    stretches = stretches.groupBy("doc", "s").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.collect_list("c").alias("cs"))
+    stretches = scratch.table(stretches, "stretches")
+    some, near = index.postings, scratch.table(stretches.select("doc").distinct(), "near")
     if near.count() <= FEW:  # else one shuffle of all postings is cheaper than this and another
         some = some.join(F.broadcast(near), "doc", "left_semi")
-    some = some.select(F.col("doc").alias("p_doc"), "pos", "term")
-    met = wanted.join(some, (F.col("doc") == F.col("p_doc")) & (F.col("w_pos") == F.col("pos")) & (F.col("w_term") == F.col("term")))
-    along = Window.partitionBy("doc", "item", "diagonal").orderBy("q")
-    runs = met.select("doc", "item", "diagonal", "pos", "n", (F.col("q") - F.row_number().over(along)).alias("run"))
-    length = F.count(F.lit(1)).over(Window.partitionBy("doc", "item", "diagonal", "run"))
-    return runs.withColumn("length", length).filter(F.col("length") >= F.least("n", F.lit(window))).select("doc", "item", "pos")
-
-
-def proximity_matches(index: Index, slop: int = 5, window: int = WINDOW) -> DataFrame:
-    """(item_id, doc_id, start): item windows all of whose distinct terms lie within window + ``slop`` words of a
-    document, in any order, anchored at the rarest term; start is the leftmost of them near one anchor."""
-    known = index.items.join(index.rarity, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    width = F.least(F.col("n"), F.lit(window))
-    starts = F.sequence(F.greatest(F.lit(0), F.col("q") - width + 1), F.least(F.col("q"), F.col("n") - width))
-    each = known.select("item", F.explode(starts).alias("at"), width.alias("width"), "term", "df").distinct()
-    rare = each.groupBy("item", "at").agg(F.min(F.struct("df", "term")).alias("rarest"), F.count(F.lit(1)).alias("terms"), F.first("width").alias("width"))
-    rare = rare.filter("rarest.df > 0").select("item", "at", "terms", (F.col("width") + slop).alias("span"), F.col("rarest.term").alias("anchor_term"))
-    anchors = index.postings.join(rare, F.col("term") == F.col("anchor_term")).select("item", "at", "terms", "span", F.col("doc").alias("a_doc"), F.col("pos").alias("anchor"))
-    # Blocks of one fixed width turn "within the span" into an equality join on three neighbouring blocks.
-    block = window + slop
-    spread = anchors.withColumn("block", F.explode(F.sequence(F.expr(f"anchor div {block} - 1"), F.expr(f"anchor div {block} + 1"))))
-    asked = spread.join(each.select("item", "at", "term"), ["item", "at"])
-    placed = index.postings.select(F.col("doc").alias("p_doc"), "pos", F.col("term").alias("p_term"), F.expr(f"pos div {block}").alias("p_block"))
-    found = asked.join(placed, (F.col("a_doc") == F.col("p_doc")) & (F.col("term") == F.col("p_term")) & (F.col("block") == F.col("p_block"))).filter(F.abs(F.col("pos") - F.col("anchor")) < F.col("span"))
-    # A span that holds the anchor starts at one of the found positions: count the terms from each.
-    starts = found.select("item", "at", "a_doc", "anchor", "span", "terms", F.col("pos").alias("start")).distinct().filter("start <= anchor and anchor < start + span")
-    key = ["item", "at", "a_doc", "anchor"]
-    inside = starts.join(found.select(*key, "pos", "term"), key).filter("pos >= start and pos < start + span")
-    full = inside.groupBy(*key, "start", "terms").agg(F.count_distinct("term").alias("have")).filter("have = terms")
-    best = full.groupBy("item", "a_doc", "anchor").agg(F.min("start").alias("start"))
-    return best.join(index.names, "item").join(index.docs, F.col("a_doc") == F.col("doc")).select("item_id", "doc_id", "start").distinct()
-
-
-def _judged(index: Index, window: int, share: int) -> DataFrame:
-    """One row a document number: n_hit, ids and contaminated beside what ``index.docs`` has."""
-    hits = phrase_hits(index, window).join(index.names, "item")
-    by_word = hits.groupBy("doc", "pos").agg(F.collect_set("item_id").alias("ids"))
-    found = by_word.groupBy("doc").agg(F.count(F.lit(1)).alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("ids"))
-    found = found.withColumnRenamed("doc", "h_doc")
-    judged = index.docs.join(found, F.col("doc") == F.col("h_doc"), "left")
-    judged = judged.withColumn("ids", F.coalesce("ids", F.array().cast("array<string>"))).withColumn("n_hit", F.coalesce("n_hit", F.lit(0)).cast("long"))
+    places = stretches.select("doc", "s", F.explode(F.sequence("a", F.col("b") - 1)).alias("pos"))
+    words = places.join(some, ["doc", "pos"], "left").groupBy("doc", "s").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("term", F.lit(-2)).alias("term")))).alias("words"))
+    laid = stretches.join(words.select(F.col("doc").alias("w_doc"), F.col("s").alias("w_s"), F.col("words.term").alias("words")), (F.col("doc") == F.col("w_doc")) & (F.col("s") == F.col("w_s")))
+
+    def part(start: Column, n: Column | int) -> Column:
+        return F.slice("words", (start - F.col("a") + 1).cast("int"), n)
+
+    def is_phrase(c: Column) -> Column:
+        return (c["start"] >= F.col("a")) & (part(F.greatest(c["start"], F.col("a")), F.size(c["terms"])) == c["terms"])
+
+    def is_near(c: Column) -> Column:
+        first = F.greatest(c["anchor"] - (F.size(c["terms"]) + slop) + 1, F.col("a"))
+        around = part(first, 2 * (F.size(c["terms"]) + slop) - 1)
+        lacking = lambda words: F.size(F.array_except(c["terms"], words)) == 0
+        return lacking(around) & F.exists(F.sequence(first, c["anchor"]), lambda at: lacking(part(at, F.size(c["terms"]) + slop)))
+
+    phrases = F.array_sort(F.transform(F.filter("cs", is_phrase), lambda c: F.struct(c["start"].alias("start"), F.size(c["terms"]).alias("words"), c["wid"].alias("wid"))))
+    near = F.array_distinct(F.transform(F.filter("cs", is_near), lambda c: c["wid"]))
+    return scratch.table(laid.select("doc", F.col("a").alias("from"), phrases.alias("phrases"), near.alias("near")), "found"), owners
+
+
+def phrase_matches(index: Index, window: int = WINDOW, slop: int = SLOP) -> DataFrame:
+    """(item_id, doc_id, start, words): every place where one of an item's windows stands word by word."""
+    found, owners = matches(index, window, slop)
+    return found.select("doc", F.inline("phrases")).join(owners, "wid").join(index.names, "item").join(index.docs, "doc").select("item_id", "doc_id", "start", "words").distinct()
+
+
+def proximity_matches(index: Index, slop: int = SLOP, window: int = WINDOW) -> DataFrame:
+    """(item_id, doc_id): all distinct words of one of the item's windows lie within its length and ``slop`` words of
+    the document, in any order."""
+    found, owners = matches(index, window, slop)
+    return found.select("doc", F.explode("near").alias("wid")).distinct().join(owners, "wid").join(index.names, "item").join(index.docs, "doc").select("item_id", "doc_id").distinct()
+
+
+def _judged(index: Index, window: int, share: int, slop: int) -> DataFrame:
+    """One row a document number: n_hit, ids, n_near and contaminated beside what ``index.docs`` has."""
+    found, owners = matches(index, window, slop)
+    owners = owners.join(index.names, "item").groupBy("wid").agg(F.collect_set("item_id").alias("ids"))
+    # Stretches of a document do not overlap, so its hit words are the sum of theirs: of each phrase in order, what
+    # lies beyond the ones before it.
+    reach = lambda seen, p: F.struct(F.greatest(seen["end"], p["start"] + p["words"]).alias("end"), (seen["n"] + F.greatest(F.lit(0).cast("long"), p["start"] + p["words"] - F.greatest(seen["end"], p["start"]))).alias("n"))
+    hit = F.aggregate("phrases", F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n")), reach, lambda seen: seen["n"])
+    hits = found.groupBy(F.col("doc").alias("h_doc")).agg(F.sum(hit).alias("n_hit"))
+    met = found.select("doc", F.explode(F.array_distinct("phrases.wid")).alias("wid"), F.lit(True).alias("exact")).unionByName(found.select("doc", F.explode("near").alias("wid"), F.lit(False).alias("exact"))).distinct()
+    met = met.join(owners, "wid").groupBy(F.col("doc").alias("m_doc")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(F.col("exact"), F.col("ids")))))).alias("ids"), F.size(F.array_distinct(F.flatten(F.collect_set(F.when(~F.col("exact"), F.col("ids")))))).alias("n_near"))
+    judged = index.docs.join(hits, F.col("doc") == F.col("h_doc"), "left").join(met, F.col("doc") == F.col("m_doc"), "left")
+    judged = judged.withColumns({"ids": F.coalesce("ids", F.array().cast("array<string>")), "n_hit": F.coalesce("n_hit", F.lit(0)).cast("long"), "n_near": F.coalesce("n_near", F.lit(0)).cast("long")})
     return judged.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words")))
 
 
-def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_words, n_hit (words inside occurrences), n_items, items_sha256 and
-    contaminated: some hit and ``share`` * n_hit >= n_words.
+def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20, slop: int = SLOP) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_words, n_hit (words inside occurrences), n_items, items_sha256,
+    contaminated (some hit and ``share`` * n_hit >= n_words) and n_near (items with a proximity match).
 
     Null and wordless texts have no words and no hits. Items without words have no windows; an item of a null id is
     hit but neither counted nor listed; rows of one item id are one item. Empty tables are defined as well.
     """
-    judged = _judged(build(docs, benchmark), window, share)
+    judged = _judged(build(docs, benchmark), window, share, slop)
     return judged.select(
         "doc_id", F.col("n_words").cast("long").alias("n_words"), "n_hit", F.size("ids").cast("long").alias("n_items"),
-        F.sha2(F.concat_ws(",", "ids"), 256).alias("items_sha256"), "contaminated",
+        F.sha2(F.concat_ws(",", "ids"), 256).alias("items_sha256"), "contaminated", "n_near",
     )
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20) -> DataFrame:
-    """``docs`` without the contaminated rows."""
-    found = _judged(build(docs, benchmark), window, share).filter("contaminated")
-    found = scratch.table(found.select(F.col("doc_id").alias("x_id"), F.col("text_hash").alias("x_hash")).distinct(), "contaminated")
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("x_id")) & (F.xxhash64("text") == F.col("x_hash")), "left_anti")
+    """``docs`` without the contaminated rows. All columns are kept as they are, whatever else they are called; null
+    texts stay, equal rows share their fate, and an empty table stays so."""
+    found = _judged(build(docs, benchmark), window, share, SLOP).filter("contaminated")
+    id_name, hash_name = scratch.fresh(docs, "x_id", "x_hash")
+    found = scratch.table(found.select(F.col("doc_id").alias(id_name), F.col("text_hash").alias(hash_name)).distinct(), "contaminated")
+    return docs.join(found, docs["doc_id"].eqNullSafe(found[id_name]) & (F.xxhash64(docs["text"]) == found[hash_name]), "left_anti")
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,8 +200,16 @@ dg AS (SELECT doc, k, s, array_to_string(w[s + 1 : s + k], ' ') AS g FROM dw),
 occ AS (SELECT DISTINCT doc, item_id, dg.k, s FROM dg JOIN win ON dg.k = win.k AND dg.g = win.g),
 pos AS (SELECT DISTINCT doc, unnest(range(s, s + k)) AS p FROM occ),
 h AS (SELECT doc, count(*) AS n_hit FROM pos GROUP BY doc),
+ws AS (SELECT row_number() OVER () AS wid, k, g, ts, len(ts) AS d FROM (SELECT DISTINCT k, g, list_distinct(string_split(g, ' ')) AS ts FROM win)),
+wt AS (SELECT wid, k, d, unnest(ts) AS t FROM ws),
+dt AS (SELECT doc, t, p FROM (SELECT doc, unnest(w) AS t, unnest(range(len(w))) AS p FROM d) WHERE t IN (SELECT t FROM wt)),
+pr AS (SELECT wid, doc FROM (SELECT DISTINCT doc, t FROM dt) JOIN wt USING (t) GROUP BY wid, doc, d HAVING count(*) = d),
+tp AS (SELECT wid, doc, k, d, t, p FROM pr JOIN wt USING (wid) JOIN dt USING (doc, t)),
+nw AS (SELECT DISTINCT wid, doc FROM (SELECT a.wid, a.doc, a.p FROM tp a JOIN tp b ON a.wid = b.wid AND a.doc = b.doc AND b.p >= a.p AND b.p < a.p + a.k + {SLOP} GROUP BY a.wid, a.doc, a.p, a.d HAVING count(DISTINCT b.t) = a.d)),
+nr AS (SELECT doc, count(DISTINCT item_id::VARCHAR) AS n_near FROM nw JOIN ws USING (wid) JOIN win USING (k, g) GROUP BY doc),
 it AS (SELECT doc, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc, item_id::VARCHAR AS id FROM occ) GROUP BY doc)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN h USING (doc) LEFT JOIN it USING (doc)
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated,
+       coalesce(n_near, 0)::BIGINT AS n_near
+FROM d LEFT JOIN h USING (doc) LEFT JOIN it USING (doc) LEFT JOIN nr USING (doc)
 """
