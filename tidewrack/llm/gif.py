@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from tidewrack.llm import scratch
 
 WIDTH, MAX_ROWS, DELAY_CS = 64, 1024, 10
+#: Pixels of a canvas or a frame beyond which a GIF counts as unreadable: its header alone would claim the memory.
+MAX_PIXELS = 1 << 26
 #: Codes that fit between two clear codes: one more would need an entry beyond 12 bits.
 RUN = 3838
 LAST = 257 + RUN
@@ -157,11 +159,22 @@ def decode(data: bytes) -> Iterator[Frame]:
 
     Local and global palettes, interlaced rows, transparent pixels (which leave the canvas as it is), and disposal:
     keep, clear the frame's rectangle, or put back what was there. Pixels beyond a truncated stream stay as they are.
+    What is no GIF, ends in a header, names a code size that there is not or claims more than ``MAX_PIXELS`` is a
+    ValueError; frames ahead of that have been given by then.
     """
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
+    try:
+        yield from _frames(data)
+    except (IndexError, struct.error) as cut:
+        raise ValueError("the file ends in a header") from cut
+
+
+def _frames(data: bytes) -> Iterator[Frame]:
     width, height, flags = struct.unpack_from("<HHB", data, 6)
     at = 13
+    if width * height > MAX_PIXELS:
+        raise ValueError("too many pixels")
 
     def palette(flag: int) -> np.ndarray:
         nonlocal at
@@ -198,8 +211,10 @@ def decode(data: bytes) -> Iterator[Frame]:
             colours = palette(flag) if flag & 0x80 else shared
             bits = data[at]
             at += 1
+            if not 2 <= bits <= 8 or w * h > MAX_PIXELS:
+                raise ValueError("no such code size, or too many pixels")
             pixels = np.frombuffer(lzw_decode(sub_blocks(), bits, w * h), np.uint8)
-            index = np.full(w * h, -1, np.int64)
+            index = np.full(w * h, -1, np.int16)
             index[: len(pixels)] = pixels
             index = index.reshape(h, w)
             if flag & 0x40:
@@ -235,27 +250,38 @@ def padded(text: str | None) -> tuple[bytes, int]:
     return data + bytes(-len(data) % 64 or (0 if data else 64)), len(data)
 
 
-FRAMES = pa.list_(pa.struct([("delay_ms", pa.int64()), ("width", pa.int64()), ("height", pa.int64()), ("rgb", pa.binary()), ("histogram", pa.list_(pa.int64()))]))
-FRAMES_DDL = "array<struct<delay_ms: long, width: long, height: long, rgb: binary, histogram: array<long>>>"
+FRAMES = pa.schema([("frame", pa.int64()), ("delay_ms", pa.int64()), ("width", pa.int64()), ("height", pa.int64()), ("rgb", pa.binary()), ("histogram", pa.list_(pa.int64()))])
+FRAMES_DDL = "frame long, delay_ms long, width long, height long, rgb binary, histogram array<long>"
 
 
 def decode_column(media: DataFrame, id_col: str = "doc_id", media_col: str = "gif") -> DataFrame:
-    """GIF bytes to timed frames: (id, frames), each with its delay, canvas, RGB bytes and colour histogram. A null
-    or unreadable value has null frames."""
-    scratch.small_batches(media.sparkSession, 32)
+    """GIF bytes to timed frames, one row each: id, frame (from 0), delay_ms, width, height, rgb (the canvas) and
+    histogram (colours of the frame's rectangle).
+
+    A null value, and one that is unreadable from the start, has one row with a null frame; one that breaks off later
+    has the frames ahead of that. A task holds one frame at a time. Null and repeated ids pass through, an empty
+    table gives no rows, and other columns are ignored."""
     rows = media.select(F.col(id_col).alias("id"), F.col(media_col).alias("media"))
 
-    def read(data: bytes | None) -> list[dict] | None:
+    def read(data: bytes | None) -> Iterator[dict]:
+        shown = 0
         try:
-            return [{"delay_ms": f.delay_ms, "width": f.rgb.shape[1], "height": f.rgb.shape[0], "rgb": f.rgb.tobytes(), "histogram": histogram(f)} for f in decode(data)] if data is not None else None
-        except (ValueError, IndexError, struct.error):
-            return None
+            for f in decode(data or b""):
+                yield {"frame": shown, "delay_ms": f.delay_ms, "width": f.rgb.shape[1], "height": f.rgb.shape[0], "rgb": f.rgb.tobytes(), "histogram": histogram(f)}
+                shown += 1
+        except ValueError:
+            pass
+        if not shown:
+            yield dict.fromkeys(FRAMES.names)
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([read(m.as_py()) for m in b.column("media")], FRAMES)], ["id", "frames"])
+            for at in range(b.num_rows):
+                for frame in read(b.column("media")[at].as_py()):
+                    columns = [pa.array([frame[f.name]], f.type) for f in FRAMES]
+                    yield pa.RecordBatch.from_arrays([b.column("id").slice(at, 1), *columns], ["id", *FRAMES.names])
 
-    return rows.mapInArrow(decoded, f"id {rows.schema['id'].dataType.simpleString()}, frames {FRAMES_DDL}").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(decoded, f"id {rows.schema['id'].dataType.simpleString()}, {FRAMES_DDL}").withColumnRenamed("id", id_col)
 
 
 def store(text: str | None) -> dict:
@@ -272,22 +298,21 @@ def store(text: str | None) -> dict:
         size, frames, delays = size + len(part), frames + 1, delays + frame.delay_ms
         counts += histogram(frame)
     grey = ".".join(str(c) for c in counts[[0, 21, 42, 63]].tolist())
-    return {"n_bytes": n, "payload_bytes": size, "payload_sha256": digest.hexdigest(), "tail_crc32": zlib.crc32(tail), "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "feature": f"frames={frames};ms={delays};histogram={grey}"}
+    return {"n_bytes": n, "payload_bytes": size, "payload_sha256": digest.hexdigest(), "tail_crc32": zlib.crc32(tail), "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "feature": f"frames={frames};ms={delays};histogram={grey}", "frames": frames, "duration_ms": delays, "histogram": counts.tolist()}
 
 
 def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id and the digests of ``store``, all of payload and feature read back from
-    the stored bytes. Null texts are empty; equal texts give equal values; an empty table gives no rows."""
-    scratch.small_batches(docs.sparkSession)
+    """One row per row of ``docs``: doc_id, the digests of ``store``, and frames, duration_ms and histogram (64 colour
+    bins over all frames); all of payload and features are read back from the stored bytes. Null texts are empty; equal texts give equal values; an empty table gives no rows."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    fields = [("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
+    fields = [("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("frames", pa.int64()), ("duration_ms", pa.int64()), ("histogram", pa.list_(pa.int64()))]
 
     def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in scratch.bounded(batches, 32):
             found = [store(t.as_py()) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array([f[k] for f in found], kind) for k, kind in fields)], ["doc_id", *(k for k, _ in fields)])
 
-    ddl = ", ".join(f"{k} {'string' if kind == pa.string() else 'long'}" for k, kind in fields)
+    ddl = ", ".join(f"{k} {'string' if kind == pa.string() else 'array<long>' if pa.types.is_list(kind) else 'long'}" for k, kind in fields)
     return rows.mapInArrow(stored, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {ddl}")
 
 
