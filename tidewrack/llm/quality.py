@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from tidewrack.llm import scratch
 
-#: The bound of the training sample: labelled rows of each class, chunks of a row.
-ROWS, CHUNKS = 600, 6
+#: The bound of the training sample: labelled rows of each class, and bytes of a row.
+ROWS, LONGEST = 600, 1 << 16
 #: Bytes of a chunk, of the overlap of two, of a filter and between its places; filters, embedding and hidden units.
 CHUNK, OVERLAP, WIDTH, STRIDE = 192, 32, 6, 2
 FILTERS, EMBED, HIDDEN = 16, 6, 12
@@ -72,6 +72,13 @@ class Network:
         return float(self.head((total / len(rows)).astype(np.float32)[None])[1][0])
 
 
+def constant(ones: int, of: int) -> Network:
+    """A network that gives every text the same probability."""
+    net = Network()
+    net.w |= {"out": np.zeros(HIDDEN, np.float32), "out_bias": np.array([np.log((ones + 1) / (of - ones + 1))], np.float32)}
+    return net
+
+
 def train(samples: list[tuple[np.ndarray, int]]) -> Network:
     """Fit by Adam on the cross-entropy of whole documents. Only the places that won a maximum carry gradients."""
     net = Network()
@@ -110,25 +117,24 @@ def train(samples: list[tuple[np.ndarray, int]]) -> Network:
     return net
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Network:
+def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS, longest: int = LONGEST) -> Network:
     """The network trained on up to ``rows`` labelled, not held out documents of each class, chosen by a hash of the
-    id, with up to ``CHUNKS`` chunks spread evenly over each. Without labels of both classes it stays untrained."""
-    known = labels.filter("doc_id is not null and quality in (0, 1)").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    id among those of at most ``longest`` bytes, every chunk of them. An id with several labels has the higher one,
+    and one with several texts the first of them by a hash. Without labelled documents of both classes there is
+    nothing to tell apart: every text gets the share of label 1 (by the rule of succession; 0.5 without labels)."""
+    known = labels.filter("doc_id is not null and quality in (0, 1)").filter(~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("l_id")).agg(F.max("quality").cast("int").alias("quality"))
+    # Which texts there are, by hash and length alone: a label may have no document, or one that is too long.
+    sizes = docs.select(F.col("doc_id"), F.xxhash64("text").alias("version"), F.octet_length(F.coalesce("text", F.lit(""))).alias("size")).filter(F.col("size") <= longest)
+    known = known.join(sizes, F.col("l_id") == F.col("doc_id")).groupBy("l_id", "quality").agg(F.min("version").alias("l_version"))
+    known = scratch.table(known, "labelled")
+    order = [F.xxhash64("l_id"), F.col("l_id")]
     chosen = known.filter("quality = 0").orderBy(*order).limit(rows).unionByName(known.filter("quality = 1").orderBy(*order).limit(rows))
-    chosen = scratch.table(chosen.select(F.col("doc_id").alias("l_id"), F.col("quality").cast("int").alias("quality")), "chosen")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            parts = [chunks(t.as_py()) for t in b.column("text")]
-            parts = [p[np.unique(np.linspace(0, len(p) - 1, CHUNKS).astype(int))] for p in parts]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.array([p.tobytes() for p in parts], pa.binary())], ["doc_id", "quality", "chunks"])
-
-    scratch.small_batches(docs.sparkSession)
-    labelled = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id")).select(F.col("doc_id").cast("string").alias("doc_id"), "quality", "text")
-    found = labelled.mapInArrow(cut, "doc_id string, quality int, chunks binary").collect()
-    samples = [(np.frombuffer(r["chunks"], np.uint8).reshape(-1, CHUNK), r["quality"]) for r in sorted(found, key=lambda r: (r["doc_id"], bytes(r["chunks"])))]
-    return train(samples) if {y for _, y in samples} == {0, 1} else Network()
+    chosen = scratch.table(chosen, "chosen")
+    same = (F.col("doc_id") == F.col("l_id")) & (F.xxhash64("text") == F.col("l_version"))
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), same).groupBy("l_id", "quality").agg(F.first("text").alias("text"))
+    found = sorted(sample.collect(), key=lambda r: str(r["l_id"]))  # ``rows`` of each class, of ``longest`` bytes at most
+    samples = [(chunks(r["text"]), r["quality"]) for r in found]
+    return train(samples) if {y for _, y in samples} == {0, 1} else constant(sum(y for _, y in samples), len(samples))
 
 
 def score(docs: DataFrame, network: Network) -> DataFrame:
@@ -136,14 +142,13 @@ def score(docs: DataFrame, network: Network) -> DataFrame:
 
     Whole texts are scored, chunk by chunk; a null text counts as empty and has the score of an empty chunk. Ids pass
     through, null or repeated. An empty table gives no rows."""
-    scratch.small_batches(docs.sparkSession)
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    weights = network.w
+    weights = network.w  # some 30 kB, whatever the corpus
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Network(weights)
         tables = net.tables()
-        for b in batches:
+        for b in scratch.bounded(batches):
             p = np.array([net.score(t.as_py(), tables) for t in b.column("text")], np.float64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 

@@ -37,7 +37,7 @@ def folder(spark: SparkSession) -> str:
     return _fallback()
 
 
-def table(df: DataFrame, name: str, compact: bool = False, tidy: bool = True) -> DataFrame:
+def table(df: DataFrame, name: str, compact: bool = False) -> DataFrame:
     """``df`` written once and read back. Its size on disk lets the planner decide on broadcasts. The shuffle files of
     the write go as soon as it is done. ``compact`` spends more time on compression, where a table holds texts."""
     spark = df.sparkSession
@@ -77,10 +77,3 @@ def bounded(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.R
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
-
-
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Bound what one Arrow batch holds, unless the session has its own setting: texts may be long."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, str(rows))
