@@ -5,7 +5,7 @@ import sys
 
 import corpus_pipeline
 from tests.conftest import DATA, ROOT
-from tests.llm.test_operators import brute_components, brute_hits, plain_fingerprint
+from tests.llm.test_operators import brute_hits, similar_components
 from tidewrack.llm import langid, mixing
 
 
@@ -15,7 +15,7 @@ def test_pipeline(spark):
     classify = langid.classifier(dictionaries)
     rows = [r for r in docs.collect() if (found := classify(r["text"]))[0] != "und" and found[1] >= langid.NARROW]
     rows.sort(key=lambda r: r["doc_id"])
-    roots = brute_components([plain_fingerprint(r["text"]) for r in rows])
+    roots, _ = similar_components([r["text"] for r in rows])
     rows = [r for i, r in enumerate(rows) if roots[i] == i]
     items = [tuple(r) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").select("item_id", "text").collect()]
 
