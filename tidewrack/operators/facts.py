@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from tidewrack.functions import patterns as P
 from tidewrack.functions import shell
-from tidewrack.functions.text import correction, error_category, interruption_reason, is_noise, prompt_template, redact
+from tidewrack.functions.text import LEADING_SPACE, correction, error_category, interruption_reason, is_noise, prompt_template, redact
+from tidewrack.operators.working import stored
 
 CALL = ["session_id", "turn", "idx"]
 
@@ -28,32 +29,43 @@ def _string(args: Column, path: str) -> Column:
     return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(args, path, "string"))
 
 
+def _picked(args: Column, keys: tuple[str, ...]) -> Column:
+    """The first of the keys that has a string with more than white space in it, trimmed."""
+    trimmed = (F.regexp_replace(_string(args, f"$.{k}"), f"{LEADING_SPACE}|{LEADING_SPACE.removeprefix('^')}$", "") for k in keys)
+    return F.coalesce(*(F.when(v != "", v) for v in trimmed))
+
+
+def _strings(args: Column, path: str) -> Column:
+    """The strings of an array; other elements, and anything but an array, are none."""
+    items = F.coalesce(F.try_variant_get(args, path, "array<variant>"), F.array().cast("array<variant>"))
+    return F.transform(F.filter(items, lambda v: F.schema_of_variant(v) == "STRING"), lambda v: F.try_variant_get(v, "$", "string"))
+
+
 def _first(args: Column, keys: tuple[str, ...]) -> Column:
     return F.coalesce(*(_string(args, f"$.{k}") for k in keys))
 
 
 def files_touched(calls: DataFrame) -> DataFrame:
-    """session_id, turn, op, path; one row for each."""
-    known = calls.filter(F.col("name").isin(*P.FILE_TOOLS, "apply_patch", "opencode_patch"))
-    args = _args(known)
+    """session_id, turn, op, path; one row for each. A patch is one JSON string, and names a file on lines of its own."""
+    args = _args(calls.filter(F.col("name").isin(*P.FILE_TOOLS, "apply_patch", "opencode_patch")))
     op = F.element_at(F.create_map(*(F.lit(x) for kv in P.FILE_TOOLS.items() for x in kv)), F.col("name"))
-    listed = F.coalesce(F.try_variant_get("args", "$.paths", "array<string>"), F.array().cast("array<string>"))
-    paths = F.filter(F.concat(F.array(*(_string(F.col("args"), f"$.{k}") for k in P.PATH_KEYS)), listed), lambda p: p.isNotNull() & (p != ""))
-    plain = args.filter(F.col("name").isin(*P.FILE_TOOLS)).select("session_id", "turn", op.alias("op"), F.explode(paths).alias("path"))
-    patch = F.coalesce(_string(F.col("args"), "$.input"), _string(F.col("args"), "$.patch"), F.when(F.schema_of_variant("args") == "STRING", F.try_variant_get("args", "$", "string")), F.when(F.col("args").isNull(), F.col("args_json")))
+    single = F.filter(F.array(*(_string(F.col("args"), f"$.{k}") for k in P.PATH_KEYS)), lambda p: p.isNotNull() & (p != ""))
+    plain = args.filter(F.col("name").isin(*P.FILE_TOOLS)).select("session_id", "turn", op.alias("op"), F.explode(F.concat(single, _strings(F.col("args"), "$.paths"))).alias("path"))
+    patch = F.when(F.schema_of_variant("args") == "STRING", F.try_variant_get("args", "$", "string"))
     edits = F.regexp_extract_all(patch, F.lit(r"(?m)^\*\*\* (?:Add|Update|Delete) File: .+$"), F.lit(0))
     patched = args.filter("name = 'apply_patch'").select("session_id", "turn", F.explode(edits).alias("line"))
     kind = F.regexp_extract("line", r"^\*\*\* (Add|Update|Delete) File: (.+)$", 1)
     patched = patched.select("session_id", "turn", F.when(kind == "Add", "write").when(kind == "Update", "edit").otherwise("delete").alias("op"), F.trim(F.regexp_extract("line", r"File: (.+)$", 1)).alias("path"))
-    opencode = args.filter("name = 'opencode_patch'").select("session_id", "turn", F.lit("edit").alias("op"), F.explode(F.try_variant_get("args", "$.files", "array<string>")).alias("path"))
-    return plain.unionByName(patched).unionByName(opencode).filter("path is not null and path <> ''").distinct()
+    listed = F.filter(_strings(F.col("args"), "$.files"), lambda p: p != "")
+    opencode = args.filter("name = 'opencode_patch'").select("session_id", "turn", F.lit("edit").alias("op"), F.explode(listed).alias("path"))
+    return plain.unionByName(patched.filter("path <> ''")).unionByName(opencode).distinct()
 
 
 def shell_commands(calls: DataFrame) -> DataFrame:
     """session_id, turn, idx, cmd_head, cmd_full (redacted), exit_code, duration_ms. A command that cannot be parsed
     keeps its row with a null head."""
     runs = _args(calls.filter(F.col("name").isin(*P.SHELL_TOOLS)))
-    runs = runs.withColumn("raw", F.trim(_first(F.col("args"), P.COMMAND_KEYS))).filter("raw <> ''")
+    runs = runs.withColumn("raw", _picked(F.col("args"), P.COMMAND_KEYS)).filter("raw is not null")
     return runs.select(*CALL, shell.command_head(F.col("raw")).alias("cmd_head"), redact(F.col("raw")).alias("cmd_full"), "exit_code", "duration_ms")
 
 
@@ -128,28 +140,37 @@ def user_interruptions(messages: DataFrame) -> DataFrame:
 
 
 def skills_invoked(calls: DataFrame) -> DataFrame:
+    """session_id, turn, idx, skill_name: of the skill tool by its arguments, of a tool named after a skill, and of any
+    call whose arguments name a skill's file."""
     args = _args(calls)
-    slug = F.regexp_extract(F.coalesce(_first(F.col("args"), ("path", "file_path")), F.lit("")), r"([^/]+)/(?:SKILL\.md)?$", 1)
-    by_key = F.coalesce(_first(F.col("args"), P.SKILL_KEYS), F.when(slug != "", slug))
+    path = F.coalesce(*(F.when(~F.is_variant_null(v), v) for v in (F.try_variant_get("args", f"$.{k}", "variant") for k in ("path", "file_path"))))
+    file = F.when(F.schema_of_variant(path) == "STRING", F.try_variant_get(path, "$", "string"))
+    by_key = F.coalesce(_picked(F.col("args"), P.SKILL_KEYS), F.regexp_extract(file, P.SKILL_FILE, 1))
     by_name = F.regexp_extract("name", r"(?i)^skill[_:-](.+)$", 1)
-    in_args = F.regexp_extract(F.coalesce("args_json", F.lit("")), r'([^/"\\]+)/SKILL\.md', 1)
-    skill = F.when(F.lower("name") == "skill", by_key).when(by_name != "", by_name).when(in_args != "", in_args)
-    return args.select(*CALL, skill.alias("skill_name")).filter("skill_name is not null and skill_name <> ''")
+    skill = F.when(F.lower("name") == "skill", by_key).when(by_name != "", by_name).otherwise(F.regexp_extract("args_json", P.SKILL_FILE, 1))
+    return args.select(*CALL, skill.alias("skill_name")).filter("skill_name <> ''")
 
 
 def skills_hook_injected(messages: DataFrame) -> DataFrame:
-    text = F.col("text")
-    found = messages.filter((F.col("role") == "user") & text.ilike("Base directory for this skill:%"))
-    return found.select("session_id", "turn", F.regexp_extract("text", r"(?i)^Base directory for this skill:\s*\S*?([^/\s]+)/?(?:\s|$)", 1).alias("skill_slug")).filter("skill_slug <> ''").distinct()
+    """session_id, turn, skill_slug, source_path of user messages that begin with a skill's base directory."""
+    found = messages.filter((F.col("role") == "user") & F.col("text").ilike("Base directory for this skill:%"))
+    found = found.select("session_id", "turn", F.regexp_extract("text", r"(?m)^Base directory for this skill:\s*(\S+)", 1).alias("source_path"))
+    slugs = [F.regexp_extract("source_path", p, 1) for p in (f"(?i){P.SKILL_FILE}", P.SKILL_FOLDER)]
+    found = found.withColumn("skill_slug", F.when(slugs[0] != "", slugs[0]).otherwise(slugs[1])).filter("skill_slug <> ''")
+    return found.groupBy("session_id", "turn", "skill_slug").agg(F.min("source_path").alias("source_path"))
 
 
 def mcp_calls(calls: DataFrame) -> DataFrame:
+    """session_id, turn, idx, server, tool, exit_code: of wrapper tools by their arguments, of others by their name."""
     args = _args(calls)
-    wrapper = F.lower("name").isin(*P.MCP_WRAPPERS)
-    two = [F.regexp_extract("name", r"^mcp__(.+?)__(.+)$", g) for g in (1, 2)]
-    one = [F.regexp_extract("name", r"^mcp_([^_]+)_(.+)$", g) for g in (1, 2)]
-    server = F.when(wrapper, _first(F.col("args"), P.MCP_SERVER_KEYS)).when(two[0] != "", two[0]).when(one[0] != "", one[0])
-    tool = F.when(wrapper, _first(F.col("args"), P.MCP_TOOL_KEYS)).when(two[1] != "", two[1]).when(one[1] != "", one[1])
+    wrapper = F.lower("name").isin(*P.MCP_WRAPPERS) | F.col("name").isin(*P.MCP_WRAPPERS_AS_SPELLED)
+    server, tool = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for pattern in reversed(P.MCP_NAMES):
+        known = F.col("name").rlike(pattern)
+        server = F.when(known, F.regexp_extract("name", pattern, 1)).otherwise(server)
+        tool = F.when(known, F.regexp_extract("name", pattern, 2)).otherwise(tool)
+    server = F.when(wrapper, _picked(F.col("args"), P.MCP_SERVER_KEYS)).otherwise(server)
+    tool = F.when(wrapper, _picked(F.col("args"), P.MCP_TOOL_KEYS)).otherwise(tool)
     return args.select(*CALL, server.alias("server"), tool.alias("tool"), "exit_code").filter("server is not null and tool is not null")
 
 
@@ -158,10 +179,12 @@ def domain(url: Column) -> Column:
 
 
 def web_fetches(calls: DataFrame) -> DataFrame:
+    """session_id, turn, idx, kind, url, query, domain of calls that have a URL or a query."""
     args = _args(calls.filter(F.col("name").isin(*P.WEB_TOOLS)))
     kind = F.element_at(F.create_map(*(F.lit(x) for kv in P.WEB_TOOLS.items() for x in kv)), F.col("name"))
-    query = F.coalesce(_first(F.col("args"), P.QUERY_KEYS), _string(F.col("args"), "$.queries[0]"))
-    rows = args.select(*CALL, kind.alias("kind"), _first(F.col("args"), P.URL_KEYS).alias("url"), query.alias("query"))
+    trimmed = F.transform(_strings(F.col("args"), "$.queries"), lambda q: F.regexp_replace(q, f"{LEADING_SPACE}|{LEADING_SPACE.removeprefix('^')}$", ""))
+    query = F.coalesce(_picked(F.col("args"), P.QUERY_KEYS), F.get(F.filter(trimmed, lambda q: q != ""), F.lit(0)))
+    rows = args.select(*CALL, kind.alias("kind"), _picked(F.col("args"), P.URL_KEYS).alias("url"), query.alias("query"))
     return rows.withColumn("domain", domain(F.col("url"))).filter("url is not null or query is not null")
 
 
@@ -185,33 +208,48 @@ def _is(value: str) -> Callable[[Column], Column]:
 
 
 def todo_events(calls: DataFrame) -> DataFrame:
+    """session_id, turn, idx, how many items have each state, and total: the items with any. The first list that is
+    there counts, and one that is no array has no items."""
     args = _args(calls.filter(F.col("name").isin(*P.TODO_TOOLS)))
-    states = F.coalesce(*(F.transform(F.try_variant_get("args", f"$.{k}", "array<variant>"), lambda t: F.try_variant_get(t, "$.status", "string")) for k in P.TODO_LISTS))
-    rows = args.select(*CALL, states.alias("states")).filter(F.size("states") > 0)
+    items = F.coalesce(*(F.when(~F.is_variant_null(v), v) for v in (F.try_variant_get("args", f"$.{k}", "variant") for k in P.TODO_LISTS)))
+    states = F.transform(F.coalesce(F.try_variant_get(items, "$", "array<variant>"), F.array().cast("array<variant>")), lambda t: _string(t, "$.status"))
+    rows = args.select(*CALL, F.filter(states, lambda s: s.isNotNull()).alias("states")).filter(F.size("states") > 0)
     return rows.select(*CALL, *(F.size(F.filter("states", _is(k))).alias(k) for k in P.TODO_STATES), F.size("states").alias("total"))
 
 
 def search_calls(calls: DataFrame) -> DataFrame:
     args = _args(calls.filter(F.col("name").isin(*P.SEARCH_TOOLS)))
-    rows = args.select(*CALL, F.lower("name").alias("tool"), _first(F.col("args"), P.SEARCH_PATTERN_KEYS).alias("pattern"), _first(F.col("args"), P.SEARCH_PATH_KEYS).alias("path"), _first(F.col("args"), P.SEARCH_INCLUDE_KEYS).alias("include"))
+    rows = args.select(*CALL, F.lower("name").alias("tool"), _picked(F.col("args"), P.SEARCH_PATTERN_KEYS).alias("pattern"), _picked(F.col("args"), P.SEARCH_PATH_KEYS).alias("path"), _picked(F.col("args"), P.SEARCH_INCLUDE_KEYS).alias("include"))
     return rows.filter("pattern is not null or path is not null")
 
 
 def subagent_dispatches(calls: DataFrame) -> DataFrame:
-    args = _args(calls.filter(F.lower("name").isin(*P.DISPATCH_TOOLS)))
-    rows = args.select("session_id", "turn", "idx", _first(F.col("args"), P.DISPATCH_TYPE_KEYS).alias("subagent_type"), F.substring(_first(F.col("args"), P.DISPATCH_TEXT_KEYS), 1, 500).alias("task_text"))
-    return rows.filter("subagent_type is not null or task_text is not null")
+    """session_id, turn, idx, subagent_type, task_text (500 characters, a sealed message replaced by the task's name)
+    of dispatching calls, and what links them to a child: stable_key, output_id and failed. Calls with neither type nor
+    text are none."""
+    rows = _args(calls.filter(F.lower("name").isin(*P.DISPATCH_TOOLS))).withColumn("output", F.try_parse_json("output_preview"))
+    args = F.col("args")
+    rows = rows.filter(F.schema_of_variant("args").startswith("OBJECT"))
+    spawned = F.lower("name") == "spawn_agent"
+    text = _picked(args, P.DISPATCH_TEXT_KEYS)
+    sealed = spawned & (F.char_length(text) >= 80) & text.rlike(r"^gAAAA[A-Za-z0-9_-]*={0,2}$")
+    text = F.coalesce(F.when(sealed, _picked(args, ("task_name", "taskName"))).otherwise(text), F.lit(""))
+    told = F.lower(F.coalesce("output_preview", F.lit("")))
+    failed = spawned & F.reduce(F.array(*(F.lit(p) for p in P.DISPATCH_FAILURES)), F.lit(False), lambda a, p: a | F.contains(told, p))
+    rows = rows.select(*CALL, _picked(args, P.DISPATCH_TYPE_KEYS).alias("subagent_type"), F.substring(text, 1, 500).alias("task_text"), _picked(args, P.STABLE_KEYS).alias("stable_key"), _picked(F.col("output"), P.OUTPUT_ID_KEYS).alias("output_id"), failed.alias("failed"))
+    return rows.filter("subagent_type is not null or task_text <> ''")
 
 
 def prompt_templates(sessions: DataFrame, least: int = 3) -> DataFrame:
     """First prompts that recur once what varies is taken out: hash, template, count, five example sessions.
 
-    Examples come from a bounded aggregate: the five smallest ids, kept small on the way by a group limit."""
+    Prompts are taken apart once, into rows of an id, a hash and 500 characters. Examples come from a bounded
+    aggregate: the five smallest ids, kept small on the way by a group limit."""
     prompts = sessions.filter(F.col("first_user_prompt").isNotNull() & ~is_noise(F.col("first_user_prompt")))
     prompts = prompts.select("id", prompt_template(F.col("first_user_prompt")).alias("template")).filter("template <> ''")
-    prompts = prompts.withColumn("hash", F.substring(F.sha2("template", 256), 1, 16))
-    counts = prompts.groupBy("hash").agg(F.substring(F.min("template"), 1, 500).alias("template"), F.count(F.lit(1)).alias("count")).filter(F.col("count") >= least)
-    firsts = prompts.withColumn("n", F.row_number().over(Window.partitionBy("hash").orderBy("id"))).filter("n <= 5")
+    prompts = stored(prompts.select("id", F.substring(F.sha2("template", 256), 1, 16).alias("hash"), F.substring("template", 1, 500).alias("template")))
+    counts = prompts.groupBy("hash").agg(F.min("template").alias("template"), F.count(F.lit(1)).alias("count")).filter(F.col("count") >= least)
+    firsts = prompts.select("id", "hash").withColumn("n", F.row_number().over(Window.partitionBy("hash").orderBy("id"))).filter("n <= 5")
     firsts = firsts.groupBy("hash").agg(F.to_json(F.array_sort(F.collect_list("id"))).alias("example_session_ids"))
     return counts.join(firsts, "hash")
 

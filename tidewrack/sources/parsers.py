@@ -17,6 +17,14 @@ from typing import Any
 Json = dict[str, Any]
 
 
+def _is_json(text: str) -> bool:
+    try:
+        json.loads(text)
+    except ValueError:
+        return False
+    return True
+
+
 @dataclass
 class Session:
     id: str
@@ -48,7 +56,7 @@ class Session:
             self.ended_at = ts if self.ended_at is None else max(self.ended_at, ts)
 
     def call(self, message: Json, name: str, args: Any, call_id: str | None = None) -> Json:
-        text = args if isinstance(args, str) else json.dumps(args, sort_keys=True, ensure_ascii=False)
+        text = args if isinstance(args, str) and _is_json(args) else json.dumps(args, sort_keys=True, ensure_ascii=False)
         made = {"idx": len(message["tools"]), "name": name, "args_json": text, "args_hash": hashlib.sha256(text.encode()).hexdigest(), "output": None, "exit_code": None, "call_id": call_id}
         message["tools"].append(made)
         if call_id:
