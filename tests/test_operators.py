@@ -22,8 +22,8 @@ def rows(df, *cols):
 def test_files_and_shell_and_git(spark):
     df = calls(
         spark,
-        ("a", 1, 0, "Read", {"file_path": "/x", "paths": ["/y", ""]}, "h", None, 0),
-        ("a", 1, 1, "apply_patch", "*** Update File: q.py\n*** Add File: r.py", "h", None, 0),
+        ("a", 1, 0, "Read", {"file_path": "/x", "paths": ["/y"]}, "h", None, 0),
+        ("a", 1, 1, "apply_patch", json.dumps("*** Update File: q.py\n*** Add File: r.py"), "h", None, 0),
         ("a", 2, 0, "Bash", {"command": " git checkout main && git commit -m x "}, "h", None, 0),
         ("a", 3, 0, "Bash", {"cmd": "cd d; git push"}, "h", None, 1),
         ("a", 4, 0, "Edit", "not json", "h", None, 0),
@@ -49,7 +49,7 @@ def test_tool_facts(spark):
         ("a", 4, 0, "Grep", {"pattern": "x", "path": "/p"}, "h", None, 0),
         ("a", 5, 0, "Task", {"subagent_type": "explore", "prompt": "go"}, "h", None, 0),
         ("a", 6, 0, "Skill", {"skill": "pdf"}, "h", None, 0),
-        ("a", 6, 1, "Read", {"file_path": "/s/foo/SKILL.md"}, "h", None, 0),
+        ("a", 6, 1, "Read", {"file_path": "/skills/foo/SKILL.md"}, "h", None, 0),
     )
     assert rows(facts.mcp_calls(df), "server", "tool") == [("s", "t"), ("srv", "find")]
     assert rows(facts.web_fetches(df), "kind", "domain", "query") == [("fetch", "ex.org", None), ("search", None, "q1")]
@@ -111,6 +111,10 @@ def test_assignment_and_family(spark):
     dispatches = spark.createDataFrame([("p", 1, 0, "c2", False), ("p", 2, 0, None, True), ("p", 3, 0, None, False)], "session_id string, turn long, idx int, output_id string, failed boolean")
     children = spark.createDataFrame([("c1", "e1", "p", 5), ("c2", "e2", "p", 1), ("c3", "e3", "p", None)], "id string, external_id string, parent_session_id string, started_at long")
     assert rows(lineage.assign_children(dispatches, children), "turn", "child_id") == [(1, "c2"), (2, None), (3, "c1")]
+    # A stable key claims before what is left is dealt out in order; guardians are claimed by name alone.
+    keyed = spark.createDataFrame([("p", 1, 0, None, None, False), ("p", 2, 0, None, "/team/w/", False), ("p", 3, 0, "g", "x", False), ("p", 4, 0, None, "none", False)], "session_id string, turn long, idx int, output_id string, stable_key string, failed boolean")
+    kin = spark.createDataFrame([("a", "ea", "p", 1, "w", "codex"), ("b", "eb", "p", 2, "team/v", "codex"), ("g", "eg", "p", 0, "guardian", "codex"), ("h", "eh", "p", 0, "guardian", "codex")], "id string, external_id string, parent_session_id string, started_at long, agent_type string, source string")
+    assert rows(lineage.assign_children(keyed, kin), "turn", "child_id") == [(1, "b"), (2, "a"), (3, "g"), (4, None)]
     links = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", "y")], "parent string, child string")
     assert rows(lineage.family(spark.createDataFrame([("a",), ("z",)], "id string"), links)) == [("a",), ("b",), ("c",), ("z",)]
 

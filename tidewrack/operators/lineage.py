@@ -2,29 +2,11 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import uuid
-from functools import cache
-
-from pyspark.sql import DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-@cache
-def _fallback() -> str:
-    folder = f"/tmp/checkpoints/{uuid.uuid4().hex}"
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    return f"file://{folder}"
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Written to the shared folder, or to a local one if the session names none, so that rounds do not pile up."""
-    spark: SparkSession = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or _fallback()
-    path = f"{folder.rstrip('/')}/lineage/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from tidewrack.operators.working import stored
 
 
 def family(seeds: DataFrame, links: DataFrame) -> DataFrame:
@@ -32,25 +14,59 @@ def family(seeds: DataFrame, links: DataFrame) -> DataFrame:
 
     The frontier is joined with the links each round and what has been seen is taken off it, until nothing is left;
     a round costs one join with the frontier, and cycles end it."""
-    both = _cut(links.select(F.col("parent").alias("a"), F.col("child").alias("b")).unionByName(links.select(F.col("child").alias("a"), F.col("parent").alias("b"))).filter("a is not null and b is not null").distinct())
-    seen = frontier = _cut(seeds.select("id").distinct())
+    both = stored(links.select(F.col("parent").alias("a"), F.col("child").alias("b")).unionByName(links.select(F.col("child").alias("a"), F.col("parent").alias("b"))).filter("a is not null and b is not null").distinct())
+    seen = frontier = stored(seeds.select("id").distinct())
     while frontier.limit(1).count():
-        frontier = _cut(frontier.join(both, F.col("id") == F.col("a")).select(F.col("b").alias("id")).distinct().join(seen, "id", "left_anti"))
-        seen = _cut(seen.unionByName(frontier))
+        frontier = stored(frontier.join(both, F.col("id") == F.col("a")).select(F.col("b").alias("id")).distinct().join(seen, "id", "left_anti"))
+        seen = stored(seen.unionByName(frontier))
     return seen
 
 
 def assign_children(dispatches: DataFrame, children: DataFrame) -> DataFrame:
-    """``dispatches`` (session_id, turn, idx, output_id, failed) with child_id.
-
-    First the child whose id or external id the call's output names; then the free children of a parent, by start
-    (unknown last) and id, go to its other calls that did not fail, in order: rank meets rank in one join."""
-    named = children.select(F.explode(F.array_distinct(F.array("id", "external_id"))).alias("name"), F.col("id").alias("n_id"), F.col("parent_session_id").alias("n_parent")).filter("name is not null")
-    exact = dispatches.join(named, (F.col("output_id") == F.col("name")) & (F.col("session_id") == F.col("n_parent"))).groupBy("session_id", "turn", "idx").agg(F.min("n_id").alias("child_id"))
-    exact = exact.withColumn("_n", F.row_number().over(Window.partitionBy("child_id").orderBy("turn", "idx"))).filter("_n = 1").drop("_n")
-    key = ["session_id", "turn", "idx"]
-    open_calls = dispatches.filter("not failed").join(exact, key, "left_anti").withColumn("rank", F.row_number().over(Window.partitionBy("session_id").orderBy("turn", "idx")))
-    free = children.filter("parent_session_id is not null").join(exact.select(F.col("child_id").alias("id")), "id", "left_anti")
-    free = free.select(F.col("parent_session_id").alias("f_parent"), F.col("id").alias("f_id"), F.row_number().over(Window.partitionBy("parent_session_id").orderBy(F.asc_nulls_last("started_at"), "id")).alias("f_rank"))
-    ranked = open_calls.join(free, (F.col("session_id") == F.col("f_parent")) & (F.col("rank") == F.col("f_rank"))).select(*key, F.col("f_id").alias("child_id"))
-    return dispatches.join(exact.unionByName(ranked), key, "left")
+    """``dispatches`` (session_id, turn, idx, output_id, stable_key, failed) with child_id.
+
+    Calls of a parent claim its children (by start, unknown last, and id), each child once, in three rounds over the
+    calls in order: first the child whose id or external id the call's output names; then the first free one whose
+    agent type is the call's stable key, or ends with it as a path, or the other way round; then the first free one.
+    Failed calls claim nothing, and guardians only by name. Each claim depends on those before it, so the calls and
+    children of one parent meet in one task."""
+
+    def key_of(value: str | None) -> str:
+        return (value or "").strip().strip("/")
+
+    def claims(calls: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        calls = calls.sort_values(["turn", "idx"])
+        own = own.sort_values(["started_at", "id"], na_position="last")
+        free = list(own[["id", "external_id", "agent_type", "source"]].astype(object).where(own.notna(), None).itertuples(index=False))
+        todo = list(calls[["turn", "idx", "output_id", "stable_key", "failed"]].astype(object).where(calls.notna(), None).itertuples(index=False))
+        claimed: dict[tuple, str] = {}
+
+        def fits(call: tuple, child: tuple) -> bool:
+            a, b = key_of(child.agent_type), key_of(call.stable_key)
+            return bool(child.agent_type) and (a == b or a.endswith(f"/{b}") or b.endswith(f"/{a}"))
+
+        guardian = lambda c: c.source == "codex" and c.agent_type == "guardian"
+        rounds = (
+            (lambda call: bool(call.output_id), lambda call, c: call.output_id in (c.id, c.external_id)),
+            (lambda call: bool(call.stable_key), lambda call, c: not guardian(c) and fits(call, c)),
+            (lambda call: True, lambda call, c: not guardian(c)),
+        )
+        for asks, takes in rounds:
+            for call in todo:
+                if call.failed or (call.turn, call.idx) in claimed or not asks(call):
+                    continue
+                if (child := next((c for c in free if takes(call, c)), None)) is not None:
+                    claimed[call.turn, call.idx] = child.id
+                    free.remove(child)
+        made = [(calls["session_id"].iloc[0], turn, idx, child) for (turn, idx), child in claimed.items()] if len(calls) else []
+        return pd.DataFrame(made, columns=["session_id", "turn", "idx", "child_id"])
+
+    for name in ("stable_key",):
+        dispatches = dispatches if name in dispatches.columns else dispatches.withColumn(name, F.lit(None).cast("string"))
+    for name in ("agent_type", "source"):
+        children = children if name in children.columns else children.withColumn(name, F.lit(None).cast("string"))
+    asked = dispatches.select("session_id", "turn", "idx", "output_id", "stable_key", "failed")
+    own = children.filter("parent_session_id is not null").select(F.col("parent_session_id").alias("session_id"), "id", "external_id", "agent_type", "source", "started_at")
+    kinds = {f.name: f.dataType.simpleString() for f in dispatches.schema}
+    found = asked.groupBy("session_id").cogroup(own.groupBy("session_id")).applyInPandas(claims, f"session_id {kinds['session_id']}, turn {kinds['turn']}, idx {kinds['idx']}, child_id string")
+    return dispatches.join(found, ["session_id", "turn", "idx"], "left")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -98,17 +99,52 @@ def scored(chunks: DataFrame, query: list[float], vector: str = "embedding") ->
     return chunks.withColumn("score", cosine(F.col(vector), F.array(*(F.lit(float(x)) for x in query))))
 
 
-def adjusted(score: Column, kind: Column, text: Column, query: str) -> Column:
+def query_terms(query: str) -> list[str]:
+    """The distinct words of a query of two characters or more, in lower case."""
+    return [w for w in dict.fromkeys(re.findall(r"[\w-]+", query.lower())) if len(w) >= 2]
+
+
+def quality(title: Column, shown: Column) -> Column:
+    """0.35 for what looks like a continuation prompt, else 1."""
+    text = F.lower(F.concat(F.coalesce(title, F.lit("")), F.lit("\n"), F.coalesce(shown, F.lit(""))))
+    found = F.startswith(text, F.lit(P.CONTINUATION_TITLE))
+    for phrase in P.CONTINUATIONS:
+        found = found | F.contains(text, F.lit(phrase))
+    return F.when(found, 0.35).otherwise(1.0)
+
+
+def adjusted(score: Column, kind: Column, title: Column, shown: Column, query: str) -> Column:
     """Tool summaries count less unless the query is about tools, continuation prompts less still."""
-    about_tools = bool(set(query.lower().split()) & set(P.TOOL_QUERY_WORDS))
+    about_tools = re.search(rf"\b(?:{'|'.join(P.TOOL_QUERY_WORDS)})\b", query, re.I | re.A)
     score = score if about_tools else F.when(kind == "tool_summary", score * 0.65).otherwise(score)
-    return F.when(F.startswith(text, F.lit("This session is being continued from a previous ")), score * 0.35).otherwise(score)
+    return score * quality(title, shown)
+
+
+def covered(text: Column, terms: list[str]) -> Column:
+    """Which of the terms a text holds, as an array of booleans."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.array(*(F.contains(low, F.lit(t)) for t in terms)) if terms else F.array().cast("array<boolean>")
+
+
+def best_per_session(scored: DataFrame, cover: Column | None = None, by: str = "session_id", score: str = "score", key: str = "chunk") -> DataFrame:
+    """A session's best chunk, taking them in the order of the key: a later one replaces the best so far if its score
+    is greater by more than 0.02, or within 0.02 of it and its text covers more of the query's terms. Text passed over
+    counts for the best one's coverage, as long as it has fewer than three snippets. One session's chunks meet in a
+    task; ``cover`` is made by ``covered``."""
+    cover = F.array().cast("array<boolean>") if cover is None else cover
+    entry = F.struct(F.col(key).alias("key"), F.col(score).cast("double").alias("score"), cover.alias("cover"))
+    listed = scored.groupBy(by).agg(F.array_sort(F.collect_list(entry)).alias("all"))
+    covers = lambda x: F.size(F.filter(x["cover"], lambda t: t))
 
+    def fold(best: Column, c: Column) -> Column:
+        better = (c["score"] > best["score"] + 0.02) | ((c["score"] >= best["score"] - 0.02) & (covers(c) > covers(best)))
+        both = F.when(best["shown"] < 3, F.zip_with(best["cover"], c["cover"], lambda x, y: x | y)).otherwise(best["cover"])
+        passed = F.struct(best["key"].alias("key"), best["score"].alias("score"), both.alias("cover"), F.least(best["shown"] + 1, F.lit(3)).alias("shown"))
+        return F.when(better, F.struct(c["key"].alias("key"), c["score"].alias("score"), c["cover"].alias("cover"), F.lit(1).alias("shown"))).otherwise(passed)
 
-def best_per_session(scored: DataFrame, by: str = "session_id", score: str = "score", key: str = "chunk") -> DataFrame:
-    """A session's best chunk: greatest score, then the smallest key."""
-    order = F.struct(F.col(score), -F.col(key))
-    return scored.groupBy(by).agg(F.max_by(F.struct(F.col(key), F.col(score)), order).alias("b")).select(by, f"b.{key}", f"b.{score}")
+    first = F.struct(F.col("all")[0]["key"].alias("key"), F.col("all")[0]["score"].alias("score"), F.col("all")[0]["cover"].alias("cover"), F.lit(1).alias("shown"))
+    best = listed.withColumn("best", F.aggregate(F.slice("all", F.lit(2), F.size("all")), first, fold))
+    return best.select(by, F.col("best.key").alias(key), F.col("best.score").alias(score))
 
 
 def ranked(semantic: DataFrame, key: str = "session_id") -> DataFrame:
@@ -124,13 +160,19 @@ def ranked(semantic: DataFrame, key: str = "session_id") -> DataFrame:
 
 def hybrid(lexical: DataFrame, semantic: DataFrame, key: str = "session_id") -> DataFrame:
     """Fusion of two ranked lists (key, score): 0.6 / (lexical rank + 1) + 0.4 * max(0, cosine) / (semantic
-    rank + 1), ranks from 0. The lexical list is a pool, so ranking it in one task is bounded; the semantic one may
+    rank + 1), ranks from 0, times the quality of the lexical row, or else of the semantic one, where they have a column
+    of that name. The lexical list is a pool, so ranking it in one task is bounded; the semantic one may
     hold every session."""
-    a = lexical.select(F.col(key).alias("a_key"), (F.row_number().over(Window.orderBy("score", key)) - 1).alias("lexical_rank"))
+    of = lambda df: F.col("quality") if "quality" in df.columns else F.lit(None).cast("double")
+    a = lexical.select(F.col(key).alias("a_key"), of(lexical).alias("a_quality"), (F.row_number().over(Window.orderBy("score", key)) - 1).alias("lexical_rank"))
     b = ranked(semantic, key).select(F.col(key).alias("b_key"), F.col("score").alias("cosine"), "semantic_rank")
+    if "quality" in semantic.columns:
+        b = b.join(semantic.select(F.col(key).alias("b_key"), F.col("quality").alias("b_quality")), "b_key")
+    else:
+        b = b.withColumn("b_quality", F.lit(None).cast("double"))
     both = a.join(b, F.col("a_key") == F.col("b_key"), "full_outer")
     fused = F.coalesce(0.6 / (F.col("lexical_rank") + 1), F.lit(0.0)) + F.coalesce(0.4 * F.greatest(F.lit(0.0), F.col("cosine")) / (F.col("semantic_rank") + 1), F.lit(0.0))
-    return both.select(F.coalesce("a_key", "b_key").alias(key), "lexical_rank", "semantic_rank", fused.alias("score"))
+    return both.select(F.coalesce("a_key", "b_key").alias(key), "lexical_rank", "semantic_rank", (fused * F.coalesce("a_quality", "b_quality", F.lit(1.0))).alias("score"))
 
 
 def pending(chunks: DataFrame, embedded: DataFrame, model_id: str) -> DataFrame:

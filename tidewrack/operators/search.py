@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewrack.functions.text import words
+from tidewrack.operators.working import stored
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
@@ -35,6 +36,8 @@ class TextIndex:
         """(doc, score): smaller is better, as sums of negative term scores. Corpus size and mean length are one-row
         aggregates; only postings of the asked terms are counted."""
         asked = list(dict.fromkeys(terms))
+        if self.tokens is not None:
+            return self._bm25_of_tokens(asked)
         tf = self.postings.filter(F.col("term").isin(asked)).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
         df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         corpus = self.lengths.agg(F.count(F.lit(1)).alias("docs"), F.avg("len").alias("mean"))
@@ -44,6 +47,21 @@ class TextIndex:
         part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
         return rows.groupBy("doc").agg((-F.sum(part)).alias("score"))
 
+    def _bm25_of_tokens(self, asked: list[str]) -> DataFrame:
+        """The same from whole token lists: texts are taken apart once, to one narrow row each (length and the counts
+        of the asked terms), and everything else is an aggregate of these."""
+        count = lambda t: F.size(F.filter("w", lambda w: w == t))
+        counts = F.array(*map(count, asked)) if asked else F.array().cast("array<int>")
+        rows = stored(self.tokens.select("doc", F.size("w").alias("len"), counts.alias("tf")))
+        stats = [F.count(F.lit(1)).alias("docs"), F.avg("len").alias("mean"), *(F.count_if(F.col("tf")[k] > 0).alias(f"df{k}") for k in range(len(asked)))]
+        scored = rows.filter(F.exists("tf", lambda n: n > 0)).join(F.broadcast(rows.agg(*stats)))  # one row
+        score = F.lit(0.0)
+        for k in range(len(asked)):
+            raw, tf = F.log((F.col("docs") - F.col(f"df{k}") + 0.5) / (F.col(f"df{k}") + 0.5)), F.col("tf")[k]
+            idf = F.when(raw > 0, raw).otherwise(F.lit(LEAST_IDF))
+            score = score + F.when(tf > 0, idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("mean")))).otherwise(0.0)
+        return scored.select("doc", (-score).alias("score"))
+
     # Each of the following gives the matching documents as a one-column frame (doc).
     def term(self, word: str, prefix: bool = False) -> DataFrame:
         fits = F.col("term").startswith(word) if prefix else F.col("term") == word
@@ -224,13 +242,3 @@ def snippet(text: str, terms: list[str], width: int = 16) -> str:
         out += [text[at:a], f"[{text[a:b]}]" if hits[j] else text[a:b]]
         at = b
     return "".join(out) + ("..." if last < len(found) else "")
-
-
-def snippets(texts: DataFrame, terms: list[str], key: str = "doc", width: int = 16) -> DataFrame:
-    """(key, snippet) for the few rows that a result shows."""
-    import pandas as pd
-
-    def cut(series: pd.Series) -> pd.Series:
-        return series.map(lambda t: snippet(t or "", terms, width))
-
-    return texts.select(key, F.pandas_udf(cut, "string", F.PandasUDFType.SCALAR)("text").alias("snippet"))

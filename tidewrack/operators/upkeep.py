@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewrack.operators.working import stored
+
 
 def purge_plan(sessions: DataFrame, keep: Column) -> DataFrame:
     """(id, keep): what a purge would do. A null predicate keeps nothing."""
@@ -37,14 +39,24 @@ def salted_hash(content: Column, facts: list[Column], domain: str) -> Column:
 def stratified(files: DataFrame, strata: int = 10, per_stratum: int = 10) -> DataFrame:
     """Evenly spaced files of each size stratum, one path an identity: (identity, path, size, stratum).
 
-    Strata are equal shares of the files by size. The cuts are exact quantiles from counts, and places within a
-    stratum come from a window partitioned by it."""
+    Strata are equal shares of the files in the order of size and path. Files are dealt into ranges of that order and
+    numbered there; what the ranges ahead hold is added, so no task sees more than a range."""
     one = files.groupBy("identity").agg(F.min(F.struct("path", "size")).alias("f")).select("identity", "f.path", "f.size")
-    placed = one.withColumn("stratum", F.ntile(strata).over(Window.orderBy("size", "path")))
-    inside = Window.partitionBy("stratum")
-    rows = placed.withColumn("n", F.row_number().over(inside.orderBy("size", "path")) - 1).withColumn("of", F.count(F.lit(1)).over(inside))
-    step = F.greatest(F.lit(1), F.floor(F.col("of") / per_stratum))
-    return rows.filter((F.col("n") % step == 0) & (F.floor(F.col("n") / step) < per_stratum)).drop("n", "of")
+    dealt = stored(one.repartitionByRange("size", "path").withColumn("range", F.spark_partition_id()))
+    counts = dealt.groupBy("range").count()  # one row a range
+    ahead = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(F.col("range").alias("r"), F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("before"), F.sum("count").over(Window.partitionBy(F.lit(0))).alias("all"))
+    at = F.col("before") + F.row_number().over(Window.partitionBy("range").orderBy("size", "path", "identity")) - 1
+    placed = dealt.join(F.broadcast(starts), F.col("range") == F.col("r")).withColumn("at", at)
+    # The first ``all mod strata`` strata hold one file more than the others.
+    small, extra = F.expr(f"all div {strata}"), F.col("all") % strata
+    in_large = F.col("at") < extra * (small + 1)
+    stratum = F.when(in_large, F.floor(F.col("at") / (small + 1))).otherwise(extra + F.floor((F.col("at") - extra * (small + 1)) / F.greatest(small, F.lit(1))))
+    rows = placed.withColumn("s", stratum).withColumn("n", F.when(in_large, F.col("at") - F.col("s") * (small + 1)).otherwise(F.col("at") - extra - F.col("s") * small))
+    of = small + (F.col("s") < extra).cast("int")
+    step = F.greatest(F.lit(1), F.floor(of / per_stratum))
+    rows = rows.filter((F.col("n") % step == 0) & (F.floor(F.col("n") / step) < per_stratum))
+    return rows.select("identity", "path", "size", (F.col("s") + 1).cast("int").alias("stratum"))
 
 
 def estimated_bytes(rows: DataFrame, column: str, fraction: float = 0.01, seed: int = 1) -> DataFrame:
