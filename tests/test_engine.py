@@ -2,6 +2,7 @@
 
 import json
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -67,7 +68,15 @@ def test_search(engine):
     assert engine.fts("foo/bar").warnings == ["QUERY_SANITIZED"]
     assert {r["session_id"] for r in engine.similar("parser").data["sessions"]} == {"cc--aaaa-1", "cx--bbbb"}
     auto = engine.similar("parser tests", exclude=["cc--aaaa-2"], project="/p/xy").data
-    assert auto["mode"] == "hybrid" and auto["sessions"][0]["session_id"] == "cx--bbbb"
+    assert auto["mode"]["selected"] == "hybrid" and auto["sessions"][0]["session_id"] == "cx--bbbb" and auto["sessions"][0]["snippets"]
+    assert engine.similar("parser").data["mode"]["fallback_reasons"] == ["missing_current_session_exclusion", "missing_project_scope"]
+    first = next(r for r in engine.similar("parser", mode="fts").data["sessions"] if r["session_id"] == "cc--aaaa-1")
+    assert first["matched_turns"] == 2 and sorted(s["turn"] for s in first["snippets"]) == [1, 2] and "[parser]" in first["snippets"][0]["snippet"]
+    assert engine.similar("parser", mode="fts", since="1970-01-01T00:05:00Z").data["sessions"] == []
+    # Four words or more, of which no session shows two: nothing is better than noise.
+    low = engine.similar("parser of quantum flux capacitors", mode="fts")
+    assert low.data["low_confidence"] and low.data["sessions"] == [] and low.warnings == ["low_confidence_matches"]
+    assert not engine.similar("fix the parser bug", mode="fts").data["low_confidence"]
     assert engine.similar("docs", mode="embedding").data["sessions"][0]["session_id"] == "cc--aaaa-2"
 
 
@@ -87,6 +96,61 @@ def test_semantic_ranks(spark):
     assert [(r["session_id"], r["semantic_rank"]) for r in got] == [(s, n) for n, s in enumerate(order)]
 
 
+def test_best_chunk(spark):
+    """In the order of chunks, a later one needs 0.02 more, or the same within 0.02 and more of the query's words."""
+    def fold(chunks):
+        best = None
+        for chunk, score, text in chunks:
+            mask = [t in text for t in ("red", "blue", "green")]
+            if best and not (score > best[1] + 0.02 or (score >= best[1] - 0.02 and sum(mask) > sum(best[2]))):
+                if best[3] < 3:
+                    best = (best[0], best[1], [a or b for a, b in zip(best[2], mask, strict=True)], best[3] + 1)
+                continue
+            best = (chunk, score, mask, 1)
+        return best[:2]
+
+    draw = random.Random(3)
+    rows = [(s, c, round(0.5 + draw.choice([0, 0.005, 0.01, 0.015, 0.02, 0.03]), 3), " ".join(draw.sample(["red", "blue", "green", "x"], draw.randrange(4)))) for s in range(40) for c in range(draw.randrange(1, 9))]
+    frame = spark.createDataFrame(rows, "session_id long, chunk long, score double, preview string")
+    got = {r["session_id"]: (r["chunk"], r["score"]) for r in retrieval.best_per_session(frame, retrieval.covered(F.col("preview"), ["red", "blue", "green"])).collect()}
+    assert got == {s: fold([r[1:] for r in rows if r[0] == s]) for s in {r[0] for r in rows}}
+    shown = spark.createDataFrame([("New session - 1", "x", "text"), (None, "Continuation prompt", "tool_summary"), ("t", "x", "tool_summary")], "title string, preview string, kind string")
+    scores = lambda q: [round(r[0], 4) for r in shown.select(retrieval.adjusted(F.lit(1.0), F.col("kind"), F.col("title"), F.col("preview"), q)).collect()]
+    assert scores("colours") == [0.35, 0.2275, 0.65] and scores("run git-log") == [0.35, 0.35, 1.0]
+
+
+def test_commands(spark, engine):
+    """Lists by their options, totals, and workflow runs."""
+    facts = {
+        "user_corrections": spark.createDataFrame([("cc--aaaa-1", "undo", 0, 1), ("cx--bbbb", "undo", 1, 2), ("cx--bbbb", "style", 0, 3)], "session_id string, kind string, followed_by_revert int, preceding_tool_calls int"),
+        "skills_invoked": spark.createDataFrame([("cc--aaaa-1", "a"), ("cc--aaaa-2", "b"), ("cc--aaaa-2", "b")], "session_id string, skill_name string"),
+        "web_fetches": spark.createDataFrame([("cc--aaaa-1", "ex.org", "fetch"), ("cc--aaaa-1", "other.org", "fetch")], "session_id string, domain string, kind string"),
+        "shell_commands": spark.createDataFrame([("cc--aaaa-1", 1, "git", "git x", 1), ("cc--aaaa-1", 2, "ls", "ls", 0)], "session_id string, turn long, cmd_head string, cmd_full string, exit_code int"),
+        "tool_errors": spark.createDataFrame([("cc--aaaa-1", "Bash", "timeout"), ("cc--aaaa-1", "Read", "parse")], "session_id string, tool_name string, error_category string"),
+        "subagent_invocations": spark.createDataFrame([("cc--aaaa-1", "explore", "cx--bbbb"), ("cc--aaaa-1", None, None)], "parent_session_id string, subagent_type string, child_session_id string"),
+        "prompt_templates": spark.createDataFrame([("h", "do <n>", 4, "[]"), ("g", "go", 9, "[]")], "hash string, template string, count long, example_session_ids string"),
+        "workflow_runs": spark.createDataFrame([("r1", "w", "done", 3, 10, 5, 100, 7, "cc--aaaa-1"), ("r2", "w", "failed", 9, 90, 1, 50, 8, None)], "run_id string, workflow_name string, status string, agent_count long, total_tokens long, total_tool_calls long, duration_ms long, started_at long, orchestrating_session_id string"),
+        "workflow_run_phases": spark.createDataFrame([("r1", 0, "t", "d")], "run_id string, phase_index int, title string, detail string"),
+        "workflow_agents": spark.createDataFrame([("r1", "x", 0, 5, "é" * 3000), ("r1", "y", 0, 4, None)], "run_id string, agent_id string, phase_index long, started_at long, result string"),
+    }
+    e = Engine(spark, engine.r | facts, register=False)
+    lists = lambda what, key, **o: [r[key] for r in e.top(what, **o).data]
+    assert lists("corrections", "kind") == ["undo", "style"] and lists("corrections", "source", by="source") == ["codex", "claude-code"] and lists("corrections", "project_path", by="project") == ["/p/xy", "/p/x"]
+    assert e.top("corrections", by="moon").exit_code == 2 and e.top("sequences", n_gram=5).exit_code == 2
+    assert lists("skills", "skill_name") == ["b", "a"] and lists("skills", "skill_name", until="1970-01-01T00:02:30Z") == ["a"]
+    assert lists("web", "domain", domain="ex") == ["ex.org"] and lists("commands", "cmd_head", head="git") == ["git"] and lists("errors", "tool_name", tool="Read") == ["Read"]
+    assert lists("subagents", "dispatches") == [1, 1] and lists("subagents", "dispatches", since="1970-01-01T00:05:00Z") == [] and lists("prompts", "hash") == ["g", "h"]
+    stats = e.stats().data
+    assert stats["totals"]["sessions"] == 3 and stats["totals"]["tool_errors"] == 2 and [r["source"] for r in stats["by_source"]] == ["claude-code", "codex"] and stats["date_range"]["earliest"] == 100
+    assert [r["run_id"] for r in e.workflows().data] == ["r2", "r1"] and [r["run_id"] for r in e.workflows(sort="tools", status="done").data] == ["r1"] and e.workflows(sort="name").exit_code == 2
+    run = e.workflow("r1").data
+    assert run["run"]["project_path"] == "/p/x" and [a["agent_id"] for a in run["agents"]] == ["y", "x"] and run["agents"][1]["result_bytes"] == 6000 and len(run["agents"][1]["result"]) == 2000
+    assert e.workflow("r9").status == "error"
+    # A dispatched session belongs to the family of the one that dispatched it.
+    assert {r[0] for r in e._family(["cx--bbbb"]).collect()} == {"cx--bbbb", "cc--aaaa-1", "cc--aaaa-2"}
+    assert e.sessions(where="reflect('a', 'b') = 'c'").exit_code == 2
+
+
 def test_query_and_schema(engine):
     assert engine.query("SELECT count(*) AS n FROM sessions").data["rows"] == [{"n": 3}]
     assert engine.query("DELETE FROM sessions").status == "error"

@@ -5,13 +5,17 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewrack.functions.limits import BadArgument, limit
 
 #: Plan nodes that are commands: anything that would write, create, drop, set or load.
 COMMAND = re.compile(r"Command|^'?(Insert|Create|Drop|Alter|Overwrite|Append|Delete|Update|Merge|Replace|Truncate|Load|Set|Cache|Uncache|Refresh|Add|Analyze|Use)")
+#: Functions that run code of the driver or the executors, or reach beyond the corpus.
+UNSAFE = {"reflect", "java_method", "try_reflect", "read_files", "input_file_name"}
+#: A relation of two parts whose first is a format is a file, not a table.
+FORMATS = {"parquet", "csv", "json", "orc", "text", "avro", "binaryfile", "xml", "delta", "image", "libsvm", "jdbc", "binary"}
 #: Names that are no columns and what to use.
 HINTS = {"project": "project_path", "tool": "tool_name or name", "created_at": "started_at", "tokens": "input_tokens and output_tokens"}
 
@@ -36,13 +40,51 @@ def statement(sql: str) -> str:
     return text
 
 
+def _nodes(plan):
+    """All nodes of a parsed plan, subqueries and the plans of WITH included, by Catalyst's own traversal."""
+    todo = [plan]
+    while todo:
+        node = todo.pop()
+        yield node
+        for seq in (node.children(), node.innerChildren(), node.subqueries()):
+            todo += [seq.apply(k) for k in range(seq.size())]
+
+
+def guard(spark: SparkSession, text: str) -> None:
+    """Refuse a statement whose parsed plan has a command, a function that runs code, or a relation that is a file."""
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
+    for node in _nodes(plan):
+        name = node.getClass().getSimpleName()
+        if COMMAND.search(name):
+            raise BadArgument("the statement would change something")
+        if name == "UnresolvedRelation":
+            parts = [node.multipartIdentifier().apply(k) for k in range(node.multipartIdentifier().size())]
+            if len(parts) > 1 and parts[0].lower() in FORMATS:
+                raise BadArgument("only tables can be read, not files")
+    words = re.sub(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|--[^\n]*|/\*.*?\*/", " ", text, flags=re.S)
+    called = {m.lower() for m in re.findall(r"`?([A-Za-z_][A-Za-z0-9_]*)`?\s*\(", words)}
+    if called & UNSAFE:
+        raise BadArgument(f"{', '.join(sorted(called & UNSAFE))} cannot be called")
+
+
+def predicate(spark: SparkSession, text: str) -> str:
+    """A condition that came as text: one expression, under the same guard as a statement."""
+    bare = re.sub(r"'(?:[^'\\]|\\.|'')*'", "''", text)
+    if ";" in bare or "--" in bare or "/*" in bare:
+        raise BadArgument("a condition is one expression without comments")
+    guard(spark, f"SELECT 1 FROM t WHERE ({text})")
+    spark._jsparkSession.sessionState().sqlParser().parseExpression(f"({text})")
+    return text
+
+
 def query(spark: SparkSession, sql: str, asked_limit: object = None) -> Answer:
     """Run one read-only statement. The parsed plan is inspected before anything runs."""
     text, n = statement(sql), limit("query", asked_limit)
     if re.match(r"(?i)select|with", text):
-        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
-        if any(COMMAND.search(line.lstrip(" :+-!")) for line in plan.treeString().splitlines()):
-            raise BadArgument("the statement would change something")
+        try:
+            guard(spark, text)
+        except ParseException as bad:
+            raise BadArgument(str(bad)) from bad
     try:
         rows = spark.sql(text)
         rows.schema  # noqa: B018  analysed here, so that unknown names are told below
