@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewrack.functions.text import redact
 from tidewrack.sources import parsers
 
 
@@ -90,15 +91,31 @@ def parse_files(texts: DataFrame, parse: parsers.Parser) -> DataFrame:
     return texts.select("path", "content", "sibling").mapInPandas(run, PARSED)
 
 
+def listing(spark: SparkSession, name: str, root: str) -> DataFrame:
+    """(path, mtime, size) of a store's session files: the later time and the sizes together where a file is kept
+    beside one, so that a change of either shows."""
+    store = STORES[name]
+    found = files(spark, root, store.glob).select("path", "mtime", "size").filter("size > 0")
+    found = found.filter(F.col("path").rlike(store.only)) if store.only else found
+    if not store.sibling:
+        return found
+    beside = files(spark, root, store.sibling_glob).select(F.col("path").alias("s_path"), F.col("mtime").alias("s_mtime"), F.col("size").alias("s_size"))
+    both = found.join(beside, F.regexp_replace("path", *store.sibling) == F.col("s_path"), "left")
+    return both.select("path", F.greatest("mtime", "s_mtime").alias("mtime"), (F.col("size") + F.coalesce("s_size", F.lit(0))).alias("size"))
+
+
 def read_store(spark: SparkSession, name: str, root: str, since: str | None = None, known: DataFrame | None = None) -> DataFrame:
-    """The sessions of a store. ``known`` (path, mtime, size) takes out files that have not changed."""
+    """The sessions of a store. ``known`` (path, mtime, size; see ``listing``) takes out files that have not changed."""
+    if name not in STORES:
+        raise ValueError(f"no store {name}; there are {', '.join(sorted(STORES))}")
     store = STORES[name]
     found = files(spark, root, store.glob, since)
     if store.only:
         found = found.filter(F.col("path").rlike(store.only))
     found = found.filter("size > 0")
     if known is not None:
-        found = found.join(known.select("path", "mtime", "size"), ["path", "mtime", "size"], "left_anti")
+        fresh = listing(spark, name, root).join(known.select("path", "mtime", "size"), ["path", "mtime", "size"], "left_anti")
+        found = found.join(fresh.select("path"), "path", "left_semi")
     if store.sibling:
         beside = files(spark, root, store.sibling_glob).select(F.col("path").alias("s_path"), F.col("content").alias("sibling"))
         found = found.join(beside, F.regexp_replace("path", *store.sibling) == F.col("s_path"), "left")
@@ -165,10 +182,18 @@ def workflows(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     return runs, lines.filter("trim(line_json) <> ''")
 
 
+def redacted(parsed: DataFrame) -> DataFrame:
+    """Parsed sessions without secrets in what is kept as text: titles, messages and the outputs of tools. Arguments
+    stay as they are, as facts are read from them and redact what they keep."""
+    tools = lambda m: F.transform(m["tools"], lambda t: t.withField("output", redact(t["output"])))
+    messages = F.transform("messages", lambda m: m.withField("text", redact(m["text"])).withField("tools", tools(m)))
+    return parsed.withColumn("title", redact(F.col("title"))).withColumn("messages", messages)
+
+
 def relations(parsed: DataFrame) -> dict[str, DataFrame]:
-    """sessions, messages and tool_calls of parsed sessions; a session that two files hold is taken from the file
-    with the greatest path."""
-    good = parsed.filter("error is null")
+    """sessions, messages and tool_calls of parsed sessions, secrets taken out; a session that two files hold is taken
+    from the file with the greatest path."""
+    good = redacted(parsed.filter("error is null"))
     latest = good.groupBy("id").agg(F.max("path").alias("path"))
     good = good.join(latest, ["id", "path"], "left_semi")
     sessions = good.drop("messages", "error").withColumn("duration_s", F.col("ended_at") - F.col("started_at"))

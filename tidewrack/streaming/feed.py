@@ -7,53 +7,115 @@ failure gives the same tables. Sessions arrive as a stream as well (``follow``),
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
+from tidewrack.operators.working import stored
 from tidewrack.sources import stores
 
-KEYS = {"sessions": "id", "messages": "session_id", "tool_calls": "session_id", "files": "path", "dirty": "session_id"}
+KEYS = {"sessions": "id", "messages": "session_id", "tool_calls": "session_id", "files": "path", "dirty": "session_id", "errors": "path"}
+#: Parts of a table by a hash of its key: a replacement writes those that its keys fall in, whatever else there is.
+BUCKETS = 256
 
 
 class Corpus:
     """Parquet tables under a folder, each a pointer to its current version, so that readers never see half a write.
 
-    A version is written in full beside the old one and then named in a one-row pointer table: the folder may be on
-    any file system that Spark writes to."""
+    A table is ``BUCKETS`` parts by a hash of its key. A version is a list of the parts that make it up, old ones and
+    those written with it, and is then named in a one-row pointer table: the folder may be on any file system that
+    Spark writes to. ``vacuum`` deletes what no version needs any more."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
+    def _fs(self, path: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
     def _pointer(self, name: str) -> str | None:
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
-        path = hadoop.Path(f"{self.folder}/{name}/_current")
-        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        path, fs = self._fs(f"{self.folder}/{name}/_current")
         if not fs.exists(path):
             return None
         return self.spark.read.text(f"{self.folder}/{name}/_current").orderBy(F.desc("value")).first()[0].split(" ")[1]
 
-    def read(self, name: str) -> DataFrame | None:
+    def _parts(self, name: str) -> tuple[StructType, dict[int, str]] | None:
+        """The schema of the current version and where each of its parts is: ``BUCKETS`` lines at most."""
         version = self._pointer(name)
-        return self.spark.read.parquet(f"{self.folder}/{name}/{version}") if version else None
+        if version is None:
+            return None
+        lines = [r["value"].split(" ", 1) for r in self.spark.read.text(f"{self.folder}/{name}/_parts/{version}").collect()]
+        schema = next(StructType.fromJson(json.loads(v)) for k, v in lines if k == "schema")
+        return schema, {int(k): v for k, v in lines if k != "schema"}
+
+    def read(self, name: str) -> DataFrame | None:
+        found = self._parts(name)
+        return None if found is None else self._read(*found)
+
+    def _read(self, schema: StructType, parts: dict[int, str]) -> DataFrame:
+        if not parts:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*(f"{self.folder}/{p}" for p in parts.values()))
+
+    def _bucket(self, name: str):
+        return F.pmod(F.xxhash64(F.col(KEYS[name]).cast("string")), F.lit(BUCKETS)).cast("int")
 
     def write(self, name: str, df: DataFrame) -> None:
+        self._write(name, df, {})
+
+    def _write(self, name: str, df: DataFrame, kept: dict[int, str]) -> None:
         at = self._pointer(name)
         number = int(at.split("-")[0][1:]) + 1 if at else 0
         version = f"v{number:09d}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(f"{self.folder}/{name}/{version}")
+        df.withColumn("_bucket", self._bucket(name)).repartition("_bucket").write.partitionBy("_bucket").parquet(f"{self.folder}/{name}/{version}")
+        path, fs = self._fs(f"{self.folder}/{name}/{version}")
+        made = [s.getPath().getName() for s in fs.listStatus(path) if s.isDirectory()]
+        parts = kept | {int(d.split("=")[1]): f"{name}/{version}/{d}" for d in made if d.startswith("_bucket=")}
+        lines = [("schema " + df.schema.json(),), *((f"{k} {v}",) for k, v in sorted(parts.items()))]
+        self.spark.createDataFrame(lines, "value string").coalesce(1).write.text(f"{self.folder}/{name}/_parts/{version}")
         self.spark.createDataFrame([(f"{number:09d} {version}",)], "value string").coalesce(1).write.mode("append").text(f"{self.folder}/{name}/_current")
 
     def replace(self, name: str, rows: DataFrame, keys: DataFrame) -> None:
-        """Rows of these keys are replaced by ``rows``: an anti-join and a union."""
-        old, key = self.read(name), KEYS[name]
+        """Rows of these keys are replaced by ``rows``: an anti-join and a union over the parts that the keys and rows
+        fall in. The other parts are not read."""
+        old, key = self._parts(name), KEYS[name]
+        kept: dict[int, str] = {}
         if old is not None:
-            kept = old.join(keys.select(F.col(keys.columns[0]).alias(key)).distinct(), key, "left_anti")
-            rows = kept.unionByName(rows, allowMissingColumns=True)
-        self.write(name, rows)
+            schema, parts = old
+            keys = keys.select(F.col(keys.columns[0]).alias(key)).distinct()
+            touched = {r[0] for r in keys.unionByName(rows.select(key)).select(self._bucket(name)).distinct().collect()}  # BUCKETS rows at most
+            same = self._read(schema, {k: v for k, v in parts.items() if k in touched}).join(keys, key, "left_anti")
+            rows = same.unionByName(rows, allowMissingColumns=True)
+            if set(rows.columns) == set(schema.names):
+                kept = {k: v for k, v in parts.items() if k not in touched}
+            else:  # a table with new columns is written anew, once
+                rows = self._read(schema, {k: v for k, v in parts.items() if k not in touched}).unionByName(rows, allowMissingColumns=True)
+        self._write(name, rows, kept)
+
+    def vacuum(self, name: str) -> int:
+        """Delete the parts, and lists of parts, of versions before the current one that it does not share; how many
+        folders went. Not while someone reads an older version."""
+        found, version = self._parts(name), self._pointer(name)
+        if found is None:
+            return 0
+        needed, gone = {v.split("/", 1)[1] for v in found[1].values()}, 0
+        root, fs = self._fs(f"{self.folder}/{name}")
+        for s in fs.listStatus(root):
+            folder = s.getPath().getName()
+            if not folder.startswith("v"):
+                continue
+            for part in fs.listStatus(s.getPath()):
+                if part.isDirectory() and f"{folder}/{part.getPath().getName()}" not in needed:
+                    gone += bool(fs.delete(part.getPath(), True))
+        for s in fs.listStatus(self._fs(f"{self.folder}/{name}/_parts")[0]):
+            if s.getPath().getName() != version:
+                fs.delete(s.getPath(), True)
+        return gone
 
 
 def absorb(corpus: Corpus, parsed: DataFrame) -> DataFrame:
@@ -73,18 +135,24 @@ def absorb(corpus: Corpus, parsed: DataFrame) -> DataFrame:
 
 
 def poll(corpus: Corpus, store: str, root: str) -> DataFrame:
-    """One round over a store: files that are new or changed since the last round are read, nothing else is."""
+    """One round over a store: files that are new or changed since the last round, they or what is kept beside them,
+    are read, nothing else is. A file that cannot be parsed does not become known: it is in the ``errors`` table
+    (path, error) of this round and is read again in the next. The dirty sessions."""
     spark = corpus.spark
-    listing = stores.files(spark, root, stores.STORES[store].glob).select("path", "mtime", "size")
+    listing = stored(stores.listing(spark, store, root))
     known = corpus.read("files")
-    dirty = absorb(corpus, stores.read_store(spark, store, root, known=known))
-    corpus.replace("files", listing, listing.select("path"))
+    parsed = stored(stores.read_store(spark, store, root, known=known))
+    corpus.write("errors", parsed.filter("error is not null").select("path", "error"))
+    failed = corpus.read("errors")
+    dirty = absorb(corpus, parsed.filter("error is null"))
+    read = listing.join(failed.select("path"), "path", "left_anti")
+    corpus.replace("files", read, read.select("path"))
     return dirty
 
 
 def seed(corpus: Corpus, store: str, root: str) -> None:
     """Take the present files as known without reading them."""
-    listing = stores.files(corpus.spark, root, stores.STORES[store].glob).select("path", "mtime", "size")
+    listing = stores.listing(corpus.spark, store, root)
     corpus.replace("files", listing, listing.select("path"))
 
 
