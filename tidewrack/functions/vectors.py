@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,11 +40,9 @@ def embed_terms(terms: list[str], dimensions: int = DIMENSIONS) -> list[float]:
     return [x / length for x in out] if length else out
 
 
-def hash_embedding(text: Column) -> Column:
-    """``embed_terms`` of a text's words: tokens are made in the JVM, hashed in Arrow batches."""
-
-    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for terms in batches:
-            yield terms.map(lambda t: embed_terms(list(t)))
-
-    return F.pandas_udf(embed, "array<float>")(words(text))
+def hash_embedding(text: Column, dimensions: int = DIMENSIONS) -> Column:
+    """``embed_terms`` of a text's words, as one expression."""
+    byte = lambda h, at: F.conv(F.substring(h, at, 2), 16, 10).cast("int")
+    signed = F.transform(F.transform(words(text), lambda t: F.sha2(t, 256)), lambda h: F.struct((byte(h, 1) % dimensions).alias("at"), (1 - 2 * (byte(h, 3) % 2)).alias("sign")))
+    sums = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda d: F.aggregate(signed, F.lit(0), lambda a, s: a + F.when(s["at"] == d, s["sign"]).otherwise(0)).cast("double"))
+    return F.transform(sums, lambda x: F.when(norm(sums) > 0, x / norm(sums)).otherwise(0.0).cast("float"))

@@ -254,14 +254,24 @@ def prompt_templates(sessions: DataFrame, least: int = 3) -> DataFrame:
     return counts.join(firsts, "hash")
 
 
-def workflow_facts(runs: DataFrame, journal: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Runs, phases and agents from manifests (run_id, manifest_json) and journals (run_id, seq, line_json)."""
-    doc = runs.select("run_id", F.try_parse_json("manifest_json").alias("m"))
+def workflow_facts(runs: DataFrame, journal: DataFrame, sessions: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Runs, phases and agents from manifests (run_id, manifest_json and, where known, orchestrating_external_id) and
+    journals (run_id, seq, line_json). With ``sessions`` (id), runs and agents are linked to those that their external
+    ids name. A manifest that is no JSON gives nothing; of an agent's results the last counts."""
+    external = F.col("orchestrating_external_id") if "orchestrating_external_id" in runs.columns else F.lit(None).cast("string")
+    doc = runs.select("run_id", external.alias("external"), F.try_parse_json("manifest_json").alias("m")).filter(F.col("m").isNotNull())
     get = lambda path, kind: F.try_variant_get("m", path, kind)
-    run = doc.select("run_id", get("$.workflowName", "string").alias("workflow_name"), get("$.status", "string").alias("status"), get("$.agentCount", "long").alias("agent_count"), get("$.totalTokens", "long").alias("total_tokens"), get("$.totalToolCalls", "long").alias("total_tool_calls"), get("$.durationMs", "long").alias("duration_ms"), F.floor(get("$.startTime", "double") / 1000).cast("long").alias("started_at"), get("$.summary", "string").alias("summary"))
+    seconds = lambda ms: F.floor(ms / 1000).cast("long")
+    run = doc.select("run_id", "external", get("$.workflowName", "string").alias("workflow_name"), get("$.status", "string").alias("status"), get("$.agentCount", "long").alias("agent_count"), get("$.totalTokens", "long").alias("total_tokens"), get("$.totalToolCalls", "long").alias("total_tool_calls"), get("$.durationMs", "long").alias("duration_ms"), seconds(get("$.startTime", "double")).alias("started_at"), get("$.summary", "string").alias("summary"), get("$.scriptPath", "string").alias("script_path"))
     phases = doc.select("run_id", F.posexplode(get("$.phases", "array<struct<title: string, detail: string>>")).alias("phase_index", "p")).select("run_id", "phase_index", "p.title", "p.detail")
     results = journal.select("run_id", "seq", F.try_parse_json("line_json").alias("j"))
     results = results.filter(F.try_variant_get("j", "$.type", "string") == "result").groupBy("run_id", F.try_variant_get("j", "$.agentId", "string").alias("agent_id")).agg(F.max_by(F.try_variant_get("j", "$.result", "string"), "seq").alias("result"))
-    listed = doc.select("run_id", F.explode(get("$.workflowProgress", "array<struct<type: string, index: long, agentId: string, label: string, state: string, tokens: long, toolCalls: long, startedAt: double, phaseIndex: long>>")).alias("a")).filter("a.agentId is not null")
-    agents = listed.select("run_id", F.col("a.agentId").alias("agent_id"), F.col("a.label").alias("label"), F.col("a.state").alias("state"), F.col("a.tokens").alias("tokens"), F.col("a.toolCalls").alias("tool_calls"), F.floor(F.col("a.startedAt") / 1000).cast("long").alias("started_at"), F.col("a.phaseIndex").alias("phase_index"))
-    return run, phases, agents.join(results, ["run_id", "agent_id"], "left")
+    listed = doc.select("run_id", F.explode(get("$.workflowProgress", "array<struct<type: string, index: long, agentId: string, label: string, model: string, state: string, attempt: long, tokens: long, toolCalls: long, durationMs: long, startedAt: double, phaseIndex: long, phaseTitle: string>>")).alias("a")).filter("a.agentId is not null")
+    plain = {"label": "label", "model": "model", "state": "state", "attempt": "attempt", "tokens": "tokens", "toolCalls": "tool_calls", "durationMs": "duration_ms", "phaseIndex": "phase_index", "phaseTitle": "phase_title"}
+    agents = listed.select("run_id", F.col("a.agentId").alias("agent_id"), *(F.col(f"a.{k}").alias(v) for k, v in plain.items()), seconds(F.col("a.startedAt")).alias("started_at"))
+    agents = agents.join(results, ["run_id", "agent_id"], "left")
+    if sessions is not None:
+        known = lambda name: sessions.select(F.col("id").alias(name)).distinct()
+        run = run.join(known("orchestrating_session_id"), F.concat(F.lit("cc--"), "external") == F.col("orchestrating_session_id"), "left")
+        agents = agents.join(known("agent_session_id"), F.concat(F.lit("cc--"), "agent_id") == F.col("agent_session_id"), "left")
+    return run.drop("external"), phases, agents

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewrack.functions import patterns as P
-from tidewrack.operators import facts
+from tidewrack.operators import facts, rollups
 from tidewrack.plans.relations import CTES, Relations
 
 #: Tool calls by event: name and arguments. ``n`` stands for a number of the event; Spark and DuckDB read this alike.
@@ -192,10 +192,90 @@ WHERE subagent_type IS NOT NULL OR coalesce(CASE WHEN sealed THEN {_picked(("tas
 """
 
 
+#: What a failed call printed, and the category it belongs to: the first rule in order that knows it.
+FAILURES = (
+    ("File has not been read yet. Read it first", "file_not_read"), ("String to replace not found in file.", "not_found"), ("File has been modified since read, either by the user", "file_modified_since_read"),
+    ("Found 3 matches of the string to replace", "string_not_unique"), ("old_string and new_string are exactly the same.", "string_unchanged"), ("The user doesn''t want to proceed with this tool use", "user_rejected"),
+    ("Cancelled: parallel tool call Bash errored", "parallel_cancelled"), ("PreToolUse:Bash hook error: no", "blocked_by_hook"), ("cat: x: No such file or directory", "file_not_found"),
+    ("EACCES: permission denied, and a timeout", "permission"), ("request TIMED OUT", "timeout"), ("429 too many", "rate_limit"), ("connect ECONNREFUSED 1.2.3.4", "network"), ("SyntaxError near x", "parse"),
+    ("branch already exists", "conflict"), ("HTTP 404", "not_found"), ("boom", "unclassified"), ("", "unclassified"),
+)
+CTES["made_failures"] = f"SELECT session_id, turn, idx, name, exit_code, CASE idx % {len(FAILURES)} {' '.join(f"WHEN {k} THEN '{t}'" for k, (t, _) in enumerate(FAILURES))} END AS output_preview, CASE idx % {len(FAILURES)} {' '.join(f"WHEN {k} THEN '{c}'" for k, (_, c) in enumerate(FAILURES))} END AS expected FROM made_calls"
+ERRORS = "SELECT session_id, turn, idx, name AS tool_name, expected AS error_category, output_preview AS error_text FROM made_failures WHERE exit_code <> 0"
+
+#: What a user says to an answer, and the kind and confidence it has.
+REPLIES = (
+    ("no, that breaks it", "reject", 0.9), ("STOP", "reject", 0.9), ("please undo the change", "undo", 0.9), ("roll back, thanks", "undo", 0.9), ("actually it is `main.py` in there", "factual", 0.8),
+    ("make it shorter", "style", 0.7), ("only touch utils.py", "scope", 0.7), ("instead try a queue", "pivot", 0.7), ("can you log it", "refine", 0.5), ("also add tests", "refine", 0.5), ("thanks, looks good", None, None),
+    ("<system-reminder> no", None, None), ("nothing more", None, None),
+)
+#: What an assistant does next, and whether that takes back the edit ahead of the reply.
+FOLLOW_UPS = (
+    ("Edit", """'{"file_path": "/f", "old_string": "NEW", "new_string": "OLD' || s || '"}'""", 2), ("Edit", """'{"file_path": "/f", "old_string": "NEW", "new_string": "ELSE"}'""", 1), ("Bash", """'{"command": "git revert HEAD"}'""", 1),
+    ("Edit", """'{"file_path": "/g", "old_string": "NEW", "new_string": "OLD' || s || '"}'""", 0), ("Bash", """'{"command": "git status"}'""", 0), ("MultiEdit", """'{"file_path": "/f", "edits": [{"old_string": "a", "new_string": "b"}, {"old_string": "NEW", "new_string": "OLD' || s || '"}]}'""", 2),
+)
+#: Sessions of eight turns: a request, an edit, a reply to it, what follows, and two more rounds.
+_ROLE = "CASE WHEN p % 2 = 0 THEN 'user' ELSE 'assistant' END"
+_SAID = f"CASE WHEN p = 0 THEN 'no, start' WHEN p = 2 THEN CASE s % {len(REPLIES)} {' '.join(f"WHEN {k} THEN '{t}'" for k, (t, *_) in enumerate(REPLIES))} END WHEN p % 2 = 0 THEN 'go on' ELSE 'done' END"
+_TOOL = f"CASE WHEN p = 1 THEN 'Edit' ELSE CASE s % {len(FOLLOW_UPS)} {' '.join(f"WHEN {k} THEN '{t}'" for k, (t, *_) in enumerate(FOLLOW_UPS))} END END"
+_ARGS = f"""CASE WHEN p = 1 THEN '{{"file_path": "/f", "old_string": "OLD' || s || '", "new_string": "NEW"}}' ELSE CASE s % {len(FOLLOW_UPS)} {' '.join(f"WHEN {k} THEN {a}" for k, (_, a, _) in enumerate(FOLLOW_UPS))} END END"""
+CTES["made_turns"] = f"SELECT CAST(s AS VARCHAR) AS session_id, p + 1 AS turn, {_ROLE} AS role, s * 1000 + p * 7 AS ts, {_SAID} AS text, s, p FROM (SELECT CAST(event_id // 8 AS BIGINT) AS s, CAST(event_id % 8 AS BIGINT) AS p FROM events)"
+
+
+def made_turns(r: Relations) -> tuple[DataFrame, DataFrame]:
+    """Messages and tool calls of sessions in which users correct what was done."""
+    rows = r.read("events").select(F.expr("event_id div 8").cast("long").alias("s"), (F.col("event_id") % 8).cast("long").alias("p"))
+    rows = rows.withColumns({"session_id": F.col("s").cast("string"), "turn": F.col("p") + 1})
+    messages = rows.select("session_id", "turn", F.expr(_ROLE).alias("role"), F.expr("s * 1000 + p * 7").alias("ts"), F.expr(_SAID).alias("text"))
+    calls = rows.filter("p in (1, 3)").select("session_id", "turn", F.lit(0).alias("idx"), F.expr(_TOOL).alias("name"), F.expr(_ARGS).alias("args_json"), F.lit(0).alias("exit_code"), F.lit(None).cast("long").alias("duration_ms"))
+    return messages, calls
+
+
+_REPLY_KIND = f"CASE s % {len(REPLIES)} {' '.join(f"WHEN {k} THEN '{kind}'" for k, (_, kind, _) in enumerate(REPLIES) if kind)} END"
+_REPLY_SURE = f"CASE s % {len(REPLIES)} {' '.join(f"WHEN {k} THEN {c}::DOUBLE" for k, (_, _, c) in enumerate(REPLIES) if c)} END"
+_UNDONE = f"CASE s % {len(FOLLOW_UPS)} {' '.join(f"WHEN {k} THEN {u}" for k, (_, _, u) in enumerate(FOLLOW_UPS))} END"
+CORRECTIONS = f"""
+SELECT session_id, turn, kind, confidence, text AS correction_text, 2::BIGINT AS preceding_turn, 1::BIGINT AS preceding_tool_calls, 7000::BIGINT AS response_time_ms,
+  CASE WHEN EXISTS (SELECT 1 FROM made_turns b WHERE b.s = a.s AND b.p = 3) THEN {_UNDONE} ELSE 0 END AS followed_by_revert
+FROM (SELECT *, {_REPLY_KIND} AS kind, {_REPLY_SURE} AS confidence FROM made_turns a WHERE p = 2) a WHERE kind IS NOT NULL
+"""
+BY_KIND = f"SELECT kind, count(*) AS n, count(DISTINCT session_id) AS sessions, count(*) FILTER (followed_by_revert = 1) + 2 * count(*) FILTER (followed_by_revert = 2) AS reverts, avg(preceding_tool_calls) AS avg_tools_before FROM ({CORRECTIONS}) GROUP BY kind"
+
+
+def _corrections(r: Relations) -> DataFrame:
+    messages, calls = made_turns(r)
+    return facts.with_reverts(facts.user_corrections(facts.with_tool_counts(messages, calls)), calls, facts.shell_commands(calls))
+
+
+#: Workflow manifests and journals by order: two phases, two agents and what has no agent, results of which the last counts.
+_MANIFEST = """'{"workflowName": "w' || (o_orderkey % 5) || '", "status": "' || o_orderstatus || '", "agentCount": ' || (o_orderkey % 9) || ', "totalTokens": ' || (o_orderkey * 7) || ', "totalToolCalls": 3, "durationMs": 1500, "startTime": ' || (o_orderkey * 1000 + 999) || ', "summary": null, "scriptPath": "/w.js", "phases": [{"title": "plan", "detail": "d"}, {"title": "do"}], "workflowProgress": [{"type": "agent", "agentId": "' || o_orderkey || '-a", "label": "one", "model": "m", "state": "done", "attempt": 1, "tokens": ' || o_orderkey || ', "toolCalls": 2, "durationMs": 5, "startedAt": 2999, "phaseIndex": 1, "phaseTitle": "do"}, {"type": "phase", "index": 1}, {"type": "agent", "agentId": "' || o_orderkey || '-b", "startedAt": 1000}]}'"""
+_LINE = """'{"type": "' || CASE seq WHEN 3 THEN 'start' ELSE 'result' END || '", "agentId": "' || o_orderkey || '-a", "result": "r' || seq || '"}'"""
+WORKFLOW_RUNS = "SELECT CAST(o_orderkey AS VARCHAR) AS run_id, 'w' || (o_orderkey % 5) AS workflow_name, o_orderstatus AS status, o_orderkey % 9 AS agent_count, o_orderkey * 7 AS total_tokens, 3::BIGINT AS total_tool_calls, 1500::BIGINT AS duration_ms, o_orderkey AS started_at, NULL::VARCHAR AS summary, '/w.js' AS script_path, CASE WHEN o_orderkey % 4 = 0 THEN 'cc--s' || o_orderkey END AS orchestrating_session_id FROM orders WHERE o_orderkey % 7 <> 6"
+WORKFLOW_PHASES = "SELECT CAST(o_orderkey AS VARCHAR) AS run_id, unnest([0, 1]) AS phase_index, unnest(['plan', 'do']) AS title, unnest(['d', NULL]) AS detail FROM orders WHERE o_orderkey % 7 <> 6"
+WORKFLOW_AGENTS = """
+SELECT CAST(o_orderkey AS VARCHAR) AS run_id, o_orderkey || '-a' AS agent_id, 'one' AS label, 'm' AS model, 'done' AS state, 1::BIGINT AS attempt, o_orderkey::BIGINT AS tokens, 2::BIGINT AS tool_calls, 5::BIGINT AS duration_ms, 1::BIGINT AS phase_index, 'do' AS phase_title, 2::BIGINT AS started_at, 'r2' AS result, CASE WHEN o_orderkey % 3 = 0 THEN 'cc--' || o_orderkey || '-a' END AS agent_session_id FROM orders WHERE o_orderkey % 7 <> 6
+UNION ALL SELECT CAST(o_orderkey AS VARCHAR), o_orderkey || '-b', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 1, NULL, NULL FROM orders WHERE o_orderkey % 7 <> 6
+"""
+
+
+def _workflows(r: Relations) -> tuple[DataFrame, DataFrame, DataFrame]:
+    orders = r.read("orders")
+    manifest = F.when(F.col("o_orderkey") % 7 == 6, F.lit("{cut")).otherwise(F.expr(_MANIFEST))
+    runs = orders.select(F.col("o_orderkey").cast("string").alias("run_id"), manifest.alias("manifest_json"), F.concat(F.lit("s"), F.col("o_orderkey").cast("string")).alias("orchestrating_external_id"))
+    journal = orders.withColumn("seq", F.explode(F.array(F.lit(2), F.lit(1), F.lit(3)))).select(F.col("o_orderkey").cast("string").alias("run_id"), "seq", F.expr(_LINE).alias("line_json"))
+    known = orders.filter("o_orderkey % 4 = 0").select(F.expr("'cc--s' || o_orderkey").alias("id")).unionByName(orders.filter("o_orderkey % 3 = 0").select(F.expr("'cc--' || o_orderkey || '-a'").alias("id")))
+    return facts.workflow_facts(runs, journal, known)
+
+
 def _commands(r: Relations) -> DataFrame:
     return facts.shell_commands(made_calls(r))
 
 
+def _failures(r: Relations) -> DataFrame:
+    shown = F.array(*(F.lit(t.replace("''", "'")) for t, _ in FAILURES))
+    return made_calls(r).withColumn("output_preview", F.get(shown, (F.col("idx") % len(FAILURES)).cast("int")))
+
+
 def _commit_status(r: Relations) -> DataFrame:
     calls = made_calls(r)
     sessions = calls.select(F.col("session_id").alias("id")).distinct()
@@ -204,6 +284,12 @@ def _commit_status(r: Relations) -> DataFrame:
 
 
 EXTRACTORS = {
+    "extract_tool_errors": (ERRORS, lambda r: facts.tool_errors(_failures(r))),
+    "extract_user_corrections": (CORRECTIONS, _corrections),
+    "extract_corrections_by_kind": (BY_KIND, lambda r: rollups.corrections_by_kind(_corrections(r))),
+    "extract_workflow_runs": (WORKFLOW_RUNS, lambda r: _workflows(r)[0]),
+    "extract_workflow_phases": (WORKFLOW_PHASES, lambda r: _workflows(r)[1]),
+    "extract_workflow_agents": (WORKFLOW_AGENTS, lambda r: _workflows(r)[2]),
     "extract_files_touched": (FILES, lambda r: facts.files_touched(made_calls(r))),
     "extract_shell_commands": (SHELL, lambda r: _commands(r).drop("duration_ms")),
     "extract_git_operations": (GIT, lambda r: facts.git_operations(_commands(r))),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewrack.functions import accounting, limits, patterns, text, vectors
 from tidewrack.operators import costs, facts, lineage, retrieval, rollups, search, sequences, sessions, upkeep
+from tidewrack.plans import sqlgate
 from tidewrack.plans.extractors import EXTRACTORS
 from tidewrack.plans.relations import Relations, with_relations
 
@@ -129,10 +130,13 @@ _both("top_sequences_project", "WITH c AS (SELECT t.*, lead(name, 1) OVER o AS n
 _WEEK = {"day": "'%Y-%m-%d'", "week": "'%Y-W%W'", "month": "'%Y-%m'"}
 for _b, _f in _WEEK.items():
     _both(f"timeline_{_b}", f"SELECT strftime(make_timestamp(started_at * 1000000), {_f}) AS bucket, source, count(*) AS sessions, sum(coalesce(tool_call_count, 0))::BIGINT AS tool_calls FROM sessions GROUP BY ALL", lambda r, b=_b: rollups.timeline(r.sessions, b))
-_both("sessions_list", "SELECT id, source, project_path, started_at FROM sessions WHERE source = 'codex' AND project_path ILIKE '/p/build%' AND started_at >= 700000000 ORDER BY started_at DESC, id LIMIT 50", lambda r: r.sessions.filter((F.col("source") == "codex") & F.col("project_path").ilike("/p/build%") & (F.col("started_at") >= 700000000)).orderBy(F.desc("started_at"), "id").limit(50).select("id", "source", "project_path", "started_at"))
+_both("sessions_list", "SELECT id, source, project_path, started_at FROM sessions WHERE source = 'codex' AND project_path ILIKE '/p/build%' AND started_at >= 700000000 ORDER BY started_at DESC, id LIMIT 50", lambda r: sessions.listing(r.sessions, source="codex", project="/p/build", since=700000000).limit(50).select("id", "source", "project_path", "started_at"))
+_both("sessions_where", "SELECT id, started_at FROM sessions WHERE (tool_call_count > 5 OR model = 'm1') AND started_at < 850000000 ORDER BY started_at DESC, id LIMIT 100", lambda r: sessions.listing(r.sessions, until=850000000, where=sqlgate.predicate(r.spark, "tool_call_count > 5 OR model = 'm1'")).limit(100).select("id", "started_at"))
+_both("sessions_of_parent", "SELECT id, source FROM sessions WHERE parent_session_id = 99", lambda r: sessions.listing(r.sessions, parent=99).select("id", "source"))
+_both("sessions_listed_with_subagents", "SELECT id, title FROM sessions s WHERE source = 'qwen' AND EXISTS (SELECT 1 FROM sessions c WHERE c.parent_session_id = s.id)", lambda r: sessions.listing(r.sessions, source="qwen", has_subagents=True).select("id", "title"))
 _both("sessions_with_subagents", "SELECT id, source FROM sessions s WHERE EXISTS (SELECT 1 FROM sessions c WHERE c.parent_session_id = s.id)", lambda r: r.sessions.join(r.sessions.select(F.col("parent_session_id").alias("p")), F.col("id") == F.col("p"), "left_semi").select("id", "source"))
 _both("subagent_counts", "SELECT s.id, coalesce(n, 0) AS subagent_count, CASE WHEN n > 0 THEN 1 ELSE 0 END AS has_subagents FROM sessions s LEFT JOIN (SELECT parent_session_id, count(*) AS n FROM sessions WHERE parent_session_id IS NOT NULL GROUP BY 1) c ON c.parent_session_id = s.id", lambda r: rollups.with_children(r.sessions).select("id", "subagent_count", "has_subagents"))
-_both("sessions_root_only", "SELECT source, count(*) AS n FROM sessions WHERE parent_session_id IS NULL GROUP BY source", lambda r: r.sessions.filter("parent_session_id is null").groupBy("source").agg(F.count(F.lit(1)).alias("n")))
+_both("sessions_root_only", "SELECT source, count(*) AS n FROM sessions WHERE parent_session_id IS NULL GROUP BY source", lambda r: sessions.listing(r.sessions, root_only=True).groupBy("source").agg(F.count(F.lit(1)).alias("n")))
 _both("stats_totals", """
 SELECT 'sessions' AS metric, count(*)::BIGINT AS value FROM sessions UNION ALL SELECT 'sources', count(DISTINCT source) FROM sessions UNION ALL SELECT 'projects', count(DISTINCT project_path) FROM sessions
 UNION ALL SELECT 'first_started_at', min(started_at) FROM sessions UNION ALL SELECT 'last_started_at', max(started_at) FROM sessions
@@ -141,6 +145,15 @@ UNION ALL SELECT 'tool_calls', count(*) FROM tool_calls UNION ALL SELECT 'tool_e
 UNION ALL SELECT 'files_touched', count(*) FROM files_touched UNION ALL SELECT 'paths', count(DISTINCT path) FROM files_touched""", lambda r: rollups.stats(r.sessions, r.messages, r.tool_calls, r.files_touched))
 _both("stats_top_projects", "SELECT project_path, count(*) AS sessions FROM sessions WHERE project_path IS NOT NULL GROUP BY 1 ORDER BY sessions DESC, project_path LIMIT 10", lambda r: rollups.top(r.sessions.filter("project_path is not null").groupBy("project_path").agg(F.count(F.lit(1)).alias("sessions")), "sessions", ["project_path"], 10))
 _both("workflows_by_tokens", "SELECT w.run_id, w.workflow_name, w.total_tokens, s.project_path FROM workflow_runs w LEFT JOIN sessions s ON s.id = w.run_id ORDER BY w.total_tokens DESC, w.run_id LIMIT 50", lambda r: r.workflow_runs.join(r.sessions.select("id", "project_path"), F.col("run_id") == F.col("id"), "left").orderBy(F.desc("total_tokens"), "run_id").limit(50).select("run_id", "workflow_name", "total_tokens", "project_path"))
+for _sort in ("total_tokens", "agent_count", "duration_ms", "total_tool_calls", "started_at"):
+    _both(f"workflows_sorted_by_{_sort}", f"SELECT run_id, workflow_name, {_sort} AS metric FROM workflow_runs WHERE status = 'F' ORDER BY {_sort} DESC, run_id LIMIT 30", lambda r, by=_sort: r.workflow_runs.filter("status = 'F'").orderBy(F.desc(by), "run_id").limit(30).select("run_id", "workflow_name", F.col(by).alias("metric")))
+_both("top_web_prefix", "SELECT domain, kind, count(*) AS hits, count(DISTINCT session_id) AS sessions FROM web_fetches WHERE domain ILIKE 'TH%' GROUP BY ALL ORDER BY hits DESC, domain, kind LIMIT 20", lambda r: rollups.top(rollups.by_keys(r.web_fetches.filter(F.col("domain").ilike("TH%")), ["domain", "kind"], "hits"), "hits", ["domain", "kind"], 20))
+_both("top_skills_span", "SELECT skill_name, count(*) AS invocations, count(DISTINCT session_id) AS sessions FROM skills_invoked WHERE session_id IN (SELECT id FROM sessions WHERE started_at >= 750000000 AND started_at < 880000000) GROUP BY skill_name", lambda r: rollups.by_keys(r.skills_invoked.join(sessions.listing(r.sessions, since=750000000, until=880000000).select(F.col("id").alias("session_id")), "session_id", "left_semi"), ["skill_name"], "invocations"))
+_both("top_commands_of_head", "SELECT cmd_full, count(*) AS failures FROM shell_commands WHERE exit_code <> 0 AND cmd_head = 'error' GROUP BY cmd_full ORDER BY failures DESC, cmd_full LIMIT 20", lambda r: rollups.top(rollups.failed_command_counts(r.shell_commands.filter("cmd_head = 'error'")), "failures", ["cmd_full"], 20).select("cmd_full", "failures"))
+_both("price_resolution", """
+WITH m AS (SELECT DISTINCT model || CASE id % 4 WHEN 1 THEN '-20240612' WHEN 2 THEN '-2024-06-12' WHEN 3 THEN '-x' ELSE '' END AS model FROM sessions),
+b AS (SELECT model, regexp_replace(model, '-(20240612|2024-06-12)$', '') AS base FROM m)
+SELECT b.model, coalesce(e.model, p.model) AS matched_key, coalesce(e.input_per_mtok, p.input_per_mtok) AS input_per_mtok FROM b LEFT JOIN model_prices e ON e.model = b.model LEFT JOIN model_prices p ON p.model = b.base""", lambda r: _prices(r))
 _both("web_domains", "SELECT domain, count(*) AS n FROM web_fetches GROUP BY domain", lambda r: r.web_fetches.groupBy("domain").agg(F.count(F.lit(1)).alias("n")))
 
 # Token costs -----------------------------------------------------------------------------------------------------
@@ -230,7 +243,6 @@ g AS (SELECT *, ntile(5) OVER (ORDER BY size, path, identity) AS stratum FROM s)
 SELECT identity, path, size, stratum::INTEGER AS stratum FROM n WHERE k % step = 0 AND k // step < 4""", lambda r: upkeep.stratified(r.read("pages").select(F.col("page_id").alias("identity"), F.col("url").alias("path"), F.length("html").cast("long").alias("size")), 5, 4))
 _both("noise_messages", "SELECT role, count(*) FILTER (" + " OR ".join(f"starts_with(ltrim(text), '{p}')" for p in patterns.INJECTED_PREFIXES) + ") AS noise, count(*) AS n FROM messages GROUP BY role", lambda r: r.messages.groupBy("role").agg(F.count_if(text.is_noise(F.col("text"), blanks_only=True)).alias("noise"), F.count(F.lit(1)).alias("n")))
 _both("sessions_derived", "SELECT id, strftime(make_timestamp(started_at * 1000000), '%Y-%m-%dT%H:%M:%S.000Z') AS started_at_iso, 'session ' || id AS reconstruct FROM sessions", lambda r: sessions.derived(r.sessions.withColumn("first_user_prompt", F.col("title")).withColumn("id", F.col("id").cast("string"))).select(F.col("id").cast("long").alias("id"), "started_at_iso", "reconstruct"))
-_both("templates_examples", "SELECT sha256(first_user_prompt) AS h, count(*) AS n FROM prompts WHERE first_user_prompt IS NOT NULL GROUP BY 1 HAVING count(*) >= 2", lambda r: r.prompts.filter("first_user_prompt is not null").groupBy(F.sha2("first_user_prompt", 256).alias("h")).agg(F.count(F.lit(1)).alias("n")).filter("n >= 2"))
 
 
 # Without SQL: checked by tests -------------------------------------------------------------------------------------
@@ -266,9 +278,16 @@ def chunk_stats(r: Relations) -> DataFrame:
     return retrieval.finalize(retrieval.pack(r.messages, target=100, most=150)).groupBy("session_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum("tokens").alias("tokens"))
 
 
-@query("hash_embeddings")
+@query("hash_embeddings", f"""
+WITH w AS (SELECT session_id, turn, unnest(CASE WHEN text IS NULL THEN [] ELSE regexp_extract_all({_FOLD}, '[\\p{{L}}\\p{{N}}]+') END) AS t FROM messages),
+h AS (SELECT session_id, turn, ('0x' || sha256(t)[1:2])::INTEGER % 16 AS place, CASE WHEN ('0x' || sha256(t)[3:4])::INTEGER % 2 = 0 THEN 1 ELSE -1 END AS sign FROM w),
+s AS (SELECT session_id, turn, place, sum(sign) AS v FROM h GROUP BY ALL), n AS (SELECT session_id, turn, sqrt(sum(v * v)) AS n FROM s GROUP BY ALL),
+a AS (SELECT session_id, turn, unnest(range(16)) AS place FROM messages)
+SELECT session_id, turn, place::INTEGER AS place, round(coalesce(v / nullif(n, 0), 0)::FLOAT::DOUBLE, 5) AS value FROM a LEFT JOIN s USING (session_id, turn, place) LEFT JOIN n USING (session_id, turn)""")
 def hash_embeddings(r: Relations) -> DataFrame:
-    return r.messages.select("session_id", "turn", vectors.hash_embedding(F.col("text")).alias("embedding"))
+    """The embedding of every message, a row a place."""
+    rows = r.messages.select("session_id", "turn", F.posexplode(vectors.hash_embedding(F.col("text"))).alias("place", "value"))
+    return rows.withColumn("value", F.round(F.col("value").cast("double"), 5))
 
 
 @query("shell_heads_parsed")
@@ -279,6 +298,15 @@ def shell_heads_parsed(r: Relations) -> DataFrame:
     return r.shell_commands.select(command_head(F.concat(F.lit("env A=1 "), F.col("cmd_full"), F.lit(" && git status"))).alias("head")).groupBy("head").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _prices(r: Relations) -> DataFrame:
+    """Model names with and without a date, priced from a feed by exact name or without the date."""
+    dated = F.concat("model", F.expr("CASE id % 4 WHEN 1 THEN '-20240612' WHEN 2 THEN '-2024-06-12' WHEN 3 THEN '-x' ELSE '' END"))
+    per_token = {"input_per_mtok": "input_cost_per_token", "output_per_mtok": "output_cost_per_token", "cache_read_per_mtok": "cache_read_input_token_cost", "cache_write_per_mtok": "cache_creation_input_token_cost"}
+    feed = r.model_prices.select(F.col("model").alias("key"), *((F.col(a) / 1e6).alias(b) for a, b in per_token.items()))
+    found = costs.resolve_prices(r.sessions.select(dated.alias("model")), feed)
+    return found.select("model", "matched_key", F.round("input_per_mtok", 6).alias("input_per_mtok"))
+
+
 __all__ = ["ORACLES", "QUERIES", "accounting", "limits"]
 
 # Fact extractors over made tool calls -----------------------------------------------------------------------------
