@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewrack.functions.limits import BadArgument
 from tidewrack.functions.vectors import embed_terms
-from tidewrack.operators import retrieval, sessions, upkeep
+from tidewrack.operators import embedding, retrieval, sessions, upkeep
 from tidewrack.plans.engine import Engine
 
 S = "id string, source string, external_id string, project_path string, parent_session_id string, agent_type string, model string, title string, started_at long, turn_count long, tool_call_count long"
@@ -151,6 +151,53 @@ def test_commands(spark, engine):
     assert e.sessions(where="reflect('a', 'b') = 'c'").exit_code == 2
 
 
+def test_embedding(spark, engine):
+    """Pending chunks are embedded once, from the cache where the text is known, and the receipt says what was done."""
+    chunks = spark.createDataFrame([(f"c{i}", f"h{i % 4}", f"words of text {i % 4}", 10) for i in range(6)], "chunk_id string, content_hash string, text string, tokens long")
+    none = spark.createDataFrame([], "chunk_id string, content_hash string, model_id string, dimensions int, vector array<float>, vector_norm double")
+    e = Engine(spark, engine.r | {"chunk_texts": chunks, "embeddings": none}, register=False)
+    assert e.embed(dry_run=True).data | {"pending": 6, "would_embed": 6, "tokens": 60, "status": "planned"} == e.embed(dry_run=True).data
+    first = e.embed(n=4)
+    assert first.data["embedded"] == 4 and first.data["cache_hits"] == 0 and first.status == "partial" and first.exit_code == 1
+    rest = e.embed(n=100)
+    assert rest.data["embedded"] == 2 and rest.data["cache_hits"] == 2 and rest.data["status"] == "done" and rest.exit_code == 0
+    assert e.embed().data["embedded"] == 0 and e.embed("moon").exit_code == 2 and e.embed(n=20_000).exit_code == 2
+    rows = {r["chunk_id"]: (list(r["vector"]), round(r["vector_norm"], 6)) for r in e.r["embeddings"].collect()}
+    assert len(rows) == 6 and rows["c0"] == rows["c4"] and rows["c0"][1] == 1.0
+    assert rows["c1"][0] == pytest.approx(embedding.EMBEDDERS["hash"].query("words of text 1"))
+
+    class TooLong(Exception):
+        pass
+
+    def remote(text):
+        if len(text) > 30:
+            raise TooLong
+        return [float(len(text)), 0.0]
+
+    assert embedding.clipped("x" * 100, remote, TooLong) == [23.0, 0.0] and embedding.unit([3.0, 4.0]) == [0.6, 0.8]
+    with pytest.raises(BadArgument):
+        embedding.clipped("x" * 10**6, remote, TooLong)
+    asked = [embedding.Question("parser", ("cc--aaaa-1", "cx--bbbb"), ("cc--aaaa-2",)), embedding.Question("parser of quantum flux capacitors")]
+    got = embedding.evaluate(lambda t: engine.similar(t, mode="fts").data, asked)
+    assert got == {"questions": 2, "hits": 2, "wanted": 2, "leaks": 0, "low_confidence": 1, "fallbacks": 0, "modes": {"fts": 2}}
+
+
+def test_contract(spark, engine):
+    answer = engine.sessions(n=2)
+    line = json.loads(answer.line())
+    assert line["pagination"] == {"limit": 2, "offset": 0, "total": 3, "has_more": True} and line["_meta"]["duration_ms"] >= 0 and answer.exit_code == 0
+    missing = engine.session("zzzz")
+    assert json.loads(missing.line())["errors"][0]["code"] == 1002 and missing.exit_code == 2
+    assert engine.version().data["context"] in ("ci", "tty", "agent")
+    feed = spark.createDataFrame([("m", 1e-6, 2e-6, None, None)], "key string, input_cost_per_token double, output_cost_per_token double, cache_read_input_token_cost double, cache_creation_input_token_cost double")
+    tokens = F.lit(5).cast("long")
+    own = engine.r["sessions"].withColumns({c: tokens for c in ("input_tokens", "output_tokens", "cache_read_tokens", "cache_creation_tokens", "reasoning_tokens")})
+    e = Engine(spark, engine.r | {"sessions": own, "model_prices": spark.createDataFrame([], "model string, input_per_mtok double, output_per_mtok double, cache_read_per_mtok double, cache_write_per_mtok double")}, register=False)
+    assert e.top("tokens").warnings == ["NO_PRICES_LOADED"]
+    assert [(r["model"], r["input_per_mtok"]) for r in e.prices(feed).data] == [("m", 1.0), ("n", None)]
+    assert e.top("tokens").warnings == ["INCOMPLETE_PRICING: 3 sessions, costs are a lower bound"]
+
+
 def test_query_and_schema(engine):
     assert engine.query("SELECT count(*) AS n FROM sessions").data["rows"] == [{"n": 3}]
     assert engine.query("DELETE FROM sessions").status == "error"

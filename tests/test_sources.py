@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from tidewrack.functions.limits import BadArgument
 from tidewrack.operators import facts
-from tidewrack.plans import sqlgate
+from tidewrack.plans import contract, sqlgate
 from tidewrack.sources import parsers, stores
-from tidewrack.streaming import feed
+from tidewrack.streaming import feed, schedule
 
 
 def jsonl(*rows):
@@ -143,6 +143,47 @@ def test_poll_keeps_failures(spark, tmp_path):
         stores.read_store(spark, "nothing", str(root))
 
 
+def test_ingest(spark, tmp_path):
+    """Stores, then facts for what has changed, one writer at a time, with a heartbeat."""
+    root = tmp_path / "store"
+    root.mkdir()
+    (root / "s1.jsonl").write_text(jsonl(*CC))
+    corpus, told = feed.Corpus(spark, f"file://{tmp_path}/corpus"), []
+    tables = {"shell_commands": lambda core: facts.shell_commands(core["tool_calls"]), "tool_errors": lambda core: facts.tool_errors(core["tool_calls"])}
+    assert schedule.stalled(feed.last_beat(corpus), 0).startswith("DAEMON_NOT_RUNNING")
+    report = feed.ingest(corpus, {"claude-code": str(root)}, tables, told.append)
+    assert report == {"changed": {"claude-code": 1}, "failed": [], "refreshed": ["shell_commands", "tool_errors"]} and [t["step"] for t in told] == ["import", "extract", "extract"]
+    assert corpus.read("tool_outputs").count() == corpus.read("tool_calls").filter("output_bytes is not null").count() > 0
+    beat = feed.last_beat(corpus)
+    assert schedule.stalled(beat, beat + 10) is None and "3700 s" in schedule.stalled(beat, beat + 3700.5)
+    with feed.writing(corpus), pytest.raises(contract.Locked) as locked:
+        with feed.writing(corpus, wait=0.1):
+            pass
+    assert contract.shape(locked.value)["category"] == "transient" and contract.shape(KeyError("x"))["code"] == 2999
+    with feed.writing(corpus):
+        with feed.writing(corpus, wait=0.1, stale=-1):  # its writer is gone
+            pass
+    assert feed.ingest(corpus, {"claude-code": str(root)}, tables)["changed"] == {"claude-code": 0}
+
+
+def test_schedule(spark):
+    day = 86_400
+    known = spark.createDataFrame([("/a/hot", 10 * day - 5, 10 * day - 3.0), ("/a/hot2", 10 * day - 5, 10 * day - 1.0), ("/a/cool", 8 * day, 10 * day - 299.0), ("/a/cool2", 8 * day, 10 * day - 301.0), ("/b/cold", day, 10 * day - 3599.0), ("/b/cold2", day, 10 * day - 3600.0), ("/b/new", day, None)], "path string, mtime long, checked_at double")
+    assert sorted(r["path"] for r in schedule.due(known, 10 * day).collect()) == ["/a/cool2", "/a/hot", "/b/cold2", "/b/new"]
+    listing = spark.createDataFrame([("/a/x",), ("/c/d/y",)], "path string")
+    assert [r["folder"] for r in schedule.new_folders(listing, known).collect()] == ["/c/d"]
+    wait = schedule.Debounce(*schedule.IMPORT)
+    assert not wait.ready(0)
+    for now in range(0, 19):
+        wait.changed(now)
+        assert not wait.ready(now + 1)
+    assert wait.ready(20.5) and wait.ready(20)
+    wait.changed(20)
+    assert wait.ready(20)  # the ceiling, however much goes on
+    wait.done()
+    assert not wait.ready(100)
+
+
 def test_databases_and_trees(spark, tmp_path):
     path = tmp_path / "o.db"
     con = sqlite3.connect(path)

@@ -49,3 +49,11 @@ def resolve_prices(models: DataFrame, feed: DataFrame) -> DataFrame:
     found = wanted.join(exact, F.col("model") == F.col("k1"), "left").join(plain, A.base_model(F.col("model")) == F.col("k2"), "left")
     e = F.coalesce("e1", "e2")
     return found.select("model", *(e[n].alias(n) for n in cost), e["key"].alias("matched_key"))
+
+
+def warnings(sessions: DataFrame, prices: DataFrame) -> list[str]:
+    """What a reader of costs must know: no prices at all, or sessions with tokens that nothing prices."""
+    if not prices.limit(1).count():
+        return ["NO_PRICES_LOADED"]
+    n = priced(sessions, prices).filter(A.incomplete()).count()
+    return [f"INCOMPLETE_PRICING: {n} sessions, costs are a lower bound"] if n else []

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import json
-import uuid
+import os
 from collections.abc import Callable
-from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,34 +14,11 @@ from tidewrack.functions.limits import BadArgument, instant, limit
 from tidewrack.functions.patterns import INJECTED_PREFIXES as INJECTED
 from tidewrack.functions.text import is_noise
 from tidewrack.functions.vectors import embed_terms
-from tidewrack.operators import costs, lineage, retrieval, rollups, search, sequences, sessions, upkeep
+from tidewrack.operators import costs, embedding, lineage, retrieval, rollups, search, sequences, sessions, upkeep
 from tidewrack.plans import sqlgate
+from tidewrack.plans.contract import Envelope, NotFound, page, shape
 
-#: Exit codes by kind of failure.
-EXIT = {"ok": 0, "partial": 1, "user": 2, "system": 3, "transient": 4}
-
-
-class NotFound(BadArgument):
-    """What was asked for by name is not there."""
-
-
-@dataclass
-class Envelope:
-    command: str
-    data: Any = None
-    status: str = "ok"
-    errors: list[str] = field(default_factory=list)
-    warnings: list[str] = field(default_factory=list)
-    trace_id: str = field(default_factory=lambda: uuid.uuid4().hex)
-
-    @property
-    def exit_code(self) -> int:
-        return EXIT["ok" if self.status == "ok" else "user"]
-
-    def line(self) -> str:
-        """One line of JSON."""
-        out = {"version": 1, "status": self.status, "command": self.command, "data": self.data, "traceId": self.trace_id}
-        return json.dumps(out | {k: v for k in ("errors", "warnings") if (v := getattr(self, k))}, ensure_ascii=False, default=str)
+VERSION = "0.2"
 
 
 def rows(df: DataFrame) -> list[dict]:
@@ -63,7 +39,7 @@ class Engine:
         try:
             return Envelope(command, action(), warnings=[*(warnings or []), *self.stale()])
         except BadArgument as bad:
-            return Envelope(command, status="error", errors=[str(bad)])
+            return Envelope(command, status="error", errors=[str(bad)], problems=[shape(bad)])
 
     def stale(self) -> list[str]:
         if "dirty" not in self.r:
@@ -76,17 +52,28 @@ class Engine:
         def found() -> list[dict]:
             if tests.get("where"):
                 tests["where"] = sqlgate.predicate(self.spark, tests["where"])
-            return rows(sessions.listing(self.r["sessions"], since=since and instant(since), until=until and instant(until, until=True), **tests).limit(limit("sessions", n)))
+            matching = sessions.listing(self.r["sessions"], since=since and instant(since), until=until and instant(until, until=True), **tests)
+            totals.append(matching.count())
+            return rows(matching.limit(limit("sessions", n)))
+
+        totals: list[int] = []
+        answer = self.run("sessions", found)
+        answer.pagination = page(len(answer.data), totals[0]) if answer.status == "ok" else None
+        return answer
 
-        return self.run("sessions", found)
+    def session(self, name: str, head: int | None = None, tail: int | None = None, between: tuple[int, int] | None = None, show_context: bool = False) -> Envelope:
+        """A session's messages and calls; with ``show_context`` the whole outputs of its calls, from where they are
+        kept apart."""
 
-    def session(self, name: str, head: int | None = None, tail: int | None = None, between: tuple[int, int] | None = None) -> Envelope:
         def find() -> dict:
             found = sessions.resolve(self.r["sessions"], name)
             if found is None:
-                raise BadArgument(f"no session {name}")
+                raise NotFound(f"no session {name}")
             said = sessions.turns(self.r["messages"], found, head, tail, between)
-            calls = self.r["tool_calls"].filter(F.col("session_id") == found).join(said.select("turn"), "turn", "left_semi").orderBy("turn", "idx")
+            calls = self.r["tool_calls"].filter(F.col("session_id") == found).join(said.select("turn"), "turn", "left_semi")
+            if show_context:
+                calls = calls.join(self.r["tool_outputs"].filter(F.col("session_id") == found).select("turn", "idx", "output"), ["turn", "idx"], "left")
+            calls = calls.orderBy("turn", "idx")
             return {"session": rows(self.r["sessions"].filter(F.col("id") == found))[0], "messages": rows(said), "tool_calls": rows(calls)}
 
         return self.run("session", find)
@@ -165,7 +152,10 @@ class Engine:
         if what not in plans:
             return Envelope("top", status="error", errors=[f"top knows {', '.join(plans)}"])
         k = limit("top_mcp" if what == "mcp" else "top_sequences" if what == "sequences" else "top", n)
-        return self.run(f"top {what}", lambda: rows(plans[what]()))
+        answer = self.run(f"top {what}", lambda: rows(plans[what]()))
+        if what == "tokens" and answer.status == "ok":
+            answer.warnings += costs.warnings(r["sessions"], r["model_prices"])
+        return answer
 
     def stats(self) -> Envelope:
         """Totals of every relation there is, sessions by source, the span of time and the ten busiest projects."""
@@ -351,6 +341,34 @@ class Engine:
             out[r["session_id"]] = row | {c: r[c] for c in ("score", "embedding_score", "lexical_rank", "semantic_rank")}
         return out
 
+    def embed(self, provider: str = "hash", n: int = 100, dry_run: bool = False) -> Envelope:
+        """Embed the next pending chunks; the receipt."""
+
+        def act() -> dict:
+            made, receipt = embedding.embed_pending(self.r["chunk_texts"], self.r["embeddings"], provider, n, dry_run)
+            if not dry_run:
+                self.r["embeddings"] = self.r["embeddings"].unionByName(made)
+            return receipt
+
+        answer = self.run("embed", act)
+        answer.status = "partial" if answer.status == "ok" and answer.data["status"] == "partial" else answer.status
+        return answer
+
+    def prices(self, feed: DataFrame | None = None, n: object = None) -> Envelope:
+        """The price of every model of the corpus, taken anew from a feed where one is given; nulls where it knows none."""
+
+        def found() -> list[dict]:
+            if feed is not None:
+                self.r["model_prices"] = costs.resolve_prices(self.r["sessions"].select("model"), feed)
+            return rows(self.r["model_prices"].orderBy("model").limit(limit("top", n)))
+
+        return self.run("prices", found)
+
+    def version(self) -> Envelope:
+        """What runs, and for whom: a terminal, a build, or an agent."""
+        context = "ci" if os.environ.get("CI") else "tty" if os.isatty(1) else "agent"
+        return self.run("version", lambda: {"engine": VERSION, "spark": self.spark.version, "relations": len(self.r), "context": context})
+
     # Upkeep ------------------------------------------------------------------------------------------------------
     def purge(self, projects: list[str], dry_run: bool = True) -> Envelope:
         """Drop sessions outside of the given projects; says what would go unless told to do it."""

@@ -201,7 +201,8 @@ def relations(parsed: DataFrame) -> dict[str, DataFrame]:
     messages = turns.select("session_id", "m.turn", "m.role", "m.ts", "m.text", F.size("m.tools").cast("long").alias("tools"))
     calls = turns.select("session_id", F.col("m.turn").alias("turn"), F.col("m.ts").alias("ts"), F.explode("m.tools").alias("c"))
     calls = calls.select("session_id", "turn", "c.idx", "c.name", "c.args_hash", "c.args_json", F.substring("c.output", 1, 500).alias("output_preview"), F.octet_length("c.output").alias("output_bytes"), "c.exit_code", F.lit(None).cast("long").alias("duration_ms"), "ts", F.col("c.call_id").alias("call_id"))
-    return {"sessions": sessions, "messages": messages, "tool_calls": calls}
+    outputs = turns.select("session_id", F.col("m.turn").alias("turn"), F.explode("m.tools").alias("c")).filter("c.output is not null").select("session_id", "turn", "c.idx", "c.output")
+    return {"tool_outputs": outputs, "messages": messages, "tool_calls": calls, "sessions": sessions}
 
 
 SessionFilter = Callable[[DataFrame], DataFrame]

@@ -8,8 +8,10 @@ failure gives the same tables. Sessions arrive as a stream as well (``follow``),
 from __future__ import annotations
 
 import json
+import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,9 +19,10 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from tidewrack.operators.working import stored
+from tidewrack.plans.contract import Locked
 from tidewrack.sources import stores
 
-KEYS = {"sessions": "id", "messages": "session_id", "tool_calls": "session_id", "files": "path", "dirty": "session_id", "errors": "path"}
+KEYS = {"sessions": "id", "messages": "session_id", "tool_calls": "session_id", "tool_outputs": "session_id", "files": "path", "dirty": "session_id", "errors": "path", "heartbeat": "process"}
 #: Parts of a table by a hash of its key: a replacement writes those that its keys fall in, whatever else there is.
 BUCKETS = 256
 
@@ -119,7 +122,10 @@ class Corpus:
 
 
 def absorb(corpus: Corpus, parsed: DataFrame) -> DataFrame:
-    """Replace the sessions that ``parsed`` has and whose content is new; their ids are the dirty set, returned."""
+    """Replace the sessions that ``parsed`` has and whose content is new; their ids are the dirty set, returned.
+
+    Payloads go first and sessions last: a round that breaks off leaves sessions as they were, and the next one finds
+    them changed and does it all again."""
     made = stores.relations(parsed)
     old = corpus.read("sessions")
     fresh = made["sessions"]
@@ -128,12 +134,71 @@ def absorb(corpus: Corpus, parsed: DataFrame) -> DataFrame:
     dirty = fresh.select(F.col("id").alias("session_id")).distinct()
     corpus.write("dirty", dirty)
     dirty = corpus.read("dirty")
-    for name in ("sessions", "messages", "tool_calls"):
+    for name in ("tool_outputs", "messages", "tool_calls", "sessions"):
         key = KEYS[name]
         corpus.replace(name, made[name].join(dirty.select(F.col("session_id").alias(key)), key, "left_semi"), dirty)
     return dirty
 
 
+@contextmanager
+def writing(corpus: Corpus, wait: float = 60.0, stale: float = 3600.0) -> Iterator[None]:
+    """One writer at a time: a file that only one can create, taken over where its writer has been gone for ``stale``
+    seconds. Locked where it does not come free within ``wait``."""
+    path, fs = corpus._fs(f"{corpus.folder}/_lock")
+    until = time.time() + wait
+    while True:
+        try:
+            fs.create(path, False).close()
+            break
+        except Exception as taken:  # whatever a file system says where the file is there already
+            try:
+                age = time.time() - fs.getFileStatus(path).getModificationTime() / 1000
+            except Exception:
+                continue  # it has just gone
+            if age > stale:
+                fs.delete(path, False)
+            elif time.time() > until:
+                raise Locked(f"someone has been writing for {int(age)} s") from taken
+            else:
+                time.sleep(0.2)
+    try:
+        yield
+    finally:
+        fs.delete(path, False)
+
+
+def ingest(corpus: Corpus, roots: dict[str, str], facts: dict[str, Callable[[dict[str, DataFrame]], DataFrame]], progress: Callable[[dict], None] | None = None) -> dict:
+    """All stores (name: root), then all fact tables for what has changed, under the write lock: how many sessions
+    each store changed, the files that failed, and the tables that were refreshed. The first store or table that
+    cannot be done ends it, with what was done so far in the corpus. ``progress`` is told of each step."""
+    tell, report = progress or (lambda event: None), {"changed": {}, "failed": [], "refreshed": []}
+    with writing(corpus):
+        dirty = None
+        for store, root in roots.items():
+            now = stored(poll(corpus, store, root).select("session_id"))
+            report["changed"][store] = now.count()
+            report["failed"] += [r.asDict() for r in corpus.read("errors").orderBy("path").limit(1000).collect()]
+            dirty = now if dirty is None else dirty.unionByName(now)
+            tell({"step": "import", "store": store, "changed": report["changed"][store]})
+        for name, build in facts.items() if dirty is not None else ():
+            refresh(corpus, name, build, dirty.distinct())
+            report["refreshed"].append(name)
+            tell({"step": "extract", "table": name})
+        beat(corpus)
+    return report
+
+
+def beat(corpus: Corpus, process: str = "ingest") -> None:
+    """Say that ingest is alive."""
+    row = corpus.spark.createDataFrame([(process, time.time())], "process string, at double")
+    corpus.replace("heartbeat", row, row.select("process"))
+
+
+def last_beat(corpus: Corpus) -> float | None:
+    beats = corpus.read("heartbeat")
+    return beats.agg(F.max("at")).first()[0] if beats is not None else None
+
+
 def poll(corpus: Corpus, store: str, root: str) -> DataFrame:
     """One round over a store: files that are new or changed since the last round, they or what is kept beside them,
     are read, nothing else is. A file that cannot be parsed does not become known: it is in the ``errors`` table
