@@ -15,7 +15,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates by SimHash."""
+    """One document of each group of near copies: five-word shingles of Jaccard 0.8 or more, found by SimHash."""
     return simhash.keep_first(docs)
 
 
@@ -41,7 +41,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``; the last one's rows."""
+    """All stages over the documents of ``sf_dir``; the last one's rows, one for each time the mix takes a document.
+
+    Rows of null, empty or wordless texts go in the first stage, as they have no language. Null and repeated ids, null
+    sources, repeated rows and further columns pass through the stages; of equal rows one is left by the second. An
+    empty table gives no rows, and a benchmark without items takes none out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     name = f"pipeline-{uuid.uuid4().hex[:8]}"
     for at, (stage, apply) in enumerate(STAGES):

@@ -30,6 +30,12 @@ class Relations:
     def read(self, table: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{table}.parquet")
 
+    def texts(self, table: str) -> DataFrame:
+        """A table of texts, which are work to take apart: one of fewer files than there are cores is dealt out to all
+        of them, a large one is read as it is."""
+        df, cores = self.read(table), self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
     @cached_property
     def tool_calls(self) -> DataFrame:
         k = F.get_json_object("props", "$.k").cast("long")
@@ -100,11 +106,11 @@ class Relations:
 
     @cached_property
     def prompts(self) -> DataFrame:
-        return self.read("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("first_user_prompt"))
+        return self.texts("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("first_user_prompt"))
 
     @cached_property
     def corpus(self) -> DataFrame:
-        return self.read("documents").select(F.col("doc_id").alias("doc"), "text", "lang", "source")
+        return self.texts("documents").select(F.col("doc_id").alias("doc"), "text", "lang", "source")
 
     @cached_property
     def vectors(self) -> DataFrame:
