@@ -119,6 +119,12 @@ def test_best_chunk(spark):
     assert scores("colours") == [0.35, 0.2275, 0.65] and scores("run git-log") == [0.35, 0.35, 1.0]
 
 
+def test_injected_chunks(spark):
+    chunks = spark.createDataFrame([("a", 0, 1, 2), ("a", 1, 3, 3), ("b", 0, 1, 9), ("c", 0, None, None)], "session_id string, chunk long, start_turn long, end_turn long")
+    messages = spark.createDataFrame([("a", 3, "  <system-reminder> x"), ("a", 2, "plain"), ("b", 9, "Stop hook feedback: y"), ("c", 1, "<skill>")], "session_id string, turn long, text string")
+    assert sorted((r["session_id"], r["chunk"]) for r in retrieval.without_injected(chunks, messages).collect()) == [("a", 0), ("c", 0)]
+
+
 def test_commands(spark, engine):
     """Lists by their options, totals, and workflow runs."""
     facts = {

@@ -103,7 +103,7 @@ def with_reverts(corrections: DataFrame, calls: DataFrame, commands: DataFrame)
     """``corrections`` with followed_by_revert: 2 where an edit within 15 turns puts back the text that the edit
     before the correction replaced, 1 where the same file is edited or git undoes something within 10 turns, else 0.
 
-    Range joins within a session: the equal keys bound them, and each correction gets one aggregate back."""
+    The edit before is met by its turn, what follows by blocks of turns, and each correction gets one aggregate back."""
     args = _args(calls.filter(F.col("name").isin(*P.EDIT_TOOLS, "Write")))
     path = _first(F.col("args"), ("file_path", "path"))
     first_edit = F.col("args")
@@ -114,11 +114,15 @@ def with_reverts(corrections: DataFrame, calls: DataFrame, commands: DataFrame)
     )
     edits = args.select("session_id", F.col("turn").alias("e_turn"), "name", path.alias("path"), old.alias("old"), new_of.alias("new")).filter("path is not null")
     key = ["session_id", "turn"]
-    prior = corrections.select(*key, "preceding_turn").join(edits, "session_id").filter("e_turn = preceding_turn").select(*key, "path", F.when(F.col("name") != "Write", F.col("old")).alias("target"))
-    later = prior.join(edits.select("session_id", "e_turn", F.col("name").alias("e_name"), F.col("path").alias("e_path"), "new"), "session_id").filter("e_path = path and e_turn > turn and e_turn <= turn + 15")
+    block = lambda turn: F.floor(turn / 16)
+    after = F.explode(F.sequence(block(F.col("turn")), block(F.col("turn") + 15))).alias("block")
+    prior = corrections.select(*key, F.col("preceding_turn").alias("e_turn")).join(edits, ["session_id", "e_turn"]).select(*key, "path", F.when(F.col("name") != "Write", F.col("old")).alias("target"))
+    ahead = edits.select("session_id", block(F.col("e_turn")).alias("block"), "e_turn", "path", "new")
+    later = prior.select("*", after).join(ahead, ["session_id", "block", "path"]).filter("e_turn > turn and e_turn <= turn + 15")
     tier = F.when(F.col("target").isNotNull() & (F.col("target") != "") & F.array_contains("new", F.col("target")), 2).when(F.col("e_turn") <= F.col("turn") + 10, 1).otherwise(0)
     undone = r"(?<![A-Za-z0-9_])git\s+(revert|restore|reset\s+--hard)(?![A-Za-z0-9_])"
-    by_git = corrections.select(*key).join(commands.filter(F.col("cmd_full").rlike(undone)).select("session_id", F.col("turn").alias("g_turn")), "session_id").filter("g_turn > turn and g_turn <= turn + 10")
+    undoing = commands.filter(F.col("cmd_full").rlike(undone)).select("session_id", block(F.col("turn")).alias("block"), F.col("turn").alias("g_turn"))
+    by_git = corrections.select(*key, after).join(undoing, ["session_id", "block"]).filter("g_turn > turn and g_turn <= turn + 10")
     tiers = later.select(*key, tier.alias("tier")).unionByName(by_git.select(*key, F.lit(1).alias("tier"))).groupBy(*key).agg(F.max("tier").alias("tier"))
     return corrections.join(tiers, key, "left").withColumn("followed_by_revert", F.coalesce("tier", F.lit(0))).drop("tier")
 

@@ -181,8 +181,10 @@ def pending(chunks: DataFrame, embedded: DataFrame, model_id: str) -> DataFrame:
 
 
 def without_injected(chunks: DataFrame, messages: DataFrame) -> DataFrame:
-    """Chunks whose turns hold no injected message: a range anti-join within a session."""
+    """Chunks (session_id, chunk, start_turn, end_turn) whose turns hold no injected message: a chunk's turns meet the
+    injected ones by equality. A chunk of unknown turns stays."""
     from tidewrack.functions.text import is_noise
 
-    noisy = messages.filter(is_noise(F.col("text"), blanks_only=True)).select(F.col("session_id").alias("n_session"), F.col("turn").alias("n_turn"))
-    return chunks.join(noisy, (F.col("session_id") == F.col("n_session")) & F.col("n_turn").between(F.col("start_turn"), F.col("end_turn")), "left_anti")
+    noisy = messages.filter(is_noise(F.col("text"), blanks_only=True)).select("session_id", "turn").distinct()
+    turns = chunks.filter("start_turn <= end_turn").select("session_id", "chunk", F.explode(F.sequence("start_turn", "end_turn")).alias("turn"))
+    return chunks.join(turns.join(noisy, ["session_id", "turn"]).select("session_id", "chunk").distinct(), ["session_id", "chunk"], "left_anti")

@@ -88,15 +88,23 @@ def self_resolutions(calls: DataFrame, messages: DataFrame) -> DataFrame:
     return pairs.withColumn("gap_turns", F.col("ok_turn") - F.col("fail_turn"))
 
 
+#: Turns of a block: a span of turns meets the rows of the blocks that it touches, not those of a whole session.
+BLOCK = 64
+
+
 def resolution_context(pairs: DataFrame, calls: DataFrame, messages: DataFrame) -> DataFrame:
     """``pairs`` with the calls and assistant texts strictly between failure and success, as JSON."""
     key = ["session_id", "args_hash", "fail_turn"]
-    spans = pairs.select(*key, "ok_turn")
-    between = spans.join(calls.select("session_id", F.col("turn").alias("c_turn"), "idx", "name"), "session_id").filter("c_turn > fail_turn and c_turn < ok_turn")
-    between = between.groupBy(*key).agg(F.to_json(F.array_sort(F.collect_list(F.struct(F.col("c_turn").alias("turn"), "idx", "name")))).alias("resolution_tool_calls_json"))
-    texts = spans.join(messages.filter("role = 'assistant'").select("session_id", F.col("turn").alias("m_turn"), "text"), "session_id").filter("m_turn > fail_turn and m_turn < ok_turn")
-    texts = texts.groupBy(*key).agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("m_turn", "text"))), lambda t: t["text"])).alias("resolution_texts_json"))
-    return pairs.join(between, key, "left").join(texts, key, "left")
+    blocks = F.sequence(F.floor((F.col("fail_turn") + 1) / BLOCK), F.floor(F.greatest(F.col("ok_turn") - 1, F.col("fail_turn") + 1) / BLOCK))
+    spans = pairs.select(*key, "ok_turn", F.explode(blocks).alias("block"))
+
+    def between(rows: DataFrame, *columns: str) -> DataFrame:
+        placed = rows.select("session_id", F.floor(F.col("turn") / BLOCK).alias("block"), F.col("turn").alias("at"), *columns)
+        return spans.join(placed, ["session_id", "block"]).filter("at > fail_turn and at < ok_turn").groupBy(*key)
+
+    called = between(calls, "idx", "name").agg(F.to_json(F.array_sort(F.collect_list(F.struct(F.col("at").alias("turn"), "idx", "name")))).alias("resolution_tool_calls_json"))
+    said = between(messages.filter("role = 'assistant'"), "text").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda t: t["text"])).alias("resolution_texts_json"))
+    return pairs.join(called, key, "left").join(said, key, "left")
 
 
 def previous_assistant(messages: DataFrame) -> DataFrame:
