@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
@@ -69,9 +70,15 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(fold(F.lower(F.coalesce(text, F.lit("")))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-#: Latin letters with marks and what they fold to.
-MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćčďēĕėęěğīĭįĺľńňōŏőŕřśşšţťūŭůűųźżž"
-FOLDED = "aaaaaaceeeeiiiinooooouuuuyyaaaccdeeeeegiiillnnooorrsssttuuuuuzzz"
+def _folding() -> tuple[str, str]:
+    """Letters that are an ASCII letter with one mark, and those letters; marks that stand alone are at the end of the
+    first and have nothing in the second. Letters with two marks, and other scripts, stay as they are."""
+    apart = ((chr(c), unicodedata.normalize("NFD", chr(c))) for c in range(0xC0, 0x2000))
+    pairs = [(c, d[0]) for c, d in apart if len(d) == 2 and d[0].isascii() and d[0].islower() and unicodedata.combining(d[1])]
+    return "".join(c for c, _ in pairs) + "".join(map(chr, range(0x300, 0x370))), "".join(d for _, d in pairs)
+
+
+MARKED, FOLDED = _folding()
 
 
 def fold(text: Column) -> Column:

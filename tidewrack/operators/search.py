@@ -202,7 +202,7 @@ class _Parser:
 def _terms(text: str) -> list[str]:
     from tidewrack.functions.text import FOLDED, MARKED
 
-    low = text.lower().translate(str.maketrans(MARKED, FOLDED))
+    low = text.lower().translate(str.maketrans(MARKED[: len(FOLDED)], FOLDED, MARKED[len(FOLDED) :]))
     return re.findall(r"[^\W_]+", low)
 
 
