@@ -318,4 +318,4 @@ def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def op9_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents stored as GIFs and read back."""
-    return media_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return media_digests(scratch.dealt(spark.read.parquet(f"{sf_dir}/documents.parquet")))

@@ -119,5 +119,5 @@ def keep_identified(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFram
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from those not held out."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = scratch.dealt(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return identify(docs, fit(docs))

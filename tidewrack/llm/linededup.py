@@ -252,7 +252,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of all documents that an earlier line makes superfluous."""
-    return report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return report(scratch.dealt(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
 
 ORACLE = r"""

@@ -116,7 +116,7 @@ def draw(docs: DataFrame, max_epochs: float = 3.0, seed: str = SEED) -> DataFram
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed by source weights 1, 2, 3, repeating, at 3 epochs at most."""
-    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return mix(scratch.dealt(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
 
 ORACLE = f"""

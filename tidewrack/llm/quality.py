@@ -157,5 +157,5 @@ def score(docs: DataFrame, network: Network) -> DataFrame:
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents, learned from the labels not held out."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = scratch.dealt(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return score(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))

@@ -60,6 +60,12 @@ def drop(*tables: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """A table of fewer files than there are cores, dealt out to all of them; a larger one as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """``names``, each with as many underscores ahead as make it unlike any column of ``df`` and any other name."""
     taken = {c.lower() for c in df.columns}

@@ -32,4 +32,4 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", tex
 
 def op3_shard_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents dealt into 8 contiguous shards of near equal bytes."""
-    return shard_by_bytes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return shard_by_bytes(scratch.dealt(spark.read.parquet(f"{sf_dir}/documents.parquet")))
