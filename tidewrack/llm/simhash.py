@@ -20,10 +20,12 @@ BLOCK = 1 << 15
 #: Up to so many fingerprints a table bucket is verified pair by pair; larger ones go the exact way of _crowded.
 CROWD = 64
 #: For near copies: words of a shingle, the Jaccard similarity that links, fingerprints of 64 bits, bits of a segment,
-#: and the bits of all fingerprints, and of the first, in which texts of that similarity differ at most: some 29 of
-#: 192 (10 of 64) are to be expected, and 96 (32) for texts that have nothing in common.
+#: and the bits of all fingerprints, and of the first, in which pairs may differ: 29 of 192 (10 of 64) with a deviation
+#: of 5 (3) are to be expected at that similarity, 25 at 0.85, 41 at 0.65, and 96 (32) for texts with nothing in common.
 WORDS, SIMILARITY = 5, 0.8
-LANES, SEGMENT, APART, LANE_APART = 3, 21, 46, 22
+LANES, SEGMENT, APART, LANE_APART = 3, 21, 36, 20
+#: Texts of a crowded segment from which its middle is found.
+SAMPLE = 16
 GOLDEN, MIX = 0x9E3779B97F4A7C15, (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 #: So many hashes of texts, 8 bytes each, may be broadcast to pick the texts out.
 FEW = 1 << 20
@@ -166,7 +168,8 @@ def _similar(near: DataFrame, fps: DataFrame, docs: DataFrame, words: int, known
     have a Jaccard similarity of ``SIMILARITY`` or more and that, with ``known`` links, connect what is to be connected.
 
     A text's nearest partner is verified first; of the other pairs, only those that are still apart."""
-    wanted = fps.join(near.select(F.explode(F.array("x", "y")).alias("id")).distinct(), "id", "left_semi").select("id", "text_hash")
+    ends = near.select(F.col("x").alias("id")).distinct().unionByName(near.select(F.col("y").alias("id")).distinct()).distinct()
+    wanted = fps.join(ends, "id", "left_semi").select("id", "text_hash")
     wanted = scratch.table(wanted, "wanted")
     texts = docs.select(F.xxhash64("text").alias("text_hash"), "text")
     if wanted.count() <= FEW:
@@ -194,6 +197,20 @@ def _similar(near: DataFrame, fps: DataFrame, docs: DataFrame, words: int, known
     return scratch.table(links.unionByName(verified(open_pairs)), "similar")
 
 
+def _centres(fps: DataFrame) -> DataFrame:
+    """(key, head) of segments that more than ``CROWD`` texts share: the text of each that has the least distance to a
+    sample of them, one for each of ``SAMPLE`` hash classes. Texts made from one differ more from each other than from
+    it, so the one in the middle is like most of them."""
+    lanes_of = F.array(*(F.col(f"f{k}") for k in range(LANES)))
+    entries = fps.select("id", lanes_of.alias("lanes"), F.explode(F.array(*_segments())).alias("key"))
+    crowds = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CROWD).select("key")
+    own = scratch.table(entries.join(crowds, "key"), "crowded")
+    sample = own.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(SAMPLE)).alias("class")).agg(F.min_by("lanes", "id").alias("lanes")).groupBy("key").agg(F.collect_list("lanes").alias("sample"))
+    apart = lambda a, b: reduce(add, (F.bit_count(a[k].bitwiseXOR(b[k])) for k in range(LANES)))
+    total = F.aggregate("sample", F.lit(0), lambda t, other: t + apart(F.col("lanes"), other))
+    return own.join(sample, "key").groupBy("key").agg(F.min(F.struct(total.alias("total"), F.col("id"))).alias("best")).select("key", F.col("best.id").alias("head"))
+
+
 def near_copies(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, text_hash, root), one row per row of ``docs``: rows of one root are connected by texts whose sets of
     ``words``-word shingles are similar to ``SIMILARITY`` or more.
@@ -201,8 +218,9 @@ def near_copies(docs: DataFrame, words: int = WORDS) -> DataFrame:
     Multi-index hashing over longer fingerprints, as such texts differ in an eighth of all bits or so: ``LANES``
     of 64 bits in segments of ``SEGMENT`` bits. Each segment's ball of radius 1 is looked up in the table of segments,
     full distances are verified, and then the sets themselves: what is linked is similar for certain. A pair is missed
-    where every segment differs in two bits or more. In a bucket of more than ``CROWD`` texts all are met with its
-    first one; texts that this leaves apart from it are met with each of the others.
+    where every segment differs in two bits or more. Texts of one segment are met with one of
+    them first, in a segment of more than ``CROWD`` texts with the one in their middle; what this leaves apart then
+    meets each of the others that a ball reaches.
 
     Null and empty texts are alike and connected. An empty table gives no rows."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
@@ -218,7 +236,9 @@ def near_copies(docs: DataFrame, words: int = WORDS) -> DataFrame:
     fps = rows.groupBy(*names).agg(F.min("text_hash").alias("text_hash")).select(F.monotonically_increasing_id().alias("id"), *names, "text_hash")
     fps = scratch.table(fps, "distinct_lanes")
     entries = fps.select("id", "f0", F.explode(F.array(*_segments())).alias("key"))
-    crowds = scratch.table(entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("head")).filter(F.col("n") > CROWD).select("key", "head"), "crowds")
+    shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("head")).filter("n > 1")
+    crowds = scratch.table(_centres(fps), "crowds")
+    heads = scratch.table(shared.filter(F.col("n") <= CROWD).select("key", "head").unionByName(crowds), "heads")
 
     def near(pairs: DataFrame) -> DataFrame:
         side = lambda s: fps.select(F.col("id").alias(s), F.array(*names).alias(f"{s}_f"))
@@ -226,24 +246,25 @@ def near_copies(docs: DataFrame, words: int = WORDS) -> DataFrame:
         apart = reduce(add, (F.bit_count(F.col("x_f")[k].bitwiseXOR(F.col("y_f")[k])) for k in range(LANES)))
         return scratch.table(met.withColumn("apart", apart).filter(F.col("apart") <= APART).select("x", "y", "apart"), "near")
 
-    links = None
     flips = F.array(F.lit(0).cast("long"), *(F.lit(1 << b).cast("long") for b in range(SEGMENT)))
     ball = lambda key: F.transform(flips, lambda m: key.bitwiseXOR(m))
     balls = F.flatten(F.array(*map(ball, _segments())))
-    probes = fps.select("id", "f0", F.explode(balls).alias("key"))
     close = F.bit_count(F.col("f0").bitwiseXOR(F.col("other_f0"))) <= LANE_APART
-    table = entries.select("key", F.col("id").alias("other"), F.col("f0").alias("other_f0"))
-    calm, asking = table, None
-    if crowds.limit(1).count():
-        links = _similar(near(entries.join(crowds, "key").filter("id <> head").select("id", F.col("head").alias("other"))), fps, docs, words, None)
-        roots = components.roots(links)
-        side = lambda s: roots.select(F.col("node").alias(s), F.col("root").alias(f"{s}_root"))
-        asking = probes.join(crowds, "key").join(side("id"), "id", "left").join(side("head"), "head", "left")
-        asking = asking.filter((F.col("id") != F.col("head")) & (F.coalesce("id_root", "id") != F.coalesce("head_root", "head"))).select("id", "f0", "key")
-        calm = table.join(crowds, "key", "left_anti")
-    pairs = probes.join(calm, "key").filter(close & (F.col("id") < F.col("other"))).select("id", "other")
-    if asking is not None:
-        pairs = pairs.unionByName(asking.join(table.join(crowds, "key", "left_semi"), "key").filter(close & (F.col("id") != F.col("other"))).select("id", "other"))
+    links = _similar(near(entries.join(heads, "key").filter("id <> head").select("id", F.col("head").alias("other"))), fps, docs, words, None)
+    # What the heads of segments have connected need not meet again: a large group costs what its texts are, not what
+    # its pairs are. What is still apart meets wherever a ball reaches.
+    roots = components.roots(links).select(F.col("node").alias("id"), "root")
+    known = scratch.table(fps.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")).select("id", "f0", "root", *names[1:]), "rooted")
+    probes = known.select("id", "f0", "root", F.explode(balls).alias("key"))
+    table = known.select(F.col("id").alias("other"), F.col("f0").alias("other_f0"), F.col("root").alias("other_root"), F.explode(F.array(*_segments())).alias("key"))
+    apart = close & (F.col("root") != F.col("other_root"))
+    if not crowds.limit(1).count():
+        pairs = probes.join(table, "key").filter(apart & (F.col("id") < F.col("other"))).select("id", "other")
+    else:
+        side = lambda s: known.select(F.col("id").alias(s), F.col("root").alias(f"{s}_root"))
+        pairs = probes.join(table.join(crowds, "key", "left_anti"), "key").filter(apart & (F.col("id") < F.col("other"))).select("id", "other")
+        asking = probes.join(crowds, "key").join(side("head"), "head").filter("root <> head_root").select("id", "f0", "root", "key")
+        pairs = pairs.unionByName(asking.join(table.join(crowds, "key", "left_semi"), "key").filter(apart).select("id", "other"))
     roots = components.roots(_similar(near(pairs), fps, docs, words, links))
     named = fps.join(roots, fps["id"] == roots["node"], "left").select(*(F.col(n).alias(f"n_{n}") for n in names), F.coalesce("root", "id").alias("root"))
     same = reduce(and_, (F.col(n) == F.col(f"n_{n}") for n in names))
@@ -274,4 +295,4 @@ def keep_first(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints and near-duplicate components of all documents."""
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(scratch.dealt(spark.read.parquet(f"{sf_dir}/documents.parquet")))
