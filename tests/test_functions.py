@@ -118,3 +118,13 @@ def test_folding(spark):
     said = "Crème BRÛLÉE e\u0301te\u0301 ạ ộ naïve_x-1 Ωά ЙОд"
     want = ["creme", "brulee", "ete", "a", "ộ", "naive", "x", "1", "ωά", "йод"]
     assert spark.range(1).select(text.words(F.lit(said))).first()[0] == want and _terms(said) == want
+
+
+def test_hash_embedding_takes_each_word_once(spark):
+    # A text of many words: hashed once and not anew for every place and every norm.
+    texts = ["", None, "Ein Wort", "der the der", " ".join(f"w{i}" for i in range(5000))]
+    made = spark.createDataFrame([(t,) for t in texts], "text string").select("text", vectors.hash_embedding(F.col("text")).alias("v"))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sha2(") == 1
+    for row in made.collect():
+        assert row["v"] == pytest.approx(vectors.embed_terms((row["text"] or "").lower().split()), abs=1e-6)

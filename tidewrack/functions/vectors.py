@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -40,9 +41,17 @@ def embed_terms(terms: list[str], dimensions: int = DIMENSIONS) -> list[float]:
     return [x / length for x in out] if length else out
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is evaluated once, however often ``use`` names it: higher-order functions are interpreted,
+    and a column that stands in one is evaluated anew for every element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def hash_embedding(text: Column, dimensions: int = DIMENSIONS) -> Column:
-    """``embed_terms`` of a text's words, as one expression."""
-    byte = lambda h, at: F.conv(F.substring(h, at, 2), 16, 10).cast("int")
-    signed = F.transform(F.transform(words(text), lambda t: F.sha2(t, 256)), lambda h: F.struct((byte(h, 1) % dimensions).alias("at"), (1 - 2 * (byte(h, 3) % 2)).alias("sign")))
-    sums = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda d: F.aggregate(signed, F.lit(0), lambda a, s: a + F.when(s["at"] == d, s["sign"]).otherwise(0)).cast("double"))
-    return F.transform(sums, lambda x: F.when(norm(sums) > 0, x / norm(sums)).otherwise(0.0).cast("float"))
+    """``embed_terms`` of a text's words, as one expression. Words are hashed once, then summed for each place."""
+    # The first two bytes of each hash: the upper one gives the place, the lower one's parity the sign.
+    heads = F.transform(words(text), lambda t: F.conv(F.substring(F.sha2(t, 256), 1, 4), 16, 10).cast("int"))
+    signed = F.transform(heads, lambda h: F.struct((F.shiftright(h, 8) % dimensions).alias("at"), (1 - 2 * (h % 2)).alias("sign")))
+    total = lambda terms, d: F.aggregate(F.filter(terms, lambda s: s["at"] == d), F.lit(0), lambda a, s: a + s["sign"]).cast("double")
+    sums = _bound(signed, lambda terms: F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda d: total(terms, d)))
+    return _bound(sums, lambda v: _bound(norm(v), lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(0.0).cast("float"))))
