@@ -38,50 +38,64 @@ def _widths(count: int, bits: int) -> np.ndarray:
     return np.clip(np.floor(np.log2(entries)).astype(np.int64) + 1, bits + 1, 12)
 
 
+def _places(widths: np.ndarray) -> np.ndarray:
+    """Which of the 16 bits of each code are written."""
+    return np.arange(16) < widths[:, None]
+
+
 _ENCODE_WIDTHS = _widths(RUN + 2, 8)
+#: The bits of a run's codes. The clear code that begins a run has the width that the run before ended with.
+_FIRST_PLACES, _LATER_PLACES = (_places(np.concatenate([[clear], _ENCODE_WIDTHS])) for clear in (9, _ENCODE_WIDTHS[RUN]))
+#: What follows a code in the table, under the code above a symbol; entries are codes in that form, 0 where there is
+#: none. Tables are a megabyte of places and are emptied place by place, so they are kept for the next stream.
+_SHIFTED = [code << 8 for code in range(LAST + 1)]
+_TABLES: list[list[int]] = []
 #: Code widths by symbol bits, for as many codes as fill any table; after that they have 12 bits.
 FULL = 4200
-_WIDTHS = {bits: _widths(FULL, bits).astype(np.int8) for bits in range(2, 9)}
+_WIDTHS = {bits: _widths(FULL, bits) for bits in range(2, 9)}
 
 
 def lzw_encode(data: bytes) -> bytes:
     """Bytes to an LZW code stream of 8-bit symbols."""
-    codes: list[np.ndarray] = []
-    widths: list[np.ndarray] = []
-    run: list[int] = [256]
-    table: dict[int, int] = {}
-    get, put, following = table.get, run.append, 258
-
-    def flush() -> None:
-        codes.append(np.array(run, np.int64))
-        # The clear code that begins a run has the width that the run before ended with.
-        widths.append(np.concatenate([[9 if not widths else _ENCODE_WIDTHS[RUN]], _ENCODE_WIDTHS[: len(run) - 1]]))
-
+    table = _TABLES.pop() if _TABLES else [0] * ((LAST + 1) << 8)
+    entries = _SHIFTED[258 : 258 + RUN]
+    out: list[np.ndarray] = []
     symbols = iter(data)
-    prefix = next(symbols, -1)
-    for symbol in symbols:
-        key = prefix << 8 | symbol
-        if (code := get(key)) is not None:
-            prefix = code
-            continue
-        put(prefix)
-        prefix = symbol
-        if following < LAST:
-            table[key] = following
-            following += 1
-        else:
-            flush()
-            del run[1:]
-            table.clear()
-            following = 258
-    if prefix >= 0:
-        put(prefix)
-    put(257)
-    flush()
-    code, width = np.concatenate(codes), np.concatenate(widths)
-    place = np.arange(12)
-    bits = (code[:, None] >> place & 1).astype(np.uint8)[place < width[:, None]]
-    return np.packbits(bits, bitorder="little").tobytes()
+    prefix = _SHIFTED[next(symbols, 257)]
+    more = bool(data)
+    while more:
+        run, used = [256 << 8], []
+        put, use = run.append, used.append
+        for entry in entries:
+            for symbol in symbols:
+                key = prefix + symbol
+                if longer := table[key]:
+                    prefix = longer
+                else:
+                    break
+            else:
+                more = False
+                break
+            put(prefix)
+            use(key)
+            table[key] = entry
+            prefix = _SHIFTED[symbol]
+        for key in used:
+            table[key] = 0
+        if more:
+            out.append(_bits(run, not out))
+    _TABLES.append(table)
+    # The last run ends with the last prefix, if there are any data, and the end code.
+    last = [*run, prefix, 257 << 8] if data else [256 << 8, 257 << 8]
+    out.append(_bits(last, not out))
+    return np.packbits(np.concatenate(out), bitorder="little").tobytes()
+
+
+def _bits(run: list[int], first: bool) -> np.ndarray:
+    """The bits of a run's codes, each in its width."""
+    codes = (np.array(run, np.int32) >> 8).astype("<u2")
+    each = np.unpackbits(codes.view(np.uint8).reshape(-1, 2), axis=1, bitorder="little")
+    return each[(_FIRST_PLACES if first else _LATER_PLACES)[: len(run)]]
 
 
 def lzw_decode(data: bytes, bits: int, size: int) -> bytes:
@@ -91,8 +105,9 @@ def lzw_decode(data: bytes, bits: int, size: int) -> bytes:
     A stream that ends early or holds a code that cannot be there gives what came before it.
     """
     clear, end = 1 << bits, (1 << bits) + 1
-    stream = np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little")
-    place = np.arange(12)
+    # A code of 12 bits at most lies in three bytes.
+    stream = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.int32)
+    length = 8 * len(data)
     literal = [bytes([i]) for i in range(clear)] + [b"", b""]
     out: list[bytes] = []
     made = at = 0
@@ -100,20 +115,23 @@ def lzw_decode(data: bytes, bits: int, size: int) -> bytes:
     def unpack(most: int) -> tuple[np.ndarray, np.ndarray, int]:
         """Up to ``most`` codes from here, where each ends, and how many belong to this run. Code j, from 0, may
         name j - 1 entries and the one it is about to make."""
-        width = np.full(most, 12)
-        width[:FULL] = _WIDTHS[bits][:most]
+        width = _WIDTHS[bits][:most]
+        if most > FULL:
+            width = np.concatenate([width, np.full(most - FULL, 12)])
         stop = np.cumsum(width)
-        count = int(np.searchsorted(stop, len(stream) - at, "right"))
+        count = int(np.searchsorted(stop, length - at, "right"))
         width, stop = width[:count], stop[:count]
-        taken = np.where(place < width[:, None], stream[np.minimum(at + (stop - width)[:, None] + place, len(stream) - 1)], 0)
-        codes = (taken.astype(np.int64) << place).sum(axis=1)
+        start = at + stop - width
+        byte = start >> 3
+        taken = stream[byte] | stream[byte + 1] << 8 | stream[byte + 2] << 16
+        codes = taken >> (start & 7) & (1 << width) - 1
         halts = np.nonzero((codes == clear) | (codes == end) | (codes > clear + 1 + np.arange(count)))[0]
         return codes, stop, int(halts[0]) if len(halts) else count
 
     while made < size:
-        codes, stop, last = unpack(FULL)
+        codes, stop, last = unpack(min(FULL, (length - at) // (bits + 1) + 1))
         if last == FULL:
-            codes, stop, last = unpack((len(stream) - at) // (bits + 1) + 1)
+            codes, stop, last = unpack((length - at) // (bits + 1) + 1)
         table = literal.copy()
         add = table.append
         pieces = []
@@ -226,7 +244,10 @@ def _frames(data: bytes) -> Iterator[Frame]:
             index = index[: max(0, height - top), : max(0, width - left)]
             drawn = (index >= 0) & (index != transparent) & (index < len(colours))
             region = canvas[top : top + index.shape[0], left : left + index.shape[1]]
-            region[drawn] = colours[index[drawn]]
+            if drawn.all():
+                region[:] = colours[index]
+            else:
+                region[drawn] = colours[index[drawn]]
             yield Frame(canvas.copy(), delay, (left, top, w, h))
             if disposal == 2:
                 region[:] = 0
@@ -240,8 +261,9 @@ def _frames(data: bytes) -> Iterator[Frame]:
 def histogram(frame: Frame, bins: int = 4) -> list[int]:
     """Pixels of a frame's own rectangle by colour, ``bins`` steps a channel: bins ** 3 counts."""
     left, top, w, h = frame.box
-    part = frame.rgb[top : top + h, left : left + w].reshape(-1, 3).astype(np.int64) * bins // 256
-    return np.bincount((part[:, 0] * bins + part[:, 1]) * bins + part[:, 2], minlength=bins**3).tolist()
+    part = frame.rgb[top : top + h, left : left + w].reshape(-1, 3)
+    step = np.arange(256) * bins // 256
+    return np.bincount((step * bins**2)[part[:, 0]] + (step * bins)[part[:, 1]] + step[part[:, 2]], minlength=bins**3).tolist()
 
 
 def padded(text: str | None) -> tuple[bytes, int]:
