@@ -614,3 +614,13 @@ def test_lzw_costs_little_more_than_its_table():
         return min(times)
 
     assert least(lambda: gif.lzw_decode(gif.lzw_encode(data), 8, len(data))) < 0.45 * least(lambda: _textbook_lzw(data))
+
+
+def test_line_sets_order_words_once(spark):
+    # Lines without words are dropped before words are ordered: a condition on what comes of it would order them again.
+    rows = [(0, "b a b c d"), (1, ""), (2, " \t\x0b\x0c\r "), (3, "\ta"), (4, "\u00a0"), (5, "\x1c \x1f")]
+    contents = spark.createDataFrame([(k, False, 1, 1, 0, line) for k, line in rows], "set long, none boolean, id long, version long, line int, content string")
+    sets = linededup.line_sets(contents, b" " * linededup.COUNTERS)
+    assert sets._jdf.queryExecution().optimizedPlan().toString().count("sort_array(") == 1
+    assert {r["set"]: (r["n"], len(r["prefix"])) for r in sets.collect()} == {0: (4, 1), 3: (1, 1), 4: (1, 1), 5: (2, 1)}
+    assert all((bin(r["sig"] % 2**64).count("1") + bin(r["sig2"] % 2**64).count("1")) % 2 == r["n"] % 2 for r in sets.collect())

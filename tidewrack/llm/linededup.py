@@ -31,16 +31,22 @@ HEADS = 4
 PLACE = ("none", "id", "version", "line")
 #: So many numbers of lines, 8 bytes each, may be broadcast to pick them out.
 FEW = 1 << 20
+#: A character of a word.
+WORD = r"[^ \t\x0b\x0c\r]"
 
 
-def _words(line: Column) -> Column:
-    """The words of a line, which end at space, tab, form feeds or carriage return. Other white space than the space
-    is rare, and the split at one character is the quick one."""
+def _pieces(line: Column) -> Column:
+    """The words of a line, which end at space, tab, form feeds or carriage return, and empty pieces between. Other white
+    space than the space is rare, and the split at one character is the quick one."""
     odd = F.lit(False)
     for c in "\t\x0b\x0c\r":
         odd = odd | F.contains(line, F.lit(c))
     plain = F.when(odd, F.translate(line, "\t\x0b\x0c\r", "    ")).otherwise(line)
-    return F.array_remove(F.split(plain, " "), "")
+    return F.split(plain, " ")
+
+
+def _words(line: Column) -> Column:
+    return F.array_remove(_pieces(line), "")
 
 
 def _lines(text: Column) -> Column:
@@ -65,7 +71,7 @@ def rarity(contents: DataFrame) -> bytes:
     """For each of ``COUNTERS`` hash classes of words, the octave of how often its words occur in ``contents``
     (content), from 32 on; 32 is once or never. Only these bytes come to the driver."""
     spark = contents.sparkSession
-    seen = contents.select(F.explode(_words(F.col("content"))).alias("w"))
+    seen = contents.select(F.explode(_pieces(F.col("content"))).alias("w")).filter("w <> ''")
     counts = seen.groupBy(F.xxhash64("w").bitwiseAND(F.lit(COUNTERS - 1)).alias("at")).agg(F.count(F.lit(1)).alias("n"))
     zeros = spark.range(COUNTERS).select(F.col("id").alias("at"), F.lit(0).cast("long").alias("n"))
     level = F.least(F.floor(F.log2(F.greatest(F.sum("n"), F.lit(1)))), F.lit(LEVELS - 1)).cast("int")
@@ -86,19 +92,22 @@ def line_sets(contents: DataFrame, levels: bytes) -> DataFrame:
     Keys in order are words by rarity; the prefix is the first of them, so many that two sets of Jaccard 4/5 share
     one. ``sig`` and ``sig2`` have the parity of the words over 128 places: two sets differ in as many words as the two
     do in bits together, or more."""
+    # A condition on n would be pushed below the keys and make them once more.
+    contents = contents.filter(F.col("content").rlike(WORD))
     hashes = F.array_distinct(F.transform(_words(F.col("content")), lambda w: F.xxhash64(w)))
     level = lambda h: _byte(levels, h.bitwiseAND(F.lit(COUNTERS - 1))).cast("long")
     keys = F.sort_array(F.transform(hashes, lambda h: F.shiftleft(level(h), SHIFT).bitwiseOR(F.shiftrightunsigned(h, 64 - SHIFT))))
     rows = contents.select("set", *PLACE, keys.alias("keys"))
 
-    def parity(half: int) -> Column:
-        # A word's place is seven bits of its hash; the one above six of them says which of the two it is in.
-        bit = lambda k: F.call_function("shiftleft", F.shiftrightunsigned(k, 6).bitwiseXOR(F.lit(1 - half)).bitwiseAND(F.lit(1).cast("long")), k.bitwiseAND(F.lit(63)).cast("int"))
-        return F.aggregate("keys", F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(bit(k)))
-
+    # A word's place is seven bits of its hash; the one above six of them says which of the two it is in. What both have
+    # together, by six bits, needs no test.
+    place = lambda k: k.bitwiseAND(F.lit(63)).cast("int")
+    upper = lambda k: F.shiftrightunsigned(k, 6).bitwiseAND(F.lit(1).cast("long"))
+    parity = lambda bit: F.aggregate("keys", F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", bit(k), place(k))))
+    rows = rows.withColumns({"all": parity(lambda k: F.lit(1).cast("long")), "sig2": parity(upper)})
     n = F.size("keys")
-    prefix = F.slice("keys", F.lit(1), F.when(n > 0, n - F.floor((4 * n + 4) / 5).cast("int") + 1).otherwise(0))
-    return rows.withColumns({"n": n, "sig": parity(0), "sig2": parity(1), "prefix": prefix}).drop("keys").filter("n > 0")
+    prefix = F.slice("keys", F.lit(1), n - F.floor((4 * n + 4) / 5).cast("int") + 1)
+    return rows.withColumns({"n": n, "sig": F.col("all").bitwiseXOR(F.col("sig2")), "prefix": prefix}).drop("keys", "all")
 
 
 def _need(both: Column) -> Column:
@@ -124,9 +133,8 @@ def _postings(sets: DataFrame, side: str, test: Callable[[Column], Column], *mor
     return each.filter((level > 0) & test(level)).select(F.col("token").alias(f"{side}_token"), *(F.col(c).alias(f"{side}_{c}") for c in ("set", "at", "sig", "sig2", *more)))
 
 
-def _wide(words: Column) -> Column:
-    """The parity of the words over 256 places, as four longs."""
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
+def _wide(hashes: Column) -> Column:
+    """The parity of words, given by their hashes, over 256 places, as four longs."""
     bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
     part = lambda k: F.aggregate(F.filter(hashes, lambda h: F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(3)) == k), F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(bit(h)))
     return F.array(*(part(k) for k in range(4)))
@@ -138,8 +146,8 @@ def _pulled(wanted: DataFrame, contents: DataFrame) -> DataFrame:
     some = contents.select("set", "content")
     if wanted.count() <= FEW:
         some = some.join(F.broadcast(wanted.select("set")), "set", "left_semi")
-    taken = wanted.join(some, "set").withColumn("words", F.array_distinct(_words(F.col("content"))))
-    return scratch.table(taken.select(*wanted.columns, "content", _wide(F.col("words")).alias("wide")), "pulled", compact=True)
+    taken = wanted.join(some, "set").withColumn("hashes", F.transform(F.array_distinct(_words(F.col("content"))), lambda w: F.xxhash64(w)))
+    return scratch.table(taken.select(*wanted.columns, "content", _wide(F.col("hashes")).alias("wide")), "pulled", compact=True)
 
 
 def _matched(pairs: DataFrame, sets: DataFrame, contents: DataFrame) -> DataFrame:
