@@ -624,3 +624,28 @@ def test_line_sets_order_words_once(spark):
     assert sets._jdf.queryExecution().optimizedPlan().toString().count("sort_array(") == 1
     assert {r["set"]: (r["n"], len(r["prefix"])) for r in sets.collect()} == {0: (4, 1), 3: (1, 1), 4: (1, 1), 5: (2, 1)}
     assert all((bin(r["sig"] % 2**64).count("1") + bin(r["sig2"] % 2**64).count("1")) % 2 == r["n"] % 2 for r in sets.collect())
+
+
+def test_copies_with_changes_of_their_own_do_not_meet_in_pairs(spark, monkeypatch):
+    """Hundreds of copies of one text with many words changed in each: similar pairs are connected and no others, and the
+    pairs to be looked at grow with the copies, not with their square."""
+    draw = random.Random(8)
+    word = lambda: f"w{draw.randrange(100000)}"
+    base, near = [word() for _ in range(150)], []
+    texts = [" ".join(base)]
+    for changes in [2] * 40 + [5, 6] * 130:
+        copy = list(base)
+        for at in draw.sample(range(150), changes):
+            copy[at] = word()
+        texts.append(" ".join(copy))
+    for text in texts[200:230]:  # copies of copies
+        texts.append(f"{text} {word()}")
+    monkeypatch.setattr(simhash, "CROWD", 8)
+    similar = simhash._similar
+    monkeypatch.setattr(simhash, "_similar", lambda pairs, *more: near.append(pairs.count()) or similar(pairs, *more))
+    got = {r["doc_id"]: r["root"] for r in simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want, pairs = similar_components(texts)
+    assert len(set(want)) > 50 and len(pairs) > 60
+    assert all(want[i] == want[j] for i, j in itertools.combinations(range(len(texts)), 2) if got[i] == got[j])
+    assert sum(got[i] == got[j] for i, j in pairs) >= 0.9 * len(pairs)
+    assert near[-1] < 3 * len(texts), near

@@ -9,7 +9,7 @@ from operator import add, and_
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewrack.llm import components, scratch
@@ -163,14 +163,9 @@ def _segments() -> list[Column]:
     return [F.shiftrightunsigned(f"f{lane}", k * SEGMENT).bitwiseAND(F.lit((1 << SEGMENT) - 1)).bitwiseOR(F.lit(n << SEGMENT)) for n, (lane, k) in enumerate(at)]
 
 
-def _similar(near: DataFrame, fps: DataFrame, docs: DataFrame, words: int, known: DataFrame | None) -> DataFrame:
-    """The links (u, v) among ``near`` (x, y, apart; x > y), x and y being numbers of ``fps``, whose sets of shingles
-    have a Jaccard similarity of ``SIMILARITY`` or more and that, with ``known`` links, connect what is to be connected.
-
-    A text's nearest partner is verified first; of the other pairs, only those that are still apart."""
-    ends = near.select(F.col("x").alias("id")).distinct().unionByName(near.select(F.col("y").alias("id")).distinct()).distinct()
-    wanted = fps.join(ends, "id", "left_semi").select("id", "text_hash")
-    wanted = scratch.table(wanted, "wanted")
+def _sets(ids: DataFrame, fps: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(id, set): the sets of shingles of the texts whose numbers are ``ids`` (id), as a working table."""
+    wanted = scratch.table(fps.join(ids, "id", "left_semi").select("id", "text_hash"), "wanted")
     texts = docs.select(F.xxhash64("text").alias("text_hash"), "text")
     if wanted.count() <= FEW:
         texts = texts.join(F.broadcast(wanted.select("text_hash")), "text_hash", "left_semi")
@@ -180,12 +175,25 @@ def _similar(near: DataFrame, fps: DataFrame, docs: DataFrame, words: int, known
         for b in scratch.bounded(batches):
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([shingle_set(t.as_py(), words) for t in b.column("text")], pa.list_(pa.int64()))], ["id", "set"])
 
-    sets = scratch.table(texts.mapInArrow(taken, "id long, set array<long>"), "shingles")
+    return scratch.table(texts.mapInArrow(taken, "id long, set array<long>"), "shingles")
+
+
+def _alike(both: Column, a: Column, b: Column) -> Column:
+    """Whether sets of ``a`` and ``b`` items that share ``both`` are similar to ``SIMILARITY``."""
+    return both >= F.lit(SIMILARITY) * (a + b - both)
+
+
+def _similar(near: DataFrame, fps: DataFrame, docs: DataFrame, words: int, known: DataFrame | None) -> DataFrame:
+    """The links (u, v) among ``near`` (x, y, apart; x > y), x and y being numbers of ``fps``, whose sets of shingles
+    have a Jaccard similarity of ``SIMILARITY`` or more and that, with ``known`` links, connect what is to be connected.
+
+    A text's nearest partner is verified first; of the other pairs, only those that are still apart."""
+    ends = near.select(F.col("x").alias("id")).distinct().unionByName(near.select(F.col("y").alias("id")).distinct()).distinct()
+    sets = _sets(ends, fps, docs, words)
 
     def verified(pairs: DataFrame) -> DataFrame:
         met = pairs.join(sets.select(F.col("id").alias("x"), F.col("set").alias("a")), "x").join(sets.select(F.col("id").alias("y"), F.col("set").alias("b")), "y")
-        both = F.size(F.array_intersect("a", "b"))
-        return met.filter(both >= F.lit(SIMILARITY) * (F.size("a") + F.size("b") - both)).select(F.col("x").alias("u"), F.col("y").alias("v"))
+        return met.filter(_alike(F.size(F.array_intersect("a", "b")), F.size("a"), F.size("b"))).select(F.col("x").alias("u"), F.col("y").alias("v"))
 
     best = near.groupBy("x").agg(F.min(F.struct("apart", "y")).alias("best"))
     links = verified(best.select("x", F.col("best.y").alias("y")))
@@ -211,6 +219,56 @@ def _centres(fps: DataFrame) -> DataFrame:
     return own.join(sample, "key").groupBy("key").agg(F.min(F.struct(total.alias("total"), F.col("id"))).alias("best")).select("key", F.col("best.id").alias("head"))
 
 
+def _members(known: DataFrame, balls: Column, crowds: DataFrame) -> DataFrame:
+    """(id, root, hub, hub_root) of the texts of crowded segments, as a working table. Crowds whose heads are connected
+    have one hub, the head of most of them. A text that is not connected with a hub belongs to it where a ball reaches,
+    others by their own segments. Hubs that all of theirs are connected with are left out."""
+    rooted = known.select(F.col("id").alias("head"), F.col("root").alias("hub_root"))
+    hubs = crowds.groupBy("head").agg(F.count(F.lit(1)).alias("n")).join(rooted, "head").groupBy("hub_root").agg(F.max_by("head", F.struct("n", "head")).alias("hub"))
+    hubs = scratch.table(crowds.join(rooted, "head").join(hubs, "hub_root").select("key", "hub", "hub_root"), "hubs")
+    own = known.select("id", "root", F.explode(F.array(*_segments())).alias("key")).join(hubs, "key")
+    asking = known.select("id", "root", F.explode(balls).alias("key")).join(hubs, "key").filter("root <> hub_root")
+    members = scratch.table(own.unionByName(asking).select("id", "root", "hub", "hub_root").distinct(), "members")
+    return scratch.table(members.join(members.filter("root <> hub_root").select("hub").distinct(), "hub", "left_semi").select(*members.columns), "hub_members")
+
+
+def _within(members: DataFrame, fps: DataFrame, docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
+    """(links, pairs): of the ``members`` of each hub, (u, v) that are similar to the hub, and candidates (id, other)
+    among which is every other similar pair of the hub's that is needed to connect what is to be connected.
+
+    Copies of one text share most of their shingles with each other, similar or not, so those tell nothing. A member
+    is taken as the items in which its set and the hub's differ: two members differ just where these differences do.
+    Sets of n and m items are similar if they differ in (n + m) * r items or fewer. One that is not similar to the hub
+    differs from it in more, so a partner has more than half of its own differences, give or take what it is longer, in
+    common with it: one of the rarest half, which in a copy with changes of its own no other has. Positions among the
+    differences, rarest first, bound what can be shared. No pair is missed, and a group costs what its differences
+    are, not what its pairs are."""
+    sets = _sets(members.select("id").unionByName(members.select(F.col("hub").alias("id"))).distinct(), fps, docs, words)
+    middle = scratch.table(sets.join(members.select(F.col("hub").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("hub"), F.col("set").alias("middle")), "middle")
+    met = members.join(sets, "id").join(middle, "hub")
+    n, m, less = F.size("set"), F.size("middle"), F.array_except("middle", "set")
+    met = met.select("id", "root", "hub", (F.col("root") != F.col("hub_root")).alias("open"), n.alias("n"), m.alias("m"), F.size(less).alias("less"), F.concat(F.array_except("set", "middle"), less).alias("items"))
+    alike = _alike(F.col("m") - F.col("less"), F.col("n"), F.col("m"))
+    met = scratch.table(met.withColumns({"alike": alike, "d": F.size("items")}), "differences")
+    links = met.filter("open and alike").select(F.col("id").alias("u"), F.col("hub").alias("v"))
+
+    # An item of one member only is shared by none: it counts in positions, as the rarest, and is not laid out.
+    each = met.select("id", "root", "hub", (F.col("open") & ~F.col("alike")).alias("open"), "n", "m", "d", F.explode("items").alias("item"))
+    common = each.groupBy("hub", "item").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
+    member = Window.partitionBy("hub", "id")
+    placed = each.join(common, ["hub", "item"]).withColumn("at", F.col("d") - F.count(F.lit(1)).over(member) + F.row_number().over(member.orderBy("often", "item")) - 1)
+    r, slack = (1 - SIMILARITY) / (1 + SIMILARITY), 1e-6
+    first = F.col("open") & (F.col("at") <= F.col("d") - F.greatest(F.lit(1), F.col("d") - F.col("n") * (1 - SIMILARITY) / SIMILARITY) + slack)
+    second = F.col("at") <= (F.col("d") + (F.col("n") - F.col("m")) * r) / 2 + slack
+    placed = scratch.table(placed.withColumns({"first": first, "second": second}).filter("first or second").drop("often", "m"), "items")
+    side = lambda s: placed.filter(s).select("hub", "item", *(F.col(c).alias(f"{s}_{c}") for c in ("id", "root", "open", "n", "d", "at")))
+    most = F.least(F.col("first_d") - F.col("first_at"), F.col("second_d") - F.col("second_at"))
+    reach = 2 * most >= F.col("first_d") + F.col("second_d") - (F.col("first_n") + F.col("second_n")) * r - slack
+    once = ~F.col("second_open") | (F.col("second_id") < F.col("first_id"))
+    found = side("first").join(side("second"), ["hub", "item"]).filter(once & (F.col("first_root") != F.col("second_root")) & reach)
+    return links, found.select(F.col("first_id").alias("id"), F.col("second_id").alias("other"))
+
+
 def near_copies(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, text_hash, root), one row per row of ``docs``: rows of one root are connected by texts whose sets of
     ``words``-word shingles are similar to ``SIMILARITY`` or more.
@@ -219,8 +277,8 @@ def near_copies(docs: DataFrame, words: int = WORDS) -> DataFrame:
     of 64 bits in segments of ``SEGMENT`` bits. Each segment's ball of radius 1 is looked up in the table of segments,
     full distances are verified, and then the sets themselves: what is linked is similar for certain. A pair is missed
     where every segment differs in two bits or more. Texts of one segment are met with one of
-    them first, in a segment of more than ``CROWD`` texts with the one in their middle; what this leaves apart then
-    meets each of the others that a ball reaches.
+    them first, in a segment of more than ``CROWD`` texts with the one in their middle. What this leaves apart meets
+    the others that a ball reaches, those of crowded segments by what they differ in from the middle (``_within``).
 
     Null and empty texts are alike and connected. An empty table gives no rows."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
@@ -240,32 +298,36 @@ def near_copies(docs: DataFrame, words: int = WORDS) -> DataFrame:
     crowds = scratch.table(_centres(fps), "crowds")
     heads = scratch.table(shared.filter(F.col("n") <= CROWD).select("key", "head").unionByName(crowds), "heads")
 
-    def near(pairs: DataFrame) -> DataFrame:
+    def near(pairs: DataFrame, most: int = APART) -> DataFrame:
         side = lambda s: fps.select(F.col("id").alias(s), F.array(*names).alias(f"{s}_f"))
         met = pairs.select(F.greatest("id", "other").alias("x"), F.least("id", "other").alias("y")).distinct().join(side("x"), "x").join(side("y"), "y")
         apart = reduce(add, (F.bit_count(F.col("x_f")[k].bitwiseXOR(F.col("y_f")[k])) for k in range(LANES)))
-        return scratch.table(met.withColumn("apart", apart).filter(F.col("apart") <= APART).select("x", "y", "apart"), "near")
+        return scratch.table(met.withColumn("apart", apart).filter(F.col("apart") <= most).select("x", "y", "apart"), "near")
 
     flips = F.array(F.lit(0).cast("long"), *(F.lit(1 << b).cast("long") for b in range(SEGMENT)))
     ball = lambda key: F.transform(flips, lambda m: key.bitwiseXOR(m))
     balls = F.flatten(F.array(*map(ball, _segments())))
     close = F.bit_count(F.col("f0").bitwiseXOR(F.col("other_f0"))) <= LANE_APART
     links = _similar(near(entries.join(heads, "key").filter("id <> head").select("id", F.col("head").alias("other"))), fps, docs, words, None)
-    # What the heads of segments have connected need not meet again: a large group costs what its texts are, not what
-    # its pairs are. What is still apart meets wherever a ball reaches.
+    # What the heads of segments have connected need not meet again. What is still apart meets wherever a ball reaches.
     roots = components.roots(links).select(F.col("node").alias("id"), "root")
     known = scratch.table(fps.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")).select("id", "f0", "root", *names[1:]), "rooted")
-    probes = known.select("id", "f0", "root", F.explode(balls).alias("key"))
-    table = known.select(F.col("id").alias("other"), F.col("f0").alias("other_f0"), F.col("root").alias("other_root"), F.explode(F.array(*_segments())).alias("key"))
-    apart = close & (F.col("root") != F.col("other_root"))
-    if not crowds.limit(1).count():
-        pairs = probes.join(table, "key").filter(apart & (F.col("id") < F.col("other"))).select("id", "other")
+    pairs = None
+    if crowds.limit(1).count():
+        members = _members(known, balls, crowds)
+        more, pairs = _within(members, fps, docs, words)
+        links = scratch.table(links.unionByName(more), "links")
+        known = scratch.table(known.join(members.groupBy("id").agg(F.collect_list("hub").alias("hubs")), "id", "left"), "hubs_of")
     else:
-        side = lambda s: known.select(F.col("id").alias(s), F.col("root").alias(f"{s}_root"))
-        pairs = probes.join(table.join(crowds, "key", "left_anti"), "key").filter(apart & (F.col("id") < F.col("other"))).select("id", "other")
-        asking = probes.join(crowds, "key").join(side("head"), "head").filter("root <> head_root").select("id", "f0", "root", "key")
-        pairs = pairs.unionByName(asking.join(table.join(crowds, "key", "left_semi"), "key").filter(apart).select("id", "other"))
-    roots = components.roots(_similar(near(pairs), fps, docs, words, links))
+        known = known.withColumn("hubs", F.lit(None).cast("array<long>"))
+    probes = known.select("id", "f0", "root", "hubs", F.explode(balls).alias("key"))
+    table = known.select(*(F.col(c).alias(f"other{t}") for c, t in (("id", ""), ("f0", "_f0"), ("root", "_root"), ("hubs", "_hubs"))), F.explode(F.array(*_segments())).alias("key"))
+    # What has a hub in common has met there.
+    apart = (F.col("root") != F.col("other_root")) & (F.col("id") < F.col("other")) & ~F.coalesce(F.arrays_overlap("hubs", "other_hubs"), F.lit(False))
+    met = near(probes.join(table.join(crowds, "key", "left_anti"), "key").filter(close & apart).select("id", "other"))
+    if pairs is not None:
+        met = met.unionByName(near(pairs, 64 * LANES))
+    roots = components.roots(_similar(met, fps, docs, words, links))
     named = fps.join(roots, fps["id"] == roots["node"], "left").select(*(F.col(n).alias(f"n_{n}") for n in names), F.coalesce("root", "id").alias("root"))
     same = reduce(and_, (F.col(n) == F.col(f"n_{n}") for n in names))
     return scratch.table(rows.join(scratch.table(named, "named"), same).select("doc_id", "text_hash", "root"), "near_copies")
