@@ -649,3 +649,16 @@ def test_copies_with_changes_of_their_own_do_not_meet_in_pairs(spark, monkeypatc
     assert all(want[i] == want[j] for i, j in itertools.combinations(range(len(texts)), 2) if got[i] == got[j])
     assert sum(got[i] == got[j] for i, j in pairs) >= 0.9 * len(pairs)
     assert near[-1] < 3 * len(texts), near
+
+
+def test_texts_like_a_middle_belong_to_it(spark):
+    """Outside of its crowded segments too, so that they do not meet each other in pairs; what is unlike it does not."""
+    spread = lambda bits: sum((1 << bits) - 1 << at for at in (0, 21, 42))
+    far = spread(12) ^ (1 << 12) - 1 ^ 0b111
+    rows = [(1, 1, 0, 0, 0), (2, 1, *[spread(15)] * 3), (3, 3, *[spread(3)] * 3), (4, 4, *[spread(4)] * 3), (5, 5, far, spread(12), spread(12)), (6, 6, spread(12) ^ (1 << 12) - 1 ^ 1, *[spread(2)] * 2)]
+    known = spark.createDataFrame(rows, "id long, root long, f0 long, f1 long, f2 long")
+    crowds = spark.createDataFrame([(0, 1)], "key long, head long")
+    flips = [0, *(1 << b for b in range(simhash.SEGMENT))]
+    balls = F.flatten(F.array(*(F.array(*(key.bitwiseXOR(F.lit(m)) for m in flips)) for key in simhash._segments())))
+    got = sorted(tuple(r) for r in simhash._members(known, balls, crowds).collect())
+    assert got == [(1, 1, 1, 1), (2, 1, 1, 1), (3, 3, 1, 1), (6, 6, 1, 1)]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from operator import add, and_
 
@@ -26,6 +26,9 @@ WORDS, SIMILARITY = 5, 0.8
 LANES, SEGMENT, APART, LANE_APART = 3, 21, 36, 20
 #: Texts of a crowded segment from which its middle is found.
 SAMPLE = 16
+#: A text belongs to a middle that differs from it in so many bits of a segment, and of all fingerprints, at most. Where
+#: it belongs decides how it meets others, not whether. Texts with nothing in common differ in 96 bits (deviation 7).
+REACH, FAMILY = 3, 70
 GOLDEN, MIX = 0x9E3779B97F4A7C15, (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 #: So many hashes of texts, 8 bytes each, may be broadcast to pick the texts out.
 FEW = 1 << 20
@@ -219,16 +222,35 @@ def _centres(fps: DataFrame) -> DataFrame:
     return own.join(sample, "key").groupBy("key").agg(F.min(F.struct(total.alias("total"), F.col("id"))).alias("best")).select("key", F.col("best.id").alias("head"))
 
 
+def _apart(a: Callable[[int], Column], b: Callable[[int], Column]) -> Column:
+    """In how many bits the fingerprints of two texts differ; ``a`` and ``b`` give those of a lane."""
+    return reduce(add, (F.bit_count(a(k).bitwiseXOR(b(k))) for k in range(LANES)))
+
+
 def _members(known: DataFrame, balls: Column, crowds: DataFrame) -> DataFrame:
-    """(id, root, hub, hub_root) of the texts of crowded segments, as a working table. Crowds whose heads are connected
-    have one hub, the head of most of them. A text that is not connected with a hub belongs to it where a ball reaches,
-    others by their own segments. Hubs that all of theirs are connected with are left out."""
+    """(id, root, hub, hub_root) of the texts of crowded segments and of those like them, as a working table. Crowds
+    whose heads are connected have one hub, the head of most of them. What is connected with a hub belongs to it. A text
+    that is not belongs to it where a ball reaches; and one that no hub is connected with to the hub of most crowds
+    among those it resembles (``REACH``, ``FAMILY``), since copies with changes of their own mostly lie outside of
+    crowded segments and would meet each other there in pairs. Hubs that all of theirs are connected with are left out."""
     rooted = known.select(F.col("id").alias("head"), F.col("root").alias("hub_root"))
-    hubs = crowds.groupBy("head").agg(F.count(F.lit(1)).alias("n")).join(rooted, "head").groupBy("hub_root").agg(F.max_by("head", F.struct("n", "head")).alias("hub"))
-    hubs = scratch.table(crowds.join(rooted, "head").join(hubs, "hub_root").select("key", "hub", "hub_root"), "hubs")
-    own = known.select("id", "root", F.explode(F.array(*_segments())).alias("key")).join(hubs, "key")
-    asking = known.select("id", "root", F.explode(balls).alias("key")).join(hubs, "key").filter("root <> hub_root")
-    members = scratch.table(own.unionByName(asking).select("id", "root", "hub", "hub_root").distinct(), "members")
+    hubs = crowds.groupBy("head").agg(F.count(F.lit(1)).alias("n")).join(rooted, "head").groupBy("hub_root").agg(F.max_by("head", F.struct("n", "head")).alias("hub"), F.sum("n").alias("n"))
+    hubs = scratch.table(hubs, "hubs")
+    keys = scratch.table(crowds.join(rooted, "head").join(hubs, "hub_root").select("key", "hub", "hub_root"), "hub_keys")
+    own = known.join(hubs, known["root"] == hubs["hub_root"]).select("id", "root", "hub", "hub_root")
+    both = known.select("id", "root", F.explode(F.array(*_segments())).alias("key")).join(keys, "key").filter("root <> hub_root")
+    asking = known.select("id", "root", F.explode(balls).alias("key")).join(keys, "key").filter("root <> hub_root")
+
+    # Hubs are few beside texts: their segments are laid out by all changes, and a text is met once a segment at most.
+    lanes_of = F.array(*(F.col(f"f{k}") for k in range(LANES)))
+    changes = known.sparkSession.range(1 << SEGMENT).filter(F.bit_count("id") <= REACH).select(F.col("id").alias("change"))
+    places = known.join(hubs, F.col("id") == F.col("hub")).select("hub", "hub_root", "n", lanes_of.alias("hub_f"), F.explode(F.array(*_segments())).alias("at"))
+    places = places.crossJoin(F.broadcast(changes)).select("hub", "hub_root", "n", "hub_f", F.col("at").bitwiseXOR(F.col("change")).alias("near_key"))
+    free = known.join(hubs.select(F.col("hub_root").alias("root")), "root", "left_anti")
+    free = free.select("id", "root", lanes_of.alias("own_f"), F.explode(F.array(*_segments())).alias("own_key"))
+    like = free.join(places, (F.col("own_key") == F.col("near_key")) & (_apart(lambda k: F.col("own_f")[k], lambda k: F.col("hub_f")[k]) <= FAMILY))
+    like = like.groupBy("id", "root").agg(F.max(F.struct("n", "hub", "hub_root")).alias("most")).select("id", "root", "most.hub", "most.hub_root")
+    members = scratch.table(reduce(DataFrame.unionByName, (own, both.drop("key"), asking.drop("key"), like)).distinct(), "members")
     return scratch.table(members.join(members.filter("root <> hub_root").select("hub").distinct(), "hub", "left_semi").select(*members.columns), "hub_members")
 
 
